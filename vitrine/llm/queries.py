@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import bpe
+from vitrine.llm import bpe, minhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,5 +33,18 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe}
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.drop_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Query] = {
+    "op1_bpe": op1_bpe,
+    "op2_minhash": op2_minhash,
+    "op4_substrings": op4_substrings,
+}
 ORACLE_SQL: dict[str, str] = {}
