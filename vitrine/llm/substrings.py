@@ -1,10 +1,10 @@
 """Removing word passages that stand earlier in the corpus, by fixed-block anchors.
 
-Of two equal passages of ``width`` words, the earlier one holds a whole block
-of ``width // 2`` words that begins at a multiple of that length. So the
-non-overlapping blocks of all documents are the index, and every rolling
-window of that many words probes it. Hits are extended on both sides to all
-passages of ``width`` words around them, and those decide: a passage whose
+Every passage of ``width`` words holds a whole block of ``width // 2`` words
+that begins at a multiple of that length. So the non-overlapping blocks of all
+documents are the index, and every rolling window of that many words probes
+it. Blocks that are hit are extended on both sides to all passages of
+``width`` words around them, and those decide: a passage whose
 words also start earlier is a repeat, and the repeats of a run of places make
 up its maximal repeats.
 
@@ -13,7 +13,7 @@ of each hash (the others have a hit beside them already, so a passage in a
 third of all documents is one probe a chunk), and sends them packed, 32 bits a
 hash and a few for the place, to hash buckets whose number follows the size of the
 corpus. A bucket is a bounded group of distinct hashes. Only places go back to
-the documents; extension, too, sends only the passages around hits, by 128-bit
+the documents; extension, too, sends only the passages around hits, by 96-bit
 hashes. The text itself is shuffled once and read by both joins.
 """
 
@@ -139,7 +139,7 @@ def _places(part: TextSlice, width: int, seeds: tuple[int, ...]) -> tuple[np.nda
 
 
 def _probes(block: int, buckets: int):
-    """Anchors and probes, and places whose window stands twice in the chunk (hits as they are)."""
+    """Anchors and probes, and anchors whose window stands twice in the chunk (hits as they are)."""
 
     def sent(chunk: _Chunk) -> Iterator[pa.RecordBatch]:
         ids, tags, docs, pos, hashes = chunk.columns()
@@ -154,6 +154,7 @@ def _probes(block: int, buckets: int):
         single = np.diff(np.r_[heads, len(order)]) == 1
         again = np.ones(len(order), bool)
         again[order[heads[single]]] = False
+        again &= pos % block == 0
         yield _straight(_by_document(ids, tags, docs[again], pos[again]), buckets)
         keep, flag = np.zeros(len(order), bool), np.zeros(len(order), np.uint32)
         keep[order[heads]] = True
@@ -195,22 +196,21 @@ def _answers(table: pa.Table, found) -> pa.Table:
 
 
 def _anchored(blobs: list[tuple[np.ndarray, ...]], hashes: list[bytes]) -> np.ndarray:
-    """Windows of which there is another one, with an anchor among them."""
+    """Anchors whose window stands elsewhere, too. Any other window's answer is of no use: a repeated passage has an anchor of its own."""
     flagged = np.frombuffer(b"".join(hashes), np.uint32)
     order = np.argsort(flagged, kind="stable")
-    ranked = flagged[order]
-    heads = np.flatnonzero(np.r_[True, ranked[1:] >> 1 != ranked[:-1] >> 1])
-    anchor = np.logical_or.reduceat((ranked & 1).astype(bool), heads)
-    sizes = np.diff(np.r_[heads, len(order)])
+    ranked = flagged[order] >> 1
+    same = ranked[1:] == ranked[:-1]
     picked = np.zeros(len(order), bool)
-    picked[order] = np.repeat(anchor & (sizes > 1), sizes)
-    return picked
+    picked[order] = np.r_[False, same] | np.r_[same, False]
+    return picked & (flagged & 1).astype(bool)
 
 
 def _later(blobs: list[tuple[np.ndarray, ...]], hashes: list[bytes]) -> np.ndarray:
     """Passages that are not the first of their words."""
-    halves = [np.frombuffer(h, np.uint64).reshape(2, -1) for h in hashes]
-    h1, h2 = (np.concatenate([x[i] for x in halves]) for i in (0, 1))
+    sizes = [len(b[3]) for b in blobs]
+    h1 = np.concatenate([np.frombuffer(h, np.uint64, n) for h, n in zip(hashes, sizes, strict=True)])
+    h2 = np.concatenate([np.frombuffer(h, np.uint32, n, 8 * n) for h, n in zip(hashes, sizes, strict=True)])
     ids, tags = (np.concatenate([np.repeat(b[i], b[2]) for b in blobs]) for i in (0, 1))
     return _repeats(h1, h2, ids, tags, np.concatenate([b[3] for b in blobs]))
 
@@ -252,10 +252,10 @@ def _passages(width: int, block: int, buckets: int):
         for batch in batches:
             for ids, tags, part in _rows(batch):
                 bounds = part.words().bounds
-                near = _around(batch.column(3).slice(part.first, part.last - part.first), np.diff(bounds), bounds, width - block, 1)
+                near = _around(batch.column(3).slice(part.first, part.last - part.first), np.diff(bounds), bounds, block - 1, 1)
                 docs, pos, n, h1, h2 = _places(part, width, (4, 5))
                 keep = near[bounds[docs] + pos]
-                chunk.add(ids, tags, docs[keep], pos[keep], n, h1[keep], h2[keep])
+                chunk.add(ids, tags, docs[keep], pos[keep], n, h1[keep], h2[keep].astype(np.uint32))
                 if chunk.words >= CHUNK_WORDS:
                     yield from sent(chunk)
         if chunk.parts:
