@@ -1,21 +1,24 @@
 """Near-duplicate documents by min-max hashing.
 
 Each of ``PERMUTATIONS`` hash permutations gives two values of a shingle set,
-its smallest and its largest, so a signature of 128 values takes 64 hash
-evaluations a shingle. Bands of four values (two minima, two maxima) are the
-buckets in which candidates meet: at a likeness of 0.85 a pair misses all 32
-bands with a chance of about 5e-11, and every link is confirmed on full sets.
+its smallest and its largest, so a signature of 256 values takes 128 hash
+evaluations a shingle. Bands of six values (minima and maxima mixed) are the
+buckets in which candidates meet: at a likeness of 0.85 a pair misses all 42
+bands with a chance of about 2e-9. Four bits of each value make a sketch;
+pairs that differ in more of them than ``LIMIT`` (4.5 standard deviations above
+what 0.85 gives) are not candidates. Every link is confirmed on full sets.
 
 How it scales:
 
 * Documents with equal shingle sets are one class from the start (a partial
   aggregate), so thousands of exact copies cost one candidate.
-* Within a bucket no pairs are listed. All members are compared with the
-  bucket's smallest one; where that leaves more than one component in the
-  bucket, members outside its largest component are compared, in rounds, with
-  all members of other components, until every pair either is in one component
-  or has been compared. No link is lost and rows follow the bucket's size.
-* Shingle sets travel only for classes that meet another one in some bucket.
+* All members of a bucket are compared with its centre, the member that meets
+  most others. Only pairs of one bucket that this leaves in different
+  components, and that sketches do not tell apart, are compared after that;
+  each is made once, in the first band that it shares.
+* Those pairs are dealt to blocks of documents that share buckets, so a full
+  set travels once a block, not once a pair, and a block has a bounded number of sets.
+* Shingle sets are made only for classes that meet another one in some bucket.
 """
 
 from __future__ import annotations
@@ -24,24 +27,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vitrine.llm.checkpoints import saved
 from vitrine.llm.components import components
 from vitrine.llm.textarrays import mixed, slices, window_hashes
 
 SHINGLE = 5
-PERMUTATIONS = 64
-BANDS = 32
-#: Members of a bucket that one round compares, times its size.
-ROUND_PAIRS = 20_000
+PERMUTATIONS = 128
+BANDS, BAND_VALUES = 42, 6
+#: Of the 256 four-bit values, the most that differ in candidates: 256 * 0.15 * 15/16 on average, and 4.5 standard deviations.
+LIMIT = 61
+#: Documents on either side of a block of comparisons, about.
+BLOCK = 256
 
 _random = np.random.Generator(np.random.PCG64(20_240))
 _FACTORS = _random.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADDENDS = _random.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
+_DEAL = _random.permutation(2 * PERMUTATIONS)[: BANDS * BAND_VALUES].reshape(BANDS, BAND_VALUES)
 _SALTS = mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
+_NIBBLES = np.uint64(4) * np.arange(16, dtype=np.uint64)
 
 
 def shingle_sets(column: pa.Array, width: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -58,39 +64,54 @@ def shingle_sets(column: pa.Array, width: int = SHINGLE) -> Iterator[np.ndarray]
                 yield window_hashes(hashes[first:last], n) if n else np.zeros(0, np.uint64)
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """The buckets of a shingle set, one a band."""
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """The smallest value under each permutation, then the largest ones."""
     least = np.full(PERMUTATIONS, np.iinfo(np.uint64).max, np.uint64)
     most = np.zeros(PERMUTATIONS, np.uint64)
-    for i in range(0, len(shingles), 4096):
-        values = _FACTORS[:, None] * shingles[None, i : i + 4096] + _ADDENDS[:, None]
+    for i in range(0, len(shingles), 2048):
+        values = _FACTORS[:, None] * shingles[None, i : i + 2048] + _ADDENDS[:, None]
         np.minimum(least, values.min(1), out=least)
         np.maximum(most, values.max(1), out=most)
-    rows = np.concatenate([least.reshape(BANDS, -1), most.reshape(BANDS, -1)], axis=1)
+    return np.concatenate([least, most])
+
+
+def band_keys(values: np.ndarray) -> np.ndarray:
+    """The buckets of a signature, one a band."""
     out = _SALTS.copy()
-    for j in range(rows.shape[1]):
-        out = mixed(out ^ rows[:, j]) + np.uint64(j)
+    for own in values[_DEAL].T:
+        out = mixed(out ^ own)
     return out.view(np.int64)
 
 
+def sketch(values: np.ndarray) -> np.ndarray:
+    """Four bits of each value of a signature, sixteen in a word."""
+    return np.bitwise_or.reduce((mixed(values) & np.uint64(15)).reshape(-1, 16) << _NIBBLES, axis=1).view(np.int64)
+
+
 def signatures(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``n_shingles``, ``k1`` and ``k2`` (128 bits of the set) and ``bands``."""
+    """``id``, ``n_shingles``, ``k1`` and ``k2`` (128 bits of the set), ``keys`` (buckets) and ``sketch``."""
+
+    def lists(rows: list[np.ndarray]) -> pa.Array:
+        flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(flat))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
         for batch in batches:
-            sizes, k1, k2, bands = [], [], [], []
+            sizes, k1, k2, keys, sketches = [], [], [], [], []
             for s in shingle_sets(batch.column(1)):
                 sizes.append(len(s))
                 k1.append(s.sum(dtype=np.uint64))
                 k2.append(mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
-                bands.append(band_keys(s) if len(s) else np.zeros(0, np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, bands)]), pa.int32()), pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64)))
+                values = signature(s) if len(s) else none
+                keys.append(band_keys(values) if len(s) else none)
+                sketches.append(sketch(values) if len(s) else none)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), *(pa.array(np.array(k, np.uint64).view(np.int64)) for k in (k1, k2)), lists],
-                names=["id", "n_shingles", "k1", "k2", "bands"],
+                [batch.column(0), pa.array(sizes, pa.int64()), *(pa.array(np.array(k, np.uint64).view(np.int64)) for k in (k1, k2)), lists(keys), lists(sketches)],
+                names=["id", "n_shingles", "k1", "k2", "keys", "sketch"],
             )
 
-    schema = "id long, n_shingles long, k1 long, k2 long, bands array<long>"
+    schema = "id long, n_shingles long, k1 long, k2 long, keys array<long>, sketch array<long>"
     return documents.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")).mapInArrow(run, schema)
 
 
@@ -105,25 +126,44 @@ def _packed_sets(documents: DataFrame) -> DataFrame:
     return documents.mapInArrow(run, "id long, shingles binary")
 
 
+def _alike(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    small, large = (p, q) if len(p) <= len(q) else (q, p)
+    if 100 * len(small) < percent * len(large):
+        return False
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    both = int((large[at] == small).sum())
+    return 100 * both >= percent * (len(p) + len(q) - both)
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets are alike by ``percent``."""
+    """Those of ``pairs`` (a, b, home) whose sets are alike by ``percent``.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                small, large = (p, q) if len(p) <= len(q) else (q, p)
-                if 100 * len(small) < percent * len(large):
-                    keep.append(False)
-                    continue
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                both = int((large[at] == small).sum())
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    x, y = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    ``home`` is a bucket of a; pairs of one home, cut to ``BLOCK`` documents on
+    either side by hashes, are one group, and get each document's set once.
+    """
+    sides = pairs.groupBy("home").agg(F.approx_count_distinct("a").alias("na"), F.approx_count_distinct("b").alias("nb"))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.ceil(F.col(n) / BLOCK))
+    dealt = saved(pairs.join(sides, "home").select("a", "b", F.xxhash64("home", part("a", "na"), part("b", "nb")).alias("block")))
+    needed = dealt.select("block", F.col("a").alias("id")).unionAll(dealt.select("block", F.col("b").alias("id"))).distinct()
+    given = needed.join(sets, "id").select(F.col("block").alias("at"), "id", "shingles")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        own = {i: np.frombuffer(x.as_buffer(), np.uint64) for i, x in zip(right["id"].to_pylist(), right["shingles"], strict=True)}
+        keep = [_alike(own[a], own[b], percent) for a, b in zip(left["a"].to_pylist(), left["b"].to_pylist(), strict=True)]
+        return left.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return dealt.groupBy("block").cogroup(given.groupBy("at")).applyInArrow(run, "a long, b long")
+
+
+def _candidates(left: str, right: str, percent: int) -> str:
+    """The condition that sizes and sketches of two entries allow a likeness of ``percent``."""
+    words = []
+    for i in range(16):
+        x = f"({left}.sketch[{i}] ^ {right}.sketch[{i}])"
+        x = f"({x} | shiftrightunsigned({x}, 2))"
+        words.append(f"bit_count(({x} | shiftrightunsigned({x}, 1)) & 1229782938247303441)")  # the lowest bit of each four
+    sizes = f"100 * least({left}.n_shingles, {right}.n_shingles) >= {percent} * greatest({left}.n_shingles, {right}.n_shingles)"
+    return f"{sizes} AND {' + '.join(words)} <= {LIMIT}"
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
@@ -139,32 +179,40 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     Other columns are neither read nor returned; an empty table gives no rows.
     """
     signed = saved(signatures(documents, id_col, text_col))
-    one = F.min(F.struct("id", "n_shingles", "bands")).alias("one")
+    one = F.min(F.struct("id", "n_shingles", "keys", "sketch")).alias("one")
     classes = saved(signed.where("n_shingles > 0 AND id IS NOT NULL").groupBy("k1", "k2").agg(one).select("k1", "k2", "one.*"))
-    entries = classes.select("id", F.explode("bands").alias("key"))
-    many = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("centre")).where("n > 1")
-    entries = saved(entries.join(many, "key"))
-    wanted = entries.select("id").distinct()
+    buckets = classes.select("id", F.posexplode("keys").alias("band", "key"))
+    many = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = saved(buckets.join(many, "key"))
+    meets = buckets.groupBy("id").agg(F.sum("n").alias("met"))
+    met = saved(classes.select("id", "n_shingles", "keys", "sketch").join(meets, "id"))
     plain = documents.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    sets = saved(_packed_sets(plain.join(wanted, "id", "left_semi")))
-    # rows with one id but different texts: the class's own text is the one that counts
-    if sets.groupBy("id").count().where("count > 1").limit(1).count():
-        sets = _own_sets(sets, classes)
-    tried = saved(entries.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct())
-    links = saved(_confirmed(tried, sets, percent))
-    entries = entries.select("key", "n", "id", F.when(F.col("id") == F.col("centre"), True).otherwise(False).alias("done"))
-    while True:
-        labels = saved(components(links))
-        open_ = _open_buckets(entries, labels)
-        if not open_.limit(1).count():
-            break
-        pairs = open_.alias("p").where("chosen").join(open_.alias("q"), "key").where("p.label <> q.label")
-        fresh = pairs.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        fresh = saved(fresh)
-        links = saved(links.unionAll(_confirmed(fresh, sets, percent)))
-        tried = tried.unionAll(fresh)
-        entries = saved(open_.select("key", "n", "id", (F.col("done") | F.col("chosen")).alias("done")))
-    return _described(signed, classes, labels, id_col, documents.schema[id_col])
+    sets = _packed_sets(plain.join(met.select("id"), "id", "left_semi"))
+    # of rows with one id but different texts, the class's own text is the one that counts
+    sets = _own_sets(sets, classes) if signed.groupBy("id").count().where("count > 1 AND id IS NOT NULL").limit(1).count() else saved(sets)
+
+    alike = _candidates("p", "q", percent)
+    centres = buckets.join(met.select("id", "met"), "id").groupBy("key").agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("centre"))
+    stars = buckets.join(centres, "key").where("id <> centre").groupBy("centre", "id").agg(F.min("key").alias("home"))
+    described = met.select("id", "n_shingles", "sketch")
+    p, q = described.alias("p"), described.alias("q")
+    stars = stars.select("centre", F.col("id").alias("other"), "home").join(p, F.col("centre") == F.col("p.id")).join(q, (F.col("other") == F.col("q.id")) & F.expr(alike))
+    stars = saved(stars.select(F.col("centre").alias("a"), F.col("other").alias("b"), "home"))
+    links = saved(_confirmed(stars, sets, percent))
+    labels = components(links)
+
+    entries = buckets.join(labels.select(F.col("node").alias("id"), F.col("component").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    mixed_ = entries.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    entries = entries.join(mixed_, "key").select("key", "band", "id", "label").join(met.drop("met"), "id")
+    # a pair belongs to the first band that it shares
+    first = "NOT exists(zip_with(slice(p.keys, 1, p.band), slice(q.keys, 1, q.band), (x, y) -> x = y), z -> z)"
+    rest = entries.alias("p").join(entries.alias("q"), F.expr(f"p.key = q.key AND p.id < q.id AND p.label <> q.label AND {alike} AND {first}"))
+    rest = rest.select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), F.col("p.key").alias("home"))
+    rest = saved(rest.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti"))
+    more = saved(_confirmed(rest, sets, percent))
+    if more.limit(1).count():
+        labels = components(links.unionAll(more))
+    return _described(signed, classes, labels, id_col)
 
 
 def _own_sets(sets: DataFrame, classes: DataFrame) -> DataFrame:
@@ -177,25 +225,7 @@ def _own_sets(sets: DataFrame, classes: DataFrame) -> DataFrame:
     return saved(keyed.join(classes.select("id", "k1"), ["id", "k1"], "left_semi").groupBy("id").agg(F.first("shingles").alias("shingles")))
 
 
-def _open_buckets(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """Entries of buckets in which some pair of different components was not compared, with the members to compare next.
-
-    A bucket is settled once all its members but those done (compared with all
-    others) are of one component.
-    """
-    named = entries.join(labels.select(F.col("node").alias("id"), F.col("component").alias("label")), "id", "left")
-    named = named.withColumn("label", F.coalesce("label", "id"))
-    parts = named.groupBy("key", "label").agg(F.count("*").alias("members"), F.count(F.when(~F.col("done"), 1)).alias("left"))
-    spread = parts.groupBy("key").agg(F.count(F.when(F.col("left") > 0, 1)).alias("parts"), F.max(F.struct("left", "label")).alias("most"))
-    spread = spread.where("parts > 1").select("key", F.col("most.label").alias("main"))
-    named = named.join(spread, "key")
-    order = Window.partitionBy("key").orderBy("id")
-    turn = F.row_number().over(order) <= F.greatest(F.lit(1), F.floor(F.lit(ROUND_PAIRS) / F.col("n")))
-    next_ = named.where((F.col("label") != F.col("main")) & ~F.col("done")).withColumn("chosen", turn).where("chosen").select("key", "id", "chosen")
-    return saved(named.join(next_, ["key", "id"], "left").select("key", "n", "id", "done", "label", F.coalesce("chosen", F.lit(False)).alias("chosen")))
-
-
-def _described(signed: DataFrame, classes: DataFrame, labels: DataFrame, id_col: str, field: T.StructField) -> DataFrame:
+def _described(signed: DataFrame, classes: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
     rows = signed.select("id", "n_shingles", "k1", "k2")
     members = rows.where("n_shingles > 0 AND id IS NOT NULL").join(classes.select("k1", "k2", F.col("id").alias("first_id")), ["k1", "k2"])
     named = members.join(labels, F.col("first_id") == F.col("node"), "left").select("id", F.coalesce("component", "first_id").alias("component"))
