@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import bpe, minhash, substrings
+from vitrine.llm import bpe, decontaminate, minhash, quality, substrings, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,9 +42,43 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    learned = F.coalesce(quality.remainder("doc_id", 3) != 1, F.lit(False))
+    model = quality.fit(documents, table(spark, sf_dir, "labels").where(learned))
+    return quality.scored(documents, model).select(
+        "doc_id",
+        (quality.remainder("doc_id", 3) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+URL_RULES: list[urls.Rule] = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"), URL_RULES).drop("component")
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_minhash": op2_minhash,
     "op4_substrings": op4_substrings,
+    "op8_quality": op8_quality,
+    "op9_decontaminate": op9_decontaminate,
+    "op10_urls": op10_urls,
 }
 ORACLE_SQL: dict[str, str] = {}
