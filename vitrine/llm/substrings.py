@@ -27,7 +27,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.textarrays import TextSlice, slices, window_hashes
+from vitrine.llm.textarrays import TextSlice, mixed, slices, window_hashes
 
 #: Words of text whose windows a task gathers before it sends them.
 CHUNK_WORDS = 2_000_000
@@ -127,22 +127,30 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, TextS
 
 
 def _places(part: TextSlice, width: int, seeds: tuple[int, ...]) -> tuple[np.ndarray, ...]:
-    """Document, first word and hashes of every window of ``width`` words, and the number of words."""
+    """Document and first word of every window of ``width`` words, the number of words, the windows' homes and hashes.
+
+    A home is the least hash of half as many words in the window: windows side
+    by side often share it, so they go to one bucket and come back together.
+    """
     words = part.words()
     counts = words.counts
     docs = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
     inside = docs[: max(0, len(docs) - width + 1)] == docs[width - 1 :] if len(docs) >= width else np.zeros(0, bool)
     pos = (np.arange(len(docs)) - np.repeat(words.bounds[:-1], counts)).astype(np.int32)
-    hashes = [window_hashes(part.word_hashes(words, seed), width)[inside] for seed in seeds]
-    n = len(inside)
-    return docs[:n][inside], pos[:n][inside], len(docs), *hashes
+    own = [part.word_hashes(words, seed) for seed in seeds]
+    n, half = len(inside), width - width // 2
+    halves = window_hashes(own[0], half)
+    home = halves[:n].copy()
+    for j in range(1, width - half + 1):
+        np.minimum(home, halves[j : j + n], out=home)
+    return docs[:n][inside], pos[:n][inside], len(docs), mixed(home[inside]), *(window_hashes(h, width)[inside] for h in own)
 
 
 def _probes(block: int, buckets: int):
     """Anchors and probes, and anchors whose window stands twice in the chunk (hits as they are)."""
 
     def sent(chunk: _Chunk) -> Iterator[pa.RecordBatch]:
-        ids, tags, docs, pos, hashes = chunk.columns()
+        ids, tags, docs, pos, home, hashes = chunk.columns()
         if not len(hashes):
             return
         order = np.argsort(hashes)
@@ -160,14 +168,14 @@ def _probes(block: int, buckets: int):
         keep[order[heads]] = True
         flag[order[heads]] = anchors
         short = (hashes[keep].astype(np.uint32) & np.uint32(0xFFFFFFFE)) | flag[keep]
-        yield _bucketed(ids, tags, docs[keep], pos[keep], _bucket_of(hashes[keep], buckets), [short])
+        yield _bucketed(ids, tags, docs[keep], pos[keep], _bucket_of(home[keep], buckets), [short])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = _Chunk()
         for batch in batches:
             for ids, tags, part in _rows(batch):
-                docs, pos, n, hashes = _places(part, block, (3,))
-                chunk.add(ids, tags, docs, pos, n, hashes)
+                docs, pos, n, home, hashes = _places(part, block, (3,))
+                chunk.add(ids, tags, docs, pos, n, home, hashes)
                 if chunk.words >= CHUNK_WORDS:
                     yield from sent(chunk)
         if chunk.parts:
@@ -239,13 +247,13 @@ def _passages(width: int, block: int, buckets: int):
     """Passages of ``width`` words around hits; those that stand earlier in the chunk are repeats as they are."""
 
     def sent(chunk: _Chunk) -> Iterator[pa.RecordBatch]:
-        ids, tags, docs, pos, h1, h2 = chunk.columns()
+        ids, tags, docs, pos, home, h1, h2 = chunk.columns()
         if not len(h1):
             return
         again = _repeats(h1, h2, ids[docs], tags[docs], pos)
         yield _straight(_by_document(ids, tags, docs[again], pos[again]), buckets)
         first = ~again
-        yield _bucketed(ids, tags, docs[first], pos[first], _bucket_of(h1[first], buckets), [h1[first], h2[first]])
+        yield _bucketed(ids, tags, docs[first], pos[first], _bucket_of(home[first], buckets), [h1[first], h2[first]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = _Chunk()
@@ -253,9 +261,9 @@ def _passages(width: int, block: int, buckets: int):
             for ids, tags, part in _rows(batch):
                 bounds = part.words().bounds
                 near = _around(batch.column(3).slice(part.first, part.last - part.first), np.diff(bounds), bounds, block - 1, 1)
-                docs, pos, n, h1, h2 = _places(part, width, (4, 5))
+                docs, pos, n, home, h1, h2 = _places(part, width, (4, 5))
                 keep = near[bounds[docs] + pos]
-                chunk.add(ids, tags, docs[keep], pos[keep], n, h1[keep], h2[keep].astype(np.uint32))
+                chunk.add(ids, tags, docs[keep], pos[keep], n, home[keep], h1[keep], h2[keep].astype(np.uint32))
                 if chunk.words >= CHUNK_WORDS:
                     yield from sent(chunk)
         if chunk.parts:
