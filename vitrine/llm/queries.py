@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import bpe, decontaminate, minhash, quality, substrings, urls
+from vitrine.llm import bpe, decontaminate, language, licenses, lzprints, maintext, minhash, quality, substrings, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,10 +73,34 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages"), URL_RULES).drop("component")
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").withColumn("page", F.struct("page_id", "url"))
+    return maintext.extracted(pages, "page").select("page.page_id", "page.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = language.fit(documents.where(F.coalesce(quality.remainder("doc_id", 4) != 2, F.lit(False))))
+    found = language.identified(documents, model)
+    return found.select("doc_id", (quality.remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op7_lzprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lzprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_minhash": op2_minhash,
+    "op3_html": op3_html,
     "op4_substrings": op4_substrings,
+    "op5_licenses": op5_licenses,
+    "op6_language": op6_language,
+    "op7_lzprints": op7_lzprints,
     "op8_quality": op8_quality,
     "op9_decontaminate": op9_decontaminate,
     "op10_urls": op10_urls,
