@@ -1,6 +1,474 @@
-"""Every query of the collection engine and the SQL that says the same."""
+"""Every query of the collection engine, over whole tables, and the SQL that says the same."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vitrine.functions import columns as fn
+from vitrine.operators import browse, fulltext, ingest, profile, ranking, search
+from vitrine.operators.fulltext import Phrase
+from vitrine.plans import model as m
+from vitrine.streaming import limits, windows
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(views: str = "", sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query by its name, with its SQL over the named views."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = m.sql(views, sql) if views else sql
+        return f
+
+    return add
+
+
+# --- vectors -----------------------------------------------------------------
+
+_Q = "(SELECT embedding FROM items WHERE item_id = '0')"
+_SCORED = f"scored AS (SELECT item_id, pos, group_id, object_id, list_inner_product(embedding, {_Q}) AS s FROM items)"
+_BEST = "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY s DESC, pos) AS r FROM scored) WHERE r = 1)"
+_ROUND = lambda df: df.withColumns({c: F.round(c, 6) for c in ("similarity", "score") if c in df.columns})
+
+
+def _ranked(spark: SparkSession, d: str, limit: int, **more) -> DataFrame:
+    items = m.items(spark, d)
+    return _ROUND(ranking.ranked(items, ranking.vector_of(items, "0"), limit, **more))
+
+
+@query("items", f", {_SCORED} SELECT item_id, object_id, round(s, 6) AS similarity, round(s, 6) AS score FROM scored ORDER BY s DESC, pos LIMIT 24")
+def vector_topk(spark, d):
+    return _ranked(spark, d, 24, by_object=False)
+
+
+@query("items", f", {_SCORED}, {_BEST} SELECT item_id, object_id, round(s, 6) AS similarity, round(s, 6) AS score FROM best ORDER BY s DESC, pos LIMIT 24")
+def vector_topk_by_object(spark, d):
+    return _ranked(spark, d, 24)
+
+
+@query("items", f", {_SCORED}, {_BEST} SELECT item_id, object_id, round(s, 6) AS similarity, round(s, 6) AS score FROM best WHERE object_id <> 'u0' ORDER BY s DESC, pos LIMIT 24")
+def similar_items(spark, d):
+    return _ranked(spark, d, 24, exclude_object="u0")
+
+
+@query("items", f", {_SCORED}, {_BEST} SELECT item_id, object_id, round(s, 6) AS similarity, round(s, 6) AS score FROM best ORDER BY s DESC, pos LIMIT 10 OFFSET 10")
+def vector_paged(spark, d):
+    return _ranked(spark, d, 10, offset=10)
+
+
+@query("items", f", {_SCORED} SELECT item_id, object_id, round(s, 6) AS similarity, round(1 / (1 + exp(-(s * 112.0 - 16.5))), 6) AS score FROM scored ORDER BY s DESC, pos LIMIT 50")
+def score_transforms(spark, d):
+    return _ranked(spark, d, 50, by_object=False, transform=lambda s: fn.sigmoid_score(s, 112.0, -16.5))
+
+
+@query("items", """, q AS (SELECT pos AS query_id, embedding AS e FROM items WHERE pos % 20 = 0), s AS (SELECT query_id, pos, list_inner_product(embedding, e) AS s FROM items, q),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, pos) AS rank FROM s) SELECT query_id, CAST(rank AS INT) AS rank, pos, round(s, 6) AS similarity FROM r WHERE rank <= 10""")
+def batch_query_topk(spark, d):
+    """Every vector whose id twenty divides, against all."""
+    items = m.items(spark, d)
+    return _ROUND(ranking.batch_nearest(items, items.where("pos % 20 = 0"), 10))
+
+
+@query("items", "SELECT item_id, len(embedding) AS dims, round(sqrt(list_inner_product(embedding, embedding)), 6) AS length, round(list_sum(list_transform(embedding, lambda x: x / sqrt(list_inner_product(embedding, embedding)))), 6) AS unit_sum FROM items")
+def normalize_vectors(spark, d):
+    e = F.col("embedding")
+    unit = fn.normalized(e)
+    return m.items(spark, d).select("item_id", F.size(e).cast("long").alias("dims"), F.round(F.sqrt(fn.dot(e, e)), 6).alias("length"), F.round(F.aggregate(unit, F.lit(0.0), lambda a, x: a + x), 6).alias("unit_sum"))
+
+
+# --- objects, groups, masks --------------------------------------------------
+
+
+@query("items", "SELECT object_id, count(*) AS image_count, min(pos) AS first_pos, string_agg(pos, ',' ORDER BY pos) AS members FROM items GROUP BY 1")
+def object_index(spark, d):
+    return browse.objects(m.items(spark, d))
+
+
+@query("items", ", g AS (SELECT DISTINCT group_id FROM items UNION ALL SELECT 'empty') SELECT g.group_id, count(i.item_id) AS images, count(DISTINCT object_id) AS objects FROM g LEFT JOIN items i USING (group_id) GROUP BY 1")
+def group_summary(spark, d):
+    items = m.items(spark, d)
+    return browse.group_summary(items, items.select("group_id").distinct().unionAll(spark.sql("SELECT 'empty' AS group_id")))
+
+
+@query("items", f", {_SCORED}, {_BEST}, hit AS (SELECT object_id FROM best ORDER BY s DESC, pos LIMIT 40) SELECT group_id, count(DISTINCT object_id) AS objects FROM items WHERE object_id IN (SELECT object_id FROM hit) GROUP BY 1")
+def group_counts(spark, d):
+    return browse.group_counts(m.items(spark, d), _ranked(spark, d, 40))
+
+
+@query("items", "SELECT count(DISTINCT object_id) AS objects, 40 + 24 < count(DISTINCT object_id) AS has_more FROM items")
+def object_count(spark, d):
+    return browse.object_count(m.items(spark, d), 40, 24)
+
+
+@query("items", "SELECT count(*) AS images, count(DISTINCT object_id) AS objects, count(*) - count(record_id) AS uncataloged, count(DISTINCT group_id) AS groups FROM items")
+def collection_info(spark, d):
+    return browse.collection_info(m.items(spark, d))
+
+
+@query("items", "SELECT item_id, group_id FROM items WHERE record_id IS NOT NULL")
+def uncataloged_filter(spark, d):
+    return browse.masked(m.items(spark, d), cataloged_only=True).select("item_id", "group_id")
+
+
+@query("items records", "SELECT item_id, record_id FROM items WHERE record_id IN (SELECT record_id FROM records WHERE title LIKE '%the%')")
+def records_semi_join(spark, d):
+    return browse.masked(m.items(spark, d), records=m.records(spark, d).where(F.col("title").contains("the"))).select("item_id", "record_id")
+
+
+@query("items records", "SELECT item_id, object_id FROM items WHERE group_id IN ('g1', 'g3') AND record_id IN (SELECT record_id FROM records WHERE title LIKE '%e%')")
+def group_mask(spark, d):
+    groups = browse.wanted_groups(" g1, g3,g1", [f"g{i}" for i in range(10)])
+    return browse.masked(m.items(spark, d), groups, True, m.records(spark, d).where(F.col("title").contains("e"))).select("item_id", "object_id")
+
+
+@query("items", ", r AS (SELECT object_id, item_id, row_number() OVER (PARTITION BY object_id ORDER BY CASE WHEN group_id IN ('g2', 'g5') THEN 0 ELSE 1 END, pos) AS r FROM items) SELECT object_id, item_id FROM r WHERE r = 1")
+def first_image(spark, d):
+    return ranking.first_of_objects(m.items(spark, d), ["g2", "g5"])
+
+
+@query("items records", f", {_SCORED}, {_BEST}, page AS (SELECT * FROM best ORDER BY s DESC, pos LIMIT 24) SELECT p.object_id, p.item_id, p.group_id, r.title, (SELECT count(*) FROM items x WHERE x.object_id = p.object_id) AS image_count, round(s, 6) AS score FROM page p JOIN items i USING (item_id) LEFT JOIN records r ON r.record_id = i.record_id")
+def presented_results(spark, d):
+    return _ROUND(browse.presented(_ranked(spark, d, 24), m.items(spark, d), m.records(spark, d)))
+
+
+@query("items", "SELECT CAST(CAST(substr(group_id, 2) AS INT) AS INT) AS shard, pos, item_id, group_id FROM items")
+def union_shards(spark, d):
+    items = m.items(spark, d)
+    groups = [f"g{i}" for i in range(10)]
+    return browse.shards_in_order([items.where(F.col("group_id") == g) for g in groups], groups)
+
+
+@query("items records", "SELECT item_id, i.record_id, title FROM items i LEFT JOIN records r ON i.record_id = r.record_id")
+def items_with_records(spark, d):
+    return browse.with_records(m.items(spark, d), m.records(spark, d)).select("item_id", "record_id", "title")
+
+
+@query("items records", ", titled AS (SELECT * FROM records WHERE title LIKE '%a%') SELECT item_id, record_id FROM items WHERE record_id IS NOT NULL AND record_id NOT IN (SELECT record_id FROM titled)")
+def missing_records(spark, d):
+    return browse.without_records(m.items(spark, d), m.records(spark, d).where(F.col("title").contains("a"))).select("item_id", "record_id")
+
+
+@query("items", ", r AS (SELECT object_id, md5('7:' || object_id) AS turn FROM items GROUP BY 1 ORDER BY turn, object_id LIMIT 30 OFFSET 30) SELECT object_id, arg_min(item_id, md5('7:' || object_id || ':' || item_id)) AS item_id FROM items WHERE object_id IN (SELECT object_id FROM r) GROUP BY 1")
+def sample_page(spark, d):
+    return ranking.sampled(m.items(spark, d), "7", 30, 30)
+
+
+# --- records, fields, facets -------------------------------------------------
+
+
+@query("", "SELECT CAST(conv_id AS VARCHAR) AS record_id, count(*) AS n_fields, string_agg(role || '=' || text, '|' ORDER BY turn, role, text) AS fields FROM conversations GROUP BY 1")
+def record_fields_ordered(spark, d):
+    rows = m.table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("record_id"), F.col("turn").alias("position"), F.col("role").alias("label"), F.col("text").alias("value"))
+    return browse.fields_in_order(rows)
+
+
+@query("facets", "SELECT record_id, facet, string_agg(DISTINCT value, '|' ORDER BY value) AS values FROM facets GROUP BY 1, 2")
+def facets_map(spark, d):
+    return browse.facet_lists(m.facets(spark, d))
+
+
+@query("facets", "SELECT record_id FROM facets GROUP BY 1 HAVING bool_or(facet = 'topic' AND lower(value) IN ('brand#11', 'brand#12', 'brand#13', 'brand#21')) AND bool_or(facet = 'object_type' AND lower(value) LIKE '%')")
+def facet_filter_and_or(spark, d):
+    facets = m.facets(spark, d)
+    types = [r[0] for r in facets.where("facet = 'object_type'").select("value").distinct().collect()]  # a list of types, as a form would send
+    return browse.matching_records(facets, {"topic": ["Brand#11", "BRAND#12", " brand#13", "Brand#21", ""], "object_type": types})
+
+
+@query("facets", "SELECT value, count(DISTINCT record_id) AS records FROM facets WHERE facet = 'topic' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def facet_values_topk(spark, d):
+    return browse.facet_values(m.facets(spark, d), "topic", 10)
+
+
+@query("facets", "SELECT value, count(DISTINCT record_id) AS records FROM facets WHERE facet = 'object_type' AND lower(value) LIKE '%e%' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
+def facet_contains(spark, d):
+    return browse.facet_values(m.facets(spark, d), "object_type", 50, "E")
+
+
+@query("facets dates", "SELECT record_id, value, y_lo, y_hi FROM dates")
+def year_intervals(spark, d):
+    return browse.with_years(m.facets(spark, d))
+
+
+@query("facets dates", "SELECT DISTINCT record_id FROM dates WHERE y_lo <= 1993 AND y_hi >= 1992")
+def year_overlap(spark, d):
+    return browse.matching_records(m.facets(spark, d), {}, 1992, 1993)
+
+
+# --- full text ---------------------------------------------------------------
+
+_AND: fulltext.Query = [[Phrase(("the",)), Phrase(("les",))], [Phrase(("of",)), Phrase(("de",))]]
+_PHRASE: fulltext.Query = [[Phrase(("of", "the"))]]
+_FIELD: fulltext.Query = [[Phrase(("the",), "title")]]
+_MIXED: fulltext.Query = [[Phrase(("of", "the")), Phrase(("this",))], [Phrase(("the",), "title"), Phrase(("src3",), "places")]]
+_HITS = {
+    "the": "SELECT record_id, field, count(*) AS n FROM tokens WHERE term = 'the' GROUP BY 1, 2",
+    "of the": "SELECT a.record_id, a.field, count(*) AS n FROM tokens a JOIN tokens b ON a.record_id = b.record_id AND a.field = b.field AND b.p = a.p + 1 WHERE a.term = 'of' AND b.term = 'the' GROUP BY 1, 2",
+}
+_MIXED_HITS = f"""hits AS (SELECT 0 AS clause, '0.0' AS phrase, * FROM ({_HITS["of the"]}) UNION ALL SELECT 0, '0.1', record_id, field, count(*) FROM tokens WHERE term = 'this' GROUP BY ALL
+    UNION ALL SELECT 1, '1.0', record_id, field, count(*) FROM tokens WHERE term = 'the' AND field = 'title' GROUP BY ALL UNION ALL SELECT 1, '1.1', record_id, field, count(*) FROM tokens WHERE term = 'src3' AND field = 'places' GROUP BY ALL)"""
+_BM25 = f"""{_MIXED_HITS}, tf AS (SELECT phrase, clause, record_id, sum(n * CASE field WHEN 'title' THEN 10.0 WHEN 'names' THEN 6.0 WHEN 'places' THEN 4.0 WHEN 'notes' THEN 2.0 END) AS tf FROM hits GROUP BY ALL),
+    lens AS (SELECT record_id, count(*) AS len FROM tokens GROUP BY 1), tot AS (SELECT count(*) AS n_all, avg(len) AS mean FROM lens), nq AS (SELECT phrase, count(*) AS found FROM tf GROUP BY 1),
+    scores AS (SELECT record_id, -sum(CASE WHEN ln((n_all - found + 0.5) / (found + 0.5)) > 0 THEN ln((n_all - found + 0.5) / (found + 0.5)) ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) AS score
+        FROM tf JOIN nq USING (phrase) JOIN lens USING (record_id), tot GROUP BY 1 HAVING count(DISTINCT clause) = 2)"""
+_TOK = "text_fields tokens"
+
+
+@query(_TOK, "SELECT record_id FROM tokens GROUP BY 1 HAVING bool_or(term IN ('the', 'les')) AND bool_or(term IN ('of', 'de'))")
+def match_and(spark, d):
+    return fulltext.matches(fulltext.phrase_hits(m.tokens(spark, d), _AND), _AND)
+
+
+@query(_TOK, "SELECT DISTINCT record_id FROM tokens WHERE term IN ('the', 'les')")
+def match_or(spark, d):
+    return fulltext.matches(fulltext.phrase_hits(m.tokens(spark, d), _AND[:1]), _AND[:1])
+
+
+@query(_TOK, f"SELECT DISTINCT record_id FROM ({_HITS['of the']})")
+def match_phrase(spark, d):
+    return fulltext.matches(fulltext.phrase_hits(m.tokens(spark, d), _PHRASE), _PHRASE)
+
+
+@query(_TOK, "SELECT DISTINCT record_id FROM tokens WHERE term = 'the' AND field = 'title'")
+def match_field(spark, d):
+    return fulltext.matches(fulltext.phrase_hits(m.tokens(spark, d), _FIELD), _FIELD)
+
+
+@query(_TOK, f"SELECT count(DISTINCT record_id) AS matches FROM ({_HITS['of the']})")
+def match_count(spark, d):
+    return match_phrase(spark, d).agg(F.count("*").alias("matches"))
+
+
+@query(_TOK, f", {_BM25} SELECT record_id, round(score, 6) AS score FROM scores ORDER BY scores.score, record_id LIMIT 50")
+def bm25_topk(spark, d):
+    return fulltext.bm25(m.tokens(spark, d), _MIXED).orderBy("score", "record_id").limit(50).withColumn("score", F.round("score", 6))
+
+
+@query(_TOK, f", {_BM25}, page AS (SELECT record_id FROM scores ORDER BY score, record_id LIMIT 50) SELECT record_id, string_agg(DISTINCT field, ',' ORDER BY field) AS fields FROM hits WHERE record_id IN (SELECT record_id FROM page) GROUP BY 1")
+def matched_fields(spark, d):
+    tokens = m.tokens(spark, d)
+    return fulltext.matched_fields(fulltext.phrase_hits(tokens, _MIXED), fulltext.bm25(tokens, _MIXED).orderBy("score", "record_id").limit(50))
+
+
+@query(_TOK, "SELECT term, count(DISTINCT record_id) AS records FROM tokens GROUP BY 1")
+def vocabulary_df(spark, d):
+    return fulltext.vocabulary(m.tokens(spark, d))
+
+
+@query(_TOK, "SELECT regexp_replace(regexp_replace(term, '\\p{N}', '9', 'g'), '\\p{L}', 'A', 'g') AS shape, count(DISTINCT record_id) AS records FROM tokens WHERE regexp_matches(term, '\\p{N}') GROUP BY 1 HAVING records >= 10")
+def identifier_shapes(spark, d):
+    return fulltext.identifier_shapes(m.tokens(spark, d))
+
+
+@query("facets", """, v AS (SELECT value AS term, facet AS field, count(DISTINCT record_id) AS record_count FROM facets WHERE facet <> 'date' GROUP BY 1, 2),
+    r AS (SELECT *, array_to_string(regexp_extract_all(lower(term), '[\\p{L}\\p{N}]+'), ' ') AS key FROM v), k AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY record_count DESC, term, field) AS r FROM r) SELECT term, field, record_count, key FROM k WHERE r = 1""")
+def gazetteer(spark, d):
+    rows = m.facets(spark, d).where("facet <> 'date'").groupBy(F.col("value").alias("term"), F.col("facet").alias("field")).agg(F.count_distinct("record_id").alias("record_count"))
+    return fulltext.gazetteer(rows)
+
+
+@query()
+def spelling_candidates(spark, d):
+    """Corrections of the benchmark's words with two neighbours swapped."""
+    own = m.table(spark, d, "benchmark").select(F.explode(fn.words(F.col("text"))).alias("w")).where(F.length("w") > 5).distinct()
+    swapped = own.select(F.concat(F.substring("w", 1, 2), F.substring("w", 4, 1), F.substring("w", 3, 1), F.expr("substring(w, 5)")).alias("word")).distinct()
+    return fulltext.spellings(swapped, fulltext.vocabulary(m.tokens(spark, d)))
+
+
+_FUSED = f"""{_SCORED}, {_BEST}, vis AS (SELECT object_id, item_id, row_number() OVER (ORDER BY s DESC, pos) AS vr FROM best QUALIFY vr <= 1000), {_BM25},
+    shown AS (SELECT DISTINCT record_id, object_id FROM items WHERE record_id IS NOT NULL), kw AS (SELECT object_id, row_number() OVER (ORDER BY score, record_id) AS kr FROM scores JOIN shown USING (record_id) QUALIFY kr <= 1000),
+    f AS (SELECT object_id, vr, kr, coalesce(0.3 / (60 + vr), 0) + coalesce(1.0 / (60 + kr), 0) AS score FROM vis FULL JOIN kw USING (object_id))"""
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    """Scores rounded, and 0 for the rank in a channel that has no such object."""
+    return df.withColumns({"score": F.round("score", 8), **{c: F.coalesce(c, F.lit(0)) for c in ("visual_rank", "keyword_rank")}})
+
+
+@query("items text_fields tokens", f", {_FUSED} SELECT object_id, round(f.score, 8) AS score, CAST(coalesce(vr, 0) AS INT) AS visual_rank, CAST(coalesce(kr, 0) AS INT) AS keyword_rank FROM f")
+def rrf_fusion(spark, d):
+    items = m.items(spark, d)
+    best = ranking.best_of_objects(ranking.scored(items, ranking.vector_of(items, "0")))
+    visual = ranking.with_rank(best, 1000, F.desc("similarity"), F.col("pos"))
+    shown = items.where("record_id IS NOT NULL").select("record_id", "object_id").distinct()
+    keyword = ranking.with_rank(fulltext.bm25(m.tokens(spark, d), _MIXED).join(shown, "record_id"), 1000, F.col("score"), F.col("record_id"))
+    return _shown(ranking.fused(visual, keyword, (0.3, 1.0)))
+
+
+@query("items text_fields tokens", f""", {_FUSED}, page AS (SELECT * FROM f ORDER BY score DESC, vr NULLS LAST, kr NULLS LAST, object_id LIMIT 24),
+    fi AS (SELECT object_id, arg_min(item_id, pos) AS first_item, any_value(record_id) AS record_id FROM items GROUP BY 1), fl AS (SELECT record_id, string_agg(DISTINCT field, ',' ORDER BY field) AS fields FROM hits GROUP BY 1)
+    SELECT p.object_id, coalesce(v.item_id, first_item) AS item_id, round(p.score, 8) AS score, CAST(coalesce(p.vr, 0) AS INT) AS visual_rank, CAST(coalesce(p.kr, 0) AS INT) AS keyword_rank,
+        CASE WHEN kr IS NOT NULL THEN 'Matches ' || array_to_string(list_slice(string_split(fields, ','), 1, 2), ' and ') ELSE 'Looks similar' END AS explanation
+    FROM page p LEFT JOIN vis v USING (object_id) JOIN fi USING (object_id) LEFT JOIN fl USING (record_id)""")
+def hybrid_search(spark, d):
+    items = m.items(spark, d)
+    return _shown(search.hybrid(items, m.tokens(spark, d), ranking.vector_of(items, "0"), _MIXED, (0.3, 1.0), 24))
+
+
+# --- profiling ---------------------------------------------------------------
+
+
+@query("files", "SELECT key, lower(regexp_extract(key, '\\.([^./]*)$', 1)) AS ext, CASE WHEN lower(regexp_extract(key, '\\.([^./]*)$', 1)) IN ('jpg', 'png', 'tif') THEN 'image' ELSE 'other' END AS kind FROM files")
+def classify_files(spark, d):
+    return profile.classified(m.file_keys(spark, d)).select("key", "ext", "kind")
+
+
+@query("files", "SELECT lower(regexp_extract(key, '\\.([^./]*)$', 1)) AS ext, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, count(*) FILTER (size < 10240) AS tiny FROM files GROUP BY 1")
+def ext_stats(spark, d):
+    return profile.extension_stats(profile.classified(m.file_keys(spark, d)))
+
+
+_NAME = "regexp_extract(key, '[^/]*$')"
+_TEMPLATE = f"CASE WHEN {_NAME} LIKE 'IMG\\_%' ESCAPE '\\' THEN 'IMG_<n' || CAST(length(regexp_extract({_NAME}, '_(\\d+)', 1)) AS VARCHAR) || '>' ELSE regexp_extract({_NAME}, '^[a-z]+') || '-<year>' END || '.' || lower(regexp_extract(key, '\\.([^./]*)$', 1))"
+
+
+@query("files", f"SELECT pos, {_TEMPLATE} AS template FROM files")
+def name_templates(spark, d):
+    return m.file_keys(spark, d).select("pos", fn.name_template(fn.basename(F.col("key"))).alias("template"))
+
+
+@query("files", f", t AS (SELECT pos, {_NAME} AS name, {_TEMPLATE} AS template FROM files) SELECT template, count(*) AS files, round(count(*) / (SELECT count(*) FROM t), 4) AS share, arg_min(name, pos) AS example FROM t GROUP BY 1 ORDER BY files DESC, min(pos) LIMIT 6")
+def name_patterns(spark, d):
+    return profile.name_patterns(m.file_keys(spark, d).select("pos", fn.basename(F.col("key")).alias("name")))
+
+
+@query("files", """, p AS (SELECT string_split(key, '/') AS s FROM files), n AS (SELECT unnest([0, 1]) AS depth, unnest(s[1:2]) AS name FROM p), g AS (SELECT depth, name, count(*) AS n FROM n GROUP BY 1, 2),
+    a AS (SELECT CAST(depth AS INT) AS depth, CAST(sum(n) AS BIGINT) AS files, count(*) AS names, round(avg(CASE WHEN regexp_matches(name, '^(1[0-9]|20)\\d\\d$') THEN 1.0 ELSE 0 END), 4) AS years,
+        round(avg(CASE WHEN regexp_matches(name, '^\\p{L}{3,}$') THEN 1.0 ELSE 0 END), 4) AS wordy FROM g GROUP BY 1)
+    SELECT *, CASE WHEN names < 2 THEN 'constant' WHEN years > 0.95 THEN 'year' WHEN wordy > 0.7 THEN 'category' ELSE 'unclear' END AS role FROM a""")
+def dir_signals(spark, d):
+    return profile.directory_signals(m.file_keys(spark, d))
+
+
+@query("", """SELECT source, count(*) AS n, min(n_chars) AS least, max(n_chars) AS most, CAST(floor(avg(n_chars)) AS BIGINT) AS mean, CAST(list_sort(list(n_chars))[least(count(*), CAST(floor(count(*) * 0.5) AS BIGINT) + 1)] AS DOUBLE) AS p50,
+    CAST(list_sort(list(n_chars))[least(count(*), CAST(floor(count(*) * 0.9) AS BIGINT) + 1)] AS DOUBLE) AS p90, CAST(list_sort(list(n_chars))[least(count(*), CAST(floor(count(*) * 0.99) AS BIGINT) + 1)] AS DOUBLE) AS p99 FROM documents GROUP BY 1""")
+def index_percentiles(spark, d):
+    return profile.index_percentiles(m.table(spark, d, "documents"), "source", "n_chars")
+
+
+_PROFILED = ["c_name", "c_nationkey", "c_mktsegment"]
+
+
+@query("", f""", melted AS (SELECT '{_PROFILED[0]}' AS "column", CAST({_PROFILED[0]} AS VARCHAR) AS v FROM customer UNION ALL SELECT '{_PROFILED[1]}', CAST({_PROFILED[1]} AS VARCHAR) FROM customer UNION ALL SELECT '{_PROFILED[2]}', {_PROFILED[2]} FROM customer),
+    s AS (SELECT "column", count(*) AS filled, count(DISTINCT v) AS distinct_values, round(avg(length(v)), 4) AS mean_length, bool_and(regexp_matches(v, '^-?\\d+(\\.\\d+)?$')) AS num FROM melted GROUP BY 1), t AS (SELECT count(*) AS total FROM customer)
+    SELECT "column", filled, round(filled / total, 4) AS coverage, distinct_values, mean_length, CASE WHEN num THEN 'number' ELSE 'string' END AS type,
+        NOT num AND distinct_values > 1 AND distinct_values <= greatest(50.0, total * 0.01) AND filled / total > 0.5 AS facetable, NOT num AND distinct_values > 1 AND mean_length > 12 AS searchable FROM s, t""".replace(", melted", "WITH melted", 1))
+def field_profile(spark, d):
+    return profile.field_profile(m.table(spark, d, "customer"), _PROFILED)
+
+
+@query("", """WITH s AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) SELECT count(*) AS objects, round(avg(n), 4) AS mean, median(n) AS median, max(n) AS most, CAST(0 AS BIGINT) AS orphans, round(avg(n), 4) > 1.3 OR max(n) > 10 AS collapse FROM s""")
+def items_per_object(spark, d):
+    return profile.items_per_object(m.table(spark, d, "orders"), "o_custkey")
+
+
+@query("", """WITH s AS (SELECT count(*) AS n, sum(n_chars) AS b FROM documents) SELECT CAST(n * 512 * 4 AS BIGINT) AS vector_bytes, CAST(n * 512 * 4 + 419430400 AS BIGINT) AS memory_bytes, CAST(n * 390000.0 AS BIGINT) AS copy_bytes,
+    round(n / 87.0, 4) AS compute_s, round(greatest(b / 104857600.0, n / 87.0), 4) AS in_region_s FROM s""")
+def sizing_estimate(spark, d):
+    stats = m.table(spark, d, "documents").agg(F.count("*").alias("n"), F.sum("n_chars").alias("b"))
+    return stats.select(*(c.alias(k) for k, c in profile.sizing(F.col("n"), 512, F.col("b"), 87.0).items()))
+
+
+@query("files", ", n AS (SELECT count(*) AS n FROM files) SELECT pos, key FROM files, n WHERE pos % greatest(1, n // 40) = 0 ORDER BY pos LIMIT 40")
+def systematic_sample(spark, d):
+    return profile.systematic_sample(m.file_keys(spark, d).select("pos", "key"), 40)
+
+
+# --- ingest ------------------------------------------------------------------
+
+
+@query("log", "SELECT status, count(*) AS items FROM log GROUP BY 1")
+def ingest_status(spark, d):
+    return ingest.status_counts(ingest.latest(m.ingest_log(spark, d)))
+
+
+@query("log", "SELECT status, substr(error, 1, 80) AS error, count(*) AS items FROM log WHERE status IN ('failed', 'skipped') GROUP BY 1, 2 ORDER BY items DESC, min(id) LIMIT 10")
+def ingest_problems(spark, d):
+    return ingest.problems(ingest.latest(m.ingest_log(spark, d)))
+
+
+@query("log", "SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT id FROM log WHERE status IN ('done', 'skipped', 'failed'))")
+def ingest_pending(spark, d):
+    return ingest.pending(m.table(spark, d, "orders").select(F.col("o_orderkey").alias("id")), m.ingest_log(spark, d))
+
+
+@query("log", """, a AS (SELECT count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'pending') AS pending, CAST(coalesce(sum(size_bytes) FILTER (status IN ('done', 'failed')), 0) AS BIGINT) AS bytes_read, min(updated_at) AS started_at, max(updated_at) AS l FROM log)
+    SELECT done, pending, bytes_read, started_at, CASE WHEN pending = 0 THEN l END AS finished_at, round(done / (epoch_us(l) - epoch_us(started_at)) * 1e6, 6) AS items_per_s FROM a""")
+def ingest_rates(spark, d):
+    return ingest.rates(m.ingest_log(spark, d))
+
+
+@query("log", """, g AS (SELECT id, updated_at, elapsed_ms, (epoch_us(updated_at) - lag(epoch_us(updated_at)) OVER (ORDER BY updated_at, id)) / 1e6 AS gap FROM log)
+    SELECT round(coalesce(sum(gap) FILTER (gap <= 900), 0) + arg_min(elapsed_ms, (updated_at, id)) / 1000, 3) AS active_s FROM g""")
+def active_seconds(spark, d):
+    return ingest.active_seconds(m.ingest_log(spark, d))
+
+
+@query("", """WITH g AS (SELECT user_id, ts, event_id, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w <= 900000000 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) AS last, count(*) AS events FROM s GROUP BY user_id, k""")
+def sessions(spark, d):
+    return ingest.sessions(m.table(spark, d, "events"))
+
+
+@query()
+def rate_limit(spark, d):
+    """At most two requests a minute of each visitor; times run a thousandfold, so that limits are met."""
+    rows = m.table(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("visitor"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e9).alias("ts"))
+    return limits.limited(rows, 2)
+
+
+# --- ids, links, paths -------------------------------------------------------
+
+
+@query("", "SELECT page_id, replace(replace(replace(to_base64(encode(url)), '+', '-'), '/', '_'), '=', '') AS item_id FROM pages")
+def item_ids(spark, d):
+    return m.table(spark, d, "pages").select("page_id", fn.item_id(F.col("url")).alias("item_id"))
+
+
+@query("", "SELECT page_id, 'copies/' || substr(sha1(url), 1, 2) || '/' || sha1(url) || '.jpg' AS path FROM pages")
+def shard_paths(spark, d):
+    return m.table(spark, d, "pages").select("page_id", fn.shard_path("copies", F.col("url")).alias("path"))
+
+
+@query("", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url WHEN url LIKE 'http%' THEN url END AS link FROM pages")
+def source_link(spark, d):
+    return m.table(spark, d, "pages").select("page_id", fn.first_link(F.when(F.col("page_id") % 3 == 0, "none"), F.lit("ftp://x"), F.col("url")).alias("link"))
+
+
+@query("", "SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 2 = 0 THEN '' ELSE source END, ''), lang) AS object_id FROM documents")
+def object_id_coalesce(spark, d):
+    return m.table(spark, d, "documents").select("doc_id", fn.first_filled(F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.col("source")), F.col("lang")).alias("object_id"))
+
+
+@query("", "SELECT page_id, regexp_extract(url, '^[^:]*://[^/?#]*/?([^?#]*)', 1) AS key, string_split(url, '/')[4] AS segment FROM pages")
+def manifest_keys(spark, d):
+    return m.table(spark, d, "pages").select("page_id", fn.url_key(F.col("url")).alias("key"), fn.url_segment(F.col("url"), 3).alias("segment"))
+
+
+@query("", "SELECT event_id, 'c' || user_id AS client FROM events")
+def client_addresses(spark, d):
+    chain = F.concat(F.lit("spoofed, c"), F.col("user_id").cast("string"), F.lit(", proxy"))
+    return m.table(spark, d, "events").select("event_id", fn.client_address(chain, 2).alias("client"))
+
+
+@query("", "SELECT p_partkey, round(p_size * 100.0 * p_size * 50.0 * (pow(least(1.0, 400.0 / (p_size * 100.0)), 2) + pow(least(1.0, 1920.0 / (p_size * 100.0)), 2)), 4) AS pixels FROM part")
+def stored_pixels(spark, d):
+    return m.table(spark, d, "part").select("p_partkey", F.round(fn.stored_pixels(F.col("p_size") * 100.0, F.col("p_size") * 50.0), 4).alias("pixels"))
+
+
+@query("", "SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS BIGINT), 0) AS k FROM events")
+def json_counts(spark, d):
+    """A number out of a JSON column, 0 where it is missing."""
+    parsed = F.from_json("props", "map<string,long>")
+    return m.table(spark, d, "events").select("event_id", F.coalesce(F.try_element_at(parsed, F.lit("k")), F.lit(0).cast("long")).alias("k"))
+
+
+@query("", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def event_windows(spark, d):
+    return windows.counted(m.table(spark, d, "events")).withColumn("total", F.round("total", 4))

@@ -1,0 +1,97 @@
+"""The search planner: what kind of query a text is, the clauses it asks for and how far each channel counts.
+
+Vocabulary, gazetteer and identifier shapes stay distributed; one lookup
+fetches the few rows that a query's words need, and the rest is decided here.
+"""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from vitrine.operators.fulltext import Phrase, Query
+
+#: Weights of the visual and the keyword channel by kind of query, field names of the query language, words left out.
+ROUTES = {
+    "identifier": (0.0, 1.0), "field": (0.0, 1.0), "phrase": (0.0, 1.0), "name": (0.3, 1.0), "date": (0.3, 1.0),
+    "place": (1.0, 1.0), "topic": (1.0, 1.0), "object_type": (1.0, 1.0), "partial": (1.0, 1.0), "description": (1.0, 0.3),
+}
+MODES = {"visual": (1.0, 0.0), "keyword": (0.0, 1.0), "hybrid": (1.0, 1.0)}
+FIELDS = {"title": "title", "name": "names", "names": "names", "place": "places", "places": "places", "date": "dates", "topic": "topics", "type": "object_types", "note": "notes", "notes": "notes", "id": "identifiers"}
+STOP_WORDS = set("a an and are as at by for from in is of on or the to with".split())
+_PART = re.compile(r"""(\w+):("[^"]+"|\S+)|"([^"]+)"|(\S+)""")
+_WORD = re.compile(r"[^\W_]+")
+
+
+@dataclass
+class Plan:
+    text: str
+    kind: str
+    clauses: Query
+    weights: tuple[float, float]
+    correction: str | None = None
+    matched: str | None = None
+    parts: dict[str, list] = field(default_factory=dict)
+
+
+def syntax(text: str) -> dict[str, list]:
+    """Fields, phrases and plain words; an unknown field name is plain text."""
+    text = text.strip().translate(str.maketrans("“”„‘’", "\"\"\"''"))
+    out: dict[str, list] = {"fields": [], "phrases": [], "plain": []}
+    for m in _PART.finditer(text):
+        if m[1] and m[1].lower() in FIELDS:
+            out["fields"].append((FIELDS[m[1].lower()], m[2].strip('"')))
+        elif m[3]:
+            out["phrases"].append(m[3])
+        else:
+            out["plain"].append(m[0])
+    return out
+
+
+def forms(word: str) -> list[str]:
+    """A word, and its other number."""
+    out = [word, word + "s", word + "es"]
+    if word.endswith("es") and len(word) > 3:
+        out.append(word[:-2])
+    if word.endswith("s") and len(word) > 2:
+        out.append(word[:-1])
+    return out
+
+
+def plan(text: str, vocab: DataFrame, gazetteer: DataFrame | None = None, shapes: DataFrame | None = None, mode: str | None = None) -> Plan:
+    """``vocab`` has term and records, ``gazetteer`` key, term and field, ``shapes`` shape."""
+    parts = syntax(text)
+    plain = [w.lower() for p in parts["plain"] for w in _WORD.findall(p)]
+    useful = [w for w in plain if w not in STOP_WORDS] or plain
+    asked = sorted({f for w in useful for f in forms(w)})
+    known = {r.term: r.records for r in vocab.where(F.col("term").isin(asked)).collect()} if asked else {}  # a query's words
+    clauses: Query = [[Phrase(tuple(w.lower() for w in _WORD.findall(v)), f)] for f, v in parts["fields"] if _WORD.search(v)]
+    clauses += [[Phrase(tuple(w.lower() for w in _WORD.findall(v)))] for v in parts["phrases"] if _WORD.search(v)]
+    clauses += [[Phrase((f,)) for f in dict.fromkeys([w, *forms(w)]) if f == w or f in known] for w in useful]
+    kind, matched = "description", None
+    whole = " ".join(plain)
+    if len(plain) == 1 and re.fullmatch(r"[12]\d{3}s?", plain[0]):
+        kind = "date"
+        if plain[0].isdigit():
+            clauses = [[Phrase((plain[0],), "dates"), Phrase((plain[0][:3] + "0s",), "dates")]]
+    elif len(plain) == 1 and any(c.isdigit() for c in plain[0]) and shapes is not None and _known_shape(plain[0], shapes):
+        kind = "identifier"
+    elif parts["fields"]:
+        kind = "field"
+    elif parts["phrases"]:
+        kind = "phrase"
+    elif gazetteer is not None and whole:
+        row = gazetteer.where(F.col("key") == whole).select("term", "field").limit(1).collect()
+        if row:
+            matched, kind = row[0].term, {"names": "name", "places": "place", "topics": "topic"}.get(row[0].field, row[0].field)
+    weights = MODES[mode] if mode else ROUTES.get(kind, ROUTES["partial"])
+    words = [*parts["plain"], *parts["phrases"], *(v for _, v in parts["fields"])]
+    return Plan(" ".join(words), kind, clauses, weights, matched=matched, parts=parts)
+
+
+def _known_shape(token: str, shapes: DataFrame) -> bool:
+    shape = "".join("9" if c.isnumeric() else "A" if c.isalpha() else c for c in token)
+    return bool(shapes.where(F.col("shape") == shape).limit(1).count())

@@ -1,0 +1,77 @@
+"""File sources: folders, object stores, parquet manifests; and what is written for serving."""
+
+from __future__ import annotations
+
+import json
+from urllib.parse import urlparse
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vitrine.functions.columns import basename, extension, is_image, is_junk, item_id, url_key
+
+#: Column names of manifests, in order of preference.
+URL_COLUMNS = ["url", "image_url", "uri", "path", "key", "file", "filename"]
+SIZE_COLUMNS = ["size", "size_bytes", "bytes", "content_length", "length"]
+
+
+def is_parquet(uri: str) -> bool:
+    return urlparse(uri).path.lower().endswith(".parquet")
+
+
+def open_source(spark: SparkSession, uri: str) -> DataFrame:
+    """Files of a manifest (``.parquet``) or below a folder or prefix that Spark reads: key, size, ext, is_image, is_junk, row."""
+    return manifest_files(spark.read.parquet(uri)) if is_parquet(uri) else folder_files(spark, uri)
+
+
+def described(files: DataFrame) -> DataFrame:
+    key = F.col("key")
+    return files.withColumns({"basename": basename(key), "ext": extension(key), "is_image": is_image(key), "is_junk": is_junk(key), "id": item_id(key)})
+
+
+def folder_files(spark: SparkSession, folder: str) -> DataFrame:
+    """A listing only: the contents column is pruned, so no file is read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    root = folder.rstrip("/") + "/"
+    key = F.substring_index(F.col("path"), F.lit(urlparse(root).path or root), -1)
+    hidden = F.exists(F.split("key", "/"), lambda p: p.startswith(".") | (p == "__MACOSX"))
+    return described(listed.select(key.alias("key"), F.col("length").alias("size")).where(~hidden))
+
+
+def guessed(columns: list[str], names: list[str]) -> str | None:
+    lower = {c.lower(): c for c in reversed(columns)}
+    return next((lower[n] for n in names if n in lower), None)
+
+
+def manifest_files(manifest: DataFrame) -> DataFrame:
+    """Files that the rows of a manifest name; each keeps its whole row."""
+    url, size = guessed(manifest.columns, URL_COLUMNS), guessed(manifest.columns, SIZE_COLUMNS)
+    if url is None:
+        raise ValueError(f"no column of URLs among {manifest.columns}")
+    bytes_ = F.coalesce(F.col(size).try_cast("long"), F.lit(0).cast("long")) if size else F.lit(0).cast("long")
+    return described(manifest.select(url_key(F.col(url)).alias("key"), bytes_.alias("size"), F.struct("*").alias("row")))
+
+
+def write_collection(items: DataFrame, folder: str, model: str, dimensions: int, overwrite: bool = False) -> None:
+    """Items by group, and a descriptor; a folder that holds another model's index is refused."""
+    spark = items.sparkSession
+    info = f"{folder.rstrip('/')}/info"
+    try:
+        known = json.loads(spark.read.text(info).first()[0])
+    except Exception as problem:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(problem):
+            raise
+        known = None
+    if known and (known["model"], known["dimensions"]) != (model, dimensions):
+        raise ValueError(f"{folder} holds an index of {known['model']} with {known['dimensions']} dimensions")
+    items.write.partitionBy("group_id").mode("overwrite" if overwrite or known else "errorifexists").parquet(f"{folder.rstrip('/')}/items")
+    descriptor = json.dumps({"format": 2, "model": model, "dimensions": dimensions})
+    spark.createDataFrame([(descriptor,)], "value string").coalesce(1).write.mode("overwrite").text(info)
+
+
+def read_collection(spark: SparkSession, folder: str, dimensions: int | None = None) -> tuple[dict, DataFrame]:
+    """The descriptor and the items, in the order of their groups' names and places; a vector width that differs is refused."""
+    info = json.loads(spark.read.text(f"{folder.rstrip('/')}/info").first()[0])
+    if dimensions is not None and info["dimensions"] != dimensions:
+        raise ValueError(f"the index has {info['dimensions']} dimensions, the encoder {dimensions}")
+    return info, spark.read.parquet(f"{folder.rstrip('/')}/items")
