@@ -41,21 +41,26 @@ def record_lengths(tokens_: DataFrame) -> DataFrame:
 def phrase_hits(tokens_: DataFrame, query: Query) -> DataFrame:
     """``clause``, ``phrase``, ``record_id``, ``field`` and ``n`` (occurrences) of every phrase of the query.
 
-    Only tokens of the query's words are read; words of a phrase are joined by
-    counting how many stand at their places from one start.
+    One pass over the tokens of the query's words gathers their places in each
+    field; a phrase's starts are the places that its words have in common once
+    each is moved back by its turn.
     """
-    hits = []
+    terms = sorted({t for clause in query for phrase in clause for t in phrase.terms})
+    rows = tokens_.where(F.col("term").isin(terms)).groupBy("record_id", "field").agg(*(F.collect_list(F.when(F.col("term") == t, F.col("p"))).alias(f"p{i}") for i, t in enumerate(terms)))
+    found = []
     for c, clause in enumerate(query):
         for i, phrase in enumerate(clause):
-            rows = tokens_.where(F.col("term").isin(list(set(phrase.terms))))
+            places = [F.transform(F.col(f"p{terms.index(t)}"), _back(k)) for k, t in enumerate(phrase.terms)]
+            n = F.size(reduce(F.array_intersect, places)).cast("long")
             if phrase.field:
-                rows = rows.where(F.col("field") == phrase.field)
-            if len(phrase.terms) > 1:
-                places = [F.when(F.col("term") == t, F.lit(k)) for k, t in enumerate(phrase.terms)]
-                rows = rows.select("record_id", "field", "p", F.explode(F.filter(F.array(*places), lambda x: x.isNotNull())).alias("k")).withColumn("start", F.col("p") - F.col("k"))
-                rows = rows.groupBy("record_id", "field", "start").count().where(F.col("count") == len(phrase.terms))
-            hits.append(rows.groupBy("record_id", "field").agg(F.count("*").alias("n")).select(F.lit(c).alias("clause"), F.lit(f"{c}.{i}").alias("phrase"), "record_id", "field", "n"))
-    return reduce(DataFrame.unionAll, hits)
+                n = F.when(F.col("field") == phrase.field, n).otherwise(F.lit(0).cast("long"))
+            found.append(F.struct(F.lit(c).alias("clause"), F.lit(f"{c}.{i}").alias("phrase"), n.alias("n")))
+    hits = rows.select("record_id", "field", F.explode_outer(F.filter(F.array(*found), lambda x: x["n"] > 0)).alias("hit"))
+    return hits.where("hit IS NOT NULL").select("hit.clause", "hit.phrase", "record_id", "field", "hit.n")
+
+
+def _back(k: int):
+    return lambda p: p - k
 
 
 def matches(hits: DataFrame, query: Query) -> DataFrame:
