@@ -113,10 +113,10 @@ def aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 def find(text: str, templates: dict[str, list[str]] | None = None, least: float = LEAST_COVERAGE) -> tuple[str | None, float, int, int]:
-    """License, coverage, first aligned word and one past the last, of the best covered template (then the longest, then the first by name)."""
+    """License, coverage, first aligned word and one past the last, of the template that most words are aligned with (then the best covered, then the first by name)."""
     own = words(text)
     have = set(own)
-    best: tuple = (0.0, 0, None, 0, 0)
+    best: tuple = (0, 0.0, None, 0, 0)
     for name in sorted(templates if templates is not None else TEMPLATES):
         for template in (templates if templates is not None else TEMPLATES)[name]:
             wanted = words(template)
@@ -126,9 +126,9 @@ def find(text: str, templates: dict[str, list[str]] | None = None, least: float
             if not pairs or pairs[-1][1] - pairs[0][1] + 1 > MOST_SPREAD * len(wanted):
                 continue
             coverage = len(pairs) / len(wanted)
-            if coverage >= least and (coverage, len(wanted)) > best[:2]:
-                best = (coverage, len(wanted), name, pairs[0][1], pairs[-1][1] + 1)
-    return best[2], best[0], best[3], best[4]
+            if coverage >= least and (len(pairs), coverage) > best[:2]:
+                best = (len(pairs), coverage, name, pairs[0][1], pairs[-1][1] + 1)
+    return best[2], best[1], best[3], best[4]
 
 
 def scanned(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | None = None, least: float = LEAST_COVERAGE) -> DataFrame:
