@@ -30,10 +30,10 @@ def described(files: DataFrame) -> DataFrame:
 
 
 def folder_files(spark: SparkSession, folder: str) -> DataFrame:
-    """A listing only: the contents column is pruned, so no file is read."""
+    """A listing only: the contents column is pruned, so no file is read. Spark itself passes over names that begin with a dot or an underscore."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     root = folder.rstrip("/") + "/"
-    key = F.substring_index(F.col("path"), F.lit(urlparse(root).path or root), -1)
+    key = F.substring_index("path", urlparse(root).path or root, -1)
     hidden = F.exists(F.split("key", "/"), lambda p: p.startswith(".") | (p == "__MACOSX"))
     return described(listed.select(key.alias("key"), F.col("length").alias("size")).where(~hidden))
 

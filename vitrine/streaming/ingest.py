@@ -24,13 +24,13 @@ EncoderFactory = Callable[[], Callable[[bytes], list[float]]]
 
 
 def files_stream(spark: SparkSession, folder: str, per_batch: int = 1000) -> DataFrame:
-    reader = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).option("maxFilesPerTrigger", per_batch)
+    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).option("maxFilesPerTrigger", per_batch)
     return reader.load(folder)
 
 
 def keyed(files: DataFrame, folder: str) -> DataFrame:
     """Images of a listing by their key, the path below ``folder``."""
-    key = F.url_decode(F.replace(F.substring_index(F.col("path"), F.lit(folder.rstrip("/") + "/"), -1), F.lit("+"), F.lit("%2B")))
+    key = F.url_decode(F.replace(F.substring_index("path", folder.rstrip("/") + "/", -1), F.lit("+"), F.lit("%2B")))
     out = files.select(key.alias("key"), F.col("length").alias("size_bytes"), *(["content"] if "content" in files.columns else []))
     return out.where(is_image(F.col("key")) & ~is_junk(F.col("key"))).withColumn("id", item_id(F.col("key")))
 
