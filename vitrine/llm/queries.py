@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import bpe, decontaminate, language, licenses, lzprints, maintext, minhash, quality, substrings, urls
+from vitrine.llm import bpe, decontaminate, language, licenses, lzprints, maintext, minhash, oracles, quality, substrings, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -105,4 +105,9 @@ QUERIES: dict[str, Query] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_urls": op10_urls,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_minhash": oracles.NEAR_DUPLICATES,
+    "op4_substrings": oracles.REPEATS,
+    "op9_decontaminate": oracles.CONTAMINATION,
+    "op10_urls": oracles.URLS,
+}
