@@ -13,8 +13,10 @@ ranges in order, holding one document at a time.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -100,24 +102,27 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float((a == b).mean()) if len(a) and len(b) else float(len(a) == len(b))
 
 
-def compared(text: str, after: str) -> tuple[str, str, str, float, np.ndarray]:
-    """SHA-256 of the edited text, both fingerprints, their likeness, and the text's minima.
+class Parsed:
+    """A text, where its phrases end, and its minima."""
 
-    The edited text shares all but the last half with the text, so the parse is shared up to there.
-    """
-    half = len(text) // 2
-    own = len(text) - half
-    edited = text[:own] + after[:half]
-    known: set[str] = set()
-    ends = phrases(text[:own], 0, known)
-    shared = ends[:-1]
-    at = shared[-1] if shared else 0
-    if len(known) == len(ends):  # the last phrase is a new one, and the cut may have shortened it
-        known.discard(text[at:own])
-    other = known.copy()
-    mine = _minima(text, shared + phrases(text, at, known))
-    theirs = _minima(edited, shared + phrases(edited, at, other))
-    return sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), _text(mine), _text(theirs), likeness(mine, theirs), mine
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.ends = phrases(text, 0, set())
+        self.minima = _minima(text, self.ends)
+
+    def edited(self, after: str) -> tuple[str, np.ndarray]:
+        """The text with its last half replaced by as much of ``after``, and its minima.
+
+        It begins as the text does, so it has the same phrases up to there.
+        """
+        half = len(self.text) // 2
+        own = len(self.text) - half
+        edited = self.text[:own] + after[:half]
+        if edited == self.text:
+            return edited, self.minima
+        shared = self.ends[: bisect_right(self.ends, own)]
+        known = {self.text[i:j] for i, j in pairwise([0, *shared])}
+        return edited, _minima(edited, shared + phrases(edited, shared[-1] if shared else 0, known))
 
 
 _COLUMNS = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -127,16 +132,18 @@ def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a range in order of ids, the next range's first document behind them; a document is done when the next one has come."""
     names = [c.split()[0] for c in _COLUMNS.split(", ")]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    last: tuple[int, int, int, str] | None = None
+    last: tuple[int, int, int, Parsed] | None = None
     for batch in batches:
         out: list[tuple] = []
         for bucket, late, key, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
             text = cell.as_py() or ""
+            now = last[3] if last is not None and last[3].text == text else Parsed(text)
             if last is not None and last[0] == bucket and not last[1]:
-                digest, own, edited, near, minima = compared(last[3], text)
-                after = _minima(text, phrases(text, 0, set())) if text != last[3] else minima
-                out.append((last[2], len(last[3]), digest, own, edited, near, likeness(minima, after)))
-            last = (bucket, late, key, text)
+                own = last[3]
+                edited, minima = own.edited(text)
+                digest = sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
+                out.append((last[2], len(own.text), digest, _text(own.minima), _text(minima), likeness(own.minima, minima), likeness(own.minima, now.minima)))
+            last = (bucket, late, key, now)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
