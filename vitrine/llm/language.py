@@ -25,6 +25,8 @@ from vitrine.llm.textarrays import mixed
 
 ORDER = 4
 SAMPLE_ROWS = 500
+#: Values of the hash that draws the sample.
+HASHES = 1 << 30
 #: Of every so many sampled documents one is held back to calibrate rejection.
 HELD_BACK = 5
 #: Share of held-back documents that a language's limit accepts.
@@ -204,8 +206,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Identifier:
     """Models of the languages that ``lang_col`` names; rows without language or text teach nothing. Ties of hashes go by id."""
     rows = documents.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
-    key = F.xxhash64("id")
-    ranked = rows.select("id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(key, "id")).alias("r")).where(F.col("r") <= sample_rows)
+    # twice the rows wanted are below the limit on average, so no language sends all of its rows to one task
+    sizes = F.broadcast(rows.groupBy("lang").agg(F.count("*").alias("n")))  # a row a language
+    drawn = rows.select("id", "lang", F.pmod(F.xxhash64("id"), F.lit(HASHES)).alias("key")).join(sizes, "lang").where(F.col("key") < HASHES * 2.0 * sample_rows / F.col("n"))
+    ranked = drawn.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("key", "id"))).where(F.col("r") <= sample_rows)
     held = (F.col("r") % HELD_BACK == 0).alias("held")
     # bounded: sample_rows rows of each language
     sample = rows.join(F.broadcast(ranked.select("id", "lang", held)), ["id", "lang"]).select("lang", "text", "held")
