@@ -22,6 +22,8 @@ from vitrine.llm.textarrays import TextSlice, slices
 
 #: Labelled documents that training uses at most.
 SAMPLE_ROWS = 10_000
+#: Values of the hash that draws them.
+HASHES = 1 << 30
 
 _CLASSES = {
     "upper": [*range(65, 91)],
@@ -168,7 +170,10 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """
     key = F.col(f"`{id_col}`").cast("long")
     known = labels.select(key.alias("id"), F.col(f"`{label_col}`").alias("y")).dropna().groupBy("id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
-    chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
+    # twice the rows wanted are below the limit on average, so tasks send no more than that to the last step
+    hashed = F.pmod(F.xxhash64("id"), F.lit(HASHES))
+    drawn = known.where(hashed < int(HASHES * min(1.0, 2 * sample_rows / max(1, known.count()))))
+    chosen = drawn.orderBy(hashed, "id").limit(sample_rows)
     text = documents.select(key.alias("id"), F.col(f"`{text_col}`").alias("text"))
     # the sample is bounded: sample_rows rows of 12 bytes
     rows = _measured(text.join(F.broadcast(chosen.select("id")), "id", "left_semi"), "id", "text").join(F.broadcast(chosen), "id").orderBy("id", "x").toPandas()
