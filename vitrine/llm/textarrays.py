@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -138,3 +138,4 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iter
         own = offsets[first : last + 1]
         yield TextSlice(first, last, whole[own[0] : own[-1]], own - own[0])
         first = last
+    pa.default_memory_pool().release_unused()  # workers stay when their stage is over, and share the executor's memory
