@@ -200,6 +200,18 @@ def test_repeats_edges(spark):
         substrings.drop_repeats(documents(spark, []), width=1)
 
 
+def test_repeats_of_one_row_twice(spark, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(30))
+    for chunk in (substrings.CHUNK_WORDS, 1):  # met within a task, and in the buckets
+        monkeypatch.setattr(substrings, "CHUNK_WORDS", chunk)
+        for ids in ([4, 4], [None, None]):
+            rows = substrings.drop_repeats(documents(spark, [text, text], ids)).collect()
+            assert [(r.n_removed, r.kept_text, r.removed) for r in rows] == [(0, text, [])] * 2
+        rows = substrings.drop_repeats(documents(spark, [text, text, text + " " + text, text], [4, 4, 5, 6])).collect()
+        once = [n for _, n, _ in without_repeats([text, text + " " + text, text], 20)]
+        assert sorted((r.doc_id, r.n_removed) for r in rows) == [(4, 0), (4, 0), (5, once[1]), (6, once[2])]
+
+
 # --- 5 -----------------------------------------------------------------------
 
 

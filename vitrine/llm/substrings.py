@@ -224,10 +224,13 @@ def _later(blobs: list[tuple[np.ndarray, ...]], hashes: list[bytes]) -> np.ndarr
 
 
 def _repeats(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, tags: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Passages whose words start earlier; rows of one text hold one place each, so none repeats the other."""
     order = np.lexsort((pos, tags, ids, h2, h1))
     a, b = h1[order], h2[order]
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(order)]
+    first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
     out = np.zeros(len(order), bool)
-    out[order[1:]] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+    out[order] = (ids[order] != ids[first]) | (tags[order] != tags[first]) | (pos[order] != pos[first])
     return out
 
 
