@@ -16,6 +16,9 @@ from vitrine.llm import bpe, decontaminate, minhash, quality, substrings
 from vitrine.llm.checkpoints import shared_folder
 from vitrine.llm.queries import table, word_vocabulary
 
+#: Percent of shingles in common from which documents are near duplicates.
+NEAR = 80
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -33,7 +36,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the smallest id stays."""
-    return _only(docs, minhash.near_duplicates(docs).where("kept"))
+    return _only(docs, minhash.near_duplicates(docs, percent=NEAR).where("kept"))
 
 
 def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -117,6 +117,31 @@ def test_near_duplicates(spark):
         assert (rows[i].n_shingles, rows[i].component_id, rows[i].kept) == (n, component, component == i)
 
 
+def test_near_duplicates_at_other_thresholds(spark):
+    assert [(minhash.band_width(p), minhash.sketch_limit(p)) for p in (85, 80)] == [(6, 70), (5, 86)] and minhash.sketch_limit(100) == 0
+    rnd, texts = random.Random(12), []
+    for _ in range(300):  # 100 words, the last 19 of them others: 77 shingles of 115 are in both
+        own = ["".join(rnd.choices(string.ascii_lowercase, k=6)) for _ in range(119)]
+        texts += [" ".join(own[:100]), " ".join(own[:81] + own[100:])]
+    sets = [shingles(t) for t in texts]
+    assert all(len(a & b) / len(a | b) == 77 / 115 for a, b in zip(sets[::2], sets[1::2], strict=True))
+    found = {p: by_id(minhash.near_duplicates(documents(spark, texts), percent=p)) for p in (66, 67)}
+    assert [r.component_id for _, r in sorted(found[66].items())] == [i - i % 2 for i in range(600)]
+    assert [r.component_id for _, r in sorted(found[67].items())] == list(range(600))
+    with pytest.raises(ValueError):
+        minhash.near_duplicates(documents(spark, texts), percent=5)
+
+
+def test_near_duplicates_of_the_pipeline(spark):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(104)]
+    texts = [" ".join(base), " ".join([*base[:92], *(f"v{i}" for i in range(8))])]  # 88 shingles of 108 are in both
+    docs = documents(spark, texts)
+    assert [r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, "").collect()] == [0]
+    assert minhash.near_duplicates(docs).where("kept").count() == 2
+
+
 def test_near_duplicates_edges(spark):
     assert minhash.near_duplicates(documents(spark, [])).count() == 0
     rows = minhash.near_duplicates(documents(spark, ["a b c d e f", "a b c d e f", "g h i j k l", "g h i j k l", None], [7, 3, 7, 9, None])).collect()

@@ -2,11 +2,13 @@
 
 Each of ``PERMUTATIONS`` hash permutations gives two values of a shingle set,
 its smallest and its largest, so a signature of 256 values takes 128 hash
-evaluations a shingle. Bands of six values (minima and maxima mixed) are the
-buckets in which candidates meet: at a likeness of 0.85 a pair misses all 42
-bands with a chance of about 2e-9. Four bits of each value make a sketch;
-pairs that differ in more of them than ``LIMIT`` (4.5 standard deviations above
-what 0.85 gives) are not candidates. Every link is confirmed on full sets.
+evaluations a shingle. Bands of values (minima and maxima mixed) are the
+buckets in which candidates meet; four bits of each value make a sketch, and
+pairs that differ in too many of them are not candidates. How wide bands are
+and how many values may differ follow from the likeness wanted: for independent
+values either loses a pair just at it with a chance of ``LOSS`` at most (42
+bands of 6 and 70 values at 0.85, 51 bands of 5 and 86 at 0.80). Every link is
+confirmed on full sets.
 
 How it scales:
 
@@ -24,6 +26,8 @@ How it scales:
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -36,20 +40,40 @@ from vitrine.llm.textarrays import mixed, slices, window_hashes
 
 SHINGLE = 5
 PERMUTATIONS = 128
-BANDS, BAND_VALUES = 42, 6
-#: Of the 256 four-bit values, the most that differ in candidates: 256 * 0.15 * 15/16 on average, and 4.5 standard deviations.
-LIMIT = 61
+#: The chance at most that bands, or sketches, lose a pair just at the threshold.
+LOSS = 1e-8
 #: Documents on either side of a block of comparisons, about.
 BLOCK = 256
 
 _random = np.random.Generator(np.random.PCG64(20_240))
 _FACTORS = _random.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADDENDS = _random.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
-_DEAL = _random.permutation(2 * PERMUTATIONS)[: BANDS * BAND_VALUES].reshape(BANDS, BAND_VALUES)
-_SALTS = mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
+_DEAL = _random.permutation(2 * PERMUTATIONS)
+_SALTS = mixed(np.arange(1, 2 * PERMUTATIONS + 1, dtype=np.uint64))
 _NIBBLES = np.uint64(4) * np.arange(16, dtype=np.uint64)
 
 
+@cache
+def band_width(percent: int) -> int:
+    """Values of a band: the most with which a pair of that likeness misses all bands with a chance of ``LOSS`` at most."""
+    for width in range(16, 0, -1):
+        if (1 - (percent / 100) ** width) ** (2 * PERMUTATIONS // width) <= LOSS:
+            return width
+    raise ValueError(f"256 values do not find pairs of a likeness of {percent} percent")
+
+
+@cache
+def sketch_limit(percent: int) -> int:
+    """Of the 256 four-bit values the most that differ in candidates: more do for a pair of that likeness with a chance of ``LOSS`` at most."""
+    n, q = 2 * PERMUTATIONS, (1 - percent / 100) * 15 / 16
+    above, k = 0.0, n
+    while above + comb(n, k) * q**k * (1 - q) ** (n - k) <= LOSS:
+        above, k = above + comb(n, k) * q**k * (1 - q) ** (n - k), k - 1
+        if k < 0:
+            return 0
+    return k
+
+
 def shingle_sets(column: pa.Array, width: int = SHINGLE) -> Iterator[np.ndarray]:
     """For each text the sorted hashes of its distinct shingles of ``width`` words, A-Z lower-cased."""
     for part in slices(column):
@@ -75,10 +99,11 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return np.concatenate([least, most])
 
 
-def band_keys(values: np.ndarray) -> np.ndarray:
-    """The buckets of a signature, one a band."""
-    out = _SALTS.copy()
-    for own in values[_DEAL].T:
+def band_keys(values: np.ndarray, width: int) -> np.ndarray:
+    """The buckets of a signature, one a band of ``width`` values."""
+    bands = len(values) // width
+    out = _SALTS[:bands].copy()
+    for own in values[_DEAL[: bands * width].reshape(bands, width)].T:
         out = mixed(out ^ own)
     return out.view(np.int64)
 
@@ -88,8 +113,8 @@ def sketch(values: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce((mixed(values) & np.uint64(15)).reshape(-1, 16) << _NIBBLES, axis=1).view(np.int64)
 
 
-def signatures(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``n_shingles``, ``k1`` and ``k2`` (128 bits of the set), ``keys`` (buckets) and ``sketch``."""
+def signatures(documents: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """``id``, ``n_shingles``, ``k1`` and ``k2`` (128 bits of the set), ``keys`` (buckets, by bands of ``width`` values) and ``sketch``."""
 
     def lists(rows: list[np.ndarray]) -> pa.Array:
         flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
@@ -104,7 +129,7 @@ def signatures(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 k1.append(s.sum(dtype=np.uint64))
                 k2.append(mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
                 values = signature(s) if len(s) else none
-                keys.append(band_keys(values) if len(s) else none)
+                keys.append(band_keys(values, width) if len(s) else none)
                 sketches.append(sketch(values) if len(s) else none)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), *(pa.array(np.array(k, np.uint64).view(np.int64)) for k in (k1, k2)), lists(keys), lists(sketches)],
@@ -163,7 +188,7 @@ def _candidates(left: str, right: str, percent: int) -> str:
         x = f"({x} | shiftrightunsigned({x}, 2))"
         words.append(f"bit_count(({x} | shiftrightunsigned({x}, 1)) & 1229782938247303441)")  # the lowest bit of each four
     sizes = f"100 * least({left}.n_shingles, {right}.n_shingles) >= {percent} * greatest({left}.n_shingles, {right}.n_shingles)"
-    return f"{sizes} AND {' + '.join(words)} <= {LIMIT}"
+    return f"{sizes} AND {' + '.join(words)} <= {sketch_limit(percent)}"
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
@@ -177,8 +202,11 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     nothing. Rows with one id count as one node: what either is linked with,
     both are. A row whose id is null is its own component, null, and kept.
     Other columns are neither read nor returned; an empty table gives no rows.
+    A ``percent`` beyond 1 to 100, or too low for 256 values to find its pairs, is refused.
     """
-    signed = saved(signatures(documents, id_col, text_col))
+    if not 1 <= percent <= 100:
+        raise ValueError("a percentage from 1 to 100")
+    signed = saved(signatures(documents, id_col, text_col, band_width(percent)))
     one = F.min(F.struct("id", "n_shingles", "keys", "sketch")).alias("one")
     classes = saved(signed.where("n_shingles > 0 AND id IS NOT NULL").groupBy("k1", "k2").agg(one).select("k1", "k2", "one.*"))
     buckets = classes.select("id", F.posexplode("keys").alias("band", "key"))
