@@ -2,6 +2,12 @@
 
 Each stage works on all that the one before kept. All but the last return the
 columns of ``documents``.
+
+Decisions belong to rows, not to ids. Quality and leaks judge each row's own
+text. For near duplicates and repeated passages, rows of one id with different
+texts are documents one after another, rows of one id and text are one
+document (all stay or none), and rows without id are documents behind all
+others; near duplicates among these go, too, equal ones but for one row.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.llm import bpe, decontaminate, minhash, quality, substrings
-from vitrine.llm.checkpoints import shared_folder
+from vitrine.llm.checkpoints import saved, shared_folder
 from vitrine.llm.queries import table, word_vocabulary
 
 #: Percent of shingles in common from which documents are near duplicates.
@@ -22,36 +28,40 @@ NEAR = 80
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose ids are kept; a null id is never in doubt."""
-    kept = ids.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-
-
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier gives a half or more stay."""
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return _only(docs, quality.scored(docs, model).where("score >= 0.5"))
+    return quality.passed(docs, quality.fit(docs, table(spark, sf_dir, "labels")), 0.5)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the smallest id stays."""
-    return _only(docs, minhash.near_duplicates(docs, percent=NEAR).where("kept"))
+    if not docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count():
+        kept = minhash.near_duplicates(docs, percent=NEAR).where("kept").select("doc_id")
+        return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    # ids do not tell documents apart: a number for each id and text, in the order of ids, written before it is used
+    tag = F.xxhash64(F.coalesce("text", F.lit("")))
+    numbers = docs.select(F.col("doc_id").alias("of_id"), tag.alias("of_tag")).distinct().orderBy(F.col("of_id").asc_nulls_last(), "of_tag")
+    numbers = saved(numbers.withColumn("number", F.monotonically_increasing_id()))
+    numbered = docs.join(numbers, F.col("doc_id").eqNullSafe(F.col("of_id")) & (tag == F.col("of_tag"))).select(*docs.columns, "number")
+    kept = minhash.near_duplicates(numbered, "number", percent=NEAR).where("kept").select("number").distinct()
+    left = numbered.join(kept, "number", "left_semi").select(*docs.columns)
+    equal = F.col("doc_id").isNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return left.where(~equal).unionAll(left.where(equal).dropDuplicates(["text"]))
 
 
 def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that stand earlier go; texts without any stay as they are, texts of nothing else go."""
-    rows = substrings.drop_repeats(docs).where("n_removed > 0").select(F.col("doc_id").alias("cut_id"), "kept_text").dropDuplicates(["cut_id"])
-    joined = docs.join(rows, F.col("doc_id") == F.col("cut_id"), "left").where("kept_text IS NULL OR kept_text <> ''")
-    cut = F.col("kept_text").isNotNull()
-    joined = joined.withColumn("text", F.when(cut, F.col("kept_text")).otherwise(F.col("text")))
-    joined = joined.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return joined.select(*docs.columns)
+    rows = substrings.drop_repeats(docs, whole=True).where("n_removed = 0 OR kept_text <> ''")
+    cut = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return rows.select(*(F.when(F.col("n_removed") > 0, cut[c]).otherwise(F.col(f"row.{c}")).alias(c) if c in cut else F.col(f"row.{c}") for c in docs.columns))
 
 
 def no_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of the benchmark go."""
-    return _only(docs, decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("n_hit = 0"))
+    """Documents with a passage of the benchmark go: rows of one text, whatever their ids, share the verdict."""
+    digest = F.sha2("text", 256)
+    found = decontaminate.contamination(docs.select(digest.alias("digest"), "text"), table(spark, sf_dir, "benchmark"), "digest")
+    hit = found.where("n_hit > 0").select("digest").distinct()
+    return docs.withColumn("own", digest).join(hit, F.col("own") == F.col("digest"), "left_anti").drop("own")
 
 
 def as_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -449,3 +449,28 @@ def test_pipeline(spark, tmp_path):
     assert list(rows[5].ids) == library.encode(left, add_special_tokens=False).ids
     assert list(rows[4].ids) == library.encode(texts[4], add_special_tokens=False).ids
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "repeated_passages", "benchmark_leaks", "bpe"]
+
+
+def test_pipeline_with_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    text = lambda name: " ".join(f"{name}x{j}," for j in range(60))
+    bad = "### $$$ !!! " * 20
+    learn = [(i, text(f"Learn{i}")) for i in range(30)] + [(i, f"### $$$ !!! {i} " * 20) for i in range(30, 60)]
+    rows = [
+        (None, text("NullGood")), (None, bad), (None, text("Bench")), (None, text("Learn1") + " " + text("NullOwn")),  # cut to the last part
+        (None, text("NullTwice")), (None, text("NullTwice")), (100, text("Again")), (100, text("Again")),
+        (101, text("Learn2") + " " + text("Tail")), (101, text("Whole")), (101, bad), (101, text("Clean")), (101, "One " + text("Bench")), (102, text("Whole") + " end"),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in learn + rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 30)) for i in range(60)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, text("Bench"))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        stage(spark, left, str(tmp_path)).write.parquet(f"{tmp_path}/{i}")
+        left = spark.read.parquet(f"{tmp_path}/{i}")
+    out = sorted((r.doc_id or -1, r.text) for r in left.collect() if r.doc_id is None or r.doc_id >= 100)
+    assert all(r.n_chars == len(r.text) for r in left.collect())
+    want = [(-1, text("NullGood")), (-1, text("NullOwn")), (-1, text("NullTwice")), (100, text("Again")), (100, text("Again"))]
+    assert out == sorted([*want, (101, text("Tail")), (101, text("Whole")), (101, text("Clean"))])

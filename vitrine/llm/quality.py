@@ -181,21 +181,35 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return boosted(x, rows["y"].to_numpy(float))
 
 
+def _with_scores(documents: DataFrame, model: Trees, text_col: str, least: float | None = None) -> DataFrame:
+    at = documents.columns.index(text_col)
+    names = [*documents.columns, *(["score"] if least is None else [])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch.column(at)):
+                rows, scores = batch.slice(part.first, part.last - part.first), model.scores(statistics(part))
+                if least is None:
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(scores)], names=names)
+                else:
+                    yield pa.RecordBatch.from_arrays(rows.filter(pa.array(scores >= least)).columns, names=names)
+
+    more = [T.StructField("score", T.DoubleType())] if least is None else []
+    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, *more]))
+
+
 def scored(documents: DataFrame, model: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and ``score`` (0 to 1), a row for each row of ``documents``.
 
     Null and empty texts are scored by the statistics of the empty text. Equal
     texts have equal scores. Other columns are neither read nor returned.
     """
-    field = documents.schema[id_col]
+    return _with_scores(documents.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), model, text_col).select(F.col(f"`{id_col}`"), "score")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, part.last - part.first), pa.array(model.scores(statistics(part)))], names=[field.name, "score"])
 
-    schema = T.StructType([T.StructField(field.name, field.dataType), T.StructField("score", T.DoubleType())])
-    return documents.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, schema)
+def passed(documents: DataFrame, model: Trees, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``documents`` whose own text scores ``least`` or more, with all their columns."""
+    return _with_scores(documents, model, text_col, least)
 
 
 def remainder(id_col: str, modulus: int) -> Column:

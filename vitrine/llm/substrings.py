@@ -275,7 +275,7 @@ def _passages(width: int, block: int, buckets: int):
     return run
 
 
-def _kept(width: int):
+def _kept(width: int, whole: bool):
     span = pa.struct([pa.field("start", pa.int32()), pa.field("end", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,10 +296,12 @@ def _kept(width: int):
                         spans.append([])
                     removed.append(b - a - len(split))
                     texts.append(b" ".join(split))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), pa.array(tags), pa.array(words.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(spans, pa.list_(span))],
-                    names=["id", "tag", "n_words", "n_removed", "kept_text", "removed"],
-                )
+                columns = [pa.array(ids), pa.array(tags), pa.array(words.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(spans, pa.list_(span))]
+                names = ["id", "tag", "n_words", "n_removed", "kept_text", "removed"]
+                if whole:
+                    columns += [batch.column(i).slice(part.first, part.last - part.first) for i in (2, 4)]
+                    names += ["text", "row"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
@@ -313,7 +315,7 @@ def _tag(documents: DataFrame, id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))) if twice else F.lit(0).cast("long")
 
 
-def drop_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20) -> DataFrame:
+def drop_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, whole: bool = False) -> DataFrame:
     """``id_col``, ``n_words``, ``n_removed``, ``kept_text`` (kept words joined by one space) and
     ``removed`` (spans of words, from ``start`` up to before ``end``), a row for each row of ``documents``.
 
@@ -324,7 +326,8 @@ def drop_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     A null text has no words. A null id comes behind all others. Rows with one
     id count as texts one after another, in the order of a hash of their texts; rows
     with equal id and text count as one text, so neither repeats the other.
-    Other columns are neither read nor returned; an empty table gives no rows.
+    Other columns are neither read nor returned, but with ``whole``: then each
+    row's own columns, as they are, come with it as a struct ``row``. An empty table gives no rows.
     """
     if width < 2:
         raise ValueError("a passage has two words at least")
@@ -332,14 +335,23 @@ def drop_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     size = documents.agg(F.sum(F.length(F.col(f"`{text_col}`")))).first()[0] or 0
     buckets = max(16, size // 6 // BUCKET_WINDOWS * 2)
     rows = documents.select(
-        F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST)).alias("id"), _tag(documents, id_col, text_col).alias("tag"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
+        F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST)).alias("id"), _tag(documents, id_col, text_col).alias("tag"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
+        # all but the text, which goes along anyway
+        F.struct(F.col(f"`{text_col}`").isNull().alias("no_text"), *(F.col(f"`{c}`") for c in documents.columns if c != text_col)).alias("row"),
     )
+    every, rows = rows, rows.drop("row")
     hits = _gathered(rows.mapInArrow(_probes(block, buckets), _ROW_DDL), _anchored)
     joined = rows.join(hits, ["id", "tag"]).select("id", "tag", "text", "places")
     repeats = _gathered(joined.mapInArrow(_passages(width, block, buckets), _ROW_DDL), _later)
-    joined = rows.join(repeats, ["id", "tag"], "left").select("id", "tag", "text", "places")
-    out = joined.mapInArrow(_kept(width), "id long, tag long, n_words long, n_removed long, kept_text string, removed array<struct<start int, end int>>")
-    return out.select(F.when(F.col("id") != _LAST, F.col("id")).alias(id_col), "n_words", "n_removed", "kept_text", "removed")
+    schema = "id long, tag long, n_words long, n_removed long, kept_text string, removed array<struct<start int, end int>>"
+    results = [F.when(F.col("id") != _LAST, F.col("id")).alias(id_col), "n_words", "n_removed", "kept_text", "removed"]
+    if not whole:
+        joined = rows.join(repeats, ["id", "tag"], "left").select("id", "tag", "text", "places")
+        return joined.mapInArrow(_kept(width, False), schema).select(*results)
+    joined = every.join(repeats, ["id", "tag"], "left").select("id", "tag", "text", "places", "row")
+    out = joined.mapInArrow(_kept(width, True), f"{schema}, text string, row {every.schema['row'].dataType.simpleString()}")
+    own = [F.when(~F.col("row.no_text"), F.col("text")).alias(c) if c == text_col else F.col(f"row.`{c}`") for c in documents.columns]
+    return out.select(*results, F.struct(*own).alias("row"))
 
 
 def _gathered(sent: DataFrame, found) -> DataFrame:
