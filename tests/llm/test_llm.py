@@ -252,6 +252,19 @@ def test_licenses(spark):
     assert licenses.scanned(documents(spark, [])).count() == 0
 
 
+def test_licenses_that_stand_twice(spark):
+    mit, gpl = licenses.TEMPLATES["MIT"][0], licenses.TEMPLATES["GPL-3.0"][1]
+    assert licenses.notices(mit + " Some prose. " + mit) == [("MIT", 1.0, 0, 5), ("MIT", 1.0, 7, 12)]
+    assert licenses.notices(" ".join([gpl] * 3)) == [("GPL-3.0", 1.0, 42 * i, 42 * i + 42) for i in range(3)]
+    part = " ".join(licenses.words(gpl)[:36])  # the whole one behind it does not take its words
+    assert licenses.notices(f"{part} {gpl}") == [("GPL-3.0", 1.0, 36, 78), ("GPL-3.0", 36 / 42, 0, 36)]
+    around = "released software. the under a license. MIT students are under. " * 100  # no word of the notice is unique
+    n = len(licenses.words(around))
+    assert licenses.notices(f"{around} {mit} {around}") == [("MIT", 1.0, n, n + 5)]
+    rows = licenses.scanned(documents(spark, [f"{mit} and {gpl}", None])).collect()
+    assert [(x.license, x.start, x.end) for x in rows[0].notices] == [("MIT", 0, 5), ("GPL-3.0", 6, 48)] and rows[0].license == "GPL-3.0" and rows[1].notices == []
+
+
 def test_alignment_by_patience():
     a, b = "q w a x c y e".split(), "a b c d e a b".split()
     assert licenses.aligned(a, "z q w a x c y e z".split()) == [(i, i + 1) for i in range(7)]

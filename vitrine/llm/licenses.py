@@ -1,12 +1,16 @@
-"""License notices in documents by patience alignment.
+"""License notices in documents by alignment with templates.
 
+Coverage is the share of a template's words that are aligned, in order, within
+a window of the text; any number of notices of a text are found, also where
+all their words stand elsewhere, too. Documents are independent rows; memory
+follows the longest one.
+
+``aligned`` is patience alignment, for what is changed in a notice that was found:
 Words that stand once in the text and once in a license template are anchors;
 the longest increasing run of them (by patience sorting) is kept, equal words
 beside anchors are taken along, and each gap between anchors is aligned in the
-same way, where more words are unique. Coverage is the share of the template's
-words that are aligned. A template is tried only if the text has words enough
-of it, which no alignment could do without. Documents are independent rows;
-memory follows the longest one.
+same way, where more words are unique. It alone cannot find notices: words of a
+notice that stands twice are not unique.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -112,39 +117,110 @@ def aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def find(text: str, templates: dict[str, list[str]] | None = None, least: float = LEAST_COVERAGE) -> tuple[str | None, float, int, int]:
-    """License, coverage, first aligned word and one past the last, of the template that most words are aligned with (then the best covered, then the first by name)."""
+def _places(wanted: list[str], own: list[str], counts: Counter[str], least: float) -> list[tuple[int, int, int]]:
+    """Aligned words, start and end of all notices of a template, none over another.
+
+    An alignment leaves out few of the template's words, so of one word more
+    than that, the rarest in the text, one is aligned: only windows around those
+    are tried. In each the longest common subsequence is exact, by bits of the template.
+    """
+    n = len(wanted)
+    need, span, full = max(1, ceil(least * n - 1e-9)), int(MOST_SPREAD * n), (1 << n) - 1
+    masks: dict[str, int] = {}
+    for i, w in enumerate(wanted):
+        masks[w] = masks.get(w, 0) | 1 << i
+    rare = set(sorted(wanted, key=lambda w: counts[w])[: n - need + 1])
+    starts: set[int] = set()
+    for w in rare:
+        at = -1
+        for _ in range(counts[w]):
+            at = own.index(w, at + 1)
+            starts.update(range(max(0, at - span + 1), at + 1))
+    out: list[tuple[int, int, int]] = []
+    work = [(0, len(own), sorted(s for s in starts if own[s] in masks))]
+    while work:
+        low, high, tried = work.pop()
+        found = []
+        for s in tried:
+            window = own[s : min(high, s + span)]
+            if sum(map(masks.__contains__, window)) < need:
+                continue
+            free, most, end = full, 0, s
+            for e, w in enumerate(window, s + 1):
+                mask = masks.get(w)
+                if mask:
+                    both = free & mask
+                    free = ((free + both) | (free - both)) & full
+                    aligned_now = n - free.bit_count()
+                    if aligned_now > most:
+                        most, end = aligned_now, e
+            if most >= need:
+                found.append((most, s, end))
+        if not found:
+            continue
+        taken = _apart(sorted(found, key=lambda f: (-f[0], f[2] - f[1], f[1])))
+        out.extend(taken)
+        # what reached into those that are taken may do without
+        edges = [low, *(x for _, s, e in sorted(taken, key=lambda f: f[1]) for x in (s, e)), high]
+        for x, y in zip(edges[::2], edges[1::2], strict=True):
+            if y - x >= need:
+                work.append((x, y, tried[bisect_left(tried, x) : bisect_left(tried, y)]))
+    return out
+
+
+def _apart(spans: list[tuple]) -> list[tuple]:
+    """In order, those of ``spans`` (start and end last) that lie over none taken before."""
+    starts: list[int] = []
+    ends: list[int] = []
+    out = []
+    for one in spans:
+        start, end = one[-2:]
+        i = bisect_left(starts, end)
+        if i == 0 or ends[i - 1] <= start:
+            starts.insert(i, start)
+            ends.insert(i, end)
+            out.append(one)
+    return out
+
+
+def notices(text: str, templates: dict[str, list[str]] | None = None, least: float = LEAST_COVERAGE) -> list[tuple[str, float, int, int]]:
+    """License, coverage, first aligned word and one past the last of all notices, none over another: that of most
+    aligned words first (then the best covered, the first by name, the first in the text)."""
     own = words(text)
-    have = set(own)
-    best: tuple = (0, 0.0, None, 0, 0)
+    counts = Counter(own)
+    found = []
     for name in sorted(templates if templates is not None else TEMPLATES):
         for template in (templates if templates is not None else TEMPLATES)[name]:
             wanted = words(template)
-            if not wanted or sum(w in have for w in wanted) < least * len(wanted):
-                continue
-            pairs = aligned(wanted, own)
-            if not pairs or pairs[-1][1] - pairs[0][1] + 1 > MOST_SPREAD * len(wanted):
+            if not wanted or sum(w in counts for w in wanted) < least * len(wanted):
                 continue
-            coverage = len(pairs) / len(wanted)
-            if coverage >= least and (len(pairs), coverage) > best[:2]:
-                best = (len(pairs), coverage, name, pairs[0][1], pairs[-1][1] + 1)
-    return best[2], best[1], best[3], best[4]
+            found += [(-most, -most / len(wanted), name, start, end) for most, start, end in _places(wanted, own, counts, least)]
+    return [(name, -share, start, end) for _, share, name, start, end in _apart(sorted(found))]
+
+
+def find(text: str, templates: dict[str, list[str]] | None = None, least: float = LEAST_COVERAGE) -> tuple[str | None, float, int, int]:
+    """The first of ``notices``, or no license, coverage 0 and an empty span."""
+    return next(iter(notices(text, templates, least)), (None, 0.0, 0, 0))
 
 
 def scanned(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | None = None, least: float = LEAST_COVERAGE) -> DataFrame:
-    """``id_col``, ``license`` (null if none), ``coverage``, ``start`` and ``end`` (words), a row for each row of ``documents``.
+    """``id_col``, ``license`` (null if none), ``coverage``, ``start`` and ``end`` (words) of the notice of most aligned words, and
+    all ``notices`` in the order of the text, a row for each row of ``documents``.
 
-    Null and empty texts have no license, coverage 0 and an empty span. Equal
+    Null and empty texts have no license, coverage 0, an empty span and no notices. Equal
     texts have equal results; other columns are neither read nor returned.
     """
     field = documents.schema[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [find(x.as_py() or "", templates, least) for x in batch.column(1)]
-            columns = list(zip(*found, strict=True)) or [[], [], [], []]
+            found = [notices(x.as_py() or "", templates, least) for x in batch.column(1)]
+            columns = list(zip(*(x[0] if x else (None, 0.0, 0, 0) for x in found), strict=True)) or [[], [], [], []]
+            columns.append([[dict(zip(("license", "coverage", "start", "end"), n, strict=True)) for n in sorted(x, key=lambda n: n[2])] for x in found])
             kinds = (pa.string(), pa.float64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[field.name, "license", "coverage", "start", "end"])
+            kinds += (pa.list_(pa.struct(list(zip(("license", "coverage", "start", "end"), kinds, strict=True)))),)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[field.name, "license", "coverage", "start", "end", "notices"])
 
-    schema = T.StructType([T.StructField(field.name, field.dataType), T.StructField("license", T.StringType()), T.StructField("coverage", T.DoubleType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+    own = [T.StructField("license", T.StringType()), T.StructField("coverage", T.DoubleType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]
+    schema = T.StructType([T.StructField(field.name, field.dataType), *own, T.StructField("notices", T.ArrayType(T.StructType(own)))])
     return documents.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, schema)
