@@ -345,6 +345,17 @@ def test_fingerprints_edges(spark):
     assert len(rows) == 4 and sum(r.doc_id is None for r in rows) == 1
 
 
+def test_fingerprints_of_large_ids(spark):
+    rnd = random.Random(9)
+    ids = sorted({(1 << 60) + rnd.randrange(1 << 40) for _ in range(200)})
+    rows = by_id(lzprints.fingerprints(documents(spark, [f"text {i}" for i in range(len(ids))], ids)))
+    assert sorted(rows) == ids
+    for i, key in enumerate(ids):
+        text, after = f"text {i}", f"text {(i + 1) % len(ids)}"
+        edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        assert rows[key].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+
+
 # --- 8 -----------------------------------------------------------------------
 
 

@@ -148,6 +148,16 @@ def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
 
+def _range_of(cuts: np.ndarray):
+    @F.pandas_udf("int")
+    def range_of(ids: pd.Series) -> pd.Series:
+        """Twice the range, and one more for the first id of a range that has one before it."""
+        at = np.searchsorted(cuts, ids.to_numpy(), "right")
+        return pd.Series(2 * at + ((at > 0) & (cuts[np.maximum(at - 1, 0)] == ids.to_numpy()) if len(cuts) else 0)).astype("int32")
+
+    return range_of
+
+
 def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``, ``near_edited`` and
     ``near_next``, a row for each row of ``documents``.
@@ -166,14 +176,11 @@ def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     shares = [i / ranges for i in range(1, ranges)]
     cuts = np.unique(np.array(rows.agg(F.percentile_approx("id", shares, 100 * ranges)).first()[0] or [], np.int64))
     cuts = cuts[cuts > (least if least is not None else 0)]
+    # quantiles are doubles, which need not be ids: a range begins with its own first one
+    begins = rows.groupBy(F.shiftright(_range_of(cuts)("id"), 1).alias("bucket")).agg(F.min("id").alias("first")).collect() if len(cuts) else []  # MOST_RANGES rows at most
+    cuts = np.array(sorted(r["first"] for r in begins if r["bucket"]), np.int64)
 
-    @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        """Twice the range, and one more for the first id of a range that has one before it."""
-        at = np.searchsorted(cuts, ids.to_numpy(), "right")
-        return pd.Series(2 * at + ((at > 0) & (cuts[np.maximum(at - 1, 0)] == ids.to_numpy()) if len(cuts) else 0)).astype("int32")
-
-    rows = rows.withColumn("at", range_of("id")).withColumn("bucket", F.shiftright("at", 1))
+    rows = rows.withColumn("at", _range_of(cuts)("id")).withColumn("bucket", F.shiftright("at", 1))
     none = F.lit(None).cast("struct<bucket:int,late:int>")
     place = lambda bucket, late: F.struct(bucket.cast("int").alias("bucket"), F.lit(late).alias("late"))
     places = F.array(
