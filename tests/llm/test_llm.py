@@ -10,6 +10,7 @@ import string
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vitrine.llm import bpe, components, decontaminate, language, licenses, lzprints, maintext, minhash, quality, substrings, urls
 from vitrine.llm.queries import URL_RULES, word_vocabulary
@@ -451,6 +452,23 @@ def test_urls(spark):
     assert by_id(urls.judged(pages, URL_RULES, redirects), "page_id")[12].verdict == "block"
 
 
+def test_relative_links(spark):
+    want = {
+        "index.html": "h.org/a/b/index.html", "./x": "h.org/a/b/x", "../x": "h.org/a/x", "../../../x?q=../1#f": "h.org/x?q=../1", "?p=1": "h.org/a/b/c?p=1", ".": "h.org/a/b/", "..": "h.org/a/", "x/../y/./z": "h.org/a/b/y/z",
+        "/y/../z": "h.org/z", "//i.org/./k": "i.org/k", "HTTPS://I.org:443/k": "i.org/k", "/go?u=http://i.org/": "h.org/go?u=http://i.org/", "#top": "h.org/a/b/c?d/e", "mailto:a@i.org": None, "": None,
+    }
+    df = spark.createDataFrame([("http://h.org/a/b/c?d/e#g", k) for k in want], "url string, link string")
+    assert {r.link: r.node for r in df.select("link", urls.node_of(urls.resolved(df.link, df.url)).alias("node")).collect()} == want
+    refresh = lambda to: f'<meta http-equiv="refresh" content="0;url={to}">'
+    rows = [(1, "http://x.net/a/b", "")] + [(i + 2, f"http://free.org/{i}", refresh(f"http://x.net/{i}")) for i in range(4)]
+    rows += [(10 + i, f"http://own{i}.org/d/p", refresh(to)) for i, to in enumerate(["q.html", "./q.html", "../d/q.html", "?p=1", "#f"])]
+    rows += [(20 + i, f"http://own{i}.org/d/{'p?p=1' if i == 3 else 'q.html'}", refresh("http://x.net/a/b")) for i in range(5)]
+    out = by_id(urls.judged(spark.createDataFrame(rows, "page_id long, url string, html string"), URL_RULES), "page_id")
+    assert [out[10 + i].verdict for i in range(5)] == ["block"] * 4 + ["allow"]
+    bare = urls.node_of(urls.resolved(df.link, F.lit("no scheme")))
+    assert {r.link for r in df.select("link", bare.alias("node")).where("node IS NOT NULL").collect()} == {"//i.org/./k", "HTTPS://I.org:443/k"}
+
+
 # --- pipeline ----------------------------------------------------------------
 
 

@@ -54,11 +54,39 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
     return F.coalesce(*fits, F.lit(None).cast("struct<rule:string,verdict:string>"))
 
 
+def _folded(path: Column) -> Column:
+    """A path that begins with a slash, without the segments ``.`` and ``..``."""
+    parts = F.split(path, "/")
+    kept = F.aggregate(
+        F.slice(parts, F.lit(2), F.size(parts)),
+        F.array().cast("array<string>"),
+        lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x))),
+        lambda done: F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(done, F.array(F.lit("")))).otherwise(done),
+    )
+    return F.when(path.contains("/."), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
+
+
 def node_of(url: Column) -> Column:
-    """What a URL names, without scheme, default port and fragment; the URL itself where it has no ``://``."""
-    rest = F.regexp_extract(url, r"(?s)^(?:(?!://).)*://[^/?#]*([^#]*)", 1)
-    bare = F.concat(F.regexp_replace(host_of(url), r":(80|443)$", ""), F.when(rest == "", "/").otherwise(rest))
-    return F.when(url.contains("://"), bare).otherwise(url)
+    """What a URL names, without scheme, default port, dot segments and fragment; the URL itself where it has no ``://``."""
+    path, query = path_of(url), F.regexp_extract(url, r"(?s)^(?:(?!://).)*://[^?#]*([^#]*)", 1)
+    whole = F.when(path == "", "/").otherwise(_folded(path))
+    return F.when(url.contains("://"), F.concat(F.regexp_replace(host_of(url), r":(80|443)$", ""), whole, query)).otherwise(url)
+
+
+def resolved(link: Column, url: Column) -> Column:
+    """``link`` completed by the page's ``url``; null for other schemes (mailto) and for relative links of a page without ``://``."""
+    path = F.when(path_of(url) == "", "/").otherwise(path_of(url))
+    top = F.concat(F.lit("http://"), host_of(url))
+    relative = (
+        F.when(link == "", F.lit(None))
+        .when(link.startswith("//"), F.concat(F.lit("http:"), link))
+        .when(link.startswith("/"), F.concat(top, link))
+        .when(link.startswith("#"), url)
+        .when(link.startswith("?"), F.concat(top, path, link))
+        .otherwise(F.concat(top, F.regexp_extract(path, r"(?s)^(.*/)", 1), link))
+    )
+    schemed = F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+    return F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), schemed).when(link.startswith("//") | url.contains("://"), relative)
 
 
 _ATTRIBUTE = r"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
@@ -70,15 +98,15 @@ def _attribute(tag: Column, name: str) -> Column:
 
 
 def alias_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``a`` and ``b``: a page's node and the node that it redirects to or calls canonical; links relative to its host are completed."""
+    """``a`` and ``b``: a page's node and the node that it redirects to or calls canonical. Relative links of any
+    form are completed by the page's URL (a ``base`` element is not read); a fragment alone names the page itself, which is no link."""
     url, html = F.col(f"`{url_col}`"), F.coalesce(F.col(f"`{html_col}`"), F.lit(""))
     tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\s[^>]*(?:canonical|refresh)[^>]*>"), F.lit(0))
     found = pages.where(url.isNotNull()).select(url.alias("url"), F.explode_outer(tags).alias("tag")).where("tag IS NOT NULL")
     canonical = F.when(F.array_contains(F.split(F.lower(_attribute(F.col("tag"), "rel")), r"\s+"), "canonical"), _attribute(F.col("tag"), "href"))
     refresh = F.when(F.lower(_attribute(F.col("tag"), "http-equiv")) == "refresh", F.regexp_extract(_attribute(F.col("tag"), "content"), r"(?is)url\s*=\s*['\"]?([^'\"\s]+)", 1))
     link = F.trim(F.regexp_replace(F.coalesce(canonical, refresh, F.lit("")), "&amp;", "&"))
-    whole = F.when(link.contains("://"), link).when(link.startswith("//"), F.concat(F.lit("http:"), link)).when(link.startswith("/"), F.concat(F.lit("http://"), host_of(F.col("url")), link))
-    return found.select(node_of(F.col("url")).alias("a"), node_of(whole).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct()
+    return found.select(node_of(F.col("url")).alias("a"), node_of(resolved(link, F.col("url"))).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct()
 
 
 def judged(
