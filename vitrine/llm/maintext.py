@@ -1,29 +1,35 @@
 """Main text of web pages by a minimum cut.
 
-A page's blocks are the nodes. A small classifier over tag names, class and
-role words, link share and length gives each block a cost of being called content and one of
-being called boilerplate: the capacities of its edges to the two terminals.
+A page's blocks are the nodes. A small classifier gives each block a cost of
+being called content and one of being called boilerplate: log-odds from its
+length, punctuation, link share and tag, from whether it stands in or beside the
+page's article element, and, bounded, from the tags and class and role words
+around it. Those are the capacities of its edges to the two terminals.
 Blocks next to each other, and siblings in the DOM, are joined by edges whose
 capacity follows how near they are in the tree. The minimum cut between the
-terminals is the cheapest labelling; maximum flow finds it.
+terminals is the cheapest labelling; maximum flow finds it. So a short line
+among paragraphs is content, a sentence among links isn't.
 
-Pages are independent rows, worked on one at a time in Arrow batches; memory follows the longest page.
+Pages are independent rows, worked on one at a time in Arrow batches, in time
+that follows a page's length; memory follows the longest page.
 """
 
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
+from math import log2
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.S)
+# possessive, and no tag goes on over another one's beginning, so nothing is read again for each "<"
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^<>]*+>|<(/?)([a-zA-Z][^\s/<>]*+)((?:"[^"]*+"|'[^']*+'|[^<>"'])*+)>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -39,65 +45,94 @@ FRAME_WORDS = set(
     "menu nav navbar navigation breadcrumb breadcrumbs sidebar complementary aside widget footer contentinfo masthead topbar comment comments disqus respond reply replies discussion "
     "share sharing social related recommended newsletter subscribe subscription signup login search pagination pager toolbar skip alert dialog form".split()
 )
+_PROSE = {"h1", "h2", "h3", "p", "blockquote", "pre"}
 ARTICLE_WORDS = {"article", "content", "main", "post", "entry", "story", "body", "text"}
 
 
+#: Beginnings of class names that tell what an element is laid out with, not what it is.
+LAYOUT = {"with", "without", "has", "no", "not", "is"}
+
+#: Log-odds of content.
+FRAMED, IN_ARTICLE, BESIDE_ARTICLE, LINKED = -4.5, 1.5, -4.0, -3.0
+#: Capacity between siblings that follow each other, and between siblings apart.
+NEXT, SIBLINGS = 2.0, 1.0
+#: The share of a capacity that is left where only one end is framed, or in the article.
+ACROSS = 0.1
+#: Share of a page's words from which an article element is the page's article (the largest one always is), and a framed element that holds a headline is a wrapper.
+LEAST_ARTICLE, LEAST_WRAPPER = 0.2, 0.5
+
+
 @dataclass
 class Block:
     text: str
-    score: float
+    words: int
+    linked: float
+    element: int
+    tag: str
     parent: int
     depth: int
-    framed: bool
+    score: float = 0.0
+    #: Whether it is framed, and whether it is in the page's article.
+    side: tuple[bool, bool] = (False, False)
 
 
 @dataclass
-class _Open:
+class Element:
     name: str
-    number: int
-    framed: bool
+    parent: int
+    #: The nearest element that is not inline, itself included, and how many of those it is in.
+    block: int
+    depth: int
+    frame: float
     article: bool
+    #: Words before it and in it; whether a main headline or an article is in it.
+    words: int = 0
+    headline: bool = False
 
 
-def _kind(name: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is around the article, and whether it is one."""
-    words: set[str] = set()
-    hidden = False
+def _kind(name: str, attributes: str) -> tuple[float, bool]:
+    """How surely an element is around the article (2 for hidden ones), and whether it is one."""
+    frame, article = float(name in FRAME), name in ("article", "main")
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key == "style":
-            hidden |= bool(_HIDDEN.search(value))
-        elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-            hidden = True
-        elif key != "aria-hidden":
-            words.update(_WORD.findall(value.lower()))
-    whole = name in ("html", "body", "main", "article")
-    framed = name in FRAME or hidden or (not whole and bool(words & FRAME_WORDS))
-    article = name in ("article", "main") or (not whole and not framed and bool(words & ARTICLE_WORDS))
-    return framed, article
-
-
-def blocks(html: str) -> Iterator[Block]:
-    """Runs of text between block-level tags, in page order."""
-    stack: list[_Open] = [_Open("", 0, False, False)]
+        if key == "hidden" or (key == "style" and _HIDDEN.search(value)) or (key == "aria-hidden" and value.lower() == "true"):
+            frame = 2.0
+        elif key in ("class", "id", "role") and name not in ("html", "body", "main", "article"):
+            for one in value.lower().split():
+                words = _WORD.findall(one)
+                if words and words[0] not in LAYOUT:
+                    frame = max(frame, float(not FRAME_WORDS.isdisjoint(words)))
+                    article |= not ARTICLE_WORDS.isdisjoint(words)
+    return frame, article and not frame
+
+
+def parsed(html: str) -> tuple[list[Block], list[Element]]:
+    """Runs of text between block-level tags, in page order, and the elements."""
+    elements = [Element("", 0, 0, 0, 0.0, False)]
+    found: list[Block] = []
+    stack, open_ = [0], Counter()
     parts: list[str] = []
-    number = linked = at = 0
+    linked = at = words = 0
     in_link = False
 
-    def ended() -> Iterator[Block]:
-        nonlocal linked
+    def ended() -> None:
+        nonlocal linked, words
         text = " ".join(unescape("".join(parts)).split())
         parts.clear()
         share, linked = linked, 0
         if text:
-            framed = any(o.framed for o in stack) or (any(o.name == "header" for o in stack) and not any(o.article for o in stack))
-            own = [o for o in stack if o.name not in INLINE]
-            score = -8.0 if framed else 4.0 if any(o.article for o in stack) else 0.0
-            words = len(text.split())
-            score += min(2.0, words / 15) - 0.8 + 0.5 * (text[-1] in ".!?…:;\"'»”)") - 3.5 * (share > 0.5 * len(text))
-            score += 1.0 * (own[-1].name in ("h1", "h2", "h3", "p", "blockquote", "pre"))
-            parent = own[-2].number if len(own) > 1 else 0
-            yield Block(text, score, parent, len(own), framed)
+            own = elements[elements[stack[-1]].block]
+            n = text.count(" ") + 1
+            words += n
+            found.append(Block(text, n, min(1.0, share / len(text)), stack[-1], own.name, elements[own.parent].block, own.depth))
+
+    def close(to: int) -> None:
+        for number in stack[to:]:
+            one = elements[number]
+            one.words = words - one.words
+            open_[one.name] -= 1
+            elements[one.parent].headline |= one.headline or one.name in ("h1", "article", "main")
+        del stack[to:]
 
     length = len(html)
     while at < length:
@@ -114,29 +149,60 @@ def blocks(html: str) -> Iterator[Block]:
         name, closing = tag[2].lower(), bool(tag[1])
         if name in RAW and not closing:
             if not tag[3].rstrip().endswith("/") or name not in ("svg", "math"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
+                end = re.compile(rf"</{re.escape(name)}\b[^<>]*+>", re.I).search(html, at)
                 at = end.end() if end else length
             continue
         if name == "a":
             in_link = not closing
         if name not in INLINE:
-            yield from ended()
+            ended()
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    del stack[i:]
-                    break
+            if open_[name]:
+                close(next(i for i in range(len(stack) - 1, 0, -1) if elements[stack[i]].name == name))
         elif name not in VOID:
-            if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):  # an open one ends here
+            if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and open_[name]:  # an open one ends here
                 for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].name == name:
-                        del stack[i:]
+                    other = elements[stack[i]].name
+                    if other == name:
+                        close(i)
                         break
-                    if stack[i].name not in INLINE and stack[i].name not in ("p", "td", "th", "dt", "dd"):
+                    if other not in INLINE and other not in ("p", "td", "th", "dt", "dd"):
                         break
-            number += 1
-            stack.append(_Open(name, number, *_kind(name, tag[3])))
-    yield from ended()
+            above = elements[stack[-1]]
+            number = len(elements)
+            frame, article = _kind(name, tag[3])
+            inline = name in INLINE
+            elements.append(Element(name, stack[-1], above.block if inline else number, above.depth + (not inline), frame, article, words))
+            stack.append(number)
+            open_[name] += 1
+    ended()
+    close(1)
+    elements[0].words = words
+    return found, elements
+
+
+def scored(html: str) -> list[Block]:
+    """A page's blocks with the log-odds that they are content, by themselves."""
+    found, elements = parsed(html)
+    total = max(1, elements[0].words)
+    least = min(LEAST_ARTICLE * total, max((e.words for e in elements if e.article), default=0))
+    # what an element inherits: frames, whether it is in an article, in a header
+    frame, inside, header = ([0.0] * len(elements) for _ in range(3))
+    for i, e in enumerate(elements[1:], 1):
+        own = e.frame
+        if own == 1 and e.name not in FRAME and e.headline and e.words > LEAST_WRAPPER * total:
+            own = 0.25  # a wrapper of the article, whatever its class says
+        article = e.article and e.words >= least
+        inside[i] = float(article or (inside[e.parent] and own < 1))
+        header[i] = float(not inside[i] and (header[e.parent] or e.name == "header"))
+        frame[i] = max(frame[e.parent], own, header[i])
+    some = any(inside[b.element] for b in found)
+    for b in found:
+        at = b.element
+        b.side = (frame[at] >= 1, inside[at] > 0)
+        b.score = min(2.0, max(-1.0, 0.8 * log2(b.words / 8))) + 0.5 * (b.text[-1] in ".!?…:;\"'»”)") + 1.1 * (b.tag in _PROSE)
+        b.score += LINKED * b.linked + FRAMED * frame[at] + (IN_ARTICLE * inside[at] or BESIDE_ARTICLE * some)
+    return found
 
 
 def _edges(found: list[Block]) -> Iterator[tuple[int, int, float]]:
@@ -146,9 +212,9 @@ def _edges(found: list[Block]) -> Iterator[tuple[int, int, float]]:
         if i:
             near = found[i - 1]
             apart = abs(near.depth - b.depth) + 2 * (near.parent != b.parent)
-            yield i - 1, i, (0.2 if near.framed != b.framed else 1.5) / (1 + apart)
+            yield i - 1, i, NEXT / (1 + apart / 2) * (ACROSS if near.side != b.side else 1)
         if before is not None and before != i - 1:
-            yield before, i, 0.2 if found[before].framed != b.framed else 0.8
+            yield before, i, SIBLINGS * (ACROSS if found[before].side != b.side else 1)
         last_of[b.parent] = i
 
 
@@ -213,17 +279,18 @@ def minimum_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[
                 turn[u] += 1
 
 
+def labels(found: list[Block]) -> list[bool]:
+    """Which blocks are content."""
+    gains = [b.score for b in found]
+    if all(g > 0 for g in gains) or not any(g > 0 for g in gains):
+        return [g > 0 for g in gains]
+    return minimum_cut(gains, list(_edges(found)))
+
+
 def main_text(html: str | None) -> str:
     """Content blocks in page order, joined by one space."""
-    found = list(blocks(html or ""))
-    gains = [b.score for b in found]
-    if all(g > 0 for g in gains):
-        keep = [True] * len(found)
-    elif not any(g > 0 for g in gains):
-        keep = [False] * len(found)
-    else:
-        keep = minimum_cut(gains, list(_edges(found)))
-    return " ".join(b.text for b, k in zip(found, keep, strict=True) if k)
+    found = scored(html or "")
+    return " ".join(b.text for b, keep in zip(found, labels(found), strict=True) if keep)
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
