@@ -66,8 +66,7 @@ def no_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def as_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, and digests of them and of what they decode to."""
-    decoded = bpe.decode(bpe.encode(docs, word_vocabulary), word_vocabulary)
-    return decoded.select(
+    return bpe.round_trip(docs, word_vocabulary).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         "ids",

@@ -69,6 +69,7 @@ def test_bpe_is_that_of_the_library(spark):
         ids = library.encode(text or "", add_special_tokens=False).ids
         assert list(rows[i].ids) == ids
         assert rows[i].decoded == library.decode(ids, skip_special_tokens=False)
+    assert by_id(bpe.round_trip(documents(spark, texts), word_vocabulary)) == rows
 
 
 def test_bpe_edges(spark):

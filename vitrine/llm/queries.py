@@ -24,8 +24,7 @@ def word_vocabulary() -> str:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), word_vocabulary)
-    return bpe.decode(encoded, word_vocabulary).select(
+    return bpe.round_trip(table(spark, sf_dir, "documents"), word_vocabulary).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
