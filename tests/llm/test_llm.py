@@ -154,6 +154,32 @@ def test_components(spark):
     links = spark.createDataFrame([(9, 8), (8, 7), (7, 6), (1, 2), (2, 1), (5, 5), (None, 4), (20, 6)], "a long, b long")
     rows = {r.node: r.component for r in components.components(links).collect()}
     assert rows == {6: 6, 7: 6, 8: 6, 9: 6, 20: 6, 1: 1, 2: 1}
+    assert components.components(links.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("part", [components.PART, 40])
+def test_components_of_random_graphs(spark, part, monkeypatch):
+    """In one part, and in many, of long chains, hubs and repeated links; by numbers and by names."""
+    monkeypatch.setattr(components, "PART", part)
+    rnd = random.Random(13)
+    links = [(i, i + 1) for i in range(0, 300) if i % 50] + [(rnd.randrange(400, 900), rnd.randrange(400, 900)) for _ in range(300)] + [(1000, 1000 + i) for i in range(200)] * 2
+    rnd.shuffle(links)
+    root = {n: n for e in links for n in e}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((top(a), top(b)))
+        root[y] = x
+    want = {n: top(n) for a, b in links if a != b for n in (a, b)}
+    df = spark.createDataFrame(links, "a long, b long").repartition(7)
+    assert {r.node: r.component for r in components.components(df).collect()} == want
+    if part == 40:
+        named = df.select(F.lpad(F.col("a").cast("string"), 4, "0").alias("a"), F.lpad(F.col("b").cast("string"), 4, "0").alias("b"))
+        assert {int(r.node): int(r.component) for r in components.components(named).collect()} == want
 
 
 # --- 3 -----------------------------------------------------------------------
