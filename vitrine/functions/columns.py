@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -10,11 +11,18 @@ from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}]+"
 
-#: Keys that name an object or a link in catalog rows, first match wins; image extensions; junk files.
+#: Keys that name an object or a link in catalog rows, first match wins; image extensions; junk files and folders.
 OBJECT_KEYS = ["object_id", "record_id", "item_id", "group_id"]
-LINK_KEYS = ["source_url", "url", "link", "web_url", "page_url"]
-IMAGE_EXTENSIONS = ["jpg", "jpeg", "png", "tif", "tiff", "webp", "gif", "bmp", "heic", "jp2", "jxl"]
-JUNK_NAMES = ["thumbs.db", ".ds_store", "desktop.ini"]
+LINK_KEYS = ["source_url", "guid", "record_url", "landing_page", "permalink"]
+IMAGE_EXTENSIONS = ["jpg", "jpeg", "png", "gif", "bmp", "tif", "tiff", "webp", "heic", "heif", "avif"]
+JUNK_NAMES = [".ds_store", "thumbs.db", "desktop.ini", ".picasa.ini"]
+JUNK_FOLDERS = [".git", "__pycache__", ".cache", "node_modules", ".thumbnails"]
+#: Years, identifiers and placeholders in names of files and folders.
+YEAR = r"(1[6-9]\d{2}|20[0-4]\d)"
+CAMERA = r"(?i)^(DSC|IMG|DSCN|PICT|CIMG)"
+UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+IDENTIFIER = r"(?i)^[a-z]+[_-]?\d{4,}$"
+PLACEHOLDER = r"(?i)^(new folder|untitled|copy of|temp|tmp)"
 
 
 # --- vectors -----------------------------------------------------------------
@@ -89,36 +97,91 @@ def is_image(key: Column) -> Column:
     return extension(key).isin(IMAGE_EXTENSIONS)
 
 
+def stored_path(path: Column, data_folder: str | None) -> Column:
+    """A path below the data folder without it; others, and all without such a folder, as they are."""
+    if not data_folder:
+        return path
+    root = data_folder.rstrip("/") + "/"
+    return F.when(path.startswith(root), F.substring(path, len(root) + 1, 1 << 20)).otherwise(path)
+
+
+def resolved_path(path: Column, data_folder: str | None) -> Column:
+    """The opposite: relative paths stand below the data folder."""
+    if not data_folder:
+        return path
+    return F.when(path.startswith("/") | path.contains("://"), path).otherwise(F.concat(F.lit(data_folder.rstrip("/") + "/"), path))
+
+
+def url_quoted(text: Column) -> Column:
+    """Percent-encoded, spaces and slashes included."""
+    return F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+
+
 def url_segment(url: Column, n: int) -> Column:
     """The n-th part between slashes, from 0; null where there is none."""
     return F.get(F.split(url, "/"), F.lit(n))
 
 
-def client_address(forwarded: Column, hops: int) -> Column:
-    """The n-th address from the right of a forwarded list; the leftmost where there are fewer."""
-    parts = F.split(forwarded, r"\s*,\s*")
-    return F.trim(F.element_at(parts, -F.least(F.lit(hops), F.size(parts))))
+def client_address(forwarded: Column, hops: int, peer: Column) -> Column:
+    """The n-th address from the right of a forwarded list; the peer's where it is shorter, or where no proxies are declared."""
+    if not hops:
+        return peer
+    parts = F.filter(F.transform(F.split(F.coalesce(forwarded, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    return F.when(F.size(parts) >= hops, F.try_element_at(parts, F.lit(-hops))).otherwise(peer)
 
 
 # --- text --------------------------------------------------------------------
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    """Runs of letters and digits, folded."""
+    return F.regexp_extract_all(fold(text), F.lit(WORD), F.lit(0))
 
 
-def shape(token: Column) -> Column:
+def shape(identifier: Column) -> Column:
     """Digits as 9, letters as A."""
-    return F.regexp_replace(F.regexp_replace(token, r"\p{N}", "9"), r"\p{L}", "A")
+    return F.regexp_replace(F.regexp_replace(identifier, r"\p{Nd}", "9"), r"[\p{L}\p{Nl}\p{No}]", "A")
+
+
+@cache
+def _folds() -> tuple[str, str, str]:
+    """Characters of the basic plane that fold to one other character, and to which; those that vanish come last. And a class of all that fold to several."""
+    single, gone, several = {}, [], []
+    for code in (c for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000 and not 0xAC00 <= c < 0xD7B0):
+        folded = _folded_text(chr(code))
+        if folded == "":
+            gone.append(chr(code))
+        elif len(folded) > 1:
+            several.append(code)
+        elif folded != chr(code).lower() or len(chr(code).lower()) > 1:
+            single[chr(code)] = folded
+    runs: list[list[int]] = []
+    for code in several:
+        if runs and runs[-1][1] == code - 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    kind = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + r"\x{ac00}-\x{d7af}\x{10000}-\x{10ffff}"
+    return "".join(single) + "".join(gone), "".join(single.values()), f"[{kind}]"
+
+
+def _folded_text(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents (compatibility decomposition, combining marks dropped)."""
-    return F.pandas_udf(_folded, "string")(text)
+    """Lower case without accents (compatibility decomposition, combining marks dropped).
+
+    A character map, made from that rule, folds in the JVM; only texts with
+    ligatures, Hangul and the like, where one character becomes several, go to Python.
+    """
+    given, to, several = _folds()
+    odd = F.pandas_udf(_folded, "string")(F.when(text.rlike(several), text))
+    return F.coalesce(odd, F.lower(F.translate(text, given, to)))
 
 
 def _folded(text: pd.Series) -> pd.Series:
-    return text.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)).lower())
+    return text.map(lambda s: None if s is None else _folded_text(s))
 
 
 def osa_distance(a: str, b: str, limit: int) -> int:
@@ -138,11 +201,13 @@ def osa_distance(a: str, b: str, limit: int) -> int:
 
 
 def osa(a: Column, b: Column, limit: Column) -> Column:
-    return F.pandas_udf(_osa, "int")(a, b, limit)
+    """``osa_distance`` where it can be within ``limit``, else null. A swap is two edits at most, which Spark's own distance tells first."""
+    near = F.levenshtein(a, b, 4).between(0, 2 * limit)
+    return F.pandas_udf(_osa, "int")(F.when(near, a), b, limit)
 
 
 def _osa(a: pd.Series, b: pd.Series, limit: pd.Series) -> pd.Series:
-    return pd.Series([osa_distance(x, y, int(n)) for x, y, n in zip(a, b, limit, strict=True)], dtype="int32")
+    return pd.Series([None if x is None else osa_distance(x, y, int(n)) for x, y, n in zip(a, b, limit, strict=True)], dtype="Int32")
 
 
 def allowed_edits(word: Column) -> Column:
@@ -152,22 +217,80 @@ def allowed_edits(word: Column) -> Column:
 
 def name_template(name: Column) -> Column:
     """The stem of a file name with what varies in it shown by class, and the extension."""
-    stem, ext = F.regexp_replace(name, r"\.[^.]*$", ""), extension(name)
-    parts = F.regexp_extract_all(stem, F.lit(r"[^_\-. ]+|[_\-. ]+"), F.lit(0))
-
-    def token(t: Column) -> Column:
-        return (
-            F.when(t.rlike(r"^[0-9a-fA-F]{16,}$") & t.rlike("[a-fA-F]"), F.concat(F.lit("<hex"), F.length(t).cast("string"), F.lit(">")))
-            .when(t.rlike(r"^(1[0-9]|20)\d\d$"), F.lit("<year>"))
-            .when(t.rlike(r"^\d+$"), F.concat(F.lit("<n"), F.length(t).cast("string"), F.lit(">")))
-            .when(t.rlike(r"^\p{L}+\d+$"), F.concat(F.regexp_replace(t, r"\d+$", ""), F.lit("<n>")))
-            .otherwise(t)
-        )
-
-    whole = F.when(stem.rlike(r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"), F.lit("<uuid>")).otherwise(F.array_join(F.transform(parts, token), ""))
+    dotted = F.regexp_extract(name, r"(?s)^(.*)\.[^.]*$", 1)
+    stem, ext = F.when(dotted == "", name).otherwise(dotted), F.when(name.contains("."), F.lower(F.element_at(F.split(name, r"\."), -1))).otherwise("")
+    parts = F.regexp_extract_all(stem, F.lit(r"[^_\-. ]+|[_\-. ]"), F.lit(0))
+    whole = F.array_join(F.transform(parts, _token_class), "")
     return F.when(ext == "", whole).otherwise(F.concat(whole, F.lit("."), ext))
 
 
+def _token_class(t: Column) -> Column:
+    sized = lambda kind: F.concat(F.lit(f"<{kind}"), F.length(t).cast("string"), F.lit(">"))
+    return (
+        F.when(t.rlike(r"(?i)^[0-9a-f]{16,}$"), sized("hex"))
+        .when(t.rlike(f"^{YEAR}s?$"), F.lit("<year>"))
+        .when(t.rlike(r"^\d+$"), sized("n"))
+        .when(t.rlike(r"^[A-Za-z]+\d+$"), F.concat(F.regexp_replace(t, r"\d+$", ""), F.lit("<n>")))
+        .otherwise(t)
+    )
+
+
+def template_meaning(template: Column, example: Column) -> Column:
+    """What names of a template tell, the first that fits."""
+    stem = F.regexp_replace(template, r"\.[^.]*$", "")
+    literal = F.regexp_replace(F.regexp_replace(stem, "<[^>]*>", ""), r"^[_\-. ]+|[_\-. ]+$", "")
+    return (
+        F.when(literal.rlike(CAMERA), "camera default name, carries no information")
+        .when(stem.contains("<hex"), "hash or UUID name, carries no readable information")
+        .when(stem.contains("<year>") | example.rlike(YEAR), "may contain a year that can be extracted")
+        .when(stem.contains("<") & (F.length(literal) >= 3), F.concat(F.lit("fixed prefix '"), F.substring(literal, 1, 16), F.lit("' plus a serial number, possibly a catalog number")))
+        .when(literal == "", "carries no usable information")
+        .otherwise("")
+    )
+
+
+_ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "amp": "&"}
+
+
+def _unmarked(text: Column) -> Column:
+    bare = F.regexp_replace(text, r"<(/?[A-Za-z]|!)[^>]*>", "")
+    for name, sign in _ENTITIES.items():
+        bare = F.replace(bare, F.lit(f"&{name};"), F.lit(sign))
+    return bare
+
+
+def plain_text(text: Column) -> Column:
+    """Catalog text without markup and with its commonest entities read; markup that was escaped, too, is read once more."""
+    once = _unmarked(text)
+    escaped = text.rlike(r"(?i)&lt;/?(b|em|i|strong|sub|sup|u)&gt;")
+    return F.when(~text.rlike("[<&]"), text).when(escaped, _unmarked(once)).otherwise(once)
+
+
+def human_bytes(value: Column) -> Column:
+    """``512 B``, ``1.5 KB`` and so on up to terabytes."""
+    value, out = value.cast("double"), None
+    for power, unit in enumerate(("B", "KB", "MB", "GB", "TB")):
+        shown = F.concat(F.format_number(value / 1024**power, 1 if power else 0), F.lit(f" {unit}"))
+        fits = F.abs(value) < 1024 ** (power + 1)
+        out = F.when(fits, shown) if out is None else out.otherwise(shown) if unit == "TB" else out.when(fits, shown)
+    return out
+
+
+def human_duration(seconds: Column) -> Column:
+    """``2 h 5 min``, ``5 min 10 s`` or ``10 s``."""
+    s = F.floor(seconds).cast("long")
+    text = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
+    part = lambda c: F.floor(c).cast("string")
+    return F.when(s >= 3600, text(part(s / 3600), " h ", part(s % 3600 / 60), " min")).when(s >= 60, text(part(s / 60), " min ", part(s % 60), " s")).otherwise(text(s.cast("string"), " s"))
+
+
+def clock(seconds: Column) -> Column:
+    """``01:02:03``; dashes for what is unknown or endless."""
+    s = F.floor(F.when((seconds >= 0) & (seconds < 1e15), seconds)).cast("long")
+    shown = F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)
+    return F.when(s.isNotNull(), shown).otherwise("--:--:--")
+
+
 # --- dates -------------------------------------------------------------------
 
 
@@ -178,13 +301,29 @@ def years(value: Column) -> tuple[Column, Column]:
     ``1914-1918`` a span in either order; ``1860`` itself.
     """
     text = F.trim(value)
-    decade = _year(text, r"^(\d{3,4})s$", 1)
-    a, b = _year(text, r"^(\d{3,4})\s*[-–]\s*(\d{3,4})$", 1), _year(text, r"^(\d{3,4})\s*[-–]\s*(\d{3,4})$", 2)
-    one = _year(text, r"^(\d{3,4})$", 1)
+    decade = _year(text, r"^(\d{1,4})s$", 1)
+    a, b = _year(text, r"^(\d{1,4})\s*[-–]\s*(\d{1,4})$", 1), _year(text, r"^(\d{1,4})\s*[-–]\s*(\d{1,4})$", 2)
+    one = _year(text, r"^(\d{1,4})$", 1)
     last = F.when((decade % 100 == 0) & (decade < 1500), decade + 99).otherwise(decade + 9)
     return F.coalesce(decade, F.least(a, b), one), F.coalesce(last, F.greatest(a, b), one)
 
 
+def is_query_date(word: Column) -> Column:
+    """A year from 1000 to 2099, or a decade of those."""
+    return word.rlike(r"(?i)^(1[0-9]|20)[0-9]{2}$|^(1[0-9]|20)[0-9]0s$")
+
+
+def date_forms(word: Column) -> Column:
+    """A query's year and its decade, or the decade alone."""
+    year = F.lower(word)
+    return F.array_distinct(F.array(year, F.when(year.endswith("s"), year).otherwise(F.concat(F.substring(year, 1, 3), F.lit("0s")))))
+
+
+def hours_since(moment: Column, now: Column) -> Column:
+    """Hours from an ISO time (UTC) to now."""
+    return (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.to_timestamp(moment))) / 3.6e9
+
+
 def _year(text: Column, pattern: str, group: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).try_cast("int")
 

@@ -1,4 +1,4 @@
-"""Full-text search over record fields: postings, boolean match, BM25, vocabulary.
+"""Full-text search over record fields: postings, boolean match, BM25, vocabulary, and a written index of them.
 
 A query is a list of clauses that must all match; a clause is a list of
 phrases of which one must; a phrase is its words and the field it is bound to
@@ -10,14 +10,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.functions.columns import allowed_edits, osa, shape, words
 
-#: Weights of indexed fields; others weigh 1.
-WEIGHTS = {"title": 10.0, "names": 6.0, "dates": 6.0, "places": 4.0, "topics": 3.0, "object_types": 3.0, "notes": 2.0, "physical": 1.0, "identifiers": 1.0}
+#: Weights of indexed fields, in the order in which they are told; others weigh 1.
+WEIGHTS = {"title": 10.0, "names": 6.0, "identifiers": 6.0, "object_types": 4.0, "topics": 3.0, "places": 3.0, "dates": 2.0, "physical": 1.0, "notes": 1.0}
 K1, B = 1.2, 0.75
+#: Records that share a shape from which it is one of identifiers, and that use a word from which it is a correction.
+SHAPE_RECORDS, CORRECTION_RECORDS = 10, 3
+#: Rows of a page, or of words asked for, up to which they are broadcast: some megabytes.
+BROADCAST_ROWS = 50_000
 
 
 @dataclass(frozen=True)
@@ -67,13 +71,13 @@ def matches(hits: DataFrame, query: Query) -> DataFrame:
     return hits.groupBy("record_id").agg(F.count_distinct("clause").alias("c")).where(F.col("c") == len(query)).select("record_id")
 
 
-def bm25(tokens_: DataFrame, query: Query, weights: dict[str, float] | None = None) -> DataFrame:
-    """``record_id`` and ``score`` of matching records; lower is better."""
+def bm25(tokens_: DataFrame, query: Query, weights: dict[str, float] | None = None, lengths: DataFrame | None = None, hits: DataFrame | None = None) -> DataFrame:
+    """``record_id`` and ``score`` of matching records; lower is better. Record lengths and hits that are at hand aren't worked out again."""
     weights = WEIGHTS if weights is None else weights
-    hits = phrase_hits(tokens_, query)
+    hits = phrase_hits(tokens_, query) if hits is None else hits
     weight = reduce(lambda a, kv: a.when(F.col("field") == kv[0], kv[1]), list(weights.items())[1:], F.when(F.col("field") == next(iter(weights)), next(iter(weights.values())))).otherwise(1.0)
     tf = hits.groupBy("phrase", "clause", "record_id").agg(F.sum(weight * F.col("n")).alias("tf"))
-    lengths = record_lengths(tokens_)
+    lengths = record_lengths(tokens_) if lengths is None else lengths
     totals = lengths.agg(F.count("*").alias("all"), F.avg("len").alias("mean"))  # one row
     found = tf.groupBy("phrase").agg(F.count("*").alias("found"))  # a row a phrase
     idf = F.ln((F.col("all") - F.col("found") + 0.5) / (F.col("found") + 0.5))
@@ -84,33 +88,107 @@ def bm25(tokens_: DataFrame, query: Query, weights: dict[str, float] | None = No
 
 
 def matched_fields(hits: DataFrame, records: DataFrame) -> DataFrame:
-    """Fields with a hit, of a page of records."""
-    page = hits.join(F.broadcast(records.select("record_id")), "record_id", "left_semi")
-    return page.groupBy("record_id").agg(F.array_join(F.array_sort(F.collect_set("field")), ",").alias("fields"))
+    """Fields with a hit, in the order of ``WEIGHTS`` (others behind, by name), of a page of records."""
+    page = hits.join(records.select("record_id"), "record_id", "left_semi")
+    place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, WEIGHTS)), F.col("field")), F.lit(0)), F.lit(len(WEIGHTS) + 1))
+    ordered = F.transform(F.array_sort(F.collect_set(F.struct(place.alias("place"), "field"))), lambda x: x["field"])
+    return page.groupBy("record_id").agg(F.array_join(ordered, ",").alias("fields"))
 
 
 def vocabulary(tokens_: DataFrame) -> DataFrame:
     return tokens_.groupBy("term").agg(F.count_distinct("record_id").alias("records"))
 
 
-def identifier_shapes(tokens_: DataFrame, least: int = 10) -> DataFrame:
-    """Shapes of tokens with a digit that many records have."""
-    rows = tokens_.where(F.col("term").rlike(r"\p{N}")).select("record_id", shape(F.col("term")).alias("shape"))
-    return rows.groupBy("shape").agg(F.count_distinct("record_id").alias("records")).where(F.col("records") >= least)
+def identifier_shapes(fields: DataFrame, least: int = SHAPE_RECORDS) -> DataFrame:
+    """Shapes of whole lines of identifiers (fields: record_id, field, value) that many records have."""
+    lines = fields.where("field = 'identifiers'").select("record_id", F.explode(F.split("value", r"\R")).alias("line"))
+    lines = lines.select("record_id", F.trim("line").alias("line")).where("line <> ''")
+    return lines.select("record_id", shape(F.col("line")).alias("shape")).groupBy("shape").agg(F.count_distinct("record_id").alias("records")).where(F.col("records") >= least)
+
+
+def term_spellings(term: Column) -> Column:
+    """A catalog term, and of ``Last, First`` also ``First Last``."""
+    last, first = F.regexp_extract(term, r"(?s)^([^,]*),(.*)$", 1), F.regexp_extract(term, r"(?s)^([^,]*),(.*)$", 2)
+    return F.when(term.contains(","), F.array(term, F.concat(first, F.lit(" "), last))).otherwise(F.array(term))
 
 
 def gazetteer(vocab: DataFrame) -> DataFrame:
-    """Of the terms (term, field, record_count) that are spelt alike, the one that most records have, the first in order on ties."""
-    key = F.array_join(words(F.col("term")), " ")
-    order = Window.partitionBy("key").orderBy(F.desc("record_count"), "term", "field")
-    return vocab.withColumn("key", key).withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
+    """``key``, ``term``, ``field`` and ``record_count``: of the terms (term, field, record_count) that are spelt alike, the one that most records have, the first in order on ties."""
+    spelt = vocab.select("term", "field", "record_count", F.explode(term_spellings(F.col("term"))).alias("form"))
+    keyed = spelt.select(F.array_join(words(F.col("form")), " ").alias("key"), "term", "field", "record_count").where("key <> ''")
+    best = F.min_by(F.struct("term", "field", "record_count"), F.struct((-F.col("record_count")).alias("n"), "term", "field"))
+    return keyed.groupBy("key").agg(best.alias("best")).select("key", "best.term", "best.field", "best.record_count")
 
 
-def spellings(query_words: DataFrame, vocab: DataFrame, least: int = 3) -> DataFrame:
+def spellings(query_words: DataFrame, vocab: DataFrame, least: int = CORRECTION_RECORDS) -> DataFrame:
     """``word`` and ``correction`` of unseen words: of the vocabulary's words with the same first letter and few edits, the nearest, most used, first."""
-    unseen = query_words.join(vocab, query_words["word"] == vocab["term"], "left_anti").where(F.col("word").rlike(r"^\p{L}+$"))
-    edits = allowed_edits(F.col("word"))
-    asked = F.broadcast(unseen.select("word", edits.alias("edits")).where("edits > 0"))  # a query's words
-    near = vocab.where(F.col("records") >= least).join(asked, (F.substring("term", 1, 1) == F.substring("word", 1, 1)) & (F.abs(F.length("term") - F.length("word")) <= F.col("edits")))
+    unseen = query_words.select("word").distinct().join(vocab, F.col("word") == F.col("term"), "left_anti").where(F.col("word").rlike(r"^\p{L}+$"))
+    asked = unseen.select("word", allowed_edits(F.col("word")).alias("edits")).where("edits > 0")
+    # one first letter and length is the key, so words of one length meet candidates of few, without a broadcast
+    lengths = F.explode(F.sequence(F.length("word") - F.col("edits"), F.length("word") + F.col("edits")))
+    asked = asked.select("word", "edits", F.substring("word", 1, 1).alias("letter"), lengths.alias("size"))
+    common = vocab.where((F.col("records") >= least) & F.col("term").rlike(r"^\p{L}+$")).select("term", "records", F.substring("term", 1, 1).alias("letter"), F.length("term").alias("size"))
+    near = asked.join(common, ["letter", "size"]).where(F.levenshtein("word", "term", 4).between(0, 2 * F.col("edits")))
     near = near.withColumn("d", osa(F.col("word"), F.col("term"), F.col("edits"))).where("d <= edits")
     return near.groupBy("word").agg(F.min(F.struct("d", (-F.col("records")).alias("used"), "term")).alias("best")).select("word", F.col("best.term").alias("correction"))
+
+
+# --- a written index ---------------------------------------------------------
+
+#: Postings of a term stand in one of so many files' row groups, found by the term's hash and the sort order in it.
+BUCKETS = 64
+
+
+def write_index(fields: DataFrame, folder: str, terms: DataFrame | None = None, buckets: int = BUCKETS) -> None:
+    """Postings by a hash of the term, sorted by term; record lengths; vocabulary; identifier shapes; and the gazetteer of ``terms``."""
+    spark, top = fields.sparkSession, folder.rstrip("/")
+    slot = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("slot")
+    postings = tokens(fields).select("record_id", "field", "p", "term", slot)
+    # the record, too, is part of the range, so a word of all records is not one task
+    postings.repartitionByRange("slot", "term", "record_id").sortWithinPartitions("slot", "term").write.mode("overwrite").partitionBy("slot").parquet(f"{top}/postings")
+    stored = spark.read.parquet(f"{top}/postings")
+    record_lengths(stored).write.mode("overwrite").parquet(f"{top}/lengths")
+    vocabulary(stored).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{top}/vocabulary")
+    identifier_shapes(fields).write.mode("overwrite").parquet(f"{top}/shapes")
+    if terms is not None:
+        gazetteer(terms).repartitionByRange("key").sortWithinPartitions("key").write.mode("overwrite").parquet(f"{top}/gazetteer")
+    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(f"{top}/layout")
+
+
+class Live:
+    """Full-text access to tokens as they are."""
+
+    def __init__(self, tokens_: DataFrame, lengths: DataFrame | None = None) -> None:
+        self.tokens, self.lengths = tokens_, lengths
+
+    def postings(self, query: Query) -> DataFrame:
+        return self.tokens
+
+    def hits(self, query: Query) -> DataFrame:
+        return phrase_hits(self.postings(query), query)
+
+    def bm25(self, query: Query, weights: dict[str, float] | None = None, hits: DataFrame | None = None) -> DataFrame:
+        return bm25(self.postings(query), query, weights, self.lengths, hits)
+
+
+class Index(Live):
+    """A written index. A query reads the partitions of its own terms, and in them the row groups that may hold those."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self._read = lambda name: spark.read.parquet(f"{folder.rstrip('/')}/{name}")
+        self.buckets = self._read("layout").first()["buckets"]
+        super().__init__(self._read("postings").drop("slot"), self._read("lengths"))
+        self.vocabulary, self.shapes = self._read("vocabulary"), self._read("shapes")
+
+    @property
+    def gazetteer(self) -> DataFrame:
+        return self._read("gazetteer")
+
+    def postings(self, query: Query) -> DataFrame:
+        terms = sorted({t for clause in query for phrase in clause for t in phrase.terms})
+        if not terms:
+            return self.tokens.limit(0)
+        spark = self.lengths.sparkSession
+        # the slots of a query's words: as many rows as it has words
+        slots = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")).distinct().collect()]
+        return self._read("postings").where(F.col("slot").isin(slots) & F.col("term").isin(terms)).select("record_id", "field", "p", "term")

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.functions import columns as fn
-from vitrine.operators import browse, fulltext, ingest, profile, ranking, search
+from vitrine.operators import browse, fulltext, ingest, profile, ranking, routing, search
 from vitrine.operators.fulltext import Phrase
 from vitrine.plans import model as m
+from vitrine.plans import planner
 from vitrine.streaming import limits, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +87,18 @@ def normalize_vectors(spark, d):
 # --- objects, groups, masks --------------------------------------------------
 
 
+@query("items records", "SELECT DISTINCT object_id FROM items WHERE group_id IN ('g1', 'g4') AND record_id IS NOT NULL AND record_id IN (SELECT record_id FROM records WHERE title LIKE '%e%')")
+def objects_in_groups(spark, d):
+    return browse.objects_in(m.items(spark, d), ["g1", "g4"], True, m.records(spark, d).where(F.col("title").contains("e")))
+
+
+@query("items", f", {_SCORED}, {_BEST}, top AS (SELECT object_id, row_number() OVER (ORDER BY s DESC, pos) AS place FROM best QUALIFY place <= 100) SELECT object_id, CAST(row_number() OVER (ORDER BY place) AS INT) AS rank FROM top WHERE object_id IN (SELECT object_id FROM items WHERE group_id IN ('g1', 'g2'))")
+def shown_objects(spark, d):
+    items = m.items(spark, d)
+    best = ranking.best_of_objects(ranking.scored(items, ranking.vector_of(items, "0")))
+    return browse.shown_in_order(ranking.with_rank(best, 100, F.desc("similarity"), F.col("pos")).select("object_id", "rank"), items, ["g1", "g2"])
+
+
 @query("items", "SELECT object_id, count(*) AS image_count, min(pos) AS first_pos, string_agg(pos, ',' ORDER BY pos) AS members FROM items GROUP BY 1")
 def object_index(spark, d):
     return browse.objects(m.items(spark, d))
@@ -160,6 +173,46 @@ def sample_page(spark, d):
     return ranking.sampled(m.items(spark, d), "7", 30, 30)
 
 
+_SITE = "https://site.org"
+
+
+@query("items records", f""", {_SCORED}, {_BEST}, page AS (SELECT * FROM best ORDER BY s DESC, pos LIMIT 24) SELECT p.item_id AS id, p.object_id, r.title, 'Group ' || substr(p.group_id, 2) AS "group", (SELECT count(*) FROM items x WHERE x.object_id = p.object_id) AS images, round(round(s, 6), 3) AS similarity,
+    '{_SITE}/#/item/' || p.item_id || '%2F%20' AS page, '{_SITE}/images/' || p.item_id || '%2F%20?size=thumbnail' AS thumbnail FROM page p JOIN items i USING (item_id) LEFT JOIN records r ON r.record_id = i.record_id""".replace("p.item_id AS id", "p.item_id || '/ ' AS id"))
+def assistant_results(spark, d):
+    """A page as an assistant gets it; ids with a slash and a blank are quoted in links."""
+    page = browse.presented(_ranked(spark, d, 24), m.items(spark, d), m.records(spark, d)).withColumns({"item_id": F.concat("item_id", F.lit("/ ")), "similarity": F.col("score")})
+    labels = spark.range(10).select(F.concat(F.lit("g"), "id").alias("group_id"), F.concat(F.lit("Group "), "id").alias("label"))
+    return browse.assistant_rows(page, labels, _SITE)
+
+
+@query("items records", "SELECT item_id, i.record_id IS NOT NULL AS has_record, CASE WHEN title IS NULL THEN NULL ELSE title END AS title, 1 + (CASE WHEN i.record_id IS NULL THEN 0 ELSE 1 END) + (CASE WHEN title IS NULL THEN 0 ELSE 1 END) AS entries FROM items i LEFT JOIN records r ON i.record_id = r.record_id")
+def item_metadata(spark, d):
+    """Metadata maps hold no nulls."""
+    rows = browse.item_metadata(m.items(spark, d), m.records(spark, d), ["group_id", "record_id", "title"])
+    has = lambda k: F.map_contains_key("metadata", k)
+    return rows.select("item_id", has("record_id").alias("has_record"), F.try_element_at("metadata", F.lit("title")).alias("title"), F.size("metadata").alias("entries"))
+
+
+@query("items records", "SELECT item_id, CAST(1.0 AS DOUBLE) AS score, title AS name, group_id AS place FROM items i LEFT JOIN records r ON i.record_id = r.record_id")
+def client_results(spark, d):
+    rows = browse.item_metadata(m.items(spark, d), m.records(spark, d), ["group_id", "title"]).withColumn("score", F.lit(1.0))
+    return browse.client_rows(rows, {"name": "title", "place": "group_id"})
+
+
+@query("", """WITH known AS (SELECT split_part(url, '/', 4) AS segment, arg_max(page_id, page_id) AS value FROM pages WHERE page_id % 3 <> 0 AND len(string_split(url, '/')) > 3 GROUP BY 1)
+    SELECT url AS link, string_split(url, '/')[4] AS segment, CASE WHEN string_split(url, '/')[4] IS NOT NULL THEN coalesce(CAST(value AS VARCHAR), 'not_found') END AS value FROM pages LEFT JOIN known ON segment = string_split(url, '/')[4]""")
+def segment_lookup(spark, d):
+    pages = m.table(spark, d, "pages")
+    known = pages.where("page_id % 3 <> 0").select(F.col("page_id").alias("row"), "url", F.col("page_id").cast("string").alias("value"))
+    return browse.segment_lookup(pages.select(F.col("url").alias("link")), known, 3, "not_found")
+
+
+@query("", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'CC0 https://cc.org' WHEN 1 THEN 'CC0' WHEN 2 THEN 'https://cc.org' END AS license FROM orders")
+def license_texts(spark, d):
+    key = F.col("o_orderkey") % 4
+    return m.table(spark, d, "orders").select("o_orderkey", browse.license_text(F.when(key < 2, "CC0").otherwise(""), F.when((key == 0) | (key == 2), "https://cc.org")).alias("license"))
+
+
 # --- records, fields, facets -------------------------------------------------
 
 
@@ -169,16 +222,41 @@ def record_fields_ordered(spark, d):
     return browse.fields_in_order(rows)
 
 
+_RELATED = """r AS (SELECT CAST(conv_id AS VARCHAR) AS record_id, conv_id || '-' || lpad(CAST(turn AS VARCHAR), 3, '0') AS id, role AS source, CASE WHEN turn % 3 = 0 THEN 'i' || turn END AS image_id, turn, text FROM turns)"""
+
+
+@query("turns", f""", {_RELATED} SELECT record_id, id, source, image_id, turn % 4 = 0 AS has_thumbnail, CASE WHEN turn % 5 = 0 THEN 'CC' END AS rights, CASE WHEN turn % 2 = 0 THEN length(text) ELSE 0 END AS views,
+    array_to_string(list_slice(string_split(text, ' '), 1, 3), '|') AS tags, CAST(row_number() OVER (PARTITION BY record_id ORDER BY source, image_id IS NULL, id) AS INT) AS place FROM r""")
+def related_sources(spark, d):
+    rows = browse.related_described(*m.related(spark, d))
+    views = F.coalesce(F.try_element_at("counts", F.lit("views")), F.lit(0).cast("long"))
+    return rows.select("record_id", "id", "source", "image_id", "has_thumbnail", F.col("rights")["name"].alias("rights"), views.alias("views"), F.array_join("tags", "|").alias("tags"), "place")
+
+
+@query("turns", f", {_RELATED}, p AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY source, image_id IS NULL, id) AS place FROM r), g AS (SELECT record_id, source, string_agg(id, '|' ORDER BY place) AS ids, min(place) AS f FROM p GROUP BY 1, 2) SELECT record_id, source, CAST(row_number() OVER (PARTITION BY record_id ORDER BY f) AS INT) AS turn, ids FROM g")
+def related_by_source(spark, d):
+    return browse.related_by_source(browse.related_described(*m.related(spark, d))).withColumn("ids", F.array_join("ids", "|"))
+
+
+@query("turns", """, w AS (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS record_id FROM conversations) SELECT record_id, (SELECT count(*) FROM conversations c WHERE CAST(c.conv_id AS VARCHAR) = record_id) AS n_fields,
+    (SELECT string_agg(DISTINCT role, '|' ORDER BY role) FROM conversations c WHERE CAST(c.conv_id AS VARCHAR) = record_id) AS roles, (SELECT count(*) FROM turns t WHERE CAST(t.conv_id AS VARCHAR) = record_id) AS n_related FROM w""")
+def record_details(spark, d):
+    rows = m.table(spark, d, "conversations").withColumn("record_id", F.col("conv_id").cast("string"))
+    fields = rows.select("record_id", F.col("turn").alias("position"), F.col("role").alias("label"), F.col("text").alias("value"))
+    facets = rows.select("record_id", F.lit("name").alias("facet"), F.col("role").alias("value")).distinct()
+    out = browse.record_details(rows.select("record_id"), fields, facets, *m.related(spark, d))
+    return out.select("record_id", F.size("fields").cast("long").alias("n_fields"), F.array_join(F.try_element_at("facets", F.lit("name")), "|").alias("roles"), F.size("related").cast("long").alias("n_related"))
+
+
 @query("facets", "SELECT record_id, facet, string_agg(DISTINCT value, '|' ORDER BY value) AS values FROM facets GROUP BY 1, 2")
 def facets_map(spark, d):
     return browse.facet_lists(m.facets(spark, d))
 
 
-@query("facets", "SELECT record_id FROM facets GROUP BY 1 HAVING bool_or(facet = 'topic' AND lower(value) IN ('brand#11', 'brand#12', 'brand#13', 'brand#21')) AND bool_or(facet = 'object_type' AND lower(value) LIKE '%')")
+@query("facets", "SELECT record_id FROM facets GROUP BY 1 HAVING bool_or(facet = 'topic' AND lower(value) IN ('brand#11', 'brand#12', 'brand#13', 'brand#21')) AND bool_or(facet = 'object_type' AND lower(value) IN ('economy', 'promo', 'small'))")
 def facet_filter_and_or(spark, d):
     facets = m.facets(spark, d)
-    types = [r[0] for r in facets.where("facet = 'object_type'").select("value").distinct().collect()]  # a list of types, as a form would send
-    return browse.matching_records(facets, {"topic": ["Brand#11", "BRAND#12", " brand#13", "Brand#21", ""], "object_type": types})
+    return browse.matching_records(facets, {"topic": ["Brand#11", "BRAND#12", " brand#13", "Brand#21", ""], "object_type": ["economy", "Promo", "SMALL "]})
 
 
 @query("facets", "SELECT value, count(DISTINCT record_id) AS records FROM facets WHERE facet = 'topic' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
@@ -213,31 +291,32 @@ _HITS = {
 }
 _MIXED_HITS = f"""hits AS (SELECT 0 AS clause, '0.0' AS phrase, * FROM ({_HITS["of the"]}) UNION ALL SELECT 0, '0.1', record_id, field, count(*) FROM tokens WHERE term = 'this' GROUP BY ALL
     UNION ALL SELECT 1, '1.0', record_id, field, count(*) FROM tokens WHERE term = 'the' AND field = 'title' GROUP BY ALL UNION ALL SELECT 1, '1.1', record_id, field, count(*) FROM tokens WHERE term = 'src3' AND field = 'places' GROUP BY ALL)"""
-_BM25 = f"""{_MIXED_HITS}, tf AS (SELECT phrase, clause, record_id, sum(n * CASE field WHEN 'title' THEN 10.0 WHEN 'names' THEN 6.0 WHEN 'places' THEN 4.0 WHEN 'notes' THEN 2.0 END) AS tf FROM hits GROUP BY ALL),
+_BM25 = f"""{_MIXED_HITS}, tf AS (SELECT phrase, clause, record_id, sum(n * CASE field WHEN 'title' THEN 10.0 WHEN 'names' THEN 6.0 WHEN 'identifiers' THEN 6.0 WHEN 'places' THEN 3.0 WHEN 'dates' THEN 2.0 ELSE 1.0 END) AS tf FROM hits GROUP BY ALL),
     lens AS (SELECT record_id, count(*) AS len FROM tokens GROUP BY 1), tot AS (SELECT count(*) AS n_all, avg(len) AS mean FROM lens), nq AS (SELECT phrase, count(*) AS found FROM tf GROUP BY 1),
     scores AS (SELECT record_id, -sum(CASE WHEN ln((n_all - found + 0.5) / (found + 0.5)) > 0 THEN ln((n_all - found + 0.5) / (found + 0.5)) ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) AS score
         FROM tf JOIN nq USING (phrase) JOIN lens USING (record_id), tot GROUP BY 1 HAVING count(DISTINCT clause) = 2)"""
 _TOK = "text_fields tokens"
+_ORDER = "['title','names','identifiers','object_types','topics','places','dates','physical','notes']"
 
 
 @query(_TOK, "SELECT record_id FROM tokens GROUP BY 1 HAVING bool_or(term IN ('the', 'les')) AND bool_or(term IN ('of', 'de'))")
 def match_and(spark, d):
-    return fulltext.matches(fulltext.phrase_hits(m.tokens(spark, d), _AND), _AND)
+    return fulltext.matches(m.text(spark, d).hits(_AND), _AND)
 
 
 @query(_TOK, "SELECT DISTINCT record_id FROM tokens WHERE term IN ('the', 'les')")
 def match_or(spark, d):
-    return fulltext.matches(fulltext.phrase_hits(m.tokens(spark, d), _AND[:1]), _AND[:1])
+    return fulltext.matches(m.text(spark, d).hits(_AND[:1]), _AND[:1])
 
 
 @query(_TOK, f"SELECT DISTINCT record_id FROM ({_HITS['of the']})")
 def match_phrase(spark, d):
-    return fulltext.matches(fulltext.phrase_hits(m.tokens(spark, d), _PHRASE), _PHRASE)
+    return fulltext.matches(m.text(spark, d).hits(_PHRASE), _PHRASE)
 
 
 @query(_TOK, "SELECT DISTINCT record_id FROM tokens WHERE term = 'the' AND field = 'title'")
 def match_field(spark, d):
-    return fulltext.matches(fulltext.phrase_hits(m.tokens(spark, d), _FIELD), _FIELD)
+    return fulltext.matches(m.text(spark, d).hits(_FIELD), _FIELD)
 
 
 @query(_TOK, f"SELECT count(DISTINCT record_id) AS matches FROM ({_HITS['of the']})")
@@ -247,42 +326,102 @@ def match_count(spark, d):
 
 @query(_TOK, f", {_BM25} SELECT record_id, round(score, 6) AS score FROM scores ORDER BY scores.score, record_id LIMIT 50")
 def bm25_topk(spark, d):
-    return fulltext.bm25(m.tokens(spark, d), _MIXED).orderBy("score", "record_id").limit(50).withColumn("score", F.round("score", 6))
+    return m.text(spark, d).bm25(_MIXED).orderBy("score", "record_id").limit(50).withColumn("score", F.round("score", 6))
 
 
-@query(_TOK, f", {_BM25}, page AS (SELECT record_id FROM scores ORDER BY score, record_id LIMIT 50) SELECT record_id, string_agg(DISTINCT field, ',' ORDER BY field) AS fields FROM hits WHERE record_id IN (SELECT record_id FROM page) GROUP BY 1")
+@query(_TOK, f", {_BM25}, page AS (SELECT record_id FROM scores ORDER BY score, record_id LIMIT 50) SELECT record_id, string_agg(field, ',' ORDER BY list_position({_ORDER}, field)) AS fields FROM (SELECT DISTINCT record_id, field FROM hits WHERE record_id IN (SELECT record_id FROM page)) GROUP BY 1")
 def matched_fields(spark, d):
-    tokens = m.tokens(spark, d)
-    return fulltext.matched_fields(fulltext.phrase_hits(tokens, _MIXED), fulltext.bm25(tokens, _MIXED).orderBy("score", "record_id").limit(50))
+    text = m.text(spark, d)
+    hits = text.hits(_MIXED)
+    return fulltext.matched_fields(hits, text.bm25(_MIXED, hits=hits).orderBy("score", "record_id").limit(50))
 
 
 @query(_TOK, "SELECT term, count(DISTINCT record_id) AS records FROM tokens GROUP BY 1")
 def vocabulary_df(spark, d):
-    return fulltext.vocabulary(m.tokens(spark, d))
+    return m.text(spark, d).vocabulary
 
 
-@query(_TOK, "SELECT regexp_replace(regexp_replace(term, '\\p{N}', '9', 'g'), '\\p{L}', 'A', 'g') AS shape, count(DISTINCT record_id) AS records FROM tokens WHERE regexp_matches(term, '\\p{N}') GROUP BY 1 HAVING records >= 10")
+@query(_TOK, "SELECT record_id, field, count(*) AS n, max(p) AS last FROM tokens GROUP BY 1, 2")
+def token_counts(spark, d):
+    """Tokens of each field as they are, without the index."""
+    return m.tokens(spark, d).groupBy("record_id", "field").agg(F.count("*").alias("n"), F.max("p").cast("long").alias("last"))
+
+
+@query("text_fields", "SELECT regexp_replace(regexp_replace(value, '[0-9]', '9', 'g'), '[A-Za-z]', 'A', 'g') AS shape, count(DISTINCT record_id) AS records FROM text_fields WHERE field = 'identifiers' GROUP BY 1 HAVING records >= 10")
 def identifier_shapes(spark, d):
-    return fulltext.identifier_shapes(m.tokens(spark, d))
+    return fulltext.identifier_shapes(m.text_fields(spark, d))
 
 
-@query("facets", """, v AS (SELECT value AS term, facet AS field, count(DISTINCT record_id) AS record_count FROM facets WHERE facet <> 'date' GROUP BY 1, 2),
-    r AS (SELECT *, array_to_string(regexp_extract_all(lower(term), '[\\p{L}\\p{N}]+'), ' ') AS key FROM v), k AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY record_count DESC, term, field) AS r FROM r) SELECT term, field, record_count, key FROM k WHERE r = 1""")
+@query("part_fields terms gaz", "SELECT key, term, field, record_count FROM gaz")
 def gazetteer(spark, d):
-    rows = m.facets(spark, d).where("facet <> 'date'").groupBy(F.col("value").alias("term"), F.col("facet").alias("field")).agg(F.count_distinct("record_id").alias("record_count"))
-    return fulltext.gazetteer(rows)
+    return fulltext.gazetteer(m.terms(m.part_fields(spark, d)))
 
 
-@query()
+_SWAPPED = """w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+')) AS w FROM benchmark),
+    s AS (SELECT DISTINCT substr(w, 1, 2) || substr(w, 4, 1) || substr(w, 3, 1) || substr(w, 5) AS word FROM w WHERE length(w) BETWEEN 5 AND 7), v AS (SELECT term, count(DISTINCT record_id) AS records FROM tokens GROUP BY 1),
+    n AS (SELECT word, term, damerau_levenshtein(word, term) AS d, records FROM s JOIN v ON left(word, 1) = left(term, 1) AND abs(length(word) - length(term)) <= 1 AND records >= 3
+        WHERE word NOT IN (SELECT term FROM v) AND regexp_full_match(word, '\\p{L}+') AND regexp_full_match(term, '\\p{L}+'))"""
+
+
+@query(_TOK, f", {_SWAPPED} SELECT word, arg_min(term, (d, -records, term)) AS correction FROM n WHERE d <= 1 GROUP BY 1")
 def spelling_candidates(spark, d):
-    """Corrections of the benchmark's words with two neighbours swapped."""
-    own = m.table(spark, d, "benchmark").select(F.explode(fn.words(F.col("text"))).alias("w")).where(F.length("w") > 5).distinct()
-    swapped = own.select(F.concat(F.substring("w", 1, 2), F.substring("w", 4, 1), F.substring("w", 3, 1), F.expr("substring(w, 5)")).alias("word")).distinct()
-    return fulltext.spellings(swapped, fulltext.vocabulary(m.tokens(spark, d)))
+    """Corrections of the benchmark's words of five to seven letters with two neighbours swapped (one edit is allowed, for which all distances agree)."""
+    own = m.table(spark, d, "benchmark").select(F.explode(fn.words(F.col("text"))).alias("w")).where(F.length("w").between(5, 7))
+    swapped = own.select(F.concat(F.substring("w", 1, 2), F.substring("w", 4, 1), F.substring("w", 3, 1), F.expr("substring(w, 5)")).alias("word"))
+    return fulltext.spellings(swapped, m.text(spark, d).vocabulary)
 
 
-_FUSED = f"""{_SCORED}, {_BEST}, vis AS (SELECT object_id, item_id, row_number() OVER (ORDER BY s DESC, pos) AS vr FROM best QUALIFY vr <= 1000), {_BM25},
-    shown AS (SELECT DISTINCT record_id, object_id FROM items WHERE record_id IS NOT NULL), kw AS (SELECT object_id, row_number() OVER (ORDER BY score, record_id) AS kr FROM scores JOIN shown USING (record_id) QUALIFY kr <= 1000),
+@query()
+def spelling_long(spark, d):
+    """The same of longer words, where two edits are allowed."""
+    own = m.table(spark, d, "benchmark").select(F.explode(fn.words(F.col("text"))).alias("w")).where(F.length("w") > 7)
+    swapped = own.select(F.concat(F.substring("w", 1, 2), F.substring("w", 4, 1), F.substring("w", 3, 1), F.expr("substring(w, 5)")).alias("word"))
+    return fulltext.spellings(swapped, m.text(spark, d).vocabulary)
+
+
+# --- what queries ask for ----------------------------------------------------
+
+_ROUTED = "part_fields part_tokens terms gaz asked"
+_STOP = "['a','an','and','are','as','at','be','by','for','from','in','into','is','it','its','of','on','or','that','the','this','to','with']"
+# parts' names are two words, which decides what can contain what: a gazetteer key has two words at most
+_MATCHES = f"""vocab AS (SELECT term, count(DISTINCT record_id) AS records, count(DISTINCT CASE WHEN field = 'names' THEN record_id END) AS named FROM part_tokens GROUP BY 1),
+    plain AS (SELECT query_id, query, regexp_extract_all(lower(query), '[a-z0-9]+') AS every FROM asked WHERE NOT contains(query, '"') AND NOT starts_with(query, 'title:')),
+    q AS (SELECT *, CASE WHEN len(list_filter(every, lambda w: NOT list_contains({_STOP}, w))) > 0 THEN list_filter(every, lambda w: NOT list_contains({_STOP}, w)) ELSE every END AS ws FROM plain),
+    exact AS (SELECT query_id, arg_min(term, p) AS term, arg_min(field, p) AS field, arg_min(record_count, p) AS record_count FROM (SELECT query_id, 0 AS p, array_to_string(every, ' ') AS key FROM q UNION ALL SELECT query_id, 1, array_to_string(ws, ' ') FROM q) JOIN gaz USING (key) GROUP BY 1),
+    form AS (SELECT query_id, 0 AS p, ws[1] || 's' AS key FROM q WHERE len(ws) = 1 UNION ALL SELECT query_id, 1, ws[1] || 'es' FROM q WHERE len(ws) = 1 UNION ALL SELECT query_id, 2, left(ws[1], length(ws[1]) - 2) FROM q WHERE len(ws) = 1 AND ends_with(ws[1], 'es')
+        UNION ALL SELECT query_id, 3, left(ws[1], length(ws[1]) - 1) FROM q WHERE len(ws) = 1 AND ends_with(ws[1], 's')),
+    thing AS (SELECT query_id, arg_min(g.term, p) AS term, arg_min(g.field, p) AS field, arg_min(record_count, p) AS record_count FROM form JOIN gaz g USING (key) WHERE key IN (SELECT term FROM vocab) AND g.field IN ('topic', 'object_type') GROUP BY 1),
+    named AS (SELECT query_id, arg_max(g.term, (record_count, -length(key), key)) AS term, 'name' AS field, max(record_count) AS record_count FROM q JOIN vocab v ON len(ws) = 1 AND v.term = ws[1] AND 2 * named >= records
+        JOIN gaz g ON g.field = 'name' AND (starts_with(key || ' ', ws[1] || ' ') OR ends_with(' ' || key, ' ' || ws[1])) GROUP BY 1),
+    inside AS (SELECT query_id, arg_max(g.term, (record_count, -length(key), key)) AS term, arg_max(g.field, (record_count, -length(key), key)) AS field, max(record_count) AS record_count FROM q JOIN gaz g ON len(ws) = 2 AND key = ws[1] || ' ' || ws[2] GROUP BY 1),
+    pairs AS (SELECT query_id, unnest(range(1, len(ws))) AS i, ws FROM q WHERE len(ws) > 2), part_ AS (SELECT query_id, arg_min(term, i) AS term, arg_min(field, i) AS field, arg_min(record_count, i) AS record_count FROM pairs JOIN gaz ON key = ws[i] || ' ' || ws[i + 1] GROUP BY 1),
+    ways AS (SELECT *, 1 AS way FROM exact UNION ALL SELECT t.*, 2 FROM thing t ANTI JOIN exact USING (query_id) UNION ALL SELECT *, 3 FROM named UNION ALL SELECT i.*, 2 FROM inside i ANTI JOIN exact USING (query_id)),
+    best AS (SELECT query_id, arg_max(term, (record_count, -way)) AS term, arg_max(field, (record_count, -way)) AS field, max(record_count) AS record_count, true AS whole FROM ways GROUP BY 1),
+    matches AS (SELECT * FROM best UNION ALL SELECT *, false FROM part_ p ANTI JOIN best USING (query_id))"""
+
+
+@query(_ROUTED, f", {_MATCHES} SELECT query_id, term, field, record_count, whole FROM matches")
+def gazetteer_matches(spark, d):
+    text = m.part_text(spark, d)
+    asked = m.part_queries(spark, d).where(~F.col("query").contains('"') & ~F.col("query").startswith("title:")).withColumnRenamed("query", "text")
+    return routing.gazetteer_matches(asked, text.gazetteer, text.vocabulary, text.tokens)
+
+
+@query(_ROUTED, f""", {_MATCHES}, k AS (SELECT query_id, query, CASE WHEN regexp_full_match(query, '(1[0-9]|20)[0-9]{{2}}') THEN 'date' WHEN regexp_full_match(query, 'P\.[0-9]{{6}}') AND (SELECT count(*) FROM part) >= 10 THEN 'identifier' WHEN starts_with(query, 'title:') THEN 'field' WHEN contains(query, '"') THEN 'phrase' END AS kind FROM asked),
+    r AS (SELECT query_id, coalesce(kind, x.field, 'description') AS kind, CASE WHEN kind IS NULL THEN term END AS term, CASE WHEN kind IS NULL THEN whole END AS whole FROM k LEFT JOIN matches x USING (query_id))
+    SELECT query_id, kind, term, CAST(CASE WHEN NOT coalesce(whole, true) OR kind IN ('topic', 'object_type') THEN 1.0 WHEN kind IN ('name', 'date') THEN 0.3 WHEN kind = 'description' THEN 1.0 ELSE 0.0 END AS DOUBLE) AS visual,
+        CAST(CASE WHEN kind = 'description' THEN 0.3 ELSE 1.0 END AS DOUBLE) AS keyword FROM r""")
+def query_routes(spark, d):
+    text = m.part_text(spark, d)
+    fields = ["title", "names", "topics", "object_types", "identifiers", "dates"]
+    return routing.routed(m.part_queries(spark, d), text.tokens, text.vocabulary, text.gazetteer, text.shapes, fields, correct=False).select("query_id", "kind", "term", "visual", "keyword")
+
+
+# --- hybrid search -----------------------------------------------------------
+
+_KEYWORD = """shown AS (SELECT DISTINCT record_id, object_id FROM items WHERE record_id IS NOT NULL), obj AS (SELECT object_id, min(score) AS score, arg_min(record_id, (score, record_id)) AS record_id FROM scores JOIN shown USING (record_id) GROUP BY 1)"""
+_FUSED = f"""{_SCORED}, {_BEST}, vis AS (SELECT object_id, item_id, row_number() OVER (ORDER BY s DESC, pos) AS vr FROM best QUALIFY vr <= 1000), {_BM25}, {_KEYWORD},
+    kw AS (SELECT object_id, record_id, row_number() OVER (ORDER BY score, record_id) AS kr FROM obj QUALIFY kr <= 1000),
     f AS (SELECT object_id, vr, kr, coalesce(0.3 / (60 + vr), 0) + coalesce(1.0 / (60 + kr), 0) AS score FROM vis FULL JOIN kw USING (object_id))"""
 
 
@@ -296,36 +435,128 @@ def rrf_fusion(spark, d):
     items = m.items(spark, d)
     best = ranking.best_of_objects(ranking.scored(items, ranking.vector_of(items, "0")))
     visual = ranking.with_rank(best, 1000, F.desc("similarity"), F.col("pos"))
-    shown = items.where("record_id IS NOT NULL").select("record_id", "object_id").distinct()
-    keyword = ranking.with_rank(fulltext.bm25(m.tokens(spark, d), _MIXED).join(shown, "record_id"), 1000, F.col("score"), F.col("record_id"))
+    keyword = ranking.with_rank(search.keyword_objects(m.text(spark, d).bm25(_MIXED), items), 1000, F.col("score"), F.col("record_id"))
     return _shown(ranking.fused(visual, keyword, (0.3, 1.0)))
 
 
-@query("items text_fields tokens", f""", {_FUSED}, page AS (SELECT * FROM f ORDER BY score DESC, vr NULLS LAST, kr NULLS LAST, object_id LIMIT 24),
-    fi AS (SELECT object_id, arg_min(item_id, pos) AS first_item, any_value(record_id) AS record_id FROM items GROUP BY 1), fl AS (SELECT record_id, string_agg(DISTINCT field, ',' ORDER BY field) AS fields FROM hits GROUP BY 1)
+_LABELS = "map {'title': 'title', 'names': 'name', 'identifiers': 'catalog number', 'places': 'place', 'dates': 'date', 'notes': 'description'}"
+_PAGE = f"""fl AS (SELECT record_id, list(field ORDER BY list_position({_ORDER}, field)) AS fields FROM (SELECT DISTINCT record_id, field FROM hits) GROUP BY 1)
     SELECT p.object_id, coalesce(v.item_id, first_item) AS item_id, round(p.score, 8) AS score, CAST(coalesce(p.vr, 0) AS INT) AS visual_rank, CAST(coalesce(p.kr, 0) AS INT) AS keyword_rank,
-        CASE WHEN kr IS NOT NULL THEN 'Matches ' || array_to_string(list_slice(string_split(fields, ','), 1, 2), ' and ') ELSE 'Looks similar' END AS explanation
-    FROM page p LEFT JOIN vis v USING (object_id) JOIN fi USING (object_id) LEFT JOIN fl USING (record_id)""")
+        CASE WHEN p.kr IS NOT NULL THEN 'Matches the ' || array_to_string(list_transform(list_slice(fields, 1, 2), lambda x: {_LABELS}[x]), ' and ') ELSE 'Looks similar' END AS explanation
+    FROM page p LEFT JOIN vis v USING (object_id) JOIN fi USING (object_id) LEFT JOIN kw k USING (object_id) LEFT JOIN fl ON fl.record_id = k.record_id"""
+
+
+@query("items text_fields tokens", f""", {_FUSED}, page AS (SELECT * FROM f ORDER BY score DESC, vr NULLS LAST, kr NULLS LAST, object_id LIMIT 24),
+    fi AS (SELECT object_id, arg_min(item_id, pos) AS first_item FROM items GROUP BY 1), {_PAGE}""")
 def hybrid_search(spark, d):
     items = m.items(spark, d)
-    return _shown(search.hybrid(items, m.tokens(spark, d), ranking.vector_of(items, "0"), _MIXED, (0.3, 1.0), 24))
+    return _shown(search.ranked_page(items, m.text(spark, d), ranking.vector_of(items, "0"), _MIXED, (0.3, 1.0), 24)[0]).drop("similarity", "fields")
+
+
+_CHOSEN = "chosen AS (SELECT record_id FROM records WHERE title LIKE '%e%'), inside AS (SELECT * FROM items WHERE group_id IN ('g1', 'g3', 'g5'))"
+_FILTERED = f"""{_CHOSEN}, vis AS (SELECT object_id, item_id, row_number() OVER (ORDER BY s DESC, pos) AS vr FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY s DESC, pos) AS r FROM
+        (SELECT item_id, pos, object_id, list_inner_product(embedding, {_Q}) AS s FROM inside WHERE record_id IN (FROM chosen))) WHERE r = 1) QUALIFY vr <= 1000), {_BM25}, {_KEYWORD},
+    every AS (SELECT * FROM obj WHERE record_id IN (FROM chosen)), kw AS (SELECT object_id, record_id, row_number() OVER (ORDER BY score, record_id) AS kr FROM every WHERE object_id IN (SELECT object_id FROM inside) QUALIFY kr <= 1000),
+    f AS (SELECT object_id, vr, kr, coalesce(1.0 / (30 + vr), 0) + coalesce(1.0 / (30 + kr), 0) AS score FROM vis FULL JOIN kw USING (object_id)), page AS (SELECT * FROM f ORDER BY score DESC, vr NULLS LAST, kr NULLS LAST, object_id LIMIT 12 OFFSET 12),
+    fi AS (SELECT object_id, arg_min(item_id, (CASE WHEN group_id IN ('g1', 'g3', 'g5') THEN 0 ELSE 1 END, pos)) AS first_item FROM items GROUP BY 1)"""
+
+
+def _filtered(spark: SparkSession, d: str):
+    items = m.items(spark, d)
+    chosen = m.records(spark, d).where(F.col("title").contains("e"))
+    return search.ranked_page(items, m.text(spark, d), ranking.vector_of(items, "0"), _MIXED, (1.0, 1.0), 12, 2, ["g1", "g3", "g5"], True, chosen, 30)
+
+
+@query("items records text_fields tokens", f", {_FILTERED}, {_PAGE}")
+def hybrid_filtered(spark, d):
+    """The second page of a search narrowed by groups, records and to what has a record."""
+    return _shown(_filtered(spark, d)[0]).drop("similarity", "fields")
+
+
+@query("items records text_fields tokens", f", {_FILTERED} SELECT group_id, count(DISTINCT object_id) AS objects FROM items WHERE object_id IN (SELECT object_id FROM every) GROUP BY 1")
+def hybrid_group_counts(spark, d):
+    """Matched objects by group, whatever groups are chosen."""
+    return browse.group_counts(m.items(spark, d), _filtered(spark, d)[2])
+
+
+@query("items text_fields tokens", f""", {_SCORED}, b AS (SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY object_id ORDER BY s DESC, pos) AS r FROM scored s WHERE item_id IN (SELECT item_id FROM items WHERE record_id IS NOT NULL)) WHERE r = 1)
+    SELECT object_id, item_id, round(s, 6) AS similarity, 'Looks similar' AS explanation FROM b ORDER BY s DESC, pos LIMIT 24""")
+def hybrid_cataloged_only(spark, d):
+    """By appearance alone, what has no record left out."""
+    items = m.items(spark, d)
+    rows = search.ranked_page(items, m.text(spark, d), ranking.vector_of(items, "0"), [], (1.0, 0.0), 24, cataloged_only=True)[0]
+    return _ROUND(rows.select("object_id", "item_id", "similarity", "explanation"))
+
+
+#: Queries that find nothing, or only outside what is chosen.
+_EMPTY = ["zzzz", "title:zzzz", "2091", "PROMO zzzz", "ECONOMY SMALL", '"ring ring"', "small"]
+
+
+@query("", """SELECT * FROM (VALUES (0, 'missing'), (1, 'missing'), (2, 'missing'), (3, 'missing'), (4, (SELECT CASE WHEN count(*) > 0 THEN 'outside_groups' ELSE 'not_together' END FROM part WHERE contains(lower(p_type || ' ' || p_name), 'economy') AND contains(lower(p_type || ' ' || p_name), 'small'))),
+    (5, 'missing'), (6, (SELECT CASE WHEN count(*) > 0 THEN 'outside_groups' ELSE 'missing' END FROM part WHERE lower(p_type || ' ' || p_name) LIKE '%small%'))) t(query_id, reason)""")
+def empty_reasons(spark, d):
+    """Why each of some queries finds nothing in groups that hold none of its records."""
+    text, fields = m.part_text(spark, d), ["title", "names", "topics", "object_types", "identifiers", "dates"]
+    found = []
+    for i, query_ in enumerate(_EMPTY):
+        plan = planner.plan(query_, text.tokens, text.vocabulary, text.gazetteer, text.shapes, fields, correct=False)
+        found.append((i, search.empty_reason(plan, text)["kind"]))
+    return spark.createDataFrame(found, "query_id int, reason string")
 
 
 # --- profiling ---------------------------------------------------------------
 
 
-@query("files", "SELECT key, lower(regexp_extract(key, '\\.([^./]*)$', 1)) AS ext, CASE WHEN lower(regexp_extract(key, '\\.([^./]*)$', 1)) IN ('jpg', 'png', 'tif') THEN 'image' ELSE 'other' END AS kind FROM files")
+_EXT = "lower(regexp_extract(key, '\\.([^./]*)$', 1))"
+_KIND = f"CASE WHEN {_EXT} IN ('jpg', 'png', 'tif') THEN 'image' ELSE 'other' END"
+
+
+@query("files", f"SELECT key, {_EXT} AS ext, {_KIND} AS kind FROM files")
 def classify_files(spark, d):
     return profile.classified(m.file_keys(spark, d)).select("key", "ext", "kind")
 
 
-@query("files", "SELECT lower(regexp_extract(key, '\\.([^./]*)$', 1)) AS ext, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, count(*) FILTER (size < 10240) AS tiny FROM files GROUP BY 1")
+@query("files", f"SELECT {_EXT} AS ext, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, count(*) FILTER (size < 10240) AS tiny FROM files GROUP BY 1")
 def ext_stats(spark, d):
     return profile.extension_stats(profile.classified(m.file_keys(spark, d)))
 
 
+@query("files", f"SELECT count(*) AS files, count(*) FILTER (kind = 'image') AS images, CAST(coalesce(sum(size) FILTER (kind = 'image'), 0) AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS unreadable, count(*) FILTER (kind = 'other') AS others, count(*) FILTER (kind = 'image' AND size < 10240) AS tiny FROM (SELECT *, {_KIND} AS kind FROM files)")
+def scan_totals(spark, d):
+    return profile.scan_totals(profile.classified(m.file_keys(spark, d)))
+
+
+def _messy(spark: SparkSession, d: str) -> DataFrame:
+    """Some keys as junk, unreadable or other files."""
+    key = F.when(F.col("pos") % 11 == 0, F.concat(F.lit("a/"), F.element_at(F.array(F.lit("Thumbs.db"), F.lit(".DS_Store")), (F.col("pos") % 2 + 1).cast("int")))).when(F.col("pos") % 11 == 1, F.concat(F.lit("b/x"), F.col("pos").cast("string"))).otherwise(F.col("key"))
+    return m.file_keys(spark, d).select("pos", key.alias("key"), F.when(F.col("pos") % 13 != 0, F.col("size")).alias("size"))
+
+
+_MESSY = """messy AS (SELECT pos, CASE pos % 11 WHEN 0 THEN 'a/' || (['Thumbs.db', '.DS_Store'][pos % 2 + 1]) WHEN 1 THEN 'b/x' || pos ELSE key END AS key, CASE WHEN pos % 13 <> 0 THEN size END AS size FROM files),
+    c AS (SELECT *, lower(regexp_extract(key, '\\.([^./]*)$', 1)) AS ext FROM messy), i AS (SELECT pos, CASE WHEN size IS NULL THEN 'unreadable' WHEN pos % 11 = 0 THEN 'junk_file' WHEN ext NOT IN ('jpg', 'png', 'tif') THEN 'non_image' WHEN size < 10240 THEN 'tiny_image' END AS kind,
+        CASE WHEN size IS NULL THEN '' WHEN pos % 11 = 0 THEN lower(regexp_extract(key, '[^/]*$')) WHEN ext = '' THEN 'no extension' WHEN ext NOT IN ('jpg', 'png', 'tif') THEN ext ELSE '' END AS name FROM c)"""
+
+
+@query("files", f"""{', '}{_MESSY} SELECT kind, name, count(*) AS files, CASE kind WHEN 'junk_file' THEN 'system file ' || name WHEN 'unreadable' THEN 'could not be read (permissions or damage)' WHEN 'non_image' THEN '.' || name || ' files are not images'
+    ELSE 'under 10 KB, possibly broken or placeholder images' END AS note FROM i WHERE kind IS NOT NULL GROUP BY 1, 2""")
+def scan_issues(spark, d):
+    return profile.scan_issues(_messy(spark, d))
+
+
+@query("files", """, c AS (SELECT pos, CASE WHEN pos % 2 = 0 THEN 'c' || pos || '.csv' ELSE 'c' || pos || '.xlsx' END AS key, size % 3000 * (pos % 5) AS size FROM files ORDER BY pos LIMIT 10)
+    SELECT key, size, size < CASE WHEN pos % 2 = 0 THEN 64 ELSE 2048 END AS looks_empty, CASE WHEN size = 0 THEN 'The file is empty.' WHEN size < CASE WHEN pos % 2 = 0 THEN 64 ELSE 2048 END THEN 'Only ' || size || ' bytes, too small to hold any real content.' ELSE 'May describe the images. It is not used yet.' END AS note FROM c""")
+def catalog_candidates(spark, d):
+    rows = m.file_keys(spark, d).select("pos", F.concat(F.lit("c"), "pos", F.when(F.col("pos") % 2 == 0, ".csv").otherwise(".xlsx")).alias("key"), (F.col("size") % 3000 * (F.col("pos") % 5)).alias("size"))
+    return profile.catalog_candidates(rows)
+
+
+@query("files", "SELECT split_part(key, '/', 1) AS folder, CAST(sum(size) AS BIGINT) AS bytes FROM files GROUP BY 1 UNION ALL SELECT 'total', CAST(sum(size) AS BIGINT) FROM files")
+def folder_bytes(spark, d):
+    return profile.folder_bytes(m.file_keys(spark, d))
+
+
 _NAME = "regexp_extract(key, '[^/]*$')"
-_TEMPLATE = f"CASE WHEN {_NAME} LIKE 'IMG\\_%' ESCAPE '\\' THEN 'IMG_<n' || CAST(length(regexp_extract({_NAME}, '_(\\d+)', 1)) AS VARCHAR) || '>' ELSE regexp_extract({_NAME}, '^[a-z]+') || '-<year>' END || '.' || lower(regexp_extract(key, '\\.([^./]*)$', 1))"
+_TEMPLATE = f"CASE WHEN {_NAME} LIKE 'IMG\\_%' ESCAPE '\\' THEN 'IMG_<n' || CAST(length(regexp_extract({_NAME}, '_(\\d+)', 1)) AS VARCHAR) || '>' ELSE regexp_extract({_NAME}, '^[a-z]+') || '-<year>' END || '.' || {_EXT}"
 
 
 @query("files", f"SELECT pos, {_TEMPLATE} AS template FROM files")
@@ -333,16 +564,16 @@ def name_templates(spark, d):
     return m.file_keys(spark, d).select("pos", fn.name_template(fn.basename(F.col("key"))).alias("template"))
 
 
-@query("files", f", t AS (SELECT pos, {_NAME} AS name, {_TEMPLATE} AS template FROM files) SELECT template, count(*) AS files, round(count(*) / (SELECT count(*) FROM t), 4) AS share, arg_min(name, pos) AS example FROM t GROUP BY 1 ORDER BY files DESC, min(pos) LIMIT 6")
+@query("files", f", t AS (SELECT pos, {_NAME} AS name, {_TEMPLATE} AS template FROM files) SELECT template, count(*) AS files, round(count(*) / (SELECT count(*) FROM t), 4) AS share, arg_min(name, pos) AS example, CASE WHEN starts_with(template, 'IMG') THEN 'camera default name, carries no information' ELSE 'may contain a year that can be extracted' END AS meaning FROM t GROUP BY 1 ORDER BY files DESC, min(pos) LIMIT 6")
 def name_patterns(spark, d):
     return profile.name_patterns(m.file_keys(spark, d).select("pos", fn.basename(F.col("key")).alias("name")))
 
 
-@query("files", """, p AS (SELECT string_split(key, '/') AS s FROM files), n AS (SELECT unnest([0, 1]) AS depth, unnest(s[1:2]) AS name FROM p), g AS (SELECT depth, name, count(*) AS n FROM n GROUP BY 1, 2),
-    a AS (SELECT CAST(depth AS INT) AS depth, CAST(sum(n) AS BIGINT) AS files, count(*) AS names, round(avg(CASE WHEN regexp_matches(name, '^(1[0-9]|20)\\d\\d$') THEN 1.0 ELSE 0 END), 4) AS years,
-        round(avg(CASE WHEN regexp_matches(name, '^\\p{L}{3,}$') THEN 1.0 ELSE 0 END), 4) AS wordy FROM g GROUP BY 1)
-    SELECT *, CASE WHEN names < 2 THEN 'constant' WHEN years > 0.95 THEN 'year' WHEN wordy > 0.7 THEN 'category' ELSE 'unclear' END AS role FROM a""")
+@query("files", """, p AS (SELECT pos, string_split(key, '/') AS s FROM files), n AS (SELECT pos, unnest([0, 1]) AS depth, unnest(s[1:2]) AS name FROM p), g AS (SELECT depth, name, count(*) AS n, min(pos) AS f FROM n GROUP BY 1, 2),
+    e AS (SELECT *, row_number() OVER (PARTITION BY depth ORDER BY n DESC, f, name) AS r FROM g), a AS (SELECT CAST(depth AS INT) AS depth, CAST(sum(n) AS BIGINT) AS files, count(*) AS names, string_agg(name, '|' ORDER BY r) FILTER (r <= 4) AS examples FROM e GROUP BY 1)
+    SELECT depth, files, names, CASE depth WHEN 0 THEN 'year' ELSE 'category' END AS role, true AS meaningful, examples FROM a""")
 def dir_signals(spark, d):
+    """First folders are years, second ones words."""
     return profile.directory_signals(m.file_keys(spark, d))
 
 
@@ -352,27 +583,48 @@ def index_percentiles(spark, d):
     return profile.index_percentiles(m.table(spark, d, "documents"), "source", "n_chars")
 
 
-_PROFILED = ["c_name", "c_nationkey", "c_mktsegment"]
+_PROFILED = ["c_custkey", "c_name", "c_mktsegment", "c_acctbal", "joined", "active", "kind"]
 
 
-@query("", f""", melted AS (SELECT '{_PROFILED[0]}' AS "column", CAST({_PROFILED[0]} AS VARCHAR) AS v FROM customer UNION ALL SELECT '{_PROFILED[1]}', CAST({_PROFILED[1]} AS VARCHAR) FROM customer UNION ALL SELECT '{_PROFILED[2]}', {_PROFILED[2]} FROM customer),
-    s AS (SELECT "column", count(*) AS filled, count(DISTINCT v) AS distinct_values, round(avg(length(v)), 4) AS mean_length, bool_and(regexp_matches(v, '^-?\\d+(\\.\\d+)?$')) AS num FROM melted GROUP BY 1), t AS (SELECT count(*) AS total FROM customer)
-    SELECT "column", filled, round(filled / total, 4) AS coverage, distinct_values, mean_length, CASE WHEN num THEN 'number' ELSE 'string' END AS type,
-        NOT num AND distinct_values > 1 AND distinct_values <= greatest(50.0, total * 0.01) AND filled / total > 0.5 AS facetable, NOT num AND distinct_values > 1 AND mean_length > 12 AS searchable FROM s, t""".replace(", melted", "WITH melted", 1))
+@query("", """WITH t AS (SELECT c_custkey, c_name, c_mktsegment, c_acctbal, CASE WHEN c_custkey % 5 <> 0 THEN strftime(DATE '2001-01-01' + CAST(c_custkey % 300 AS INT), '%Y-%m-%d') END AS joined, c_custkey % 2 = 0 AS active, 'one' AS kind FROM customer), n AS (SELECT count(*) AS total FROM t)
+    SELECT x."column", x.filled, round(x.filled / total, 4) AS coverage, x.many AS distinct_values, x.type, x.samples, CASE x."column" WHEN 'c_custkey' THEN false WHEN 'c_name' THEN false WHEN 'kind' THEN false ELSE true END AS facetable, x."column" = 'c_name' AS searchable,
+        CASE x."column" WHEN 'c_custkey' THEN 'Identifies the object. Used to group results, not to filter or search.' WHEN 'c_name' THEN 'Nearly unique per row. Good for search, not for filtering.' WHEN 'c_acctbal' THEN 'A number field, usable as a range filter.' WHEN 'joined' THEN 'A date field, usable as a range filter.' WHEN 'kind' THEN 'Only one value (one), so filtering by it is pointless.' ELSE '' END AS note
+    FROM (SELECT 'c_custkey' AS "column", count(c_custkey) AS filled, count(DISTINCT c_custkey) AS many, 'number' AS type, '0|1|2' AS samples FROM t UNION ALL SELECT 'c_name', count(c_name), count(DISTINCT c_name), 'string', (SELECT string_agg(c_name, '|' ORDER BY c_custkey) FROM t WHERE c_custkey < 3) FROM t
+        UNION ALL SELECT 'c_mktsegment', count(c_mktsegment), count(DISTINCT c_mktsegment), 'string', (SELECT string_agg(c_mktsegment, '|' ORDER BY c_custkey) FROM t WHERE c_custkey < 3) FROM t
+        UNION ALL SELECT 'c_acctbal', count(c_acctbal), count(DISTINCT c_acctbal), 'number', (SELECT string_agg(CAST(c_acctbal AS VARCHAR), '|' ORDER BY c_custkey) FROM t WHERE c_custkey < 3) FROM t
+        UNION ALL SELECT 'joined', count(joined), count(DISTINCT joined), 'date', (SELECT string_agg(joined, '|' ORDER BY c_custkey) FROM t WHERE c_custkey BETWEEN 1 AND 3) FROM t UNION ALL SELECT 'active', count(active), count(DISTINCT active), 'bool', 'true|false|true' FROM t UNION ALL SELECT 'kind', count(kind), 1, 'string', 'one|one|one' FROM t) x, n""")
 def field_profile(spark, d):
-    return profile.field_profile(m.table(spark, d, "customer"), _PROFILED)
+    """A key, names, segments, amounts, dates as text, flags, and a column of one value."""
+    key = F.col("c_custkey")
+    table = m.table(spark, d, "customer").withColumns({"joined": F.when(key % 5 != 0, F.date_format(F.date_add(F.lit("2001-01-01").cast("date"), (key % 300).cast("int")), "yyyy-MM-dd")), "active": key % 2 == 0, "kind": F.lit("one")})
+    return profile.field_profile(table, _PROFILED, "c_custkey", "c_custkey").drop("mean_length")
 
 
-@query("", """WITH s AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) SELECT count(*) AS objects, round(avg(n), 4) AS mean, median(n) AS median, max(n) AS most, CAST(0 AS BIGINT) AS orphans, round(avg(n), 4) > 1.3 OR max(n) > 10 AS collapse FROM s""")
+@query("", """WITH s AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey <> 0 GROUP BY 1) SELECT count(*) AS objects, round(avg(n), 2) AS mean, median(n) AS median, max(n) AS most, (SELECT count(*) FROM orders WHERE o_custkey = 0) AS orphans, avg(n) > 1.3 OR max(n) > 10 AS collapse FROM s""")
 def items_per_object(spark, d):
+    """Customer 0 counts as no customer."""
     return profile.items_per_object(m.table(spark, d, "orders"), "o_custkey")
 
 
-@query("", """WITH s AS (SELECT count(*) AS n, sum(n_chars) AS b FROM documents) SELECT CAST(n * 512 * 4 AS BIGINT) AS vector_bytes, CAST(n * 512 * 4 + 419430400 AS BIGINT) AS memory_bytes, CAST(n * 390000.0 AS BIGINT) AS copy_bytes,
-    round(n / 87.0, 4) AS compute_s, round(greatest(b / 104857600.0, n / 87.0), 4) AS in_region_s FROM s""")
+@query("", """WITH s AS (SELECT count(*) AS n, sum(n_chars) AS b FROM documents) SELECT CAST(n * 768 * 4 AS BIGINT) AS vector_bytes, CAST(n * 768 * 4 + 419430400 AS BIGINT) AS memory_bytes, CAST(round_even(n * 2676000.0 * 0.145, 0) AS BIGINT) AS copy_bytes, CAST(n * 5700 AS BIGINT) AS state_bytes,
+    round_even(n / 22.0 + n * 12.5 * 0.005 / 4, 1) AS compute_s, round_even(greatest(b / 104857600.0, n / 22.0 + n * 12.5 * 0.005 / 4), 1) AS in_region_s, round_even(b / 1e6, 1) AS transfer_s, CAST(1.0 AS DOUBLE) AS mib_per_s, round_even(greatest(b / 1e6, n / 22.0 + n * 12.5 * 0.005 / 4), 1) AS estimated_s FROM s""")
 def sizing_estimate(spark, d):
     stats = m.table(spark, d, "documents").agg(F.count("*").alias("n"), F.sum("n_chars").alias("b"))
-    return stats.select(*(c.alias(k) for k, c in profile.sizing(F.col("n"), 512, F.col("b"), 87.0).items()))
+    return stats.select(*(c.alias(k) for k, c in profile.sizing(F.col("n"), F.col("b"), "siglip", "cpu", F.lit(12.5), F.lit(2_676_000.0), 1e6).items()))
+
+
+@query("", """WITH h AS (SELECT p_partkey, p_size * 40 AS width, p_size * 30 AS height FROM part WHERE p_partkey % 10 <> 0), w AS (SELECT list_sort(list(width)) AS ws, list_sort(list(height)) AS hs, count(*) AS n FROM h)
+    SELECT (SELECT count(*) FROM part) AS sampled, (SELECT count(*) FROM part WHERE p_partkey % 10 = 0) AS broken, CAST(ws[least(n, CAST(floor(n * 0.5) AS BIGINT) + 1)] AS DOUBLE) AS width_p50, CAST(hs[least(n, CAST(floor(n * 0.9) AS BIGINT) + 1)] AS DOUBLE) AS height_p90, 'RGB=' || n AS modes,
+        (SELECT count(*) FROM part WHERE p_partkey % 4 = 1 AND p_partkey % 10 <> 0) AS dated, CAST(0 AS BIGINT) AS located FROM w""")
+def image_stats(spark, d):
+    """Headers of JPEG files made of parts: size by p_size, a date in some, broken ones."""
+    side = lambda n: F.lpad(F.hex((F.col("p_size") * n).cast("long")), 4, "0")
+    exif = "45786966000049492A00080000000100320102001400000028000000" + "00" * 8 + "323030313A30323A30332030343A30353A303600"
+    sized = F.concat(F.lit("FFC0001108"), side(30), side(40), F.lit("03012200021101031101"))
+    dated = F.concat(F.lit(f"FFE1{len(exif) // 2 + 2:04X}{exif}"), sized)
+    body = F.when(F.col("p_partkey") % 10 == 0, "00").when(F.col("p_partkey") % 4 == 1, dated).otherwise(sized)
+    heads = m.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("key"), F.unhex(F.concat(F.lit("FFD8"), body)).alias("head"))
+    return profile.image_stats(profile.image_headers(heads)).select("sampled", "broken", "width_p50", "height_p90", "modes", "dated", "located")
 
 
 @query("files", ", n AS (SELECT count(*) AS n FROM files) SELECT pos, key FROM files, n WHERE pos % greatest(1, n // 40) = 0 ORDER BY pos LIMIT 40")
@@ -398,25 +650,66 @@ def ingest_pending(spark, d):
     return ingest.pending(m.table(spark, d, "orders").select(F.col("o_orderkey").alias("id")), m.ingest_log(spark, d))
 
 
-@query("log", """, a AS (SELECT count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'pending') AS pending, CAST(coalesce(sum(size_bytes) FILTER (status IN ('done', 'failed')), 0) AS BIGINT) AS bytes_read, min(updated_at) AS started_at, max(updated_at) AS l FROM log)
-    SELECT done, pending, bytes_read, started_at, CASE WHEN pending = 0 THEN l END AS finished_at, round(done / (epoch_us(l) - epoch_us(started_at)) * 1e6, 6) AS items_per_s FROM a""")
+_DONE = "fin AS (SELECT id, elapsed_ms, epoch_us(updated_at) AS us, epoch_us(updated_at) // 1000000 AS sec FROM log WHERE status <> 'pending')"
+_ACTIVE = f"""{_DONE}, g AS (SELECT sec - lag(sec) OVER (ORDER BY sec) AS gap FROM (SELECT DISTINCT sec FROM fin)), act AS (SELECT coalesce((SELECT sum(gap) FROM g WHERE gap <= 900), 0) + (SELECT arg_min(elapsed_ms, (us, id)) FROM fin) / 1000 AS a)"""
+
+
+@query("log", f""", {_ACTIVE}, t AS (SELECT count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'pending') AS pending, CAST(coalesce(sum(size_bytes) FILTER (status IN ('done', 'failed')), 0) AS BIGINT) AS bytes_read FROM log)
+    SELECT done, pending, bytes_read, strftime(to_timestamp(CAST(floor((SELECT arg_min(sec, (us, id)) - arg_min(elapsed_ms, (us, id)) / 1000 FROM fin)) AS BIGINT)) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS started_at,
+        CASE WHEN pending = 0 THEN strftime(to_timestamp((SELECT max(sec) FROM fin)) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') END AS finished_at, round_even(a, 1) AS active_s, round_even(done / a, 2) AS items_per_s, round_even(bytes_read / 1048576 / a, 1) AS mib_per_s FROM t, act""")
 def ingest_rates(spark, d):
     return ingest.rates(m.ingest_log(spark, d))
 
 
-@query("log", """, g AS (SELECT id, updated_at, elapsed_ms, (epoch_us(updated_at) - lag(epoch_us(updated_at)) OVER (ORDER BY updated_at, id)) / 1e6 AS gap FROM log)
-    SELECT round(coalesce(sum(gap) FILTER (gap <= 900), 0) + arg_min(elapsed_ms, (updated_at, id)) / 1000, 3) AS active_s FROM g""")
+@query("log", f", {_ACTIVE} SELECT round(a, 3) AS active_s FROM act")
 def active_seconds(spark, d):
     return ingest.active_seconds(m.ingest_log(spark, d))
 
 
+@query("log", "SELECT key, error FROM log WHERE status = 'failed' ORDER BY key, id LIMIT 100")
+def failed_files(spark, d):
+    return ingest.failed_files(m.ingest_log(spark, d))
+
+
+@query("files", "SELECT pos, key FROM files ORDER BY key, pos LIMIT 50")
+def first_files(spark, d):
+    return m.file_keys(spark, d).select("pos", "key").orderBy("key", "pos").limit(50)
+
+
+@query("log", f""", {_DONE}, e AS (SELECT us - CAST(round(fin.elapsed_ms * 1000) AS BIGINT) AS "at", size_bytes AS c FROM fin JOIN log USING (id) UNION ALL SELECT us, -size_bytes FROM fin JOIN log USING (id)), s AS (SELECT "at", CAST(sum(c) AS BIGINT) AS change FROM e GROUP BY 1)
+    SELECT "at", change, CAST(sum(change) OVER (ORDER BY "at") AS BIGINT) AS running FROM s""")
+def in_flight_bytes(spark, d):
+    return ingest.in_flight(m.ingest_log(spark, d)).withColumn("at", F.unix_micros("at"))
+
+
+@query("log", f""", {_DONE}, t AS (SELECT sec // 60 AS tick, count(*) AS n FROM fin GROUP BY 1), r AS (SELECT tick, n, CAST(sum(n) OVER (ORDER BY tick) AS BIGINT) AS items, (tick - (SELECT min(tick) FROM t) + 1) * 60 AS secs FROM t)
+    SELECT tick * 60 AS at, items, round(n / 60, 4) AS now_per_s, round(items / secs, 4) AS average_per_s, round(greatest((SELECT count(*) FROM log) - items, 0) / (items / secs), 1) AS remaining_s FROM r""")
+def ingest_progress(spark, d):
+    log = m.ingest_log(spark, d)
+    return ingest.progress(log, log.count(), 60).withColumn("at", F.unix_seconds("at"))
+
+
+@query("log", """, s AS (SELECT '{' || string_agg('"' || status || '":' || n, ',' ORDER BY status) || '}' AS counts FROM (SELECT status, count(*) AS n FROM log GROUP BY 1)) SELECT counts, CAST(100 AS BIGINT) AS failed FROM s""")
+def ingest_summary(spark, d):
+    """The parts of the summary that a test can compare as text."""
+    out = ingest.summary(m.ingest_log(spark, d))
+    return out.select("counts", F.size(F.from_json("failed_files", "array<struct<key:string>>")).cast("long").alias("failed"))
+
+
 @query("", """WITH g AS (SELECT user_id, ts, event_id, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w <= 900000000 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
     s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) AS last, count(*) AS events FROM s GROUP BY user_id, k""")
 def sessions(spark, d):
     return ingest.sessions(m.table(spark, d, "events"))
 
 
-@query()
+_LIMITED = """WITH RECURSIVE e AS (SELECT event_id, CAST(user_id AS VARCHAR) AS visitor, epoch_us(ts) / 1e9 AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS r FROM events),
+    step AS (SELECT visitor, CAST(0 AS BIGINT) AS r, CAST([] AS DOUBLE[]) AS kept, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS DOUBLE) AS t, CAST(NULL AS BOOLEAN) AS admitted, CAST(NULL AS INT) AS wait_s FROM (SELECT DISTINCT visitor FROM e)
+      UNION ALL SELECT e.visitor, e.r, CASE WHEN len(live) < 2 THEN list_append(live, e.t) ELSE live END, e.event_id, e.t, len(live) < 2, CASE WHEN len(live) < 2 THEN 0 ELSE greatest(1, CAST(trunc(60.0 - (e.t - live[1])) AS INT) + 1) END
+      FROM (SELECT s.visitor, s.r, e2.t AS now, list_filter(s.kept, lambda x: e2.t - x < 60.0) AS live FROM step s JOIN e e2 ON e2.visitor = s.visitor AND e2.r = s.r + 1) l JOIN e ON e.visitor = l.visitor AND e.r = l.r + 1)
+    SELECT event_id, visitor, t AS ts, admitted, wait_s FROM step WHERE r > 0"""
+
+
+@query("", _LIMITED)
 def rate_limit(spark, d):
     """At most two requests a minute of each visitor; times run a thousandfold, so that limits are met."""
     rows = m.table(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("visitor"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e9).alias("ts"))
@@ -451,10 +744,39 @@ def manifest_keys(spark, d):
     return m.table(spark, d, "pages").select("page_id", fn.url_key(F.col("url")).alias("key"), fn.url_segment(F.col("url"), 3).alias("segment"))
 
 
-@query("", "SELECT event_id, 'c' || user_id AS client FROM events")
+@query("", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'c' || user_id ELSE 'peer' END AS client FROM events")
 def client_addresses(spark, d):
-    chain = F.concat(F.lit("spoofed, c"), F.col("user_id").cast("string"), F.lit(", proxy"))
-    return m.table(spark, d, "events").select("event_id", fn.client_address(chain, 2).alias("client"))
+    """Two proxies are declared; a shorter list is not believed."""
+    chain = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("spoofed, c"), F.col("user_id").cast("string"), F.lit(", proxy"))).when(F.col("event_id") % 3 == 1, "spoofed")
+    return m.table(spark, d, "events").select("event_id", fn.client_address(chain, 2, F.lit("peer")).alias("client"))
+
+
+@query("", """SELECT event_id, CASE WHEN v < 1024 THEN printf('%d', v) || ' B' WHEN v < 1048576 THEN printf('%.1f', v / 1024) || ' KB' ELSE printf('%.1f', v / 1048576) || ' MB' END AS size, CASE WHEN v >= 3600 THEN (v // 3600) || ' h ' || (v % 3600 // 60) || ' min' WHEN v >= 60 THEN (v // 60) || ' min ' || (v % 60) || ' s' ELSE v || ' s' END AS took,
+    printf('%02d:%02d:%02d', v // 3600, v % 3600 // 60, v % 60) AS clock, round(event_id / 3600, 6) AS hours FROM (SELECT event_id, event_id * 37 % 100000 AS v FROM events) WHERE v % 1024 <> 512""")
+def readable_figures(spark, d):
+    v = F.col("event_id") * 37 % 100_000
+    now = F.timestamp_seconds(F.col("event_id") + 1_700_000_000)
+    return m.table(spark, d, "events").where(v % 1024 != 512).select("event_id", fn.human_bytes(v).alias("size"), fn.human_duration(v).alias("took"), fn.clock(v).alias("clock"), F.round(fn.hours_since(F.lit("2023-11-14T22:13:20Z"), now), 6).alias("hours"))
+
+
+@query("", "SELECT item_id, text AS plain FROM benchmark")
+def plain_texts(spark, d):
+    """Markup around words and escaped markup go, entities are read."""
+    words = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit(" "), F.lit("</i> <b class='x'>")), F.lit("e"), F.lit("e&lt;i&gt;"))
+    return m.table(spark, d, "benchmark").select("item_id", fn.plain_text(words).alias("plain"))
+
+
+@query("", "SELECT page_id, 'copies/' || page_id AS stored, CASE page_id % 2 WHEN 0 THEN '/data/copies/' || page_id ELSE '/else/copies/' || page_id END AS resolved FROM pages")
+def stored_paths(spark, d):
+    key = F.concat(F.lit("/data/copies/"), F.col("page_id").cast("string"))
+    odd = F.concat(F.lit("/else/copies/"), F.col("page_id").cast("string"))
+    kept = F.when(F.col("page_id") % 2 == 0, fn.stored_path(key, "/data")).otherwise(fn.stored_path(odd, "/data"))
+    return m.table(spark, d, "pages").select("page_id", fn.stored_path(key, "/data/").alias("stored"), fn.resolved_path(kept, "/data").alias("resolved"))
+
+
+@query("", "SELECT doc_id, lower(strip_accents(left(text, 200))) AS folded FROM documents")
+def folded_texts(spark, d):
+    return m.table(spark, d, "documents").select("doc_id", fn.fold(F.substring("text", 1, 200)).alias("folded"))
 
 
 @query("", "SELECT p_partkey, round(p_size * 100.0 * p_size * 50.0 * (pow(least(1.0, 400.0 / (p_size * 100.0)), 2) + pow(least(1.0, 1920.0 / (p_size * 100.0)), 2)), 4) AS pixels FROM part")

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.operators import fulltext
+from vitrine.session import shared_folder
+
+_written: dict[tuple[str, str, str], str] = {}
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -27,17 +31,81 @@ def records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_fields(spark: SparkSession, d: str) -> DataFrame:
-    text = F.col("text")
+    text, doc = F.col("text"), F.col("doc_id")
     at = F.instr(text, "\n")
-    fields = {"title": F.substring_index(text, "\n", 1), "notes": F.when(at > 0, F.substring(text, at + 1, F.length(text))).otherwise(""), "places": F.col("source"), "names": F.col("lang")}
+    decade = F.concat((1850 + doc % 15 * 10).cast("string"), F.lit("s"))
+    fields = {
+        "title": F.substring_index(text, "\n", 1), "notes": F.when(at > 0, F.substring(text, at + 1, F.length(text))).otherwise(""), "places": F.col("source"), "names": F.col("lang"),
+        "identifiers": F.concat(F.upper("lang"), F.lit("."), F.lpad(doc.cast("string"), 6, "0")), "dates": F.when(doc % 3 == 0, decade).otherwise((1850 + doc % 150).cast("string")),
+    }
     rows = F.array(*(F.struct(F.lit(k).alias("field"), v.alias("value")) for k, v in fields.items()))
-    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("record_id"), F.explode(rows).alias("f")).select("record_id", "f.*")
+    return table(spark, d, "documents").select(doc.cast("string").alias("record_id"), F.explode(rows).alias("f")).select("record_id", "f.*")
 
 
 def tokens(spark: SparkSession, d: str) -> DataFrame:
     return fulltext.tokens(text_fields(spark, d))
 
 
+def text(spark: SparkSession, d: str) -> fulltext.Index:
+    """The written index of the documents' catalog: made at its first use in a session, then read."""
+    return _index(spark, d, "documents", text_fields)
+
+
+def part_text(spark: SparkSession, d: str) -> fulltext.Index:
+    return _index(spark, d, "part", part_fields)
+
+
+def _index(spark: SparkSession, d: str, name: str, of) -> fulltext.Index:
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _written:
+        folder = f"{shared_folder(spark)}/index-{name}-{uuid4()}"
+        fields = of(spark, d)
+        fulltext.write_index(fields, folder, terms(fields))
+        _written[key] = folder
+    return fulltext.Index(spark, _written[key])
+
+
+def part_fields(spark: SparkSession, d: str) -> DataFrame:
+    """A second catalog, of parts: names as "Last, First", brands as topics, types as kinds of object, numbers and years."""
+    name, key = F.split("p_name", " "), F.col("p_partkey")
+    fields = {
+        "title": F.concat(F.lit("A "), F.col("p_name")), "names": F.concat(name[1], F.lit(", "), name[0]), "topics": F.col("p_brand"), "object_types": F.col("p_type"),
+        "identifiers": F.concat(F.lit("P."), F.lpad(key.cast("string"), 6, "0")), "dates": (1900 + key % 90).cast("string"),
+    }
+    rows = F.array(*(F.struct(F.lit(k).alias("field"), v.alias("value")) for k, v in fields.items()))
+    return table(spark, d, "part").select(key.cast("string").alias("record_id"), F.explode(rows).alias("f")).select("record_id", "f.*")
+
+
+def terms(fields: DataFrame) -> DataFrame:
+    """Catalog terms with the number of records that have them: term, field (name, topic, object_type), record_count."""
+    called = F.create_map(*(F.lit(x) for x in ("names", "name", "topics", "topic", "object_types", "object_type", "places", "place")))
+    rows = fields.select("record_id", F.try_element_at(called, F.col("field")).alias("field"), F.col("value").alias("term")).where("field IS NOT NULL")
+    return rows.groupBy("term", "field").agg(F.count_distinct("record_id").alias("record_count"))
+
+
+#: Texts of the queries that every part asks, by number.
+ASKED = ["p_name", "concat('the ', p_name, ' of old')", "concat(lower(p_type), 's')", "split(p_name, ' ')[1]", "concat('an ', lower(p_type), ' ', p_name, ' here')", "lower(p_brand)", "concat('P.', lpad(CAST(p_partkey AS string), 6, '0'))", "CAST(1900 + p_partkey % 90 AS string)", "concat('title:', split(p_name, ' ')[0])", "concat('\"', p_name, '\"')", "concat('nothing known as ', split(p_name, ' ')[0])", "upper(split(p_name, ' ')[1])"]
+
+
+def part_queries(spark: SparkSession, d: str) -> DataFrame:
+    """``query_id`` and ``query``: what people ask for of each part."""
+    asked = F.array(*(F.expr(q) for q in ASKED))
+    rows = table(spark, d, "part").select("p_partkey", F.posexplode(asked).alias("n", "query"))
+    return rows.select((F.col("p_partkey") * 100 + F.col("n")).alias("query_id"), "query")
+
+
+def related(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Related sources and their tags, of conversations: a turn is a page of its role's source."""
+    turns = table(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.min_by(F.struct("role", "text"), F.struct("role", "text")).alias("r")).select("conv_id", "turn", "r.*")
+    rows = turns.selectExpr(
+        "CAST(conv_id AS string) AS record_id", "concat(conv_id, '-', lpad(CAST(turn AS string), 3, '0')) AS source_id", "role AS source", "IF(turn % 2 = 0, 'photo', 'page') AS link_type", "IF(turn % 3 = 0, concat('i', turn), NULL) AS image_id",
+        "concat('https://h.org/', conv_id, '/', turn) AS url", "substring_index(text, ' ', 2) AS title", "IF(turn % 4 = 0, 't.jpg', '') AS thumbnail", "IF(turn % 5 = 0, 'CC', NULL) AS rights", "IF(turn % 5 = 0, 'https://cc.org', NULL) AS rights_url",
+        "IF(turn % 2 = 0, concat('{\"views\": ', length(text), '}'), NULL) AS counts",
+    )
+    tags = turns.select(F.concat("conv_id", F.lit("-"), F.lpad(F.col("turn").cast("string"), 3, "0")).alias("source_id"), F.posexplode(F.slice(F.split("text", " "), 1, 3)).alias("position", "tag"))
+    return rows, tags
+
+
 def facets(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part")
     rid = F.col("p_partkey").cast("string").alias("record_id")
@@ -75,9 +143,23 @@ SQL = {
     "text_fields": """text_fields AS (SELECT CAST(doc_id AS VARCHAR) AS record_id, f.field, f.value FROM (SELECT doc_id, unnest([
         {'field': 'title', 'value': split_part(text, chr(10), 1)},
         {'field': 'notes', 'value': CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END},
-        {'field': 'places', 'value': source}, {'field': 'names', 'value': lang}]) AS f FROM documents))""",
+        {'field': 'places', 'value': source}, {'field': 'names', 'value': lang},
+        {'field': 'identifiers', 'value': upper(lang) || '.' || lpad(CAST(doc_id AS VARCHAR), 6, '0')},
+        {'field': 'dates', 'value': CASE WHEN doc_id % 3 = 0 THEN CAST(1850 + doc_id % 15 * 10 AS VARCHAR) || 's' ELSE CAST(1850 + doc_id % 150 AS VARCHAR) END}]) AS f FROM documents))""",
     "tokens": """tokens AS (SELECT record_id, field, unnest(range(len(ws))) AS p, unnest(ws) AS term
-        FROM (SELECT record_id, field, regexp_extract_all(lower(value), '[\\p{L}\\p{N}]+') AS ws FROM text_fields))""",
+        FROM (SELECT record_id, field, regexp_extract_all(lower(strip_accents(value)), '[\\p{L}\\p{N}]+') AS ws FROM text_fields))""",
+    "part_fields": """part_fields AS (SELECT CAST(p_partkey AS VARCHAR) AS record_id, f.field, f.value FROM (SELECT p_partkey, unnest([
+        {'field': 'title', 'value': 'A ' || p_name}, {'field': 'names', 'value': split_part(p_name, ' ', 2) || ', ' || split_part(p_name, ' ', 1)},
+        {'field': 'topics', 'value': p_brand}, {'field': 'object_types', 'value': p_type}, {'field': 'identifiers', 'value': 'P.' || lpad(CAST(p_partkey AS VARCHAR), 6, '0')},
+        {'field': 'dates', 'value': CAST(1900 + p_partkey % 90 AS VARCHAR)}]) AS f FROM part))""",
+    "part_tokens": "part_tokens AS (SELECT record_id, field, unnest(regexp_extract_all(lower(value), '[a-z0-9]+')) AS term FROM part_fields)",
+    "terms": """terms AS (SELECT value AS term, CASE field WHEN 'names' THEN 'name' WHEN 'topics' THEN 'topic' ELSE 'object_type' END AS field, count(DISTINCT record_id) AS record_count
+        FROM part_fields WHERE field IN ('names', 'topics', 'object_types') GROUP BY 1, 2)""",
+    "gaz": """spelt AS (SELECT *, term AS form FROM terms UNION ALL SELECT *, trim(split_part(term, ',', 2)) || ' ' || split_part(term, ',', 1) FROM terms WHERE contains(term, ',')),
+        gaz AS (SELECT key, term, field, record_count FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY record_count DESC, term, field) AS r FROM (SELECT *, array_to_string(regexp_extract_all(lower(form), '[a-z0-9]+'), ' ') AS key FROM spelt)) WHERE r = 1)""",
+    "asked": """asked AS (SELECT p_partkey * 100 + n AS query_id, query FROM (SELECT p_partkey, unnest(range(12)) AS n, unnest([p_name, 'the ' || p_name || ' of old', lower(p_type) || 's', split_part(p_name, ' ', 2),
+        'an ' || lower(p_type) || ' ' || p_name || ' here', lower(p_brand), 'P.' || lpad(CAST(p_partkey AS VARCHAR), 6, '0'), CAST(1900 + p_partkey % 90 AS VARCHAR), 'title:' || split_part(p_name, ' ', 1), '"' || p_name || '"',
+        'nothing known as ' || split_part(p_name, ' ', 1), upper(split_part(p_name, ' ', 2))]) AS query FROM part))""",
     "facets": """facets AS (SELECT CAST(p_partkey AS VARCHAR) AS record_id, 'object_type' AS facet, p_type AS value FROM part
         UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'topic', p_brand FROM part UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'name', p_name FROM part
         UNION ALL SELECT CAST(o_custkey AS VARCHAR), 'date', CASE o_orderkey % 3 WHEN 0 THEN CAST(year(o_orderdate) AS VARCHAR)
@@ -86,6 +168,7 @@ SQL = {
         CASE WHEN value LIKE '%s' THEN CAST(replace(value, 's', '') AS INT) ELSE CAST(split_part(value, '-', 1) AS INT) END AS y_lo,
         CASE WHEN value LIKE '%s' THEN CAST(replace(value, 's', '') AS INT) + (CASE WHEN CAST(replace(value, 's', '') AS INT) % 100 = 0 AND CAST(replace(value, 's', '') AS INT) < 1500 THEN 99 ELSE 9 END)
              WHEN value LIKE '%-%' THEN CAST(split_part(value, '-', 2) AS INT) ELSE CAST(value AS INT) END AS y_hi FROM facets WHERE facet = 'date')""",
+    "turns": """turns AS (SELECT conv_id, turn, arg_min(role, (role, text)) AS role, arg_min(text, (role, text)) AS text FROM conversations GROUP BY 1, 2)""",
     "log": """log AS (SELECT event_id AS id, CAST(user_id AS VARCHAR) AS key, CAST(event_id * 37 % 5000 AS BIGINT) AS size_bytes,
         CASE WHEN event_id % 10 < 6 THEN 'done' WHEN event_id % 10 < 8 THEN 'failed' WHEN event_id % 10 < 9 THEN 'skipped' ELSE 'pending' END AS status,
         CASE WHEN event_id % 10 BETWEEN 6 AND 8 THEN 'encode: ' || event_type END AS error, value AS elapsed_ms, ts AS updated_at FROM events)""",

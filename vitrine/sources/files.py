@@ -1,27 +1,137 @@
-"""File sources: folders, object stores, parquet manifests; and what is written for serving."""
+"""File sources: folders, object stores, parquet manifests, page documents; and what is written for serving."""
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
+from typing import Protocol
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.functions.columns import basename, extension, is_image, is_junk, item_id, url_key
+from vitrine.functions.columns import JUNK_FOLDERS, basename, extension, is_image, is_junk, item_id, url_key
+from vitrine.functions.images import JPEG, PNG
 
 #: Column names of manifests, in order of preference.
-URL_COLUMNS = ["url", "image_url", "uri", "path", "key", "file", "filename"]
-SIZE_COLUMNS = ["size", "size_bytes", "bytes", "content_length", "length"]
+URL_COLUMNS = ["image_url", "url", "path", "file", "uri"]
+SIZE_COLUMNS = ["size_bytes", "size", "bytes", "filesize"]
+
+
+class Source(Protocol):
+    """Where files are listed: what a new kind of source has to offer."""
+
+    kind: str
+    uri: str
+
+    def files(self) -> DataFrame:
+        """key, size, ext, is_image, is_junk, id, row."""
+
+    def contents(self, limit: int | None = None) -> DataFrame:
+        """key and content (its first ``limit`` bytes), a row for each file that can be read."""
+
+    def original_uri(self, key: Column) -> Column: ...
+
+    def catalog_rows(self) -> DataFrame | None: ...
+
+
+class FolderSource:
+    """Files below a folder or an object store's prefix that Spark reads."""
+
+    kind = "folder"
+
+    def __init__(self, spark: SparkSession, uri: str) -> None:
+        self.spark, self.uri = spark, uri.rstrip("/")
+
+    def files(self) -> DataFrame:
+        return folder_files(self.spark, self.uri)
+
+    def contents(self, limit: int | None = None) -> DataFrame:
+        content = F.col("content") if limit is None else F.substring("content", 1, limit)
+        read = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(self.uri)
+        return read.select(_key_below(self.uri).alias("key"), content.alias("content"))
+
+    def original_uri(self, key: Column) -> Column:
+        return F.concat(F.lit(self.uri + "/"), key)
+
+    def catalog_rows(self) -> DataFrame | None:
+        return None
+
+
+class ManifestSource:
+    """Files that the rows of a parquet table name; ``fetch_via`` is the folder or prefix that holds them."""
+
+    kind = "parquet_manifest"
+
+    def __init__(self, spark: SparkSession, uri: str, fetch_via: str | None = None) -> None:
+        self.spark, self.uri, self.fetch_via = spark, uri, fetch_via
+
+    def files(self) -> DataFrame:
+        return manifest_files(self.spark.read.parquet(self.uri))
+
+    def contents(self, limit: int | None = None) -> DataFrame:
+        if self.fetch_via is None:
+            raise ValueError("a manifest names files but doesn't hold them: give the folder they are in")
+        found = FolderSource(self.spark, self.fetch_via).contents(limit)
+        return found.join(self.files().select("key"), "key", "left_semi")
+
+    def original_uri(self, key: Column) -> Column:
+        return key if self.fetch_via is None else F.concat(F.lit(self.fetch_via.rstrip("/") + "/"), key)
+
+    def catalog_rows(self) -> DataFrame | None:
+        return self.spark.read.parquet(self.uri)
+
+
+def source(spark: SparkSession, uri: str, fetch_via: str | None = None) -> Source:
+    return ManifestSource(spark, uri, fetch_via) if is_parquet(uri) else FolderSource(spark, uri)
 
 
 def is_parquet(uri: str) -> bool:
-    return urlparse(uri).path.lower().endswith(".parquet")
+    """By the path of an address, whatever its query; a plain path may hold any character."""
+    path = urlparse(uri).path if "://" in uri else uri
+    return path.lower().endswith(".parquet")
+
+
+def with_content_kind(files: DataFrame) -> DataFrame:
+    """``files`` (content, and content_type if known) with ``is_image_content`` and, where it isn't one, ``note``."""
+    head = F.substring("content", 1, 3)
+    kind = F.lower(F.coalesce("content_type", F.lit(""))) if "content_type" in files.columns else F.lit("")
+    fits = kind.startswith("image/") | head.isin(bytearray(JPEG), bytearray(PNG))
+    said = F.nullif(F.substring_index(kind, ";", 1), F.lit(""))
+    note = F.concat(F.lit("returns "), F.coalesce(said, F.lit("an unknown type")), F.lit(", not image data"))
+    return files.withColumns({"is_image_content": F.coalesce(fits, F.lit(False)), "note": F.when(~F.coalesce(fits, F.lit(False)), note)})
+
+
+#: Called once in a task; gives what turns a document's bytes into its pages.
+PagesFactory = Callable[[], Callable[[bytes], list[bytes]]]
+
+
+def document_pages(files: DataFrame, pages: PagesFactory) -> DataFrame:
+    """``item_id`` (``id_page``), ``id``, ``page`` (from 1), ``n_pages``, ``content`` and ``error``: a row for each page of documents (id, content).
+
+    A document that can't be read is one row without page that says why.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = pages()
+        names, kinds = ["item_id", "id", "page", "n_pages", "content", "error"], [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
+        for batch in batches:
+            for key, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                try:
+                    found = split(content.as_py() or b"")
+                    rows = [(f"{key}_{i}", key, i, len(found), page, None) for i, page in enumerate(found, 1)]
+                except Exception as problem:  # noqa: BLE001
+                    rows = [(key, key, None, None, None, f"pages: {type(problem).__name__}: {problem}"[:500])]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return files.select(F.col("id").cast("string"), "content").mapInArrow(run, "item_id string, id string, page int, n_pages int, content binary, error string")
 
 
 def open_source(spark: SparkSession, uri: str) -> DataFrame:
     """Files of a manifest (``.parquet``) or below a folder or prefix that Spark reads: key, size, ext, is_image, is_junk, row."""
-    return manifest_files(spark.read.parquet(uri)) if is_parquet(uri) else folder_files(spark, uri)
+    return source(spark, uri).files()
 
 
 def described(files: DataFrame) -> DataFrame:
@@ -29,13 +139,20 @@ def described(files: DataFrame) -> DataFrame:
     return files.withColumns({"basename": basename(key), "ext": extension(key), "is_image": is_image(key), "is_junk": is_junk(key), "id": item_id(key)})
 
 
+def _key_below(folder: str) -> Column:
+    root = folder.rstrip("/") + "/"
+    return F.substring_index("path", (urlparse(root).path if "://" in root else root) or root, -1)
+
+
 def folder_files(spark: SparkSession, folder: str) -> DataFrame:
-    """A listing only: the contents column is pruned, so no file is read. Spark itself passes over names that begin with a dot or an underscore."""
+    """A listing only: the contents column is pruned, so no file is read. Junk and hidden folders are left out.
+
+    Spark itself passes over names that begin with a dot or an underscore, and lists what it can't open.
+    """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    root = folder.rstrip("/") + "/"
-    key = F.substring_index("path", urlparse(root).path or root, -1)
-    hidden = F.exists(F.split("key", "/"), lambda p: p.startswith(".") | (p == "__MACOSX"))
-    return described(listed.select(key.alias("key"), F.col("length").alias("size")).where(~hidden))
+    folders = F.slice(F.split("key", "/"), F.lit(1), F.size(F.split("key", "/")) - 1)
+    pruned = F.exists(folders, lambda p: p.startswith(".") | p.isin(JUNK_FOLDERS))
+    return described(listed.select(_key_below(folder).alias("key"), F.col("length").alias("size"), "path").where(~pruned)).withColumnRenamed("path", "absolute_key")
 
 
 def guessed(columns: list[str], names: list[str]) -> str | None:

@@ -1,13 +1,14 @@
-"""Ingest as a stream of files: fetched, encoded and appended, each file once.
+"""Ingest as a stream of files: fetched, encoded in batches and appended, each file once.
 
 The checkpoint remembers which files were seen; the log, joined in each batch,
-keeps a file from being done twice if a batch is run again.
+keeps a file from being done twice if a batch is run again. A log belongs to
+one model.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,16 +16,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vitrine.functions.columns import is_image, is_junk, item_id
+from vitrine.functions.encoders import Encoder
 from vitrine.operators.ingest import oversized, pending
 
 _OUT = "id string, key string, size_bytes long, status string, error string, elapsed_ms double, embedding array<float>, updated_at timestamp"
+#: Files that an encoder gets at a time.
+BATCH = 32
 
-#: Called once in a task; gives what turns a file's bytes into a vector.
-EncoderFactory = Callable[[], Callable[[bytes], list[float]]]
 
-
-def files_stream(spark: SparkSession, folder: str, per_batch: int = 1000) -> DataFrame:
-    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).option("maxFilesPerTrigger", per_batch)
+def files_stream(spark: SparkSession, folder: str, per_batch: int = 1000, bytes_per_batch: int | None = None) -> DataFrame:
+    """Files as they come; a batch takes so many, or so many bytes (one file at least) if that is given."""
+    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True)
+    reader = reader.option("maxBytesPerTrigger", bytes_per_batch) if bytes_per_batch else reader.option("maxFilesPerTrigger", per_batch)
     return reader.load(folder)
 
 
@@ -35,28 +38,47 @@ def keyed(files: DataFrame, folder: str) -> DataFrame:
     return out.where(is_image(F.col("key")) & ~is_junk(F.col("key"))).withColumn("id", item_id(F.col("key")))
 
 
-def encoded(files: DataFrame, encoder: EncoderFactory) -> DataFrame:
-    """A row of the log for each file; a file that fails says why and stops no other."""
+def encoded(files: DataFrame, encoder: Encoder, batch_size: int = BATCH) -> DataFrame:
+    """A row of the log for each file. Files are encoded some at a time; a batch that fails says why for each of them and stops no other."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder()
+        encode = encoder.images()
         for batch in batches:
-            rows = []
-            for row in batch.itertuples():
-                began = time.time()
-                status, error, vector = "done", None, None
+            for at in range(0, len(batch), batch_size):
+                part = batch.iloc[at : at + batch_size]
+                began, status, error = time.time(), "done", None
+                vectors: list = [None] * len(part)
                 try:
-                    vector = [float(x) for x in encode(row.content)]
+                    vectors = [[float(x) for x in v] for v in encode(list(part["content"]))]
+                    if len(vectors) != len(part) or any(len(v) != encoder.dimensions for v in vectors):
+                        raise ValueError(f"not {len(part)} vectors of {encoder.dimensions} numbers")
                 except Exception as problem:  # noqa: BLE001
-                    status, error = "failed", f"encode: {type(problem).__name__}: {problem}"[:500]
-                rows.append((row.id, row.key, row.size_bytes, status, error, (time.time() - began) * 1000, vector, pd.Timestamp.now(tz="UTC").tz_localize(None)))
-            yield pd.DataFrame(rows, columns=["id", "key", "size_bytes", "status", "error", "elapsed_ms", "embedding", "updated_at"])
+                    status, error, vectors = "failed", f"encode: {type(problem).__name__}: {problem}"[:500], [None] * len(part)
+                spent, now = (time.time() - began) * 1000, pd.Timestamp.now(tz="UTC").tz_localize(None)
+                yield part[["id", "key", "size_bytes"]].assign(status=status, error=error, elapsed_ms=spent / len(part), embedding=vectors, updated_at=now)
 
     return files.select("id", "key", "size_bytes", "content").mapInPandas(run, _OUT)
 
 
-def start(files: DataFrame, folder: str, log_path: str, checkpoint: str, encoder: EncoderFactory, most_bytes: int = 1 << 30) -> StreamingQuery:
-    """Runs over what is there and ends; to go on, start it again with the same checkpoint."""
+def claimed(spark: SparkSession, log_path: str, encoder: Encoder) -> None:
+    """Notes the model of a log, or refuses one of another model."""
+    facts = f"{log_path.rstrip('/')}-facts"
+    mine = (encoder.name, encoder.dimensions, encoder.revision)
+    try:
+        known = spark.read.schema("name string, dimensions int, revision string").json(facts).first()
+    except Exception as problem:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(problem):
+            raise
+        known = None
+    if known is None:
+        spark.createDataFrame([mine], "name string, dimensions int, revision string").coalesce(1).write.mode("overwrite").json(facts)
+    elif tuple(known) != mine:
+        raise ValueError(f"{log_path} was begun with {known.name} ({known.dimensions} dimensions, revision {known.revision}), not {encoder.name}")
+
+
+def start(files: DataFrame, folder: str, log_path: str, checkpoint: str, encoder: Encoder, most_bytes: int = 1 << 30) -> StreamingQuery:
+    """Runs over what is there and ends; to go on, start it again with the same checkpoint and model."""
+    claimed(files.sparkSession, log_path, encoder)
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
