@@ -12,7 +12,10 @@ How it scales: a task gathers the windows of some megabytes of text, keeps one
 of each hash (the others have a hit beside them already, so a passage in a
 third of all documents is one probe a chunk), and sends them packed, 32 bits a
 hash and a few for the place, to hash buckets whose number follows the size of the
-corpus. A bucket is a bounded group of distinct hashes. Only places go back to
+corpus. Windows side by side share a bucket, but for those of phrases that a
+sample shows to stand in a ten-thousandth of all windows or more: these are
+dealt by their own hashes, and in very large corpora all are in part, so a
+bucket's windows stay within a few millions. Only places go back to
 the documents; extension, too, sends only the passages around hits, by 96-bit
 hashes. The text itself is shuffled once and read by both joins.
 """
@@ -20,6 +23,7 @@ hashes. The text itself is shuffled once and read by both joins.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +31,19 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vitrine.llm.checkpoints import saved
 from vitrine.llm.textarrays import TextSlice, mixed, slices, window_hashes
 
 #: Words of text whose windows a task gathers before it sends them.
 CHUNK_WORDS = 2_000_000
 #: Windows in a bucket, about.
 BUCKET_WINDOWS = 1_000_000
+#: Characters of the sample that shows homes of many windows (it decides where windows meet, never which), and the share from which they are many.
+SAMPLE_CHARS, HOT_SHARE = 32_000_000, 1e-4
+#: Windows of one home in the sample below which it is never hot.
+LEAST_HOT = 1000
+#: Times a bucket's windows that one other home may add at most, about.
+MOST_ADDED = 4
 
 _ROW = pa.schema([("bucket", pa.int32()), ("id", pa.int64()), ("tag", pa.int64()), ("places", pa.binary()), ("hashes", pa.binary())])
 _ROW_DDL = "bucket int, id long, tag long, places binary, hashes binary"
@@ -116,8 +127,49 @@ def _straight(hits: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array((ids % buckets).astype(np.int32)), *hits.columns, pa.nulls(len(ids), pa.binary())], schema=_ROW)
 
 
-def _bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32 if buckets > 32_000 else np.int16)
+@dataclass(frozen=True)
+class Dealing:
+    """Which bucket a window goes to: by its home and, in slices, by its own hash; by that alone if the home is hot."""
+
+    buckets: int
+    hot: np.ndarray
+
+    @property
+    def slices(self) -> int:
+        return max(1, int(self.buckets * HOT_SHARE / MOST_ADDED))
+
+    def of(self, home: np.ndarray, own: np.ndarray) -> np.ndarray:
+        slices = np.uint64(self.slices)
+        groups = np.uint64(max(1, self.buckets // self.slices))
+        out = ((home >> np.uint64(32)) * groups >> np.uint64(32)) * slices + own % slices
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, home), len(self.hot) - 1)
+            out = np.where(self.hot[at] == home, own % (groups * slices), out)
+        return out.astype(np.int32 if self.buckets > 32_000 else np.int16)
+
+
+def _hot_homes(rows: DataFrame, widths: tuple[int, ...], size: int) -> list[np.ndarray]:
+    """For windows of each width, sorted, the homes of many: from a sample of ``rows``, a ten-thousandth of whose windows each has, so they are at most so many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, part in _rows(batch):
+                for i, width in enumerate(widths):
+                    homes, counts = np.unique(_places(part, width, (3 + i,))[3], return_counts=True)
+                    many = counts > 1
+                    keys = np.concatenate([homes[many].view(np.int64), [0]])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), i), pa.int32()), pa.array(keys), pa.array(np.r_[counts[many], 0]), pa.array(np.r_[counts[many] * 0, counts.sum()])], names=["i", "home", "n", "windows"])
+
+    scale = 1 << 20
+    drawn = rows.where(F.pmod(F.xxhash64("id", "tag"), F.lit(scale)) < int(scale * min(1.0, SAMPLE_CHARS / max(1, size))))
+    counted = drawn.mapInArrow(run, "i int, home long, n long, windows long").groupBy("i", "home").agg(F.sum("n").alias("n"), F.sum("windows").alias("windows")).where((F.col("n") >= LEAST_HOT) | (F.col("windows") > 0))
+    counted = saved(counted)
+    totals = {r["i"]: r["t"] for r in counted.groupBy("i").agg(F.sum("windows").alias("t")).collect()}  # a row a width
+    out = []
+    for i in range(len(widths)):
+        hot = counted.where((F.col("i") == i) & (F.col("n") >= max(LEAST_HOT, HOT_SHARE * totals.get(i, 0)))).select("home").toPandas()["home"].to_numpy(np.int64)
+        out.append(np.sort(hot.view(np.uint64)))
+    return out
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, TextSlice]]:
@@ -146,7 +198,7 @@ def _places(part: TextSlice, width: int, seeds: tuple[int, ...]) -> tuple[np.nda
     return docs[:n][inside], pos[:n][inside], len(docs), mixed(home[inside]), *(window_hashes(h, width)[inside] for h in own)
 
 
-def _probes(block: int, buckets: int):
+def _probes(block: int, dealing: Dealing):
     """Anchors and probes, and anchors whose window stands twice in the chunk (hits as they are)."""
 
     def sent(chunk: _Chunk) -> Iterator[pa.RecordBatch]:
@@ -163,12 +215,12 @@ def _probes(block: int, buckets: int):
         again = np.ones(len(order), bool)
         again[order[heads[single]]] = False
         again &= pos % block == 0
-        yield _straight(_by_document(ids, tags, docs[again], pos[again]), buckets)
+        yield _straight(_by_document(ids, tags, docs[again], pos[again]), dealing.buckets)
         keep, flag = np.zeros(len(order), bool), np.zeros(len(order), np.uint32)
         keep[order[heads]] = True
         flag[order[heads]] = anchors
         short = (hashes[keep].astype(np.uint32) & np.uint32(0xFFFFFFFE)) | flag[keep]
-        yield _bucketed(ids, tags, docs[keep], pos[keep], _bucket_of(home[keep], buckets), [short])
+        yield _bucketed(ids, tags, docs[keep], pos[keep], dealing.of(home[keep], hashes[keep]), [short])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = _Chunk()
@@ -246,7 +298,7 @@ def _around(hits: pa.Array, counts: np.ndarray, bounds: np.ndarray, before: int,
     return np.cumsum(change[:-1]) > 0
 
 
-def _passages(width: int, block: int, buckets: int):
+def _passages(width: int, block: int, dealing: Dealing):
     """Passages of ``width`` words around hits; those that stand earlier in the chunk are repeats as they are."""
 
     def sent(chunk: _Chunk) -> Iterator[pa.RecordBatch]:
@@ -254,9 +306,9 @@ def _passages(width: int, block: int, buckets: int):
         if not len(h1):
             return
         again = _repeats(h1, h2, ids[docs], tags[docs], pos)
-        yield _straight(_by_document(ids, tags, docs[again], pos[again]), buckets)
+        yield _straight(_by_document(ids, tags, docs[again], pos[again]), dealing.buckets)
         first = ~again
-        yield _bucketed(ids, tags, docs[first], pos[first], _bucket_of(home[first], buckets), [h1[first], h2[first]])
+        yield _bucketed(ids, tags, docs[first], pos[first], dealing.of(home[first], h1[first]), [h1[first], h2[first]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = _Chunk()
@@ -340,9 +392,10 @@ def drop_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.struct(F.col(f"`{text_col}`").isNull().alias("no_text"), *(F.col(f"`{c}`") for c in documents.columns if c != text_col)).alias("row"),
     )
     every, rows = rows, rows.drop("row")
-    hits = _gathered(rows.mapInArrow(_probes(block, buckets), _ROW_DDL), _anchored)
+    probes, passages = (Dealing(buckets, hot) for hot in _hot_homes(rows, (block, width), size))
+    hits = _gathered(rows.mapInArrow(_probes(block, probes), _ROW_DDL), _anchored)
     joined = rows.join(hits, ["id", "tag"]).select("id", "tag", "text", "places")
-    repeats = _gathered(joined.mapInArrow(_passages(width, block, buckets), _ROW_DDL), _later)
+    repeats = _gathered(joined.mapInArrow(_passages(width, block, passages), _ROW_DDL), _later)
     schema = "id long, tag long, n_words long, n_removed long, kept_text string, removed array<struct<start int, end int>>"
     results = [F.when(F.col("id") != _LAST, F.col("id")).alias(id_col), "n_words", "n_removed", "kept_text", "removed"]
     if not whole:
