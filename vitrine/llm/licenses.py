@@ -1,16 +1,18 @@
-"""License notices in documents by alignment with templates.
-
-Coverage is the share of a template's words that are aligned, in order, within
-a window of the text; any number of notices of a text are found, also where
-all their words stand elsewhere, too. Documents are independent rows; memory
-follows the longest one.
-
-``aligned`` is patience alignment, for what is changed in a notice that was found:
-Words that stand once in the text and once in a license template are anchors;
-the longest increasing run of them (by patience sorting) is kept, equal words
-beside anchors are taken along, and each gap between anchors is aligned in the
-same way, where more words are unique. It alone cannot find notices: words of a
-notice that stands twice are not unique.
+"""License notices in documents by patience alignment with templates.
+
+Words that stand once in a stretch of text and once in a license template are
+anchors; the longest increasing run of them (by patience sorting) is kept,
+equal words beside anchors are taken along, and each gap between anchors is
+aligned in the same way, where more words are unique. A gap without any such
+word is aligned by its longest common subsequence.
+
+Words of a notice that stands twice, or whose words also stand elsewhere, are
+not unique in the text. So stretches are cut first: windows around a template's
+rarest words of which enough other words of the template are there, in order.
+What they bound is exact, so any number of notices of a text is found. Coverage
+is the share of a template's words that are aligned in a stretch.
+
+Documents are independent rows; memory follows the longest one.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from math import ceil
 
 import pyarrow as pa
@@ -28,7 +31,7 @@ from pyspark.sql import types as T
 
 #: Coverage from which a notice counts.
 LEAST_COVERAGE = 0.8
-#: Words between the first and last aligned one, at most so many for each word of the template.
+#: Words of a stretch, at most so many for each word of the template.
 MOST_SPREAD = 2.0
 
 _WORD = re.compile(r"\w+(?:\.\d+)*")
@@ -85,8 +88,26 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
 def aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Places of equal words in ``a`` (template) and ``b`` (text), both increasing."""
+    """Places of equal words in ``a`` (a template) and ``b`` (a stretch of text), both increasing."""
     out: list[tuple[int, int]] = []
     work = [(0, len(a), 0, len(b))]
     while work:
@@ -97,6 +118,8 @@ def aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
         where = {w: j for j, w in enumerate(b[b0:b1], b0) if in_b[w] == 1}
         run = _increasing([(i, where[w]) for i, w in enumerate(a[a0:a1], a0) if in_a[w] == 1 and w in where])
         if not run:
+            if not in_a.keys().isdisjoint(in_b):
+                out += [(a0 + i, b0 + j) for i, j in _common(a[a0:a1], b[b0:b1])]
             continue
         last_a, last_b = a0, b0
         for i, j in run:
@@ -105,24 +128,28 @@ def aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
             x, y = i, j  # back over equal words before the anchor
             while x > last_a and y > last_b and a[x - 1] == b[y - 1]:
                 x, y = x - 1, y - 1
-            # a gap at the front needs no more text than may belong to the notice
-            reach = y - last_b if last_b > b0 else min(y - last_b, 2 * (x - last_a) + 8)
-            work.append((last_a, x, y - reach, y))
+            work.append((last_a, x, last_b, y))
             u, v = i + 1, j + 1
             while u < a1 and v < b1 and a[u] == b[v]:
                 u, v = u + 1, v + 1
             out.extend(zip(range(x, u), range(y, v), strict=True))
             last_a, last_b = u, v
-        work.append((last_a, a1, last_b, min(b1, last_b + 2 * (a1 - last_a) + 8)))
+        work.append((last_a, a1, last_b, b1))
     return sorted(out)
 
 
+def alignment(a: list[str], b: list[str], most: int) -> list[tuple[int, int]]:
+    """``aligned``; where anchors lead it astray, so that it has fewer than the ``most`` words that can be aligned, a longest common subsequence."""
+    pairs = aligned(a, b)
+    return pairs if len(pairs) >= most else _common(a, b)
+
+
 def _places(wanted: list[str], own: list[str], counts: Counter[str], least: float) -> list[tuple[int, int, int]]:
-    """Aligned words, start and end of all notices of a template, none over another.
+    """How many words can be aligned in, start and end of the stretches of a template's notices, none over another.
 
     An alignment leaves out few of the template's words, so of one word more
     than that, the rarest in the text, one is aligned: only windows around those
-    are tried. In each the longest common subsequence is exact, by bits of the template.
+    are tried. How many words each allows is exact, by bits of the template.
     """
     n = len(wanted)
     need, span, full = max(1, ceil(least * n - 1e-9)), int(MOST_SPREAD * n), (1 << n) - 1
@@ -183,9 +210,19 @@ def _apart(spans: list[tuple]) -> list[tuple]:
     return out
 
 
-def notices(text: str, templates: dict[str, list[str]] | None = None, least: float = LEAST_COVERAGE) -> list[tuple[str, float, int, int]]:
-    """License, coverage, first aligned word and one past the last of all notices, none over another: that of most
-    aligned words first (then the best covered, the first by name, the first in the text)."""
+@dataclass(frozen=True)
+class Notice:
+    """``start`` and ``end`` are the first aligned word of the text and one past the last; ``missing`` are the template's words that aren't there, in order."""
+
+    license: str
+    coverage: float
+    start: int
+    end: int
+    missing: tuple[str, ...] = ()
+
+
+def notices(text: str, templates: dict[str, list[str]] | None = None, least: float = LEAST_COVERAGE) -> list[Notice]:
+    """All notices, none over another: that of most aligned words first (then the best covered, the first by name, the first in the text)."""
     own = words(text)
     counts = Counter(own)
     found = []
@@ -194,33 +231,41 @@ def notices(text: str, templates: dict[str, list[str]] | None = None, least: flo
             wanted = words(template)
             if not wanted or sum(w in counts for w in wanted) < least * len(wanted):
                 continue
-            found += [(-most, -most / len(wanted), name, start, end) for most, start, end in _places(wanted, own, counts, least)]
-    return [(name, -share, start, end) for _, share, name, start, end in _apart(sorted(found))]
+            for most, start, end in _places(wanted, own, counts, least):
+                pairs = alignment(wanted, own[start:end], most)
+                there = {i for i, _ in pairs}
+                missing = tuple(w for i, w in enumerate(wanted) if i not in there)
+                found.append((-len(pairs), -len(pairs) / len(wanted), name, missing, start + pairs[0][1], start + pairs[-1][1] + 1))
+    return [Notice(name, -share, start, end, missing) for _, share, name, missing, start, end in _apart(sorted(found, key=lambda f: (*f[:3], *f[4:])))]
 
 
 def find(text: str, templates: dict[str, list[str]] | None = None, least: float = LEAST_COVERAGE) -> tuple[str | None, float, int, int]:
-    """The first of ``notices``, or no license, coverage 0 and an empty span."""
-    return next(iter(notices(text, templates, least)), (None, 0.0, 0, 0))
+    """License, coverage and span of the first of ``notices``, or no license, coverage 0 and an empty span."""
+    return next(((n.license, n.coverage, n.start, n.end) for n in notices(text, templates, least)), (None, 0.0, 0, 0))
 
 
 def scanned(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | None = None, least: float = LEAST_COVERAGE) -> DataFrame:
     """``id_col``, ``license`` (null if none), ``coverage``, ``start`` and ``end`` (words) of the notice of most aligned words, and
-    all ``notices`` in the order of the text, a row for each row of ``documents``.
+    all ``notices`` in the order of the text (with the template's ``missing`` words), a row for each row of ``documents``.
 
     Null and empty texts have no license, coverage 0, an empty span and no notices. Equal
     texts have equal results; other columns are neither read nor returned.
     """
     field = documents.schema[id_col]
 
+    names = ["license", "coverage", "start", "end"]
+    kinds = [pa.string(), pa.float64(), pa.int32(), pa.int32()]
+    every = pa.list_(pa.struct([*zip(names, kinds, strict=True), ("missing", pa.list_(pa.string()))]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [notices(x.as_py() or "", templates, least) for x in batch.column(1)]
-            columns = list(zip(*(x[0] if x else (None, 0.0, 0, 0) for x in found), strict=True)) or [[], [], [], []]
-            columns.append([[dict(zip(("license", "coverage", "start", "end"), n, strict=True)) for n in sorted(x, key=lambda n: n[2])] for x in found])
-            kinds = (pa.string(), pa.float64(), pa.int32(), pa.int32())
-            kinds += (pa.list_(pa.struct(list(zip(("license", "coverage", "start", "end"), kinds, strict=True)))),)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[field.name, "license", "coverage", "start", "end", "notices"])
+            first = [n[0] if n else Notice(None, 0.0, 0, 0) for n in found]
+            columns = [pa.array([getattr(n, c) for n in first], k) for c, k in zip(names, kinds, strict=True)]
+            listed = [[{**n.__dict__, "missing": list(n.missing)} for n in sorted(own, key=lambda n: n.start)] for own in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(listed, every)], names=[field.name, *names, "notices"])
 
     own = [T.StructField("license", T.StringType()), T.StructField("coverage", T.DoubleType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]
-    schema = T.StructType([T.StructField(field.name, field.dataType), *own, T.StructField("notices", T.ArrayType(T.StructType(own)))])
+    each = T.StructType([*own, T.StructField("missing", T.ArrayType(T.StringType()))])
+    schema = T.StructType([T.StructField(field.name, field.dataType), *own, T.StructField("notices", T.ArrayType(each))])
     return documents.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, schema)
