@@ -189,6 +189,7 @@ def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.when(F.col("id") == F.lit(least), place(F.lit(len(cuts)), 1)).otherwise(none),
     )
     dealt = rows.select(F.explode(F.filter(places, lambda x: x.isNotNull())).alias("place"), "id", "text").select("place.bucket", "place.late", "id", "text")
-    ordered = dealt.repartition("bucket").sortWithinPartitions("bucket", "late", "id", F.xxhash64("text"))
+    # a range is a partition: none gets several by chance
+    ordered = dealt.repartitionById(len(cuts) + 1, "bucket").sortWithinPartitions("bucket", "late", "id", F.xxhash64("text"))
     out = ordered.mapInArrow(_streamed, _COLUMNS)
     return out.select(F.when(F.col("id") != _FIRST, F.col("id")).alias(id_col), *(c.split()[0] for c in _COLUMNS.split(", ")[1:]))
