@@ -21,10 +21,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vitrine.llm.checkpoints import saved
 from vitrine.llm.textarrays import mixed
 
 ORDER = 4
 SAMPLE_ROWS = 500
+#: Languages at most: each has a model of some megabytes in every task.
+MOST_LANGUAGES = 500
 #: Values of the hash that draws the sample.
 HASHES = 1 << 30
 #: Of every so many sampled documents one is held back to calibrate rejection.
@@ -207,12 +210,15 @@ def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """Models of the languages that ``lang_col`` names; rows without language or text teach nothing. Ties of hashes go by id."""
     rows = documents.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
     # twice the rows wanted are below the limit on average, so no language sends all of its rows to one task
-    sizes = F.broadcast(rows.groupBy("lang").agg(F.count("*").alias("n")))  # a row a language
+    sizes = saved(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    if (languages := sizes.count()) > MOST_LANGUAGES:
+        raise ValueError(f"{languages} languages; a model of each goes to every task, {MOST_LANGUAGES} at most")
+    sizes = F.broadcast(sizes)  # a row a language
     drawn = rows.select("id", "lang", F.pmod(F.xxhash64("id"), F.lit(HASHES)).alias("key")).join(sizes, "lang").where(F.col("key") < HASHES * 2.0 * sample_rows / F.col("n"))
     ranked = drawn.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("key", "id"))).where(F.col("r") <= sample_rows)
     held = (F.col("r") % HELD_BACK == 0).alias("held")
     # bounded: sample_rows rows of each language
-    sample = rows.join(F.broadcast(ranked.select("id", "lang", held)), ["id", "lang"]).select("lang", "text", "held")
+    sample = saved(rows.join(F.broadcast(ranked.select("id", "lang", held)), ["id", "lang"]).select("lang", "text", "held"))
     counted = sample.where("NOT held").select("lang", "text").mapInArrow(_counted, "lang string, gram array<int>, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(set(counted["lang"].to_pylist()))
     of = np.array(counted["lang"].to_pylist(), object)
@@ -240,8 +246,7 @@ def _limits(held: DataFrame, model: Identifier) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.float64())], names=["lang", "h"])
 
     rows = held.mapInArrow(run, "lang string, h double").toPandas().dropna()
-    # a fifth more than nearly all of the held-back texts
-    return np.array([1.2 * rows.h[rows.lang == x].quantile(ACCEPTED) if (rows.lang == x).any() else np.inf for x in model.languages])
+    return np.array([rows.h[rows.lang == x].quantile(ACCEPTED) if (rows.lang == x).any() else np.inf for x in model.languages])
 
 
 def identified(documents: DataFrame, model: Identifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
