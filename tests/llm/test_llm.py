@@ -9,6 +9,7 @@ import re
 import string
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -253,6 +254,29 @@ def test_repeats_edges(spark):
         substrings.drop_repeats(documents(spark, []), width=1)
 
 
+def test_repeats_around_a_phrase_of_all_texts(spark, monkeypatch):
+    """A phrase in every text makes its windows' home hot: they are dealt by their own hashes, no bucket gets them all, and nothing is lost."""
+    monkeypatch.setattr(substrings, "LEAST_HOT", 20)
+    monkeypatch.setattr(substrings, "HOT_SHARE", 0.01)
+    rnd = random.Random(15)
+    word = lambda: "".join(rnd.choices("abcdefgh", k=4))
+    phrase = [word() for _ in range(6)]
+    texts = [" ".join([*(word() for _ in range(8)), *phrase, *(word() for _ in range(8))]) for _ in range(300)]
+    texts += texts[:40]
+    rows = by_id(substrings.drop_repeats(documents(spark, texts).repartition(5)))
+    for i, want in enumerate(without_repeats(texts, 20)):
+        assert (rows[i].n_words, rows[i].n_removed, rows[i].kept_text) == want
+    named = documents(spark, texts).selectExpr("doc_id AS id", "0L AS tag", "text")
+    hot = substrings._hot_homes(named, (10, 20), 1)
+    assert len(hot[0]) >= 1
+    part = next(iter(substrings.slices(pa.array(texts))))
+    *_, home, own = substrings._places(part, 10, (3,))
+    loads = [np.bincount(substrings.Dealing(64, h).of(home, own), minlength=64).max() for h in (hot[0][:0], hot[0])]
+    assert loads[1] < 0.5 * loads[0] and loads[1] < 4 * len(home) / 64
+    many = substrings.Dealing(10_000_000, hot[0])
+    assert many.slices > 1 and many.of(home, own).max() < 10_000_000
+
+
 def test_repeats_of_one_row_twice(spark, monkeypatch):
     text = " ".join(f"w{i}" for i in range(30))
     for chunk in (substrings.CHUNK_WORDS, 1):  # met within a task, and in the buckets
@@ -282,17 +306,48 @@ def test_licenses(spark):
 
 def test_licenses_that_stand_twice(spark):
     mit, gpl = licenses.TEMPLATES["MIT"][0], licenses.TEMPLATES["GPL-3.0"][1]
-    assert licenses.notices(mit + " Some prose. " + mit) == [("MIT", 1.0, 0, 5), ("MIT", 1.0, 7, 12)]
-    assert licenses.notices(" ".join([gpl] * 3)) == [("GPL-3.0", 1.0, 42 * i, 42 * i + 42) for i in range(3)]
+    found = lambda text: [(n.license, n.coverage, n.start, n.end) for n in licenses.notices(text)]
+    assert found(mit + " Some prose. " + mit) == [("MIT", 1.0, 0, 5), ("MIT", 1.0, 7, 12)]
+    assert found(" ".join([gpl] * 3)) == [("GPL-3.0", 1.0, 42 * i, 42 * i + 42) for i in range(3)]
     part = " ".join(licenses.words(gpl)[:36])  # the whole one behind it does not take its words
-    assert licenses.notices(f"{part} {gpl}") == [("GPL-3.0", 1.0, 36, 78), ("GPL-3.0", 36 / 42, 0, 36)]
+    assert found(f"{part} {gpl}") == [("GPL-3.0", 1.0, 36, 78), ("GPL-3.0", 36 / 42, 0, 36)]
+    assert licenses.notices(part)[0].missing == tuple(licenses.words(gpl)[36:])
+    apache = licenses.TEMPLATES["Apache-2.0"][0]
+    assert sorted(n for n, *_ in found(f"{mit} or {apache}")) == ["Apache-2.0", "MIT"]
     around = "released software. the under a license. MIT students are under. " * 100  # no word of the notice is unique
     n = len(licenses.words(around))
-    assert licenses.notices(f"{around} {mit} {around}") == [("MIT", 1.0, n, n + 5)]
+    assert found(f"{around} {mit} {around}") == [("MIT", 1.0, n, n + 5)]
     rows = licenses.scanned(documents(spark, [f"{mit} and {gpl}", None])).collect()
     assert [(x.license, x.start, x.end) for x in rows[0].notices] == [("MIT", 0, 5), ("GPL-3.0", 6, 48)] and rows[0].license == "GPL-3.0" and rows[1].notices == []
 
 
+def longest(a, b):
+    rows = [0] * (len(b) + 1)
+    for x in a:
+        last = rows.copy()
+        for j, y in enumerate(b):
+            rows[j + 1] = last[j] + 1 if x == y else max(rows[j], last[j + 1])
+    return rows[-1]
+
+
+def test_notices_against_every_window():
+    """In random texts of few words, so that hardly any is unique: a notice is found where, and only where, some window allows its coverage."""
+    rnd = random.Random(16)
+    for _ in range(150):
+        pool = "abcdefgh"[: rnd.randrange(3, 9)]
+        template, text = rnd.choices(pool, k=rnd.randrange(3, 8)), rnd.choices(pool + "xyz", k=rnd.randrange(0, 25))
+        span, need = int(licenses.MOST_SPREAD * len(template)), max(1, -(-8 * len(template) // 10))
+        best = max((longest(template, text[s : s + span]) for s in range(len(text))), default=0)
+        found = licenses.notices(" ".join(text), {"T": [" ".join(template)]})
+        assert bool(found) == (best >= need)
+        if found:
+            assert round(found[0].coverage * len(template)) == best
+        spans = sorted((n.start, n.end) for n in found)
+        assert all(a[1] <= b[0] for a, b in itertools.pairwise(spans))
+        for n in found:  # each is as covered as its own words allow, and tells what it lacks
+            assert round(n.coverage * len(template)) == longest(template, text[n.start : n.end]) == len(template) - len(n.missing)
+
+
 def test_alignment_by_patience():
     a, b = "q w a x c y e".split(), "a b c d e a b".split()
     assert licenses.aligned(a, "z q w a x c y e z".split()) == [(i, i + 1) for i in range(7)]

@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from vitrine.session import shared_folder
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder: the one that the session names in ``spark.checkpoint.dir``, or a temporary one in local tests."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoints-"))
-    return context.getCheckpointDir()
+__all__ = ["saved", "shared_folder"]
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read from there."""
+    """``df`` written to the shared checkpoint folder and read from there.
+
+    Spark deletes the files of what is no longer referred to where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -100,7 +100,8 @@ def contamination(
     n_windows = windows.count()
 
     rows = documents.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    rows = rows.withColumn("key", F.xxhash64("id", "text"))
+    # 128 bits of id and text tell rows apart
+    rows = rows.withColumn("key", F.struct(F.xxhash64("id", "text").alias("a"), F.xxhash64(F.lit(7), "text", "id").alias("b")))
     plain = rows.select("key", _words(rows, "text").alias("w"))
     # a short item's gram length may be the long ones' too: then all grams of that length count
     wide = [s for s in shapes if s[0] not in short] + [(n, 1) for n in short]
