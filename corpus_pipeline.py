@@ -40,13 +40,14 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
     # ids do not tell documents apart: a number for each id and text, in the order of ids, written before it is used
     tag = F.xxhash64(F.coalesce("text", F.lit("")))
-    numbers = docs.select(F.col("doc_id").alias("of_id"), tag.alias("of_tag")).distinct().orderBy(F.col("of_id").asc_nulls_last(), "of_tag")
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text", tag.alias("tag"))
+    numbers = rows.select(F.col("doc_id").alias("of_id"), F.col("tag").alias("of_tag")).distinct().orderBy(F.col("of_id").asc_nulls_last(), "of_tag")
     numbers = saved(numbers.withColumn("number", F.monotonically_increasing_id()))
-    numbered = docs.join(numbers, F.col("doc_id").eqNullSafe(F.col("of_id")) & (tag == F.col("of_tag"))).select(*docs.columns, "number")
+    numbered = rows.join(numbers, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("tag") == F.col("of_tag"))).select("row", "doc_id", "text", "number")
     kept = minhash.near_duplicates(numbered, "number", percent=NEAR).where("kept").select("number").distinct()
-    left = numbered.join(kept, "number", "left_semi").select(*docs.columns)
+    left = numbered.join(kept, "number", "left_semi")
     equal = F.col("doc_id").isNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    return left.where(~equal).unionAll(left.where(equal).dropDuplicates(["text"]))
+    return left.where(~equal).select("row.*").unionAll(left.where(equal).dropDuplicates(["text"]).select("row.*"))
 
 
 def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +62,7 @@ def no_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     digest = F.sha2("text", 256)
     found = decontaminate.contamination(docs.select(digest.alias("digest"), "text"), table(spark, sf_dir, "benchmark"), "digest")
     hit = found.where("n_hit > 0").select("digest").distinct()
-    return docs.withColumn("own", digest).join(hit, F.col("own") == F.col("digest"), "left_anti").drop("own")
+    return docs.select(F.struct("*").alias("row"), digest.alias("digest")).join(hit, "digest", "left_anti").select("row.*")
 
 
 def as_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,11 +42,26 @@ SELECT doc_id, len(ws) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(i.n, 0) A
 FROM words LEFT JOIN hit_words h USING (doc_id) LEFT JOIN hit_items i USING (doc_id)
 """
 
-#: The rules' part, which decides all pages of tables whose html has no redirects and canonical links; tests hold those against expected verdicts.
+#: With links: canonical ones and refreshes, absolute or completed by the page's URL (links with dot segments, which the tables don't have, are left to tests of the operator).
 URLS = r"""
-WITH parts AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+WITH RECURSIVE low(f, t) AS (VALUES ('ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')),
+parts AS (SELECT page_id, url, html, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), f, t) AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages, low),
 rules(verdict, h, p) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+named AS (SELECT *, CASE WHEN contains(url, '://') THEN regexp_replace(host, ':(80|443)$', '') || CASE WHEN path = '' THEN '/' ELSE path END || regexp_extract(url, '://[^?#]*([^#]*)', 1) ELSE url END AS node FROM parts),
+tags AS (SELECT node, host, path, url, unnest(regexp_extract_all(coalesce(html, ''), '(?is)<(?:link|meta)\s[^>]*(?:canonical|refresh)[^>]*>')) AS tag FROM named WHERE url IS NOT NULL),
+hrefs AS (SELECT *, CASE WHEN regexp_matches(tag, '(?is)\srel\s*=\s*["'']?canonical') THEN regexp_extract(tag, '(?is)\shref\s*=\s*["'']?([^"''\s>]+)', 1)
+    WHEN regexp_matches(tag, '(?is)\shttp-equiv\s*=\s*["'']?refresh') THEN regexp_extract(tag, '(?is)url\s*=\s*["'']?([^"''\s>]+)', 1) ELSE '' END AS link FROM tags),
+full_ AS (SELECT node AS a, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link WHEN link = '' OR regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN starts_with(link, '//') THEN 'http:' || link WHEN NOT contains(url, '://') THEN NULL
+    WHEN starts_with(link, '/') THEN 'http://' || host || link WHEN starts_with(link, '#') THEN url WHEN starts_with(link, '?') THEN 'http://' || host || CASE WHEN path = '' THEN '/' ELSE path END || link
+    ELSE 'http://' || host || regexp_extract(CASE WHEN path = '' THEN '/' ELSE path END, '^(.*/)', 1) || link END AS u FROM hrefs),
+ends AS (SELECT a, translate(regexp_extract(u, '://([^/?#]*)', 1), f, t) AS h, regexp_extract(u, '://[^/?#]*([^?#]*)', 1) AS p, regexp_extract(u, '://[^?#]*([^#]*)', 1) AS q FROM full_, low WHERE u IS NOT NULL),
+edges AS (SELECT DISTINCT a, regexp_replace(h, ':(80|443)$', '') || CASE WHEN p = '' THEN '/' ELSE p END || q AS b FROM ends),
+both_ AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+nodes AS (SELECT node AS n FROM named WHERE node IS NOT NULL UNION SELECT b FROM edges),
+reach AS (SELECT n, n AS m FROM nodes UNION SELECT r.n, b FROM reach r JOIN both_ ON r.m = a),
+places AS (SELECT n, regexp_extract(n, '^([^/?#]*)', 1) AS host, regexp_extract(n, '^[^/?#]*([^?#]*)', 1) AS path FROM nodes),
+own AS (SELECT n, verdict, row_number() OVER (PARTITION BY n ORDER BY length(h || p) DESC) AS r FROM places JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)),
+blocked AS (SELECT DISTINCT reach.n FROM reach JOIN own ON own.n = reach.m AND r = 1 AND verdict = 'block'),
 fits AS (SELECT page_id, h || p AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC) AS r FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
-SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN (FROM fits WHERE r = 1) USING (page_id)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN node IN (FROM blocked) AND contains(url, '://') THEN 'block' ELSE 'allow' END) AS verdict FROM named LEFT JOIN (FROM fits WHERE r = 1) USING (page_id)
 """
