@@ -402,13 +402,24 @@ def test_file_sources(spark, tmp_path):
 
 def test_collection_files(spark, items, tmp_path):
     folder = str(tmp_path / "collection")
-    sources.write_collection(items, folder, "hash", 2)
-    info, back = sources.read_collection(spark, folder, 2)
-    assert info["model"] == "hash" and back.count() == 5
+    assert sources.write_collection(items.limit(0), folder, "hash", 2) is None
+    with pytest.raises(FileNotFoundError):
+        sources.read_collection(spark, folder)
+    sources.write_collection(items, folder, "hash", 2, groups={"g2": "West", "g1": "East"})
+    info, back = sources.read_collection(spark, folder, 2, "hash")
+    assert info["model"] == "hash" and back.count() == 5 and [g["label"] for g in info["groups"]] == ["West", "East"]
+    assert [r.item_id for r in back.orderBy("shard", "pos").collect()] == ["i2", "i3", "i4", "i0", "i1"]
+    with pytest.raises(ValueError, match="not other"):
+        sources.read_collection(spark, folder, model="other")
     with pytest.raises(ValueError):
         sources.write_collection(items, folder, "other", 2)
     with pytest.raises(ValueError):
         sources.read_collection(spark, folder, 3)
+    items.where("group_id = 'g1'").drop("group_id").write.mode("append").parquet(f"{folder}/items/group_id=g1")
+    with pytest.raises(ValueError, match="descriptor"):
+        sources.read_collection(spark, folder)
+    (tmp_path / "c.csv").write_text('id,url\n1,"a, ""b"""\n2,\n')
+    assert [(r.id, r.url) for r in sources.catalog_csv(spark, str(tmp_path / "c.csv")).orderBy("row").collect()] == [("1", 'a, "b"'), ("2", None)]
 
 
 def test_ingest_stream(spark, tmp_path):

@@ -300,12 +300,11 @@ def years(value: Column) -> tuple[Column, Column]:
     ``1860s`` is a decade, or a century for multiples of 100 before 1500;
     ``1914-1918`` a span in either order; ``1860`` itself.
     """
-    text = F.trim(value)
-    decade = _year(text, r"^(\d{1,4})s$", 1)
-    a, b = _year(text, r"^(\d{1,4})\s*[-–]\s*(\d{1,4})$", 1), _year(text, r"^(\d{1,4})\s*[-–]\s*(\d{1,4})$", 2)
-    one = _year(text, r"^(\d{1,4})$", 1)
-    last = F.when((decade % 100 == 0) & (decade < 1500), decade + 99).otherwise(decade + 9)
-    return F.coalesce(decade, F.least(a, b), one), F.coalesce(last, F.greatest(a, b), one)
+    parts = r"^\s*(\d{1,4})(?:(s)|\s*[-–]\s*(\d{1,4}))?\s*$"
+    first, last = (F.nullif(F.regexp_extract(value, parts, i), F.lit("")).try_cast("int") for i in (1, 3))
+    decade = F.regexp_extract(value, parts, 2) == "s"
+    end = F.when(decade, F.when((first % 100 == 0) & (first < 1500), first + 99).otherwise(first + 9)).otherwise(F.greatest(first, last))
+    return F.least(first, last), end
 
 
 def is_query_date(word: Column) -> Column:
@@ -324,10 +323,6 @@ def hours_since(moment: Column, now: Column) -> Column:
     return (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.to_timestamp(moment))) / 3.6e9
 
 
-def _year(text: Column, pattern: str, group: int) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).try_cast("int")
-
-
 # --- images and sizes --------------------------------------------------------
 
 

@@ -13,6 +13,8 @@ from vitrine.functions.columns import dot, literal_vector
 
 #: Vectors in a block of a batch search.
 BLOCK = 1024
+#: Queries up to which their blocks are broadcast: some tens of megabytes.
+BROADCAST_QUERIES = 8192
 
 
 def vector_of(items: DataFrame, item: str) -> list[float]:
@@ -85,7 +87,9 @@ def batch_nearest(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 top = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
                 yield pa.RecordBatch.from_arrays([np.repeat(q_ids, top.shape[1]), ids[top].ravel(), np.take_along_axis(s, top, 1).ravel()], names=["query_id", "pos", "similarity"])
 
-    pairs = left.crossJoin(right).mapInArrow(best, "query_id long, pos long, similarity double")
+    # few queries go to where the items are; many meet them block by block
+    few = queries.count() <= BROADCAST_QUERIES
+    pairs = left.crossJoin(F.broadcast(right) if few else right).mapInArrow(best, "query_id long, pos long, similarity double")
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "pos")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "pos", "similarity")
 

@@ -169,26 +169,51 @@ def manifest_files(manifest: DataFrame) -> DataFrame:
     return described(manifest.select(url_key(F.col(url)).alias("key"), bytes_.alias("size"), F.struct("*").alias("row")))
 
 
-def write_collection(items: DataFrame, folder: str, model: str, dimensions: int, overwrite: bool = False) -> None:
-    """Items by group, and a descriptor; a folder that holds another model's index is refused."""
-    spark = items.sparkSession
-    info = f"{folder.rstrip('/')}/info"
+def catalog_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a CSV with a header, as text, numbered in ``row`` (by file and place)."""
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).withColumn("row", F.monotonically_increasing_id())
+
+
+def _descriptor(spark: SparkSession, folder: str) -> dict | None:
     try:
-        known = json.loads(spark.read.text(info).first()[0])
+        return json.loads(spark.read.text(f"{folder.rstrip('/')}/info").first()[0])
     except Exception as problem:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(problem):
             raise
-        known = None
+        return None
+
+
+def write_collection(items: DataFrame, folder: str, model: str, dimensions: int, overwrite: bool = False, groups: dict[str, str] | None = None) -> dict | None:
+    """Items (with pos) by group, and a descriptor with the groups in order and their labels, or by name; nothing, if there are no items.
+
+    A folder that holds another model's index is refused.
+    """
+    spark = items.sparkSession
+    known = _descriptor(spark, folder)
     if known and (known["model"], known["dimensions"]) != (model, dimensions):
         raise ValueError(f"{folder} holds an index of {known['model']} with {known['dimensions']} dimensions")
+    counts = {r["group_id"]: r["n"] for r in items.groupBy("group_id").agg(F.count("*").alias("n")).collect()}  # a row a group
+    if not counts:
+        return None
     items.write.partitionBy("group_id").mode("overwrite" if overwrite or known else "errorifexists").parquet(f"{folder.rstrip('/')}/items")
-    descriptor = json.dumps({"format": 2, "model": model, "dimensions": dimensions})
-    spark.createDataFrame([(descriptor,)], "value string").coalesce(1).write.mode("overwrite").text(info)
-
-
-def read_collection(spark: SparkSession, folder: str, dimensions: int | None = None) -> tuple[dict, DataFrame]:
-    """The descriptor and the items, in the order of their groups' names and places; a vector width that differs is refused."""
-    info = json.loads(spark.read.text(f"{folder.rstrip('/')}/info").first()[0])
+    order = [g for g in groups or {} if g in counts] + sorted(g for g in counts if g not in (groups or {}))
+    info = {"format": 2, "model": model, "dimensions": dimensions, "items": sum(counts.values()), "groups": [{"id": g, "label": (groups or {}).get(g, g), "items": counts[g]} for g in order]}
+    spark.createDataFrame([(json.dumps(info),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder.rstrip('/')}/info")
+    return info
+
+
+def read_collection(spark: SparkSession, folder: str, dimensions: int | None = None, model: str | None = None) -> tuple[dict, DataFrame]:
+    """The descriptor and the items, with ``shard``, their group's place. An index of another model or vector width, or whose items are not those that it tells of, is refused."""
+    info = _descriptor(spark, folder)
+    if info is None:
+        raise FileNotFoundError(f"no index in {folder}")
+    if model is not None and info["model"] != model:
+        raise ValueError(f"the index was made with {info['model']}, not {model}")
     if dimensions is not None and info["dimensions"] != dimensions:
         raise ValueError(f"the index has {info['dimensions']} dimensions, the encoder {dimensions}")
-    return info, spark.read.parquet(f"{folder.rstrip('/')}/items")
+    items = spark.read.option("basePath", f"{folder.rstrip('/')}/items").parquet(f"{folder.rstrip('/')}/items").withColumn("group_id", F.col("group_id").cast("string"))
+    found = {r["group_id"]: r["n"] for r in items.groupBy("group_id").agg(F.count("*").alias("n")).collect()}  # a row a group
+    if found != {g["id"]: g["items"] for g in info["groups"]}:
+        raise ValueError(f"the items in {folder} are not those that its descriptor tells of")
+    place = F.create_map(*(F.lit(x) for i, g in enumerate(info["groups"]) for x in (g["id"], i)))
+    return info, items.withColumn("shard", F.try_element_at(place, F.col("group_id")))
