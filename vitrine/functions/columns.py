@@ -145,7 +145,7 @@ def shape(identifier: Column) -> Column:
 
 @cache
 def _folds() -> tuple[str, str, str]:
-    """Characters of the basic plane that fold to one other character, and to which; those that vanish come last. And a class of all that fold to several."""
+    """Characters of the basic plane that fold to one other character, and to which; those that vanish come last. And a class that holds all that fold to several."""
     single, gone, several = {}, [], []
     for code in (c for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000 and not 0xAC00 <= c < 0xD7B0):
         folded = _folded_text(chr(code))
@@ -155,14 +155,17 @@ def _folds() -> tuple[str, str, str]:
             several.append(code)
         elif folded != chr(code).lower() or len(chr(code).lower()) > 1:
             single[chr(code)] = folded
-    runs: list[list[int]] = []
-    for code in several:
+    # few ranges up to Cyrillic, and common punctuation, in which no character folds to several: what lies outside them may
+    runs, odd = [], set(several)
+    for code in (*range(0x530), *range(0x2010, 0x2016), *range(0x2018, 0x2020), 0x20AC):
+        if code in odd:
+            continue
         if runs and runs[-1][1] == code - 1:
             runs[-1][1] = code
         else:
             runs.append([code, code])
-    kind = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + r"\x{ac00}-\x{d7af}\x{10000}-\x{10ffff}"
-    return "".join(single) + "".join(gone), "".join(single.values()), f"[{kind}]"
+    kind = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs)
+    return "".join(single) + "".join(gone), "".join(single.values()), f"[^{kind}]"
 
 
 def _folded_text(text: str) -> str:
@@ -176,7 +179,7 @@ def fold(text: Column) -> Column:
     ligatures, Hangul and the like, where one character becomes several, go to Python.
     """
     given, to, several = _folds()
-    odd = F.pandas_udf(_folded, "string")(F.when(text.rlike(several), text))
+    odd = F.pandas_udf(_folded, "string")(F.when(text.rlike(r"[^\x00-\x7f]") & text.rlike(several), text))
     return F.coalesce(odd, F.lower(F.translate(text, given, to)))
 
 

@@ -146,10 +146,12 @@ def sub_phrases(asked: DataFrame, gazetteer: DataFrame) -> DataFrame:
 
 def gazetteer_matches(queries: DataFrame, gazetteer: DataFrame, vocab: DataFrame, tokens: DataFrame, has_names: bool = True) -> DataFrame:
     """``query_id``, ``term``, ``field``, ``record_count`` and ``whole``: the catalog term that a query (query_id, text) is, is part of or contains."""
-    own = queries.select("query_id", words(F.col("text")).alias("all"))
+    given = queries.select("query_id", F.array_join(words(F.col("text")), " ").alias("asked"))
+    # queries of the same words are one
+    own = given.select("asked").where("asked <> ''").distinct().select(F.col("asked").alias("query_id"), F.split("asked", " ").alias("all"))
     stop = F.array(*map(F.lit, STOP_WORDS))
     content = F.filter("all", lambda w: ~F.array_contains(stop, w))
-    own = own.select("query_id", "all", F.when(F.size(content) > 0, content).otherwise(F.col("all")).alias("words")).where(F.size("words") > 0)
+    own = own.select("query_id", "all", F.when(F.size(content) > 0, content).otherwise(F.col("all")).alias("words"))
     keys = F.array_distinct(F.array(F.array_join("all", " "), F.array_join("words", " ")))
     exact = _best(own.select("query_id", F.posexplode(keys).alias("at", "key")), gazetteer, [F.col("at")]).withColumnRenamed("found", "exact")
     single, several = own.where(F.size("words") == 1), own.where(F.size("words") > 1)
@@ -164,7 +166,8 @@ def gazetteer_matches(queries: DataFrame, gazetteer: DataFrame, vocab: DataFrame
     thing = F.coalesce("exact", "thing")
     of_one = F.when(thing.isNull() | (F.col("named")["record_count"] > thing["record_count"]), F.coalesce(F.col("named"), thing)).otherwise(thing)
     whole = F.when(F.size("words") == 1, of_one).otherwise(F.coalesce("exact", "inside"))
-    return out.withColumn("whole_", whole).select("query_id", F.coalesce("whole_", "part").alias("found"), F.col("whole_").isNotNull().alias("whole")).where("found IS NOT NULL").select("query_id", "found.*", "whole")
+    out = out.withColumn("whole_", whole).select(F.col("query_id").alias("asked"), F.coalesce("whole_", "part").alias("found"), F.col("whole_").isNotNull().alias("whole")).where("found IS NOT NULL")
+    return given.join(out, "asked").select("query_id", "found.*", "whole")
 
 
 def _weights(kind: Column, whole: Column, mode: str) -> tuple[Column, Column]:
