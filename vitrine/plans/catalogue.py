@@ -407,7 +407,7 @@ def gazetteer_matches(spark, d):
     return routing.gazetteer_matches(asked, text.gazetteer, text.vocabulary, text.tokens)
 
 
-@query(_ROUTED, f""", {_MATCHES}, k AS (SELECT query_id, query, CASE WHEN regexp_full_match(query, '(1[0-9]|20)[0-9]{{2}}') THEN 'date' WHEN regexp_full_match(query, 'P\.[0-9]{{6}}') AND (SELECT count(*) FROM part) >= 10 THEN 'identifier' WHEN starts_with(query, 'title:') THEN 'field' WHEN contains(query, '"') THEN 'phrase' END AS kind FROM asked),
+@query(_ROUTED, f""", {_MATCHES}, k AS (SELECT query_id, query, CASE WHEN regexp_full_match(query, '(1[0-9]|20)[0-9]{{2}}') THEN 'date' WHEN regexp_full_match(query, 'P[.][0-9]{{6}}') AND (SELECT count(*) FROM part) >= 10 THEN 'identifier' WHEN starts_with(query, 'title:') THEN 'field' WHEN contains(query, '"') THEN 'phrase' END AS kind FROM asked),
     r AS (SELECT query_id, coalesce(kind, x.field, 'description') AS kind, CASE WHEN kind IS NULL THEN term END AS term, CASE WHEN kind IS NULL THEN whole END AS whole FROM k LEFT JOIN matches x USING (query_id))
     SELECT query_id, kind, term, CAST(CASE WHEN NOT coalesce(whole, true) OR kind IN ('topic', 'object_type') THEN 1.0 WHEN kind IN ('name', 'date') THEN 0.3 WHEN kind = 'description' THEN 1.0 ELSE 0.0 END AS DOUBLE) AS visual,
         CAST(CASE WHEN kind = 'description' THEN 0.3 ELSE 1.0 END AS DOUBLE) AS keyword FROM r""")
