@@ -503,6 +503,15 @@ def test_contamination(spark, short):
         assert (rows[i].n_words, rows[i].n_hit, list(rows[i].items)) == want
 
 
+def test_contamination_of_a_long_copy(spark):
+    """A text of 60,000 words that stands in the benchmark as a whole."""
+    rnd = random.Random(18)
+    text = " ".join("".join(rnd.choices("abcdefgh", k=5)) for _ in range(60_000))
+    bench = spark.createDataFrame([(1, text), (2, "other words that are in no text of these at all, ever")], "item_id long, text string")
+    row = decontaminate.contamination(documents(spark, ["before it " + text + " and behind", "free"]), bench).orderBy("doc_id").first()
+    assert (row.n_words, row.n_hit, list(row.items)) == (60_004, 60_000, ["1"])
+
+
 def test_contamination_edges(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert [r.n_hit for r in decontaminate.contamination(documents(spark, ["a b", None]), bench).collect()] == [0, 0]

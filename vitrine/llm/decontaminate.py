@@ -26,6 +26,8 @@ WINDOW = 10
 GRAM = 5
 #: Rows of the benchmark's side up to which it is broadcast: some megabytes.
 BROADCAST_ROWS = 50_000
+#: Slots of a document's matched fingerprints at most.
+SLOTS = 1024
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -60,9 +62,9 @@ def _sized(df: DataFrame, rows: int) -> DataFrame:
 
 
 def _starts(width: int, k: int) -> str:
-    """Windows of ``width`` words that hold a gram of a matched fingerprint: first word, width and text."""
+    """Windows of ``width`` words that hold a gram of a matched fingerprint (in ``slots``): first word, width and text."""
     grams = ", ".join(f"w[i + {j}]" for j in range(k))
-    hits = f"filter(sequence(0, size(w) - {k}), i -> array_contains(found, xxhash64({k}, {grams})))"
+    hits = f"filter(sequence(0, size(w) - {k}), i -> exists(array(xxhash64({k}, {grams})), h -> array_contains(slots[CAST(pmod(h, size(slots)) AS int)], h)))"
     near = f"flatten(transform({hits}, i -> sequence(greatest(0, i - {width - k}), least(i, size(w) - {width}))))" if width > k else hits
     # a hit so near the end that no window begins before it counts from the last window
     near = near.replace(f"least(i, size(w) - {width})", f"greatest(greatest(0, i - {width - k}), least(i, size(w) - {width}))")
@@ -109,7 +111,9 @@ def contamination(
     found = _fingerprints(plain, wide).select("key", F.explode_outer("fps").alias("fp")).join(_sized(fps, n_fps), "fp", "left_semi")
     found = found.groupBy("key").agg(F.collect_set("fp").alias("found"))
 
-    shaped = rows.select("key", "id", "text").join(found, "key", "left").select("key", "id", "found", _words(rows, "text").alias("w"))
+    # a long text's matches stand in slots by remainders, so that no word is compared with all of them
+    slots = f"transform(sequence(0, least({SLOTS}, size(found) div 32 + 1) - 1), b -> filter(found, f -> pmod(f, least({SLOTS}, size(found) div 32 + 1)) = b))"
+    shaped = rows.select("key", "id", "text").join(found, "key", "left").select("key", "id", "found", F.when(F.col("found").isNotNull(), F.expr(slots)).alias("slots"), _words(rows, "text").alias("w"))
     cuts = [(WINDOW, GRAM), *((n, n) for n in short)]
     all_cuts = f"concat({', '.join(_starts(width, k) for width, k in cuts)})"
     shaped = shaped.select("key", "id", F.size("w").cast("long").alias("n_words"), F.when(F.col("found").isNotNull(), F.expr(all_cuts)).alias("cuts"))
