@@ -497,10 +497,8 @@ _EMPTY = ["zzzz", "title:zzzz", "2091", "PROMO zzzz", "ECONOMY SMALL", '"ring ri
 def empty_reasons(spark, d):
     """Why each of some queries finds nothing in groups that hold none of its records."""
     text, fields = m.part_text(spark, d), ["title", "names", "topics", "object_types", "identifiers", "dates"]
-    found = []
-    for i, query_ in enumerate(_EMPTY):
-        plan = planner.plan(query_, text.tokens, text.vocabulary, text.gazetteer, text.shapes, fields, correct=False)
-        found.append((i, search.empty_reason(plan, text)["kind"]))
+    plans = planner.plans(_EMPTY, text.tokens, text.vocabulary, text.gazetteer, text.shapes, fields, correct=False)
+    found = [(i, search.empty_reason(plan, text)["kind"]) for i, plan in enumerate(plans)]
     return spark.createDataFrame(found, "query_id int, reason string")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from vitrine.functions.columns import _folded_text, date_forms
@@ -60,17 +60,27 @@ def clauses_of(plain: list[str], phrases: list[str], fields: list[tuple[str, str
     return query, [*content, *(p for p in phrases if folded_words(p)), *(v for _, v in fields if folded_words(v))]
 
 
-def plan(query: str, tokens: DataFrame, vocab: DataFrame, gazetteer: DataFrame, shapes: DataFrame, fields: list[str], correct: bool = True) -> Plan:
+def plans(queries: list[str], tokens: DataFrame, vocab: DataFrame, gazetteer: DataFrame, shapes: DataFrame, fields: list[str], correct: bool = True) -> list[Plan]:
     """``tokens``, ``vocab`` (term, records), ``gazetteer`` (key, term, field, record_count) and ``shapes`` (shape) of a catalog with these text fields."""
-    one = tokens.sparkSession.createDataFrame([(0, query)], "query_id int, query string")
-    row = routing.routed(one, tokens, vocab, gazetteer, shapes, fields, correct).withColumn("dates", date_forms(F.get("plain", F.lit(0))) if "dates" in fields else F.lit(None)).first()
+    given = tokens.sparkSession.createDataFrame(list(enumerate(queries)), "query_id int, query string")
+    dates = date_forms(F.get("plain", F.lit(0))) if "dates" in fields else F.lit(None)
+    rows = sorted(routing.routed(given, tokens, vocab, gazetteer, shapes, fields, correct).withColumn("dates", dates).collect(), key=lambda r: r.query_id)  # a row a query
+    asked = sorted({f for r in rows for w in r.plain for own in [folded_words(w)] if len(own) == 1 for f in forms(own[0])})
+    known = {r.term for r in vocab.where(F.col("term").isin(asked)).select("term").collect()} if asked else set()  # forms of the queries' words
+    return [_planned(row, known) for row in rows]
+
+
+def plan(query: str, *catalog, correct: bool = True) -> Plan:
+    """The plan of one query: see ``plans``."""
+    return plans([query], *catalog, correct=correct)[0]
+
+
+def _planned(row: Row, known: set[str]) -> Plan:
     out = Plan(row.query, row.text, row.kind, [], correction={"from": row.query, "to": row.corrected} if row.corrected is not None else None)
     if row.kind in ("date", "identifier"):
         column, alternatives = ("dates", row.dates or []) if row.kind == "date" else ("identifiers", row.plain)
         out.clauses, out.terms = [[Phrase(folded_words(a), column) for a in alternatives]] if alternatives else [], list(row.plain)
         return out
-    asked = sorted({f for w in row.plain for own in [folded_words(w)] if len(own) == 1 for f in forms(own[0])})
-    known = {r.term for r in vocab.where(F.col("term").isin(asked)).select("term").collect()} if asked else set()  # forms of a query's words
     out.clauses, out.terms = clauses_of(row.plain, row.phrases, [(f.field, f.value) for f in row.fields], known)
     if row.kind == "field":
         out.matched = {"field": row.field}
