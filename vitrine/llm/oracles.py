@@ -65,3 +65,31 @@ blocked AS (SELECT DISTINCT reach.n FROM reach JOIN own ON own.n = reach.m AND r
 fits AS (SELECT page_id, h || p AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC) AS r FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN node IN (FROM blocked) AND contains(url, '://') THEN 'block' ELSE 'allow' END) AS verdict FROM named LEFT JOIN (FROM fits WHERE r = 1) USING (page_id)
 """
+
+
+def _vector_codes(parts: int = 16, entries: int = 64, width: int = 4, rounds: int = 2) -> str:
+    cells = ", ".join(f"v[{width} * p + {i + 1}] AS c{i}" for i in range(width))
+    names = ", ".join(f"c{i}" for i in range(width))
+    distance = " + ".join(f"(x.c{i} - e.c{i}) * (x.c{i} - e.c{i})" for i in range(width))
+    near = lambda book: f"SELECT x.row, x.p, {', '.join(f'any_value(x.c{i}) AS c{i}' for i in range(width))}, min(({distance}) * 256 + e.e) AS best FROM pieces x JOIN {book} e ON e.p = x.p GROUP BY x.row, x.p"
+    means = ", ".join(f"CAST(floor(sum(c{i}) / count(*)) AS BIGINT) AS c{i}" for i in range(width))
+    steps = "".join(
+        f"""near{r} AS ({near(f"book{r}")}),
+means{r} AS (SELECT p, best % 256 AS e, {means} FROM near{r} GROUP BY ALL),
+book{r + 1} AS (SELECT b.p, b.e, {", ".join(f"coalesce(m.c{i}, b.c{i}) AS c{i}" for i in range(width))} FROM book{r} b LEFT JOIN means{r} m ON m.p = b.p AND m.e = b.e),
+"""
+        for r in range(rounds)
+    )
+    return f"""
+WITH kept AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) - 1 AS row, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pieces AS (SELECT row, p, {cells} FROM kept, range({parts}) t(p)),
+book0 AS (SELECT p, row AS e, {names} FROM pieces WHERE row < {entries}),
+{steps}last AS ({near(f"book{rounds}")}),
+codes AS (SELECT row, string_agg(lower(printf('%02x', best % 256)), '' ORDER BY p) AS code, CAST(sum(best // 256) AS BIGINT) AS error FROM last GROUP BY row),
+digest AS (SELECT sha256(string_agg(concat_ws(',', {names}), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM kept JOIN codes USING (row), digest
+"""
+
+
+VECTOR_CODES = _vector_codes()

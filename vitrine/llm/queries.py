@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import bpe, decontaminate, language, licenses, lzprints, maintext, minhash, oracles, quality, substrings, urls
+from vitrine.llm import bpe, decontaminate, language, licenses, lzprints, maintext, minhash, oracles, quality, ring, substrings, urls, veccodes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,6 +65,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SHARDS = 24
 URL_RULES: list[urls.Rule] = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
@@ -92,6 +93,17 @@ def op7_lzprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lzprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    documents = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    return ring.placed(documents, SHARDS).select("row.*", F.lit("rows").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op13_veccodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = veccodes.compressed(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(books.digest() if books else None).cast("string").alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_minhash": op2_minhash,
@@ -103,10 +115,13 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_decontaminate": op9_decontaminate,
     "op10_urls": op10_urls,
+    "op12_sharding": op12_sharding,
+    "op13_veccodes": op13_veccodes,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_minhash": oracles.NEAR_DUPLICATES,
     "op4_substrings": oracles.REPEATS,
     "op9_decontaminate": oracles.CONTAMINATION,
     "op10_urls": oracles.URLS,
+    "op13_veccodes": oracles.VECTOR_CODES,
 }
