@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import bpe, decontaminate, language, licenses, lzprints, maintext, minhash, oracles, quality, ring, substrings, urls, veccodes
+from vitrine.llm import bpe, decontaminate, importance, language, licenses, lzprints, maintext, minhash, oracles, quality, ring, substrings, urls, veccodes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -93,6 +93,10 @@ def op7_lzprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lzprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     documents = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
@@ -115,6 +119,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_decontaminate": op9_decontaminate,
     "op10_urls": op10_urls,
+    "op11_importance": op11_importance,
     "op12_sharding": op12_sharding,
     "op13_veccodes": op13_veccodes,
 }
