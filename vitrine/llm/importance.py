@@ -5,22 +5,23 @@ in, to the partition of a dictionary of distinct strings; there each is counted
 over all documents and over the target, and hashed once. Bucket totals give
 gains, and gains come back over the dictionary to the counts of each document.
 
-To keep what is shuffled small, a task gathers slices of half a million words:
-a distinct string of a slice goes once, with the documents that hold it and how
-often. A string of three words stands for the run of its last two as well: it
-goes to the partition of those, so each run of two is whole in one partition,
-however many words come before it.
+To keep what is shuffled small, a task gathers slices of some megabytes: a
+distinct string of a slice goes once, as numbers of words in a list that goes
+with them, with the documents that hold it and how often. A string of three
+words stands for the run of its last two as well, so both go to the partition
+of those two. Strings with a large part of a slice's words go to several
+partitions in turn: each counts its part, and bucket totals add up.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -29,69 +30,80 @@ from pyspark.sql import functions as F
 from vitrine.llm.checkpoints import saved
 
 BUCKETS = 10_000
-#: Words and documents of a slice at most.
-SLICE_WORDS = 1 << 19
+#: Bytes and documents of a slice at most; a longer text goes in pieces. So a slice has under 2^21 distinct words: few have under three bytes, and a gap stands behind each.
+SLICE_BYTES = 5_000_000
 SLICE_DOCS = 1 << 16
 #: Bytes of text for a partition of the dictionary.
-PART_BYTES = 8 << 20
-#: A longer text is cut between words as it is read.
-_READ_BYTES = 4 << 20
+PART_BYTES = 24 << 20
+#: A word, or a run of two, that is more than this part of a slice has its strings dealt over FAN partitions.
+COMMON = 1024
+FAN = 64
 
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_BREAK = re.compile(rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]")
-
-
-def _pieces(text: bytes) -> Iterator[list[bytes]]:
-    """Words of a text, some megabytes at a time."""
-    at = 0
-    while at < len(text):
-        end = at + _READ_BYTES
-        if end < len(text):
-            found = _BREAK.search(text, end)
-            end = found.start() if found else len(text)
-        yield _WORD.findall(text[at:end].translate(_LOWER))
-        at = end
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_INSIDE = np.ones(256, bool)
+_INSIDE[[*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = False
 
 
 @dataclass
 class _Slice:
-    """Words of documents that follow one another; the first ``before`` words belong to the slice before and only stand before others."""
+    """Texts of documents that follow one another; the first ``before`` words belong to the piece before and only stand before others."""
 
     first: int
-    ids: list = field(default_factory=list)
-    sizes: list[int] = field(default_factory=list)
-    words: list[bytes] = field(default_factory=list)
+    ids: pa.Array
+    data: np.ndarray
+    offsets: np.ndarray
     before: int = 0
 
+    def words(self) -> tuple[pa.Array, np.ndarray]:
+        """All words, and the number of each document's."""
+        data = _LOWER[self.data]
+        inside = _INSIDE[data]
+        begins, ends = inside.copy(), inside.copy()
+        begins[1:] &= ~inside[:-1]
+        ends[:-1] &= ~inside[1:]
+        at = self.offsets[:-1][np.diff(self.offsets) > 0]
+        begins[at] = inside[at]
+        last = at[at > 0] - 1
+        ends[last] = inside[last]
+        starts = np.flatnonzero(begins)
+        sizes = np.flatnonzero(ends) + 1 - starts
+        places = np.append(0, np.cumsum(sizes)).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(data[inside]))])
+        return words, np.diff(np.searchsorted(starts, self.offsets))
+
 
 def _slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[_Slice]:
     document = TaskContext.get().partitionId() << 40
-    own = _Slice(document)
     for batch in batches:
-        texts = batch.column(1).cast(pa.large_string()).cast(pa.large_binary())
-        for key, text in zip(batch.column(0), texts, strict=True):
-            if len(own.words) >= most or len(own.ids) >= SLICE_DOCS:
-                yield own
-                own = _Slice(document)
-            own.ids.append(key.as_py())
-            own.sizes.append(0)
-            for words in _pieces(text.as_py() or b""):
-                at = 0
-                while at < len(words):
-                    taken = words[at : at + most - len(own.words)] if len(own.words) < most else []
-                    if not taken:
-                        held = own.sizes[-1] + (own.before if len(own.ids) == 1 else 0)
-                        last = own.words[len(own.words) - min(2, held) :]
-                        yield own
-                        own = _Slice(document, [key.as_py()], [0], last, len(last))
-                        continue
-                    own.words += taken
-                    own.sizes[-1] += len(taken)
-                    at += len(taken)
-            document += 1
-    if own.ids:
+        texts = batch.column(1).cast(pa.large_string()).fill_null("").cast(pa.large_binary())
+        _, places, data = texts.buffers()
+        offsets = np.frombuffer(places, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        at = 0
+        while at < len(texts):
+            end = min(max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1), at + SLICE_DOCS)
+            own = data[offsets[at] : offsets[end]]
+            if len(own) <= most:
+                yield _Slice(document + at, batch.column(0).slice(at, end - at), own, offsets[at : end + 1] - offsets[at])
+            else:
+                yield from _cut(document + at, batch.column(0).slice(at, 1), own, most)
+            at = end
+        document += len(texts)
+
+
+def _cut(document: int, key: pa.Array, data: np.ndarray, most: int) -> Iterator[_Slice]:
+    """A long text in pieces, cut between words; each begins with the last two words of the one before."""
+    gaps = np.flatnonzero(~_INSIDE[_LOWER[data]])
+    tail, before, at = np.zeros(0, np.uint8), 0, 0
+    while at < len(data):
+        near = np.searchsorted(gaps, at + most)
+        end = int(gaps[near]) if near < len(gaps) else len(data)
+        piece = np.concatenate([tail, data[at:end]])
+        own = _Slice(document, key, piece, np.array([0, len(piece)]), before)
         yield own
+        last = own.words()[0][-2:].to_pylist()
+        tail, before, at = np.frombuffer(b"".join(w + b" " for w in last), np.uint8), len(last), end
 
 
 def _spread(x: np.ndarray) -> np.ndarray:
@@ -100,160 +112,244 @@ def _spread(x: np.ndarray) -> np.ndarray:
 
 
 def _packed(x: np.ndarray) -> bytes:
-    return zstandard.compress(x.tobytes(), 3)
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if not len(x) or x.max() <= np.iinfo(k).max)
+    return zstandard.compress(bytes([np.dtype(kind).itemsize]) + x.astype(kind).tobytes(), 3)
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    raw = zstandard.decompress(blob)
+    return np.frombuffer(raw, f"u{raw[0]}", offset=1).astype(np.int64)
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Differences, those upwards as even and those downwards as odd numbers: small ones, where ``x`` is in order."""
+    step = np.diff(x, prepend=0)
+    return np.where(step < 0, -2 * step - 1, 2 * step)
+
+
+def _from_steps(x: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.where(x & 1, -(x + 1) // 2, x // 2))
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each number the place of its value among distinct values, and these."""
+    found = pa.array(x).dictionary_encode()
+    return found.indices.to_numpy().astype(np.int64), found.dictionary.to_numpy()
+
+
+def _shifts(most: int = 255) -> np.ndarray:
+    """For each length, what as many zero bytes make of each byte of a crc32."""
+    step = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        step = np.where(step & 1, np.uint32(0xEDB88320), np.uint32(0)) ^ (step >> 1)
+    own = (np.arange(256, dtype=np.uint32)[None] << (8 * np.arange(4, dtype=np.uint32)[:, None])).astype(np.uint32)
+    out = [own]
+    for _ in range(most):
+        own = step[own & 0xFF] ^ (own >> 8)
+        out.append(own)
+    return np.array(out)
+
+
+_SHIFTS = _shifts()
 
 
-_ENTRIES = "part int, first long, target boolean, ids array<{id}>, sizes array<int>, strings binary, holders binary, docs binary, counts binary"
+def joined_crc(first: np.ndarray, second: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """crc32 of strings from those of their two parts, the second of which has ``length`` bytes."""
+    first, length = first.astype(np.uint32), length.copy()
+    while True:
+        now = np.minimum(length, len(_SHIFTS) - 1)
+        first = _SHIFTS[now, 0, first & 0xFF] ^ _SHIFTS[now, 1, first >> 8 & 0xFF] ^ _SHIFTS[now, 2, first >> 16 & 0xFF] ^ _SHIFTS[now, 3, first >> 24]
+        length -= now
+        if not length.any():
+            return first ^ second.astype(np.uint32)
 
 
-def _features(parts: int, target: bool, id_type: pa.DataType, slice_words: int):
+_ENTRIES = "part int, first long, target boolean, ids array<{id}>, sizes array<int>, words binary, w1 binary, w2 binary, w3 binary, holders binary, docs binary, counts binary"
+_NAMES = [c.split()[0] for c in _ENTRIES.split(", ")]
+
+
+def _features(parts: int, target: bool, id_type: pa.DataType, slice_bytes: int):
     """For each slice a row with its documents, and a row for each partition of the dictionary that its strings go to."""
-    types = [pa.int32(), pa.int64(), pa.bool_(), pa.list_(id_type), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-    names = [c.split()[0] for c in _ENTRIES.split(", ")]
+    types = [pa.int32(), pa.int64(), pa.bool_(), pa.list_(id_type), pa.list_(pa.int32()), *[pa.binary()] * 7]
 
     def rows(own: _Slice) -> Iterator[tuple]:
+        words, sizes = own.words()
         if not target:
-            yield int(_spread(np.uint64([own.first]))[0] % np.uint64(parts)), own.first, target, own.ids, own.sizes, None, None, None, None
-        if len(own.words) <= own.before:
+            counted = sizes.copy()
+            counted[0] -= own.before
+            yield int(_spread(np.uint64([own.first]))[0] % np.uint64(parts)), own.first, target, own.ids.to_pylist(), counted.astype(np.int32), *[None] * 7
+        if len(words) <= own.before:
             return
-        vocabulary = sorted(set(own.words))
-        number = {w: i + 1 for i, w in enumerate(vocabulary)}
-        last = np.fromiter(map(number.__getitem__, own.words), np.int64, len(own.words))
-        sizes = np.array(own.sizes)
-        sizes[0] += own.before
+        encoded = words.dictionary_encode()
+        order = pa.compute.array_sort_indices(encoded.dictionary).to_numpy()
+        vocabulary = encoded.dictionary.take(pa.array(order)).to_pylist()
+        ended = pa.array([w + b"\n" for w in vocabulary], pa.binary())
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(1, len(order) + 1)
+        last = number[encoded.indices.to_numpy()]
         doc = np.repeat(np.arange(len(sizes)), sizes)
         one, two = np.zeros_like(last), np.zeros_like(last)  # the words before, if they are of the same document
         one[1:] = np.where(doc[1:] == doc[:-1], last[:-1], 0)
         two[2:] = np.where(doc[2:] == doc[:-2], last[:-2], 0)
         live = slice(own.before, None)
         last, one, two, doc = last[live], one[live], two[live], doc[live]
-        more = one > 0
-        # ends first: 21 bits a word, fewer than 2^20 words in a slice
-        key = np.concatenate([last << 42, (last << 42 | one << 21 | two)[more]])
+        more, n = one > 0, len(last)
+        keys = np.concatenate([last << 42, (last << 42 | one << 21 | two)[more]])  # 21 bits a word
         doc = np.concatenate([doc, doc[more]])
-        order = np.argsort(key, kind="stable")  # documents of a string stay in order
-        key, doc = key[order], doc[order]
-        new_key = np.append(True, key[1:] != key[:-1])
-        new_pair = new_key | np.append(True, doc[1:] != doc[:-1])
-        pair = np.flatnonzero(new_pair)
-        counts, docs = np.diff(np.append(pair, len(key))), doc[pair]
-        head = np.flatnonzero(new_key[pair])
-        holders = np.diff(np.append(head, len(pair)))
-        key = key[pair[head]]
-        w3, w2, w1 = key >> 42, key >> 21 & 0x1FFFFF, key & 0x1FFFFF
-        marks = np.fromiter(map(zlib.crc32, vocabulary), np.uint64, len(vocabulary))
-        marks = np.append(np.uint64(0), _spread(marks + np.uint64(1)))
-        part = (_spread(marks[w3] * np.uint64(3) + marks[w2]) % np.uint64(parts)).astype(np.int32)
+        del last, one, two, more
+        order = np.argsort(keys)
+        keys = keys[order]
+        new = np.append(True, keys[1:] != keys[:-1])
+        pairs = (np.cumsum(new) - 1) << 16 | doc[order]  # a string and a document
+        keys = keys[new]
+        pairs.sort()
+        new = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
+        counts, pairs = np.diff(np.append(new, len(pairs))), pairs[new]
+        docs, holders = pairs & 0xFFFF, np.bincount(pairs >> 16, minlength=len(keys))
+        starts = np.append(0, np.cumsum(holders)[:-1])
+        total = np.add.reduceat(counts, starts)
+        w3, w2, w1 = keys >> 42, keys >> 21 & 0x1FFFFF, keys & 0x1FFFFF
+        # where strings go: by their last two words, the common ones by more
+        marks = np.append(np.uint64(0), _spread(np.fromiter(map(zlib.crc32, vocabulary), np.uint64, len(vocabulary)) + np.uint64(1)))
+        tails = np.flatnonzero(np.append(True, (keys >> 21)[1:] != (keys >> 21)[:-1]))
+        common = np.repeat(np.add.reduceat(total, tails) * COMMON > n, np.diff(np.append(tails, len(keys))))
+        fan = np.where(common, (marks[w1] + np.uint64(own.first & 0xFFFF) + np.uint64(own.first >> 40)) % np.uint64(FAN), np.uint64(0))
+        part = (_spread(marks[w3] * np.uint64(3) + marks[w2] + fan * np.uint64(0x2545F4914F6CDD1D)) % np.uint64(parts)).astype(np.int32)
         order = np.argsort(part, kind="stable")
         bounds = np.flatnonzero(np.append(True, np.diff(part[order]) != 0))
-        before = [b"", *(w + b" " for w in vocabulary)]
         for members in np.split(order, bounds[1:]):
-            sizes_of = holders[members]
-            at = np.repeat(head[members] - np.append(0, np.cumsum(sizes_of)[:-1]), sizes_of) + np.arange(sizes_of.sum())
-            strings = [before[a] + before[b] + vocabulary[c - 1] for a, b, c in zip(w1[members].tolist(), w2[members].tolist(), w3[members].tolist(), strict=True)]
-            blob = zstandard.compress(b"\n".join(strings), 3)
-            yield int(part[members[0]]), own.first, target, None, None, blob, _packed(sizes_of.astype(np.uint32)), _packed(docs[at].astype(np.uint16)), _packed(counts[at].astype(np.uint32))
+            used = np.zeros(len(vocabulary) + 1, bool)
+            for w in (w1, w2, w3):
+                used[w[members]] = True
+            used[0] = False
+            local = np.cumsum(used)
+            local[0] = 0
+            blob = zstandard.compress(_bytes(ended.take(pa.array(np.flatnonzero(used) - 1))), 3)
+            held = holders[members]
+            at = np.repeat(starts[members] - np.append(0, np.cumsum(held)[:-1]), held) + np.arange(held.sum())
+            yield int(part[members[0]]), own.first, target, None, None, blob, *(_packed(x) for x in (local[w1[members]], _steps(local[w2[members]]), _steps(local[w3[members]]), held, docs[at], counts[at]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own in _slices(batches, slice_words):
-            for some in _bunches(rows(own)):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)], names=names)
+        for own in _slices(batches, slice_bytes):
+            for row in rows(own):
+                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, types, strict=True)], names=_NAMES)
 
     return run
 
 
-def _bunches(rows: Iterator[tuple], n: int = 64) -> Iterator[list[tuple]]:
-    some: list[tuple] = []
-    for row in rows:
-        some.append(row)
-        if len(some) == n:
-            yield some
-            some = []
-    if some:
-        yield some
+def _bytes(words: pa.Array) -> memoryview:
+    _, places, data = words.buffers()
+    ends = np.frombuffer(places, np.int32)[words.offset : words.offset + len(words) + 1]
+    return memoryview(data)[int(ends[0]) : int(ends[-1])]
 
 
-def _strings(row: dict) -> list[bytes]:
-    return zstandard.decompress(row["strings"]).split(b"\n")
+def _words(blob: bytes) -> pa.Array:
+    """Words of a list, each with the line's end behind it."""
+    data = zstandard.decompress(blob)
+    places = np.append(0, np.flatnonzero(np.frombuffer(data, np.uint8) == 10) + 1).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(places) - 1, [None, pa.py_buffer(places), pa.py_buffer(data)])
 
 
-def _unpacked(blob: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(blob), kind)
+class _Dictionary:
+    """Distinct strings of a partition: words, runs of two, and runs of three as a word before a run of two.
+
+    ``of`` has for each row of entries its words, runs of two and runs of three as places in these (-1: none).
+    """
+
+    def __init__(self, rows: list[dict]) -> None:
+        lists = [_words(r["words"]) for r in rows]
+        encoded = pa.concat_arrays(lists).dictionary_encode()
+        self.words = encoded.dictionary
+        numbers = np.append(encoded.indices.to_numpy().astype(np.int64), -1)
+        ids, first = [], 0
+        for row, own in zip(rows, lists, strict=True):
+            own_ids = (_unpacked(row["w1"]), _from_steps(_unpacked(row["w2"])), _from_steps(_unpacked(row["w3"])))
+            ids.append([np.where(x > 0, numbers[first + x - 1], -1) for x in own_ids])
+            first += len(own)
+        w1, w2, w3 = (np.concatenate([x[i] for x in ids]) for i in range(3))
+        two, three = w2 >= 0, w1 >= 0
+        self.word, self.two, self.three = np.where(two, -1, w3), np.full(len(w3), -1), np.full(len(w3), -1)
+        self.two[two], self.pairs = _distinct(w2[two] << 32 | w3[two])
+        self.three[three], self.triples = _distinct(self.two[three] << 32 | w1[three])
+        self.ends = np.cumsum([len(x[0]) for x in ids])
+
+    def hashes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """crc32 of each distinct string: of words, then of runs by the words'."""
+        ended = self.words.to_pylist()
+        sizes = pa.compute.binary_length(self.words).to_numpy().astype(np.int64)  # with a byte for the gap
+        word = np.fromiter((zlib.crc32(w[:-1]) for w in ended), np.uint32, len(ended))
+        gap = np.full(len(word), zlib.crc32(b" "), np.uint32)
+        before = joined_crc(word, gap, np.ones(len(word), np.int64))
+        w2, w3 = self.pairs >> 32, self.pairs & 0xFFFFFFFF
+        pair = joined_crc(before[w2], word[w3], sizes[w3] - 1)
+        w1, tail = self.triples & 0xFFFFFFFF, self.triples >> 32
+        triple = joined_crc(before[w1], pair[tail], (sizes[w2] + sizes[w3] - 1)[tail])
+        return word.astype(np.int64), pair.astype(np.int64), triple.astype(np.int64)
+
+    def kinds(self) -> list[tuple[np.ndarray, int]]:
+        return [(self.word, len(self.words)), (self.two, len(self.pairs)), (self.three, len(self.triples))]
+
+
+def _rows(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[dict]:
+    for batch in batches:
+        yield from batch.select(columns).to_pylist()
 
 
 def _counted(buckets: int):
-    """A partition's dictionary: each distinct string with its counts, hashed once; then the buckets' totals."""
+    """A partition's dictionary, counted and hashed; then its totals by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: tuple[dict[bytes, int], dict[bytes, int]] = {}, {}
-        for batch in batches:
-            for row in batch.select(["target", "strings", "holders", "counts"]).to_pylist():
-                if row["strings"] is None:
-                    continue
-                own, holders = found[row["target"]], _unpacked(row["holders"], np.uint32).astype(np.int64)
-                ends = np.cumsum(holders)
-                totals = np.add.reduceat(_unpacked(row["counts"], np.uint32).astype(np.int64), ends - holders)
-                known = own.get
-                for s, n in zip(_strings(row), totals.tolist(), strict=True):
-                    own[s] = known(s, 0) + n
+        rows = [r for r in _rows(batches, ["target", "words", "w1", "w2", "w3", "holders", "counts"]) if r["words"] is not None]
+        if not rows:
+            return
+        held = _Dictionary(rows)
+        numbers = []
+        for row in rows:
+            holders = _unpacked(row["holders"])
+            numbers.append(np.add.reduceat(_unpacked(row["counts"]), np.cumsum(holders) - holders))
+        number = np.concatenate(numbers)
+        target = np.repeat([r["target"] for r in rows], [len(n) for n in numbers])
         totals = np.zeros((2, buckets), np.int64)
-        for side, own in enumerate(found):
-            two: dict[bytes, int] = {}
-            for s, n in own.items():
-                if s.count(b" ") == 2:
-                    pair = s[s.index(b" ") + 1 :]
-                    two[pair] = two.get(pair, 0) + n
-            for s, n in two.items():
-                own[s] = own.get(s, 0) + n
-        names = list(found[0].keys() | found[1].keys())
-        bucket = np.fromiter(map(zlib.crc32, names), np.int64, len(names)) % buckets
-        for side, own in enumerate(found):
-            np.add.at(totals[side], bucket, np.fromiter((own.get(s, 0) for s in names), np.int64, len(names)))
+        for (codes, n), hashes in zip(held.kinds(), held.hashes(), strict=True):
+            for side in (0, 1):
+                own = (codes >= 0) & (target == side)
+                sums = np.zeros(n, np.int64)
+                np.add.at(sums, codes[own], number[own])
+                np.add.at(totals[side], hashes % buckets, sums)
         used = np.flatnonzero(totals.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(totals[0, used]), pa.array(totals[1, used])], names=["bucket", "s", "t"])
 
     return run
 
 
-class _Gains(dict):
-    """The gain of a string, worked out when it is first asked for: of three words, with that of the last two."""
-
-    def __init__(self, gains: list[int]) -> None:
-        super().__init__()
-        self.gains = gains
-
-    def __missing__(self, s: bytes) -> int:
-        gain = self.gains[zlib.crc32(s) % len(self.gains)]
-        if s.count(b" ") == 2:
-            gain += self[s[s.index(b" ") + 1 :]]
-        self[s] = gain
-        return gain
-
-
 def _weighed(id_type: pa.DataType):
     """The gains of a partition's strings back to the documents of each slice."""
     types = [pa.int64(), pa.list_(id_type), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
     names = ["first", "ids", "sizes", "docs", "weights"]
 
+    def one(*row) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, types, strict=True)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gains: _Gains | None = None
+        gains, rows = np.zeros(0, np.int64), []
         for batch in batches:
-            out = []
-            if gains is None and batch.num_rows:
-                gains = _Gains(batch.column("gains")[0].as_py())
+            if not len(gains) and batch.num_rows:
+                gains = batch.column("gains")[0].values.to_numpy().astype(np.int64)
             for row in batch.drop_columns(["gains"]).to_pylist():
-                if row["strings"] is None:
-                    out.append((row["first"], row["ids"], row["sizes"], None, None))
+                if row["words"] is None:
+                    yield one(row["first"], row["ids"], row["sizes"], None, None)
                 elif not row["target"]:
-                    own = np.fromiter(map(gains.__getitem__, _strings(row)), np.int64)
-                    docs = _unpacked(row["docs"], np.uint16)
-                    each = np.repeat(own, _unpacked(row["holders"], np.uint32)) * _unpacked(row["counts"], np.uint32).astype(np.int64)
-                    there, at = np.unique(docs, return_inverse=True)
-                    total = np.zeros(len(there), np.int64)
-                    np.add.at(total, at, each)
-                    out.append((row["first"], None, None, there.astype(np.int32), total))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                    rows.append(row)
+        if not rows:
+            return
+        held = _Dictionary(rows)
+        gain = sum(np.append(gains[hashes % len(gains)], 0)[codes] for (codes, _), hashes in zip(held.kinds(), held.hashes(), strict=True))
+        for row, own in zip(rows, np.split(gain, held.ends[:-1]), strict=True):
+            docs = _unpacked(row["docs"])
+            total = np.zeros(docs.max() + 1, np.int64)
+            np.add.at(total, docs, np.repeat(own, _unpacked(row["holders"])) * _unpacked(row["counts"]))
+            there = np.unique(docs)
+            yield one(row["first"], None, None, there.astype(np.int32), total[there])
 
     return run
 
@@ -286,7 +382,7 @@ def _gathered(id_type: pa.DataType):
     return run
 
 
-def weights(documents: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, target_text: str = "text", buckets: int = BUCKETS, slice_words: int = SLICE_WORDS) -> DataFrame:
+def weights(documents: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, target_text: str = "text", buckets: int = BUCKETS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """``document`` (a number of the row), ``id``, ``words`` and ``weight``: the sum of the gains of its features, each as often as it stands there."""
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -298,7 +394,7 @@ def weights(documents: DataFrame, target: DataFrame, id_col: str = "doc_id", tex
     parts = max(16, size // PART_BYTES)
     wanted = target.select(F.lit(None).cast(id_name).alias("id"), F.col(f"`{target_text}`").cast("string").alias("text"))
     schema = _ENTRIES.format(id=id_name)
-    entries = rows.mapInArrow(_features(parts, False, id_type, slice_words), schema).unionAll(wanted.mapInArrow(_features(parts, True, id_type, slice_words), schema)).repartition(parts, "part")
+    entries = rows.mapInArrow(_features(parts, False, id_type, slice_bytes), schema).unionAll(wanted.mapInArrow(_features(parts, True, id_type, slice_bytes), schema)).repartition(parts, "part")
 
     counts = entries.mapInArrow(_counted(buckets), "bucket int, s long, t long").groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
     by_bucket = spark.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").select("bucket", F.coalesce("s", F.lit(0)).alias("s"), F.coalesce("t", F.lit(0)).alias("t"))
@@ -312,7 +408,7 @@ def weights(documents: DataFrame, target: DataFrame, id_col: str = "doc_id", tex
 
 
 def resampled(
-    documents: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, target_text: str = "text", percent: int = 5, least_words: int = 20, seed: int = 42, buckets: int = BUCKETS, slice_words: int = SLICE_WORDS
+    documents: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, target_text: str = "text", percent: int = 5, least_words: int = 20, seed: int = 42, buckets: int = BUCKETS, slice_bytes: int = SLICE_BYTES
 ) -> DataFrame:
     """``id_col``, ``n_features``, ``weight``, ``score`` and ``rank`` of each row of ``documents``.
 
@@ -325,7 +421,7 @@ def resampled(
     all the same; an empty table gives no rows. Other columns are neither read
     nor returned.
     """
-    found = weights(documents, target, id_col, text_col, target_text=target_text, buckets=buckets, slice_words=slice_words)
+    found = weights(documents, target, id_col, text_col, target_text=target_text, buckets=buckets, slice_bytes=slice_bytes)
     h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))), 256), 1, 8), 16, 10).cast("double")
     noise = F.floor(-1000 * F.log(-F.log((h + 0.5) / 4294967296)))
     less = lambda n: F.greatest(F.col("words") - n, F.lit(0))
