@@ -34,7 +34,7 @@ BUCKETS = 10_000
 SLICE_BYTES = 5_000_000
 SLICE_DOCS = 1 << 16
 #: Bytes of text for a partition of the dictionary.
-PART_BYTES = 24 << 20
+PART_BYTES = 16 << 20
 #: A word, or a run of two, that is more than this part of a slice has its strings dealt over FAN partitions.
 COMMON = 1024
 FAN = 64
@@ -134,7 +134,7 @@ def _from_steps(x: np.ndarray) -> np.ndarray:
 def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each number the place of its value among distinct values, and these."""
     found = pa.array(x).dictionary_encode()
-    return found.indices.to_numpy().astype(np.int64), found.dictionary.to_numpy()
+    return found.indices.to_numpy(), found.dictionary.to_numpy()
 
 
 def _shifts(most: int = 255) -> np.ndarray:
@@ -233,6 +233,7 @@ def _features(parts: int, target: bool, id_type: pa.DataType, slice_bytes: int):
         for own in _slices(batches, slice_bytes):
             for row in rows(own):
                 yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, types, strict=True)], names=_NAMES)
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -260,18 +261,22 @@ class _Dictionary:
         lists = [_words(r["words"]) for r in rows]
         encoded = pa.concat_arrays(lists).dictionary_encode()
         self.words = encoded.dictionary
-        numbers = np.append(encoded.indices.to_numpy().astype(np.int64), -1)
-        ids, first = [], 0
+        numbers = np.append(encoded.indices.to_numpy(), np.int32(-1))
+        ids: tuple[list, list, list] = [], [], []
+        first = 0
         for row, own in zip(rows, lists, strict=True):
-            own_ids = (_unpacked(row["w1"]), _from_steps(_unpacked(row["w2"])), _from_steps(_unpacked(row["w3"])))
-            ids.append([np.where(x > 0, numbers[first + x - 1], -1) for x in own_ids])
+            for x, to in zip((_unpacked(row["w1"]), _from_steps(_unpacked(row["w2"])), _from_steps(_unpacked(row["w3"]))), ids, strict=True):
+                to.append(np.where(x > 0, numbers[first + x - 1], np.int32(-1)))
             first += len(own)
-        w1, w2, w3 = (np.concatenate([x[i] for x in ids]) for i in range(3))
+        self.ends = np.cumsum([len(x) for x in ids[0]])
+        w1, w2, w3 = (np.concatenate(x) for x in ids)
+        del ids, lists, numbers
         two, three = w2 >= 0, w1 >= 0
-        self.word, self.two, self.three = np.where(two, -1, w3), np.full(len(w3), -1), np.full(len(w3), -1)
-        self.two[two], self.pairs = _distinct(w2[two] << 32 | w3[two])
-        self.three[three], self.triples = _distinct(self.two[three] << 32 | w1[three])
-        self.ends = np.cumsum([len(x[0]) for x in ids])
+        self.word = np.where(two, np.int32(-1), w3)
+        self.two, self.three = np.full(len(w3), -1, np.int32), np.full(len(w3), -1, np.int32)
+        self.two[two], self.pairs = _distinct(w2[two].astype(np.int64) << 32 | w3[two])
+        del w2, w3, two
+        self.three[three], self.triples = _distinct(self.two[three].astype(np.int64) << 32 | w1[three])
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """crc32 of each distinct string: of words, then of runs by the words'."""
@@ -311,12 +316,14 @@ def _counted(buckets: int):
         target = np.repeat([r["target"] for r in rows], [len(n) for n in numbers])
         totals = np.zeros((2, buckets), np.int64)
         for (codes, n), hashes in zip(held.kinds(), held.hashes(), strict=True):
-            for side in (0, 1):
+            for side in np.unique(target).astype(int):
                 own = (codes >= 0) & (target == side)
                 sums = np.zeros(n, np.int64)
                 np.add.at(sums, codes[own], number[own])
                 np.add.at(totals[side], hashes % buckets, sums)
         used = np.flatnonzero(totals.any(0))
+        del held, rows, number, target
+        pa.default_memory_pool().release_unused()  # workers stay when their stage is over, and share the executor's memory
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(totals[0, used]), pa.array(totals[1, used])], names=["bucket", "s", "t"])
 
     return run
