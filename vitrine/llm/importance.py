@@ -15,8 +15,10 @@ partitions in turn: each counts its part, and bucket totals add up.
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Iterator
+from contextlib import suppress
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,7 +36,7 @@ BUCKETS = 10_000
 SLICE_BYTES = 5_000_000
 SLICE_DOCS = 1 << 16
 #: Bytes of text for a partition of the dictionary.
-PART_BYTES = 16 << 20
+PART_BYTES = 12 << 20
 #: A word, or a run of two, that is more than this part of a slice has its strings dealt over FAN partitions.
 COMMON = 1024
 FAN = 64
@@ -233,7 +235,7 @@ def _features(parts: int, target: bool, id_type: pa.DataType, slice_bytes: int):
         for own in _slices(batches, slice_bytes):
             for row in rows(own):
                 yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, types, strict=True)], names=_NAMES)
-            pa.default_memory_pool().release_unused()
+            _give_back()
 
     return run
 
@@ -257,7 +259,7 @@ class _Dictionary:
     ``of`` has for each row of entries its words, runs of two and runs of three as places in these (-1: none).
     """
 
-    def __init__(self, rows: list[dict]) -> None:
+    def __init__(self, rows: list[_Row]) -> None:
         lists = [_words(r["words"]) for r in rows]
         encoded = pa.concat_arrays(lists).dictionary_encode()
         self.words = encoded.dictionary
@@ -295,25 +297,43 @@ class _Dictionary:
         return [(self.word, len(self.words)), (self.two, len(self.pairs)), (self.three, len(self.triples))]
 
 
-def _rows(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[dict]:
+class _Row:
+    """A row of a batch, whose cells are copied only when they are asked for."""
+
+    def __init__(self, batch: pa.RecordBatch, at: int) -> None:
+        self.batch, self.at = batch, at
+
+    def __getitem__(self, name: str):
+        return self.batch.column(name)[self.at].as_py()
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[_Row]:
     for batch in batches:
-        yield from batch.select(columns).to_pylist()
+        yield from (_Row(batch, i) for i in range(batch.num_rows))
+
+
+def _give_back() -> None:
+    """Workers stay when their stage is over, and share the executor's memory: what is free goes back."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def _counted(buckets: int):
     """A partition's dictionary, counted and hashed; then its totals by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for r in _rows(batches, ["target", "words", "w1", "w2", "w3", "holders", "counts"]) if r["words"] is not None]
+        rows = [r for r in _rows(batches) if r["words"] is not None]
         if not rows:
             return
         held = _Dictionary(rows)
         numbers = []
         for row in rows:
             holders = _unpacked(row["holders"])
-            numbers.append(np.add.reduceat(_unpacked(row["counts"]), np.cumsum(holders) - holders))
+            numbers.append(np.add.reduceat(_unpacked(row["counts"]), np.cumsum(holders) - holders).astype(np.int32))  # of a slice, so small
         number = np.concatenate(numbers)
         target = np.repeat([r["target"] for r in rows], [len(n) for n in numbers])
+        del rows, numbers
         totals = np.zeros((2, buckets), np.int64)
         for (codes, n), hashes in zip(held.kinds(), held.hashes(), strict=True):
             for side in np.unique(target).astype(int):
@@ -322,8 +342,8 @@ def _counted(buckets: int):
                 np.add.at(sums, codes[own], number[own])
                 np.add.at(totals[side], hashes % buckets, sums)
         used = np.flatnonzero(totals.any(0))
-        del held, rows, number, target
-        pa.default_memory_pool().release_unused()  # workers stay when their stage is over, and share the executor's memory
+        del held, number, target
+        _give_back()
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(totals[0, used]), pa.array(totals[1, used])], names=["bucket", "s", "t"])
 
     return run
@@ -342,7 +362,7 @@ def _weighed(id_type: pa.DataType):
         for batch in batches:
             if not len(gains) and batch.num_rows:
                 gains = batch.column("gains")[0].values.to_numpy().astype(np.int64)
-            for row in batch.drop_columns(["gains"]).to_pylist():
+            for row in _rows([batch.drop_columns(["gains"])]):
                 if row["words"] is None:
                     yield one(row["first"], row["ids"], row["sizes"], None, None)
                 elif not row["target"]:
@@ -357,6 +377,8 @@ def _weighed(id_type: pa.DataType):
             np.add.at(total, docs, np.repeat(own, _unpacked(row["holders"])) * _unpacked(row["counts"]))
             there = np.unique(docs)
             yield one(row["first"], None, None, there.astype(np.int32), total[there])
+        del held, gain, rows
+        _give_back()
 
     return run
 
