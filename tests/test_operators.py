@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import functools
+import itertools
 import random
+import re
 import sqlite3
 import struct
 import unicodedata
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 from vitrine.functions import columns as fn
 from vitrine.functions import encoders
 from vitrine.functions.images import image_header, is_image_content
-from vitrine.operators import browse, fulltext, ingest, profile, ranking, routing, search
+from vitrine.operators import browse, fulltext, ingest, intervals, profile, ranking, routing, search
 from vitrine.operators.fulltext import Phrase
 from vitrine.plans import planner
 from vitrine.sources import files as sources
@@ -69,10 +72,89 @@ def test_plain_text_and_figures(spark):
     assert [one(spark, v, fn.is_query_date) for v in ("1885", "1880s", "2999", "1865s", "188")] == [True, True, False, False, False]
 
 
-@pytest.mark.parametrize(("a", "b", "d"), [("ab", "ba", 1), ("ca", "abc", 3), ("kitten", "sitting", 3), ("", "x", 1), ("same", "same", 0)])
-def test_osa(a, b, d):
-    assert fn.osa_distance(a, b, 5) == d
-    assert fn.osa_distance(a, b, 0) == (0 if d == 0 else 1)
+def osa_by_hand(a, b):
+    """By the definition: the last letters stay, change, come, go or are swapped."""
+    if not a or not b:
+        return len(a) + len(b)
+    ways = [osa_by_hand(a[:-1], b) + 1, osa_by_hand(a, b[:-1]) + 1, osa_by_hand(a[:-1], b[:-1]) + (a[-1] != b[-1])]
+    if len(a) > 1 and len(b) > 1 and a[-1] == b[-2] and a[-2] == b[-1]:
+        ways.append(osa_by_hand(a[:-2], b[:-2]) + 1)
+    return min(ways)
+
+
+def test_osa(spark):
+    rnd = random.Random(5)
+    pairs = [("ab", "ba"), ("ca", "abc"), ("kitten", "sitt"), ("x", "x"), ("müßig", "mißüg"), *(("".join(rnd.choices("abc", k=rnd.randrange(1, 6))), "".join(rnd.choices("abc", k=rnd.randrange(1, 6)))) for _ in range(60))]
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", fn.osa(F.col("a"), F.col("b")).alias("d")).collect()
+    assert [r.d for r in rows] == [osa_by_hand(r.a, r.b) for r in rows]
+    assert "Python" not in spark.createDataFrame(pairs, "a string, b string").select(fn.osa(F.col("a"), F.col("b")))._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("stored", [True, False])
+def test_spellings_are_those_of_all_pairs(spark, stored):
+    """Against every word of the vocabulary: edits at both ends and behind the compared beginnings, swaps, rare and seen words."""
+    rnd = random.Random(8)
+    vocab = {"".join(rnd.choices("abcd", k=rnd.randrange(3, 16))): rnd.randrange(1, 9) for _ in range(150)} | {"abc4": 9, "ünïcödé": 5}
+    asked = set()
+    for w in vocab:
+        for _ in range(3):
+            own = list(w)
+            for _ in range(rnd.randrange(1, 3)):
+                i = rnd.randrange(len(own))
+                kind = rnd.randrange(4)
+                if kind == 0 and len(own) > 2:
+                    own.pop(i)
+                elif kind == 1:
+                    own.insert(i, rnd.choice("abcd"))
+                elif kind == 2:
+                    own[i] = rnd.choice("abcd")
+                elif i + 1 < len(own):
+                    own[i], own[i + 1] = own[i + 1], own[i]
+            asked.add("".join(own))
+    want = {}
+    distance = functools.cache(osa_by_hand)
+    for w in asked:
+        edits = 0 if len(w) <= 4 else 1 if len(w) <= 7 else 2
+        near = [(d, -n, t) for t, n in vocab.items() if w.isalpha() and t.isalpha() and n >= 3 and t[0] == w[0] and abs(len(t) - len(w)) <= edits and len(set(w) ^ set(t)) <= 4 and (d := osa_table(w, t)) <= edits]
+        if w not in vocab and edits and near:
+            want[w] = min(near)[2]
+    assert len(want) > 100 and distance("ab", "ba") == 1
+    table = spark.createDataFrame(list(vocab.items()), "term string, records long")
+    near = fulltext.neighbours(table) if stored else None
+    found = fulltext.spellings(spark.createDataFrame([(w,) for w in asked], "word string"), table, near=near)
+    assert {r.word: r.correction for r in found.collect()} == want
+
+
+def osa_table(a, b):
+    """The same as ``osa_by_hand`` for longer words."""
+    d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+    for i, j in itertools.product(range(1, len(a) + 1), range(1, len(b) + 1)):
+        d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+        if i > 1 and j > 1 and (a[i - 1], a[i - 2]) == (b[j - 2], b[j - 1]):
+            d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_overlapping_intervals(spark, seed):
+    rnd = random.Random(seed)
+
+    def some(n, wide):
+        rows = []
+        for i in range(n):
+            low = rnd.randrange(-50, 2000)
+            rows.append((i % 37, rnd.choice([low, low, low, None]), rnd.choice([low + rnd.choice([0, 0, 1, 3, wide, -2]), low, None])))
+        return rows
+
+    left, right = some(120, 300), some(60, 2500)
+    meets = lambda a, b: (a[1] is None or a[2] is None or a[1] <= a[2]) and (b[1] is None or b[2] is None or b[1] <= b[2]) and (a[1] is None or b[2] is None or a[1] <= b[2]) and (b[1] is None or a[2] is None or b[1] <= a[2])
+    want = sorted(((a, b) for a in left for b in right if meets(a, b)), key=repr)
+    one = spark.createDataFrame(left, "`a.b` long, low int, high int")
+    two = spark.createDataFrame(right, "bin long, low int, high int")
+    found = intervals.overlapping(one, two, ("low", "high"), ("low", "high"))
+    assert sorted(((tuple(r.left), tuple(r.right)) for r in found.collect()), key=repr) == want
+    assert not re.search("NestedLoop|Cartesian", found._jdf.queryExecution().executedPlan().toString())
+    assert intervals.overlapping(one.limit(0), two, ("low", "high"), ("low", "high")).count() == 0
 
 
 @pytest.fixture(scope="module")
@@ -275,12 +357,26 @@ def test_spelling(spark):
     assert {r.word: r.correction for r in fulltext.spellings(words, vocab).collect()} == {"portriat": "portrait"}
 
 
-@pytest.mark.parametrize("values", [[5, 1, 4, 4, 2, 9, 9, 7, 3, 8], [7], [-3, -1, -2], [10**9, *range(500)], [3] * 40])
+@pytest.mark.parametrize("values", [[5, 1, 4, 4, 2, 9, 9, 7, 3, 8], [7], [-3, -1, -2], [10**9, *range(500)], [3] * 40, [-(1 << 63), (1 << 63) - 1, 0, 5], [1 << 40, 1 << 41, (1 << 41) + 1, -(1 << 40)]])
 def test_percentiles(spark, values):
     row = profile.index_percentiles(spark.createDataFrame([("k", v) for v in values] + [("k", None)], "k string, v long"), "k", "v").first()
     s = sorted(values)
     assert (row.p50, row.p90, row.p99) == tuple(float(s[min(len(s) - 1, int(len(s) * f))]) for f in (0.5, 0.9, 0.99))
-    assert (row.least, row.most, row.mean, row.n) == (s[0], s[-1], int(sum(s) / len(s)), len(s))
+    assert (row.least, row.most, row.mean, row.n) == (s[0], s[-1], abs(sum(s)) // len(s) * (1 if sum(s) > 0 else -1), len(s))
+
+
+def test_percentiles_put_few_counts_in_order(spark):
+    """Sizes that spread over many powers of two: the rows of each key's windows stay below the counts of a round."""
+    rnd = random.Random(2)
+    values = {k: [int(rnd.expovariate(1e-9)) for _ in range(4000)] for k in ("a", None)}
+    rows = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "k string, v long")
+    found = {r.k: r for r in profile.index_percentiles(rows, "k", "v").collect()}
+    for k, vs in values.items():
+        s = sorted(vs)
+        assert (found[k].p50, found[k].p90, found[k].p99) == tuple(float(s[int(len(s) * f)]) for f in (0.5, 0.9, 0.99))
+    spread = (max(map(max, values.values())) - min(map(min, values.values()))).bit_length()
+    assert spread > 2 * profile.DIGIT and (1 << profile.DIGIT) + 1 <= 65_536
+    assert profile.index_percentiles(rows.limit(0), "k", "v").count() == 0
 
 
 def test_directory_roles(spark):
@@ -449,7 +545,7 @@ def test_ingest_stream(spark, tmp_path):
     one_by_one = encoders.Encoder("lengths", 1, factory, factory)
 
     def run(model=one_by_one):
-        stream.start(stream.files_stream(spark, str(folder), bytes_per_batch=1), str(folder), str(tmp_path / "log"), str(tmp_path / "check"), model, 50).awaitTermination(180)
+        stream.start(stream.files_stream(spark, str(folder), settled=0), str(folder), str(tmp_path / "log"), str(tmp_path / "check"), model, 50).awaitTermination(180)
         return {r.key: r.status for r in spark.read.parquet(str(tmp_path / "log")).collect()}
 
     assert run() == {"a.jpg": "done", "b.png": "failed", "large.jpg": "skipped"}
@@ -480,4 +576,4 @@ def test_encoders(spark):
         return encode
 
     rows = stream.encoded(files, encoders.Encoder("x", 4, make, make)).collect()
-    assert {int(r.id) for r in rows if r.status == "failed"} == set(range(32, 64)) and all(len(r.embedding) == 4 for r in rows if r.status == "done")
+    assert {int(r.id) for r in rows if r.status == "failed"} == {40} and all(len(r.embedding) == 4 for r in rows if r.status == "done")

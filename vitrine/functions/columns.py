@@ -75,9 +75,10 @@ def first_link(*columns: Column) -> Column:
 
 
 def url_key(url: Column) -> Column:
-    """Decoded path of a URL without its leading slash (a plus stays one); what is no URL stays as it is."""
-    path = F.regexp_extract(url, r"^[^:]*://[^/?#]*/?([^?#]*)", 1)
-    return F.when(url.contains("://"), F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))).otherwise(url)
+    """Decoded path of a URL without its leading slash (a plus stays one, and so does a percent sign without two digits); what is no URL stays as it is."""
+    path = F.regexp_extract(url, r"^[^:]*://[^/?#]*/*([^?#]*)", 1)
+    plain = F.regexp_replace(F.replace(path, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.when(url.contains("://"), F.url_decode(plain)).otherwise(url)
 
 
 def basename(key: Column) -> Column:
@@ -187,30 +188,44 @@ def _folded(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else _folded_text(s))
 
 
-def osa_distance(a: str, b: str, limit: int) -> int:
-    """Edits with swaps of neighbours, each place touched once; ``limit`` + 1 if over it."""
-    if abs(len(a) - len(b)) > limit:
-        return limit + 1
-    older, last = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            best = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                best = min(best, older[j - 2] + 1)
-            row.append(best)
-        older, last = last, row
-    return min(last[-1], limit + 1)
+def osa(a: Column, b: Column) -> Column:
+    """Edits that make ``b`` of ``a``, where a swap of two neighbours is one and no letter of it is edited again. Neither may be empty.
 
+    Row after row of the table of distances between beginnings, held in arrays.
+    """
+    x, y = F.split(a, ""), F.split(b, "")
+
+    def cell(last: Column, older: Column, i: Column):
+        def add(row: Column, j: Column) -> Column:
+            own = F.get(x, i - 1), F.get(y, j - 1)
+            swapped = (i > 1) & (j > 1) & (own[0] == F.get(y, j - 2)) & (F.get(x, i - 2) == own[1])
+            changed = F.get(last, j - 1) + F.when(own[0] == own[1], 0).otherwise(1)
+            best = F.least(F.get(last, j) + 1, F.get(row, j - 1) + 1, changed, F.when(swapped, F.get(older, j - 2) + 1))
+            return F.concat(row, F.array(best))
+
+        return add
 
-def osa(a: Column, b: Column, limit: Column) -> Column:
-    """``osa_distance`` where it can be within ``limit``, else null. A swap is two edits at most, which Spark's own distance tells first."""
-    near = F.levenshtein(a, b, 4).between(0, 2 * limit)
-    return F.pandas_udf(_osa, "int")(F.when(near, a), b, limit)
+    def next_row(rows: Column, i: Column) -> Column:
+        row = F.aggregate(F.sequence(F.lit(1), F.size(y)), F.array(i), cell(rows["last"], rows["older"], i))
+        return F.struct(rows["last"].alias("older"), row.alias("last"))
 
+    first = F.sequence(F.lit(0), F.size(y))
+    rows = F.aggregate(F.sequence(F.lit(1), F.size(x)), F.struct(first.alias("older"), first.alias("last")), next_row)
+    return F.element_at(rows["last"], -1)
 
-def _osa(a: pd.Series, b: pd.Series, limit: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else osa_distance(x, y, int(n)) for x, y, n in zip(a, b, limit, strict=True)], dtype="Int32")
+
+def deletions(word: Column, most: int, prefix: int) -> Column:
+    """The beginning of a word and what is left of it without up to ``most`` letters, with the fewest that must go: an array of (left, gone).
+
+    Words within some edits of each other share what is left of their
+    beginnings when each loses as many letters.
+    """
+    less = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.lit(prefix))))
+    shorter = [F.array(F.substring(word, 1, prefix))]
+    for _ in range(most):
+        shorter.append(F.array_distinct(F.flatten(F.transform(F.filter(shorter[-1], lambda w: w != ""), less))))
+    marked = lambda n: lambda w: F.struct(w.alias("left"), F.lit(n).alias("gone"))
+    return F.concat(*(F.transform(ws, marked(n)) for n, ws in enumerate(shorter)))
 
 
 def allowed_edits(word: Column) -> Column:

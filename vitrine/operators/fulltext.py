@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.functions.columns import allowed_edits, osa, shape, words
+from vitrine.functions.columns import allowed_edits, deletions, osa, shape, words
 
 #: Weights of indexed fields, in the order in which they are told; others weigh 1.
 WEIGHTS = {"title": 10.0, "names": 6.0, "identifiers": 6.0, "object_types": 4.0, "topics": 3.0, "places": 3.0, "dates": 2.0, "physical": 1.0, "notes": 1.0}
@@ -120,17 +120,35 @@ def gazetteer(vocab: DataFrame) -> DataFrame:
     return keyed.groupBy("key").agg(best.alias("best")).select("key", "best.term", "best.field", "best.record_count")
 
 
-def spellings(query_words: DataFrame, vocab: DataFrame, least: int = CORRECTION_RECORDS) -> DataFrame:
-    """``word`` and ``correction`` of unseen words: of the vocabulary's words with the same first letter and few edits, the nearest, most used, first."""
+#: Letters of a word whose beginnings are compared without some; the most edits that ``allowed_edits`` gives.
+PREFIX, MOST_EDITS = 10, 2
+
+
+def neighbours(vocab: DataFrame, least: int = CORRECTION_RECORDS) -> DataFrame:
+    """``left``, ``gone``, ``term`` and ``records``: what is left of the common words of letters alone when up to two letters go.
+
+    Words of four letters and fewer aren't corrected, those of seven and fewer
+    by one edit only, so less than four letters, or less than six without two, meet none.
+    """
+    common = vocab.where((F.col("records") >= least) & F.col("term").rlike(r"^\p{L}+$"))
+    found = common.select("term", "records", F.explode(deletions(F.col("term"), MOST_EDITS, PREFIX)).alias("d")).select("d.*", "term", "records")
+    return found.where((F.length("left") >= 4) & ((F.col("gone") < 2) | (F.length("left") >= 6)))
+
+
+def spellings(query_words: DataFrame, vocab: DataFrame, least: int = CORRECTION_RECORDS, near: DataFrame | None = None) -> DataFrame:
+    """``word`` and ``correction`` of unseen words: of the vocabulary's words with the same first letter and few edits, the nearest, most used, first.
+
+    ``near`` are the vocabulary's ``neighbours``, if they are stored. Words and
+    terms meet where the same is left of them, and edits are counted for those alone.
+    """
     unseen = query_words.select("word").distinct().join(vocab, F.col("word") == F.col("term"), "left_anti").where(F.col("word").rlike(r"^\p{L}+$"))
     asked = unseen.select("word", allowed_edits(F.col("word")).alias("edits")).where("edits > 0")
-    # one first letter and length is the key, so words of one length meet candidates of few, without a broadcast
-    lengths = F.explode(F.sequence(F.length("word") - F.col("edits"), F.length("word") + F.col("edits")))
-    asked = asked.select("word", "edits", F.substring("word", 1, 1).alias("letter"), lengths.alias("size"))
-    common = vocab.where((F.col("records") >= least) & F.col("term").rlike(r"^\p{L}+$")).select("term", "records", F.substring("term", 1, 1).alias("letter"), F.length("term").alias("size"))
-    near = asked.join(common, ["letter", "size"]).where(F.levenshtein("word", "term", 4).between(0, 2 * F.col("edits")))
-    near = near.withColumn("d", osa(F.col("word"), F.col("term"), F.col("edits"))).where("d <= edits")
-    return near.groupBy("word").agg(F.min(F.struct("d", (-F.col("records")).alias("used"), "term")).alias("best")).select("word", F.col("best.term").alias("correction"))
+    asked = asked.select("word", "edits", F.explode(deletions(F.col("word"), MOST_EDITS, PREFIX)).alias("d")).where("d.gone <= edits").select("word", "edits", "d.left")
+    near = (neighbours(vocab, least) if near is None else near).where(F.col("records") >= least)
+    met = asked.join(near, "left").where((F.col("gone") <= F.col("edits")) & (F.substring("word", 1, 1) == F.substring("term", 1, 1)) & (F.abs(F.length("word") - F.length("term")) <= F.col("edits")))
+    pairs = met.groupBy("word", "term").agg(F.first("edits").alias("edits"), F.first("records").alias("records"))
+    pairs = pairs.withColumn("d", osa(F.col("word"), F.col("term"))).where("d <= edits")
+    return pairs.groupBy("word").agg(F.min(F.struct("d", (-F.col("records")).alias("used"), "term")).alias("best")).select("word", F.col("best.term").alias("correction"))
 
 
 # --- a written index ---------------------------------------------------------
@@ -149,6 +167,7 @@ def write_index(fields: DataFrame, folder: str, terms: DataFrame | None = None,
     stored = spark.read.parquet(f"{top}/postings")
     record_lengths(stored).write.mode("overwrite").parquet(f"{top}/lengths")
     vocabulary(stored).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{top}/vocabulary")
+    neighbours(spark.read.parquet(f"{top}/vocabulary")).repartitionByRange("left", "term").sortWithinPartitions("left").write.mode("overwrite").parquet(f"{top}/neighbours")
     identifier_shapes(fields).write.mode("overwrite").parquet(f"{top}/shapes")
     if terms is not None:
         gazetteer(terms).repartitionByRange("key").sortWithinPartitions("key").write.mode("overwrite").parquet(f"{top}/gazetteer")
@@ -180,6 +199,11 @@ class Index(Live):
         super().__init__(self._read("postings").drop("slot"), self._read("lengths"))
         self.vocabulary, self.shapes = self._read("vocabulary"), self._read("shapes")
 
+    @property
+    def neighbours(self) -> DataFrame:
+        """Of the vocabulary's common words, for ``spellings``."""
+        return self._read("neighbours")
+
     @property
     def gazetteer(self) -> DataFrame:
         return self._read("gazetteer")

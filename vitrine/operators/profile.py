@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vitrine.functions.columns import IDENTIFIER, OBJECT_KEYS, PLACEHOLDER, UUID, YEAR, extension, is_image, is_junk, name_template, stored_pixels, template_meaning
 from vitrine.functions.images import image_header
+from vitrine.session import shared_folder
 
 TINY_BYTES = 10_240
 MIB = 1 << 20
@@ -24,8 +25,8 @@ VECTOR_DIMS = {"clip": 512, "siglip": 768, "siglip2": 768, "imagebind": 1024}
 ENCODE_RATE = {"clip": {"cuda": 300.0, "mps": 168.0, "cpu": 87.0}, **dict.fromkeys(("siglip", "siglip2", "imagebind"), {"cuda": 100.0, "mps": 54.0, "cpu": 22.0})}
 BYTES_PER_PIXEL, BYTES_PER_IMAGE, STATE_BYTES = 0.145, 390_000, 5_700
 DECODE_S_PER_MEGAPIXEL, DECODERS, BASE_MEMORY, REGION_BYTES = 0.005, 4, 400 * MIB, 100 * MIB
-#: Parts into which a range of values is cut to find a percentile, and how often.
-PARTS, ROUNDS = 1000, 2
+#: Bits by which values are told apart in a round, when the one at a place is sought.
+DIGIT = 15
 #: Slices of a column in which its first rows are sought side by side.
 SLICES = 64
 
@@ -35,29 +36,51 @@ ROLES = {
 }
 
 
+def _selected(counted: DataFrame, targets: DataFrame, bits: int) -> DataFrame:
+    """``key``, ``name`` and ``v``: for each target (key, name, place) the value at that place of its key's values (key, v, n) in order.
+
+    Values are told apart by their leading bits first, DIGIT more each round: a
+    round counts, for each key, the values that still may be at a place by
+    their next bits, so what is put in order is 2^DIGIT counts (and one),
+    however values are distributed.
+    """
+    found = targets.select(F.col("key").alias("k"), "name", "place", F.lit(None).cast("long").alias("head"), F.lit(0).cast("long").alias("before"))
+    shift, above = max(0, bits - DIGIT), None
+    while True:
+        at = F.call_function("shiftright", F.col("v"), F.lit(shift))
+        if above is None:
+            rows = counted.withColumn("head", F.lit(None).cast("long"))
+        else:
+            heads = found.select("k", "head").distinct()
+            rows = counted.join(heads, F.col("key").eqNullSafe(F.col("k")) & (F.call_function("shiftright", F.col("v"), F.lit(above)) == F.col("head"))).drop("k")
+        sums = rows.groupBy("key", "head", at.alias("at")).agg(F.sum("n").alias("m"))
+        sums = sums.withColumn("upto", F.sum("m").over(Window.partitionBy("key", "head").orderBy("at"))).withColumnRenamed("head", "of")
+        met = found.join(sums, F.col("k").eqNullSafe(F.col("key")) & F.col("head").eqNullSafe(F.col("of")))
+        there = (F.col("before") + F.col("upto") > F.col("place")) & (F.col("before") + F.col("upto") - F.col("m") <= F.col("place"))
+        found = met.where(there).select("k", "name", "place", F.col("at").alias("head"), (F.col("before") + F.col("upto") - F.col("m")).alias("before"))
+        if not shift:
+            return found.select(F.col("k").alias("key"), "name", F.col("head").alias("v"))
+        shift, above = max(0, shift - DIGIT), shift
+
+
 def index_percentiles(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """Percentiles by place for each key, exactly, without gathering a key's values.
+    """Percentiles by place for each key, exactly, and size, extremes and mean (cut towards zero) of its whole numbers.
 
-    Counts by parts of a key's range tell in which part a place is; that part is
-    cut again, and only the values left in it are numbered.
+    Values are counted once, and that is written; no key's values are gathered.
     """
-    v = F.col(value)
-    counted = rows.where(v.isNotNull()).groupBy(F.col(key).alias("key"), v.alias("v")).agg(F.count("*").alias("n"))
-    stats = counted.groupBy("key").agg(F.sum("n").alias("total"), F.min("v").alias("least"), F.max("v").alias("most"), F.sum(F.col("v") * F.col("n")).alias("s"))
+    spark = rows.sparkSession
+    shared_folder(spark)
+    v = F.col(value).cast("long")
+    counted = rows.where(v.isNotNull()).groupBy(F.col(key).alias("key"), v.alias("v")).agg(F.count("*").alias("n")).checkpoint()
+    ends = counted.agg(F.min("v").alias("least"), F.max("v").alias("most")).first()
+    bits = 0 if ends["least"] is None else (ends["most"] - ends["least"]).bit_length()
+    stats = counted.groupBy("key").agg(F.sum("n").alias("total"), F.min("v").alias("least"), F.max("v").alias("most"), F.sum(F.col("v").cast("decimal(20,0)") * F.col("n")).alias("s"))
     place = lambda share: F.least(F.col("total") - 1, F.floor(F.col("total") * F.lit(share)))
-    wanted = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), place(s).alias("place")) for n, s in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99)))))
-    targets = stats.select("key", wanted.alias("t"), F.col("least").alias("low"), F.col("most").alias("high"), F.lit(0).cast("long").alias("before")).select("key", "t.*", "low", "high", "before")
-    own = lambda: counted.join(targets.withColumnRenamed("key", "k"), F.col("key").eqNullSafe(F.col("k"))).where(F.col("v").between(F.col("low"), F.col("high"))).drop("k")
-    for _ in range(ROUNDS):
-        part = F.coalesce(F.least(F.lit(PARTS - 1), F.floor(F.try_divide((F.col("v") - F.col("low")).cast("double"), (F.col("high") - F.col("low")).cast("double")) * PARTS)), F.lit(0))
-        sums = own().groupBy("key", "name", "place", "before", part.alias("part")).agg(F.sum("n").alias("m"), F.min("v").alias("low"), F.max("v").alias("high"))
-        upto = F.col("before") + F.sum("m").over(Window.partitionBy("key", "name").orderBy("part"))  # PARTS rows at most
-        targets = sums.withColumn("upto", upto).where("upto > place AND upto - m <= place").select("key", "name", "place", "low", "high", (F.col("upto") - F.col("m")).alias("before"))
-    upto = F.col("before") + F.sum("n").over(Window.partitionBy("key", "name").orderBy("v"))
-    found = own().withColumn("upto", upto).where("upto > place AND upto - n <= place")
+    targets = stats.select("key", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), place(s).alias("place")) for n, s in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99))))).alias("t")).select("key", "t.*")
+    found = _selected(counted, targets, bits)
     wide = found.groupBy("key").agg(*(F.max(F.when(F.col("name") == n, F.col("v"))).cast("double").alias(n) for n in ("p50", "p90", "p99")))
     out = stats.join(wide.withColumnRenamed("key", "k"), F.col("key").eqNullSafe(F.col("k")))
-    mean = F.try_divide(F.col("s"), F.col("total"))
+    mean = F.try_divide(F.col("s"), F.col("total").cast("decimal(20,0)"))
     return out.select(F.col("key").alias(key), F.col("total").alias("n"), "least", "most", F.when(mean < 0, F.ceil(mean)).otherwise(F.floor(mean)).cast("long").alias("mean"), "p50", "p90", "p99")
 
 

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.functions import columns as fn
-from vitrine.operators import browse, fulltext, ingest, profile, ranking, routing, search
+from vitrine.operators import browse, fulltext, ingest, intervals, profile, ranking, routing, search
 from vitrine.operators.fulltext import Phrase
 from vitrine.plans import model as m
 from vitrine.plans import planner
+from vitrine.sources import state
 from vitrine.streaming import limits, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -279,6 +281,21 @@ def year_overlap(spark, d):
     return browse.matching_records(m.facets(spark, d), {}, 1992, 1993)
 
 
+_RANGES = """ranges AS (SELECT s_suppkey, CASE WHEN s_suppkey % 11 > 0 THEN 1985 + s_suppkey % 13 END AS since, CASE WHEN s_suppkey % 7 > 0 THEN 1985 + s_suppkey % 13 + CASE WHEN s_suppkey % 5 = 0 THEN s_suppkey % 40 ELSE s_suppkey % 3 - 1 END END AS until FROM supplier)"""
+
+
+@query("facets dates", f", {_RANGES} SELECT s_suppkey, count(*) AS dates, min(y_lo) AS first, max(y_hi) AS last FROM ranges JOIN dates ON y_lo <= coalesce(until, 9999) AND y_hi >= coalesce(since, -9999) AND coalesce(since, -9999) <= coalesce(until, 9999) GROUP BY 1")
+def year_ranges(spark, d):
+    """How many of the catalog's dates meet each supplier's range of years; some are open, some empty. Equal dates meet ranges once, with their number."""
+    key = F.col("s_suppkey")
+    since = 1985 + key % 13
+    until = since + F.when(key % 5 == 0, key % 40).otherwise(key % 3 - 1)
+    ranges = m.table(spark, d, "supplier").select("s_suppkey", F.when(key % 11 > 0, since).alias("since"), F.when(key % 7 > 0, until).alias("until"))
+    dates = browse.with_years(m.facets(spark, d)).groupBy("y_lo", "y_hi").agg(F.count("*").alias("n"))
+    met = intervals.overlapping(dates, ranges, ("y_lo", "y_hi"), ("since", "until")).select("left.*", "right.s_suppkey")
+    return met.groupBy("s_suppkey").agg(F.sum("n").alias("dates"), F.min("y_lo").alias("first"), F.max("y_hi").alias("last"))
+
+
 # --- full text ---------------------------------------------------------------
 
 _AND: fulltext.Query = [[Phrase(("the",)), Phrase(("les",))], [Phrase(("of",)), Phrase(("de",))]]
@@ -357,26 +374,36 @@ def gazetteer(spark, d):
     return fulltext.gazetteer(m.terms(m.part_fields(spark, d)))
 
 
-_SWAPPED = """w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+')) AS w FROM benchmark),
-    s AS (SELECT DISTINCT substr(w, 1, 2) || substr(w, 4, 1) || substr(w, 3, 1) || substr(w, 5) AS word FROM w WHERE length(w) BETWEEN 5 AND 7), v AS (SELECT term, count(DISTINCT record_id) AS records FROM tokens GROUP BY 1),
-    n AS (SELECT word, term, damerau_levenshtein(word, term) AS d, records FROM s JOIN v ON left(word, 1) = left(term, 1) AND abs(length(word) - length(term)) <= 1 AND records >= 3
-        WHERE word NOT IN (SELECT term FROM v) AND regexp_full_match(word, '\\p{L}+') AND regexp_full_match(term, '\\p{L}+'))"""
+# rows of the table of distances between beginnings, a list each; elements and what is gathered have one type, so numbers stand in lists of their own
+_OSA = """list_reduce(list_transform(range(1, length(word) + 1), lambda i: [[CAST(i AS INT)]]), lambda rows, e: [rows[len(rows)], list_reduce(list_transform(range(1, length(term) + 1), lambda j: [CAST(j AS INT)]),
+    lambda r, j: list_append(r, least(rows[len(rows)][j[1] + 1] + 1, r[j[1]] + 1, rows[len(rows)][j[1]] + CASE WHEN word[e[1][1]] = term[j[1]] THEN 0 ELSE 1 END,
+        CASE WHEN e[1][1] > 1 AND j[1] > 1 AND word[e[1][1]] = term[j[1] - 1] AND word[e[1][1] - 1] = term[j[1]] THEN rows[1][j[1] - 1] + 1 ELSE 99 END)), [e[1][1]])],
+    [CAST(range(0, length(term) + 1) AS INT[])])"""
+_SWAPPED = lambda sizes, edits: f"""w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(strip_accents(text)), '[\\p{{L}}\\p{{N}}]+')) AS w FROM benchmark),
+    s AS (SELECT DISTINCT substr(w, 1, 2) || substr(w, 4, 1) || substr(w, 3, 1) || substr(w, 5) AS word FROM w WHERE length(w) {sizes}), v AS (SELECT term, count(DISTINCT record_id) AS records FROM tokens GROUP BY 1),
+    p AS (SELECT word, term, records FROM s JOIN v ON left(word, 1) = left(term, 1) AND abs(length(word) - length(term)) <= {edits} AND records >= 3 AND levenshtein(word, term) <= {8 * edits}
+        WHERE word NOT IN (SELECT term FROM v) AND regexp_full_match(word, '\\p{{L}}+') AND regexp_full_match(term, '\\p{{L}}+')),
+    t AS (SELECT *, {_OSA} AS rows FROM p), n AS (SELECT *, rows[len(rows)][length(term) + 1] AS d FROM t)"""
+
 
+def _swapped(spark: SparkSession, d: str, sizes) -> DataFrame:
+    """The benchmark's words of some sizes, each with its third and fourth letters swapped."""
+    own = m.table(spark, d, "benchmark").select(F.explode(fn.words(F.col("text"))).alias("w")).where(sizes(F.length("w")))
+    return own.select(F.concat(F.substring("w", 1, 2), F.substring("w", 4, 1), F.substring("w", 3, 1), F.expr("substring(w, 5)")).alias("word"))
 
-@query(_TOK, f", {_SWAPPED} SELECT word, arg_min(term, (d, -records, term)) AS correction FROM n WHERE d <= 1 GROUP BY 1")
+
+@query(_TOK, f", {_SWAPPED('BETWEEN 5 AND 7', 1)} SELECT word, arg_min(term, (d, -records, term)) AS correction FROM n WHERE d <= 1 GROUP BY 1")
 def spelling_candidates(spark, d):
-    """Corrections of the benchmark's words of five to seven letters with two neighbours swapped (one edit is allowed, for which all distances agree)."""
-    own = m.table(spark, d, "benchmark").select(F.explode(fn.words(F.col("text"))).alias("w")).where(F.length("w").between(5, 7))
-    swapped = own.select(F.concat(F.substring("w", 1, 2), F.substring("w", 4, 1), F.substring("w", 3, 1), F.expr("substring(w, 5)")).alias("word"))
-    return fulltext.spellings(swapped, m.text(spark, d).vocabulary)
+    """Corrections of words of five to seven letters, which one edit is allowed for."""
+    text = m.text(spark, d)
+    return fulltext.spellings(_swapped(spark, d, lambda n: n.between(5, 7)), text.vocabulary, near=text.neighbours)
 
 
-@query()
+@query(_TOK, f", {_SWAPPED('> 7', 2)} SELECT word, arg_min(term, (d, -records, term)) AS correction FROM n WHERE d <= 2 GROUP BY 1")
 def spelling_long(spark, d):
     """The same of longer words, where two edits are allowed."""
-    own = m.table(spark, d, "benchmark").select(F.explode(fn.words(F.col("text"))).alias("w")).where(F.length("w") > 7)
-    swapped = own.select(F.concat(F.substring("w", 1, 2), F.substring("w", 4, 1), F.substring("w", 3, 1), F.expr("substring(w, 5)")).alias("word"))
-    return fulltext.spellings(swapped, m.text(spark, d).vocabulary)
+    text = m.text(spark, d)
+    return fulltext.spellings(_swapped(spark, d, lambda n: n > 7), text.vocabulary, near=text.neighbours)
 
 
 # --- what queries ask for ----------------------------------------------------
@@ -643,6 +670,27 @@ def ingest_problems(spark, d):
     return ingest.problems(ingest.latest(m.ingest_log(spark, d)))
 
 
+@query("", """WITH u AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS id, user_id FROM events),
+    b AS (SELECT CAST(user_id AS VARCHAR) AS id, CASE event_id % 3 WHEN 0 THEN 'failed' ELSE 'done' END AS status, event_type AS error, value AS elapsed_ms, row_number() OVER (PARTITION BY user_id, event_id % 2 = 0 ORDER BY ts DESC, event_id DESC) AS r, event_id % 2 = 0 AS early FROM events)
+    SELECT u.id, 'k' || u.id AS key, coalesce(late.status, CASE WHEN user_id % 3 <> 0 THEN first.status END, 'pending') AS status, CASE WHEN late.id IS NOT NULL THEN late.error WHEN user_id % 3 <> 0 THEN first.error END AS error, CASE WHEN late.id IS NOT NULL THEN late.elapsed_ms WHEN user_id % 3 <> 0 THEN first.elapsed_ms END AS elapsed_ms
+    FROM u LEFT JOIN b AS first ON first.id = u.id AND first.r = 1 AND first.early LEFT JOIN b AS late ON late.id = u.id AND late.r = 1 AND NOT late.early AND user_id % 5 <> 0""")
+def state_table(spark, d):
+    """Seeds, records, a fold, later seeds of all and later records of some: records of before an item is there do nothing."""
+    events = m.table(spark, d, "events").withColumn("id", F.col("user_id").cast("string"))
+    users = events.select("id", "user_id", F.concat(F.lit("k"), "id").alias("key"), F.lit(1).alias("size_bytes")).distinct()
+    row = F.struct(F.when(F.col("event_id") % 3 == 0, "failed").otherwise("done").alias("status"), F.col("event_type").alias("error"), F.col("value").alias("elapsed_ms"), F.col("ts").alias("updated_at"))
+    last = lambda rows: rows.groupBy("id").agg(F.max_by(row, F.struct("ts", "event_id")).alias("r")).select("id", "r.*")
+    table = state.StateTable(spark, f"{m.shared_folder(spark)}/state-{uuid4()}", 8)
+    table.seed(users.where("user_id % 3 <> 0"))
+    table.record(last(events.where("event_id % 2 = 0")))
+    table.fold()
+    table.seed(users)
+    table.record(last(events.where("event_id % 2 = 1 AND user_id % 5 <> 0")))
+    found = table.current().select("id", "key", "status", "error", "elapsed_ms").checkpoint()
+    table.drop()
+    return found
+
+
 @query("log", "SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT id FROM log WHERE status IN ('done', 'skipped', 'failed'))")
 def ingest_pending(spark, d):
     return ingest.pending(m.table(spark, d, "orders").select(F.col("o_orderkey").alias("id")), m.ingest_log(spark, d))
@@ -737,9 +785,12 @@ def object_id_coalesce(spark, d):
     return m.table(spark, d, "documents").select("doc_id", fn.first_filled(F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.col("source")), F.col("lang")).alias("object_id"))
 
 
-@query("", "SELECT page_id, regexp_extract(url, '^[^:]*://[^/?#]*/?([^?#]*)', 1) AS key, string_split(url, '/')[4] AS segment FROM pages")
+@query("", """SELECT page_id, regexp_extract(url, '^[^:]*://[^/?#]*/*([^?#]*)', 1) || CASE page_id % 4 WHEN 0 THEN '/100%.jpg' WHEN 1 THEN '/a b+c%2' WHEN 2 THEN '/é%zz' ELSE '' END AS key, string_split(url, '/')[4] AS segment FROM pages""")
 def manifest_keys(spark, d):
-    return m.table(spark, d, "pages").select("page_id", fn.url_key(F.col("url")).alias("key"), fn.url_segment(F.col("url"), 3).alias("segment"))
+    """Of URLs some of which have a percent sign that stands for itself."""
+    odd = F.col("page_id") % 4
+    url = F.concat(F.regexp_replace("url", "[?#].*", ""), F.when(odd == 0, "/100%.jpg").when(odd == 1, "/a%20b+c%2").when(odd == 2, "/%C3%A9%zz").otherwise(""))
+    return m.table(spark, d, "pages").select("page_id", fn.url_key(url).alias("key"), fn.url_segment(F.col("url"), 3).alias("segment"))
 
 
 @query("", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'c' || user_id ELSE 'peer' END AS client FROM events")
@@ -749,7 +800,7 @@ def client_addresses(spark, d):
     return m.table(spark, d, "events").select("event_id", fn.client_address(chain, 2, F.lit("peer")).alias("client"))
 
 
-@query("", """SELECT event_id, CASE WHEN v < 1024 THEN printf('%d', v) || ' B' WHEN v < 1048576 THEN printf('%.1f', v / 1024) || ' KB' ELSE printf('%.1f', v / 1048576) || ' MB' END AS size, CASE WHEN v >= 3600 THEN (v // 3600) || ' h ' || (v % 3600 // 60) || ' min' WHEN v >= 60 THEN (v // 60) || ' min ' || (v % 60) || ' s' ELSE v || ' s' END AS took,
+@query("", """SELECT event_id, CASE WHEN v < 1024 THEN format('{:,}', v) || ' B' WHEN v < 1048576 THEN printf('%.1f', v / 1024) || ' KB' ELSE printf('%.1f', v / 1048576) || ' MB' END AS size, CASE WHEN v >= 3600 THEN (v // 3600) || ' h ' || (v % 3600 // 60) || ' min' WHEN v >= 60 THEN (v // 60) || ' min ' || (v % 60) || ' s' ELSE v || ' s' END AS took,
     printf('%02d:%02d:%02d', v // 3600, v % 3600 // 60, v % 60) AS clock, round(event_id / 3600, 6) AS hours FROM (SELECT event_id, event_id * 37 % 100000 AS v FROM events) WHERE v % 1024 <> 512""")
 def readable_figures(spark, d):
     v = F.col("event_id") * 37 % 100_000
@@ -772,9 +823,9 @@ def stored_paths(spark, d):
     return m.table(spark, d, "pages").select("page_id", fn.stored_path(key, "/data/").alias("stored"), fn.resolved_path(kept, "/data").alias("resolved"))
 
 
-@query("", "SELECT doc_id, lower(strip_accents(left(text, 200))) AS folded FROM documents")
+@query("", "SELECT doc_id, lower(strip_accents(text)) AS folded FROM documents")
 def folded_texts(spark, d):
-    return m.table(spark, d, "documents").select("doc_id", fn.fold(F.substring("text", 1, 200)).alias("folded"))
+    return m.table(spark, d, "documents").select("doc_id", fn.fold(F.col("text")).alias("folded"))
 
 
 @query("", "SELECT p_partkey, round(p_size * 100.0 * p_size * 50.0 * (pow(least(1.0, 400.0 / (p_size * 100.0)), 2) + pow(least(1.0, 1920.0 / (p_size * 100.0)), 2)), 4) AS pixels FROM part")

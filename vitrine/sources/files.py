@@ -4,19 +4,26 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 from urllib.parse import urlparse
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from vitrine.functions.columns import JUNK_FOLDERS, basename, extension, is_image, is_junk, item_id, url_key
 from vitrine.functions.images import JPEG, PNG
+from vitrine.sources import stores
+from vitrine.sources.listing import listed
 
 #: Column names of manifests, in order of preference.
 URL_COLUMNS = ["image_url", "url", "path", "file", "uri"]
 SIZE_COLUMNS = ["size_bytes", "size", "bytes", "filesize"]
+#: Files that a task reads side by side, and their bytes; a larger file is read alone.
+READERS = 8
+READ_BYTES = 64 << 20
 
 
 class Source(Protocol):
@@ -26,7 +33,7 @@ class Source(Protocol):
     uri: str
 
     def files(self) -> DataFrame:
-        """key, size, ext, is_image, is_junk, id, row."""
+        """key, size, ext, is_image, is_junk, id; row or error."""
 
     def contents(self, limit: int | None = None) -> DataFrame:
         """key and content (its first ``limit`` bytes), a row for each file that can be read."""
@@ -37,7 +44,7 @@ class Source(Protocol):
 
 
 class FolderSource:
-    """Files below a folder or an object store's prefix that Spark reads."""
+    """Files below a folder or an object store's prefix, of any registered kind of store."""
 
     kind = "folder"
 
@@ -48,9 +55,12 @@ class FolderSource:
         return folder_files(self.spark, self.uri)
 
     def contents(self, limit: int | None = None) -> DataFrame:
-        content = F.col("content") if limit is None else F.substring("content", 1, limit)
-        read = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(self.uri)
-        return read.select(_key_below(self.uri).alias("key"), content.alias("content"))
+        if stores.kind_of(self.uri) is None:
+            content = F.col("content") if limit is None else F.substring("content", 1, limit)
+            read = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(self.uri)
+            return read.select(_key_below(self.uri).alias("key"), content.alias("content"))
+        found = fetched(self.files().where("error IS NULL").select("key", "size"), self.uri, limit)
+        return found.where("content IS NOT NULL").select("key", "content")
 
     def original_uri(self, key: Column) -> Column:
         return F.concat(F.lit(self.uri + "/"), key)
@@ -73,8 +83,11 @@ class ManifestSource:
     def contents(self, limit: int | None = None) -> DataFrame:
         if self.fetch_via is None:
             raise ValueError("a manifest names files but doesn't hold them: give the folder they are in")
-        found = FolderSource(self.spark, self.fetch_via).contents(limit)
-        return found.join(self.files().select("key"), "key", "left_semi")
+        if stores.kind_of(self.fetch_via) is None:
+            found = FolderSource(self.spark, self.fetch_via).contents(limit)
+            return found.join(self.files().select("key"), "key", "left_semi")
+        named = self.files().groupBy("key").agg(F.max("size").alias("size"))  # read what is named, list nothing
+        return fetched(named, self.fetch_via, limit).where("content IS NOT NULL").select("key", "content")
 
     def original_uri(self, key: Column) -> Column:
         return key if self.fetch_via is None else F.concat(F.lit(self.fetch_via.rstrip("/") + "/"), key)
@@ -83,10 +96,65 @@ class ManifestSource:
         return self.spark.read.parquet(self.uri)
 
 
+#: What opens a URI, asked in turn: kinds of sources that are registered come first.
+_kinds: list[tuple[Callable[[str], bool], Callable[..., Source]]] = []
+
+
+def register_source(fits: Callable[[str], bool], make: Callable[..., Source]) -> None:
+    """``make(spark, uri, fetch_via)`` opens the URIs that ``fits``; the latest kind is asked first."""
+    _kinds.insert(0, (fits, make))
+
+
 def source(spark: SparkSession, uri: str, fetch_via: str | None = None) -> Source:
+    for fits, make in _kinds:
+        if fits(uri):
+            return make(spark, uri, fetch_via)
     return ManifestSource(spark, uri, fetch_via) if is_parquet(uri) else FolderSource(spark, uri)
 
 
+def _handfuls(sizes: list[int | None]) -> Iterator[tuple[int, int]]:
+    """Runs of files that are read side by side: a few, of some megabytes together, or one that is larger alone."""
+    first, held = 0, 0
+    for i, size in enumerate(sizes):
+        if i > first and (i - first >= READERS or held + (size or 0) > READ_BYTES):
+            yield first, i
+            first, held = i, 0
+        held += size or 0
+    if first < len(sizes):
+        yield first, len(sizes)
+
+
+def fetched(files: DataFrame, uri: str, limit: int | None = None, size_col: str = "size") -> DataFrame:
+    """``files`` (key and size) with ``content``, their first ``limit`` bytes or all, and ``fetch_error``.
+
+    Files are dealt to tasks anew, as one folder may hold most of them; a task
+    reads a few at a time, and no more bytes of a file than are wanted.
+    """
+    spark, kind = files.sparkSession, stores.kind_of(uri)
+    names = [*files.columns, "content", "fetch_error"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = stores.opened(uri, kind)
+
+        def one(key: str) -> tuple[bytes | None, str | None]:
+            try:
+                return store.read(key, limit), None
+            except Exception as problem:  # noqa: BLE001
+                return None, f"fetch: {stores.said(problem)}"[:500]
+
+        with ThreadPoolExecutor(READERS) as readers:
+            for batch in batches:
+                keys, sizes = batch.column("key").to_pylist(), batch.column(size_col).to_pylist()
+                for first, end in _handfuls(sizes if limit is None else [min(s or 0, limit) for s in sizes]):
+                    content, errors = zip(*readers.map(one, keys[first:end]), strict=True)
+                    part = batch.slice(first, end - first)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(content, pa.binary()), pa.array(errors, pa.string())], names=names)
+
+    tasks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    schema = StructType([*files.schema.fields, StructField("content", BinaryType()), StructField("fetch_error", StringType())])
+    return files.repartition(tasks, "key").mapInArrow(run, schema)
+
+
 def is_parquet(uri: str) -> bool:
     """By the path of an address, whatever its query; a plain path may hold any character."""
     path = urlparse(uri).path if "://" in uri else uri
@@ -145,14 +213,20 @@ def _key_below(folder: str) -> Column:
 
 
 def folder_files(spark: SparkSession, folder: str) -> DataFrame:
-    """A listing only: the contents column is pruned, so no file is read. Junk and hidden folders are left out.
+    """A listing only, no file is read. Junk and hidden folders are left out; a file or folder that can't be read is a row with ``error``, without size and extension.
 
-    Spark itself passes over names that begin with a dot or an underscore, and lists what it can't open.
+    Of a store that only Spark knows (a scheme that isn't registered), Spark's
+    own listing passes over names that begin with a dot or an underscore.
     """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    if stores.kind_of(folder) is not None:
+        rows = described(listed(spark, folder).select("key", "size", F.concat(F.lit(folder.rstrip("/") + "/"), "key").alias("absolute_key"), "error"))
+        fine = F.col("error").isNull()
+        return rows.withColumns({"ext": F.when(fine, F.col("ext")).otherwise(""), "is_image": fine & F.col("is_image")})
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     folders = F.slice(F.split("key", "/"), F.lit(1), F.size(F.split("key", "/")) - 1)
     pruned = F.exists(folders, lambda p: p.startswith(".") | p.isin(JUNK_FOLDERS))
-    return described(listed.select(_key_below(folder).alias("key"), F.col("length").alias("size"), "path").where(~pruned)).withColumnRenamed("path", "absolute_key")
+    rows = found.select(_key_below(folder).alias("key"), F.col("length").alias("size"), F.col("path").alias("absolute_key"), F.lit(None).cast("string").alias("error"))
+    return described(rows.where(~pruned))
 
 
 def guessed(columns: list[str], names: list[str]) -> str | None:
