@@ -134,9 +134,13 @@ def _from_steps(x: np.ndarray) -> np.ndarray:
 
 
 def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each number the place of its value among distinct values, and these."""
-    found = pa.array(x).dictionary_encode()
-    return found.indices.to_numpy(), found.dictionary.to_numpy()
+    """For each number the place of its value among distinct values, and these; by sorting, which takes less memory than a table."""
+    order = np.argsort(x)
+    x = x[order]
+    new = np.append(True, x[1:] != x[:-1])[: len(x)]
+    places = np.empty(len(x), np.int32)
+    places[order] = np.cumsum(new, dtype=np.int32) - 1
+    return places, x[new]
 
 
 def _shifts(most: int = 255) -> np.ndarray:
@@ -157,13 +161,16 @@ _SHIFTS = _shifts()
 
 def joined_crc(first: np.ndarray, second: np.ndarray, length: np.ndarray) -> np.ndarray:
     """crc32 of strings from those of their two parts, the second of which has ``length`` bytes."""
-    first, length = first.astype(np.uint32), length.copy()
-    while True:
-        now = np.minimum(length, len(_SHIFTS) - 1)
-        first = _SHIFTS[now, 0, first & 0xFF] ^ _SHIFTS[now, 1, first >> 8 & 0xFF] ^ _SHIFTS[now, 2, first >> 16 & 0xFF] ^ _SHIFTS[now, 3, first >> 24]
-        length -= now
-        if not length.any():
-            return first ^ second.astype(np.uint32)
+    out = second.astype(np.uint32)
+    for at in range(0, len(out), 1 << 18):
+        some = slice(at, at + (1 << 18))
+        crc, left = first[some].astype(np.uint32), length[some].copy()
+        while left.any():
+            now = np.minimum(left, len(_SHIFTS) - 1)
+            crc = _SHIFTS[now, 0, crc & 0xFF] ^ _SHIFTS[now, 1, crc >> 8 & 0xFF] ^ _SHIFTS[now, 2, crc >> 16 & 0xFF] ^ _SHIFTS[now, 3, crc >> 24]
+            left -= now
+        out[some] ^= crc
+    return out
 
 
 _ENTRIES = "part int, first long, target boolean, ids array<{id}>, sizes array<int>, words binary, w1 binary, w2 binary, w3 binary, holders binary, docs binary, counts binary"
@@ -283,15 +290,15 @@ class _Dictionary:
     def hashes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """crc32 of each distinct string: of words, then of runs by the words'."""
         ended = self.words.to_pylist()
-        sizes = pa.compute.binary_length(self.words).to_numpy().astype(np.int64)  # with a byte for the gap
+        sizes = pa.compute.binary_length(self.words).to_numpy()  # with a byte for the gap
         word = np.fromiter((zlib.crc32(w[:-1]) for w in ended), np.uint32, len(ended))
         gap = np.full(len(word), zlib.crc32(b" "), np.uint32)
-        before = joined_crc(word, gap, np.ones(len(word), np.int64))
-        w2, w3 = self.pairs >> 32, self.pairs & 0xFFFFFFFF
+        before = joined_crc(word, gap, np.ones(len(word), np.int32))
+        w2, w3 = (self.pairs >> 32).astype(np.int32), self.pairs.astype(np.int32)
         pair = joined_crc(before[w2], word[w3], sizes[w3] - 1)
-        w1, tail = self.triples & 0xFFFFFFFF, self.triples >> 32
+        w1, tail = self.triples.astype(np.int32), (self.triples >> 32).astype(np.int32)
         triple = joined_crc(before[w1], pair[tail], (sizes[w2] + sizes[w3] - 1)[tail])
-        return word.astype(np.int64), pair.astype(np.int64), triple.astype(np.int64)
+        return word, pair, triple
 
     def kinds(self) -> list[tuple[np.ndarray, int]]:
         return [(self.word, len(self.words)), (self.two, len(self.pairs)), (self.three, len(self.triples))]
@@ -340,7 +347,7 @@ def _counted(buckets: int):
                 own = (codes >= 0) & (target == side)
                 sums = np.zeros(n, np.int64)
                 np.add.at(sums, codes[own], number[own])
-                np.add.at(totals[side], hashes % buckets, sums)
+                np.add.at(totals[side], hashes % np.uint32(buckets), sums)
         used = np.flatnonzero(totals.any(0))
         del held, number, target
         _give_back()
@@ -370,7 +377,7 @@ def _weighed(id_type: pa.DataType):
         if not rows:
             return
         held = _Dictionary(rows)
-        gain = sum(np.append(gains[hashes % len(gains)], 0)[codes] for (codes, _), hashes in zip(held.kinds(), held.hashes(), strict=True))
+        gain = sum(np.append(gains[hashes % np.uint32(len(gains))], 0)[codes] for (codes, _), hashes in zip(held.kinds(), held.hashes(), strict=True))
         for row, own in zip(rows, np.split(gain, held.ends[:-1]), strict=True):
             docs = _unpacked(row["docs"])
             total = np.zeros(docs.max() + 1, np.int64)
