@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from vitrine.session import shared_folder
 
-__all__ = ["saved", "shared_folder"]
+__all__ = ["removed", "saved", "shared_folder"]
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -17,3 +17,9 @@ def saved(df: DataFrame) -> DataFrame:
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that was written in the shared one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -33,10 +33,12 @@ from vitrine.llm.checkpoints import saved
 
 BUCKETS = 10_000
 #: Bytes and documents of a slice at most; a longer text goes in pieces. So a slice has under 2^21 distinct words: few have under three bytes, and a gap stands behind each.
-SLICE_BYTES = 5_000_000
+SLICE_BYTES = 4_000_000
 SLICE_DOCS = 1 << 16
 #: Bytes of text for a partition of the dictionary.
 PART_BYTES = 12 << 20
+#: A partition's dictionary is made in so many parts, one after another.
+SHARES = 4
 #: A word, or a run of two, that is more than this part of a slice has its strings dealt over FAN partitions.
 COMMON = 1024
 FAN = 64
@@ -263,35 +265,44 @@ def _words(blob: bytes) -> pa.Array:
 class _Dictionary:
     """Distinct strings of a partition: words, runs of two, and runs of three as a word before a run of two.
 
-    ``of`` has for each row of entries its words, runs of two and runs of three as places in these (-1: none).
+    ``word``, ``two`` and ``three`` have for each row of entries in turn its
+    places in these (-1: none), once ``shares`` has come to it.
     """
 
     def __init__(self, rows: list[_Row]) -> None:
         lists = [_words(r["words"]) for r in rows]
         encoded = pa.concat_arrays(lists).dictionary_encode()
-        self.words = encoded.dictionary
+        self.words, self.word_hashes = encoded.dictionary, None
         numbers = np.append(encoded.indices.to_numpy(), np.int32(-1))
-        ids: tuple[list, list, list] = [], [], []
-        first = 0
-        for row, own in zip(rows, lists, strict=True):
-            for x, to in zip((_unpacked(row["w1"]), _from_steps(_unpacked(row["w2"])), _from_steps(_unpacked(row["w3"]))), ids, strict=True):
-                to.append(np.where(x > 0, numbers[first + x - 1], np.int32(-1)))
-            first += len(own)
-        self.ends = np.cumsum([len(x) for x in ids[0]])
-        w1, w2, w3 = (np.concatenate(x) for x in ids)
-        del ids, lists, numbers
-        two, three = w2 >= 0, w1 >= 0
-        self.word = np.where(two, np.int32(-1), w3)
-        self.two, self.three = np.full(len(w3), -1, np.int32), np.full(len(w3), -1, np.int32)
-        self.two[two], self.pairs = _distinct(w2[two].astype(np.int64) << 32 | w3[two])
-        del w2, w3, two
-        self.three[three], self.triples = _distinct(self.two[three].astype(np.int64) << 32 | w1[three])
+        firsts = np.cumsum([0, *map(len, lists)])
+        del lists, encoded
+        sizes = [len(_unpacked(r["w1"])) for r in rows]
+        self.ends = np.cumsum(sizes)
+        self.ids = np.empty((3, sum(sizes)), np.int32)
+        for row, first, end, n in zip(rows, firsts, self.ends, sizes, strict=False):
+            for i, x in enumerate((_unpacked(row["w1"]), _from_steps(_unpacked(row["w2"])), _from_steps(_unpacked(row["w3"])))):
+                self.ids[i, end - n : end] = np.where(x > 0, numbers[first + x - 1], np.int32(-1))
+
+    def shares(self) -> Iterator[np.ndarray]:
+        """Places of entries, a part of them at a time; all that end in the same two words (or one) come together."""
+        share = (self.ids[1].astype(np.uint32) * np.uint32(2654435761) + self.ids[2].astype(np.uint32)) % np.uint32(SHARES)
+        for i in range(SHARES):
+            own = np.flatnonzero(share == i)
+            w1, w2, w3 = (x[own] for x in self.ids)
+            two, three = w2 >= 0, w1 >= 0
+            self.word = np.where(two, np.int32(-1), w3)
+            self.two, self.three = np.full(len(w3), -1, np.int32), np.full(len(w3), -1, np.int32)
+            self.two[two], self.pairs = _distinct(w2[two].astype(np.int64) << 32 | w3[two])
+            self.three[three], self.triples = _distinct(self.two[three].astype(np.int64) << 32 | w1[three])
+            yield own
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """crc32 of each distinct string: of words, then of runs by the words'."""
-        ended = self.words.to_pylist()
         sizes = pa.compute.binary_length(self.words).to_numpy()  # with a byte for the gap
-        word = np.fromiter((zlib.crc32(w[:-1]) for w in ended), np.uint32, len(ended))
+        if self.word_hashes is None:
+            ended = (w.as_py() for w in self.words)
+            self.word_hashes = np.fromiter((zlib.crc32(w[:-1]) for w in ended), np.uint32, len(self.words))
+        word = self.word_hashes
         gap = np.full(len(word), zlib.crc32(b" "), np.uint32)
         before = joined_crc(word, gap, np.ones(len(word), np.int32))
         w2, w3 = (self.pairs >> 32).astype(np.int32), self.pairs.astype(np.int32)
@@ -342,12 +353,13 @@ def _counted(buckets: int):
         target = np.repeat([r["target"] for r in rows], [len(n) for n in numbers])
         del rows, numbers
         totals = np.zeros((2, buckets), np.int64)
-        for (codes, n), hashes in zip(held.kinds(), held.hashes(), strict=True):
-            for side in np.unique(target).astype(int):
-                own = (codes >= 0) & (target == side)
-                sums = np.zeros(n, np.int64)
-                np.add.at(sums, codes[own], number[own])
-                np.add.at(totals[side], hashes % np.uint32(buckets), sums)
+        for share in held.shares():
+            for (codes, n), hashes in zip(held.kinds(), held.hashes(), strict=True):
+                for side in np.unique(target).astype(int):
+                    own = (codes >= 0) & (target[share] == side)
+                    sums = np.zeros(n, np.int64)
+                    np.add.at(sums, codes[own], number[share[own]])
+                    np.add.at(totals[side], hashes % np.uint32(buckets), sums)
         used = np.flatnonzero(totals.any(0))
         del held, number, target
         _give_back()
@@ -377,7 +389,9 @@ def _weighed(id_type: pa.DataType):
         if not rows:
             return
         held = _Dictionary(rows)
-        gain = sum(np.append(gains[hashes % np.uint32(len(gains))], 0)[codes] for (codes, _), hashes in zip(held.kinds(), held.hashes(), strict=True))
+        gain = np.zeros(held.ids.shape[1], np.int64)
+        for share in held.shares():
+            gain[share] = sum(np.append(gains[hashes % np.uint32(len(gains))], 0)[codes] for (codes, _), hashes in zip(held.kinds(), held.hashes(), strict=True))
         for row, own in zip(rows, np.split(gain, held.ends[:-1]), strict=True):
             docs = _unpacked(row["docs"])
             total = np.zeros(docs.max() + 1, np.int64)

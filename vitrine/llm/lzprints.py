@@ -125,25 +125,25 @@ class Parsed:
         return edited, _minima(edited, shared + phrases(edited, shared[-1] if shared else 0, known))
 
 
-_COLUMNS = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_COLUMNS = "id long, no_id boolean, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a range in order of ids, the next range's first document behind them; a document is done when the next one has come."""
     names = [c.split()[0] for c in _COLUMNS.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    last: tuple[int, int, int, Parsed] | None = None
+    types = [pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    last: tuple[int, int, int, bool, Parsed] | None = None
     for batch in batches:
         out: list[tuple] = []
-        for bucket, late, key, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+        for bucket, late, key, no_id, cell in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
             text = cell.as_py() or ""
-            now = last[3] if last is not None and last[3].text == text else Parsed(text)
+            now = last[4] if last is not None and last[4].text == text else Parsed(text)
             if last is not None and last[0] == bucket and not last[1]:
-                own = last[3]
+                own = last[4]
                 edited, minima = own.edited(text)
                 digest = sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-                out.append((last[2], len(own.text), digest, _text(own.minima), _text(minima), likeness(own.minima, minima), likeness(own.minima, now.minima)))
-            last = (bucket, late, key, now)
+                out.append((last[2], last[3], len(own.text), digest, _text(own.minima), _text(minima), likeness(own.minima, minima), likeness(own.minima, now.minima)))
+            last = (bucket, late, key, no_id, now)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
@@ -165,12 +165,13 @@ def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     The edited text is the text with its last half replaced by as much of the
     beginning of the next document by id (of the first one, behind the last).
 
-    A null text is empty. Null ids come first; rows with one id follow one
+    Ids are whole numbers of 64 bits. A null text is empty. Null ids come first; rows with one id follow one
     another in the order of a hash of their texts. Other columns are neither
     read nor returned; an empty table gives no rows.
     """
+    # a null id takes the place of the smallest number there is, before a row that has it
     key, text = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_FIRST)), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = documents.select(key.alias("id"), text.alias("text"))
+    rows = documents.select(key.alias("id"), F.col(f"`{id_col}`").isNull().alias("no_id"), text.alias("text"))
     size, least = rows.agg(F.sum(F.length("text")), F.min("id")).first()
     ranges = int(min(max(16, (size or 0) // RANGE_CHARS), MOST_RANGES))
     shares = [i / ranges for i in range(1, ranges)]
@@ -188,8 +189,8 @@ def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.when(F.col("at") % 2 == 1, place(F.col("bucket") - 1, 1)).otherwise(none),
         F.when(F.col("id") == F.lit(least), place(F.lit(len(cuts)), 1)).otherwise(none),
     )
-    dealt = rows.select(F.explode(F.filter(places, lambda x: x.isNotNull())).alias("place"), "id", "text").select("place.bucket", "place.late", "id", "text")
+    dealt = rows.select(F.explode(F.filter(places, lambda x: x.isNotNull())).alias("place"), "id", "no_id", "text").select("place.bucket", "place.late", "id", "no_id", "text")
     # a range is a partition: none gets several by chance
-    ordered = dealt.repartitionById(len(cuts) + 1, "bucket").sortWithinPartitions("bucket", "late", "id", F.xxhash64("text"))
+    ordered = dealt.repartitionById(len(cuts) + 1, "bucket").sortWithinPartitions("bucket", "late", "id", F.desc("no_id"), F.xxhash64("text"))
     out = ordered.mapInArrow(_streamed, _COLUMNS)
-    return out.select(F.when(F.col("id") != _FIRST, F.col("id")).alias(id_col), *(c.split()[0] for c in _COLUMNS.split(", ")[1:]))
+    return out.select(F.when(~F.col("no_id"), F.col("id")).alias(id_col), *(c.split()[0] for c in _COLUMNS.split(", ")[2:]))

@@ -183,7 +183,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def _with_scores(documents: DataFrame, model: Trees, text_col: str, least: float | None = None) -> DataFrame:
     at = documents.columns.index(text_col)
-    names = [*documents.columns, *(["score"] if least is None else [])]
+    names = [*(f"c{i}" for i in range(len(documents.columns))), *(["score"] if least is None else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,7 +195,10 @@ def _with_scores(documents: DataFrame, model: Trees, text_col: str, least: float
                     yield pa.RecordBatch.from_arrays(rows.filter(pa.array(scores >= least)).columns, names=names)
 
     more = [T.StructField("score", T.DoubleType())] if least is None else []
-    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, *more]))
+    # by place, as names may be of any kind
+    plain = documents.toDF(*(f"c{i}" for i in range(len(documents.columns))))
+    out = plain.mapInArrow(run, T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, [*documents.schema.fields, *more], strict=True)]))
+    return out.toDF(*documents.columns, *(f.name for f in more))
 
 
 def scored(documents: DataFrame, model: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

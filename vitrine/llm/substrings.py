@@ -30,6 +30,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from vitrine.llm.checkpoints import saved
 from vitrine.llm.textarrays import TextSlice, mixed, slices, window_hashes
@@ -361,10 +362,17 @@ def _kept(width: int, whole: bool):
 _LAST = (1 << 63) - 1
 
 
-def _tag(documents: DataFrame, id_col: str, text_col: str) -> Column:
-    """Tells rows with one id apart, where there are such."""
-    twice = documents.groupBy(F.col(f"`{id_col}`")).count().where("count > 1").limit(1).count()
-    return F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))) if twice else F.lit(0).cast("long")
+def _key(documents: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column, Column]:
+    """Where a row stands: a number, a second one that tells rows of one number apart where there are such, and,
+    of these two, whether the id is null. A null id has the largest number, behind a row whose id that is."""
+    own = F.col(f"`{id_col}`").cast("long")
+    place, text = F.coalesce(own, F.lit(_LAST)), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    if not documents.groupBy(place.alias("n")).count().where("count > 1").limit(1).count():
+        none = documents.where(own.isNull()).limit(1).count()
+        return place, F.lit(0).cast("long"), (F.col("id") == _LAST) & F.lit(bool(none))
+    half = F.shiftright(text, 1)  # of those that share the largest number, null ids are not below 0, others are
+    tag = F.when(own.isNull(), half.bitwiseAND(F.lit((1 << 62) - 1))).when(own == _LAST, half.bitwiseAND(F.lit((1 << 62) - 1)) - F.lit(1 << 62)).otherwise(text)
+    return place, tag, (F.col("id") == _LAST) & (F.col("tag") >= 0)
 
 
 def drop_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, whole: bool = False) -> DataFrame:
@@ -375,7 +383,7 @@ def drop_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     some ``width`` consecutive words of its text that hold it also start
     earlier: in a text of a smaller id, or before them in the same text.
 
-    A null text has no words. A null id comes behind all others. Rows with one
+    Ids are whole numbers of 64 bits. A null text has no words. A null id comes behind all others. Rows with one
     id count as texts one after another, in the order of a hash of their texts; rows
     with equal id and text count as one text, so neither repeats the other.
     Other columns are neither read nor returned, but with ``whole``: then each
@@ -386,10 +394,11 @@ def drop_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     block = width // 2
     size = documents.agg(F.sum(F.length(F.col(f"`{text_col}`")))).first()[0] or 0
     buckets = max(16, size // 6 // BUCKET_WINDOWS * 2)
+    place, tag, no_id = _key(documents, id_col, text_col)
     rows = documents.select(
-        F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST)).alias("id"), _tag(documents, id_col, text_col).alias("tag"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
-        # all but the text, which goes along anyway
-        F.struct(F.col(f"`{text_col}`").isNull().alias("no_text"), *(F.col(f"`{c}`") for c in documents.columns if c != text_col)).alias("row"),
+        place.alias("id"), tag.alias("tag"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
+        # all but the text, which goes along anyway; by place, whatever they are called
+        F.struct(F.col(f"`{text_col}`").isNull().alias("none"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(documents.columns) if c != text_col)).alias("row"),
     )
     every, rows = rows, rows.drop("row")
     probes, passages = (Dealing(buckets, hot) for hot in _hot_homes(rows, (block, width), size))
@@ -397,13 +406,13 @@ def drop_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     joined = rows.join(hits, ["id", "tag"]).select("id", "tag", "text", "places")
     repeats = _gathered(joined.mapInArrow(_passages(width, block, passages), _ROW_DDL), _later)
     schema = "id long, tag long, n_words long, n_removed long, kept_text string, removed array<struct<start int, end int>>"
-    results = [F.when(F.col("id") != _LAST, F.col("id")).alias(id_col), "n_words", "n_removed", "kept_text", "removed"]
+    results = [F.when(~no_id, F.col("id")).alias(id_col), "n_words", "n_removed", "kept_text", "removed"]
     if not whole:
         joined = rows.join(repeats, ["id", "tag"], "left").select("id", "tag", "text", "places")
         return joined.mapInArrow(_kept(width, False), schema).select(*results)
     joined = every.join(repeats, ["id", "tag"], "left").select("id", "tag", "text", "places", "row")
-    out = joined.mapInArrow(_kept(width, True), f"{schema}, text string, row {every.schema['row'].dataType.simpleString()}")
-    own = [F.when(~F.col("row.no_text"), F.col("text")).alias(c) if c == text_col else F.col(f"row.`{c}`") for c in documents.columns]
+    out = joined.mapInArrow(_kept(width, True), StructType([*StructType.fromDDL(f"{schema}, text string"), every.schema["row"]]))
+    own = [(F.when(~F.col("row.none"), F.col("text")) if c == text_col else F.col(f"row.c{i}")).alias(c) for i, c in enumerate(documents.columns)]
     return out.select(*results, F.struct(*own).alias("row"))
 
 

@@ -7,7 +7,8 @@ alias: redirects (refresh) and canonical links of pages are edges, and so is
 what differs only in scheme, default port or fragment; connected components
 join them. What no block reaches is allowed.
 
-How it scales: rules are few, so they become one expression and no join. Edges
+How it scales: a few rules become one expression and no join; more are joined
+by the hosts that there are and the domains above them. Edges
 are made from tags cut out of the html in the scan; components come from
 star contraction; verdicts are shared by a partial aggregate for each
 component, so an alias group of any size is a row a task.
@@ -15,6 +16,7 @@ component, so an alias group of any size is a row a task.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -25,8 +27,8 @@ from vitrine.llm.components import components
 
 #: (verdict, host, path)
 Rule = tuple[str, str, str]
-#: Rules that become one expression.
-MOST_RULES = 1000
+#: Rules that become one expression; more are joined.
+EXPRESSED_RULES = 200
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -44,8 +46,6 @@ def path_of(url: Column) -> Column:
 
 def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
     """The longest rule that fits (host and path together, an allow before a block of that length), as a struct, or null."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"over {MOST_RULES} rules")
     ordered = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[0] != "allow", r))
     fits = [
         F.when(((host == h) | host.endswith("." + h)) & path.startswith(p), F.struct(F.lit(h + p).alias("rule"), F.lit(v).alias("verdict")))
@@ -54,6 +54,22 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
     return F.coalesce(*fits, F.lit(None).cast("struct<rule:string,verdict:string>"))
 
 
+def with_rules(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``rows`` (host, path) with ``fit``, what ``rule_of`` says, for any number of rules."""
+    if len(rules) <= EXPRESSED_RULES:
+        return rows.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
+    given = F.from_json(F.lit(json.dumps([{"verdict": v, "above": h, "start": p} for v, h, p in rules])), "array<struct<verdict:string,above:string,start:string>>")
+    table = rows.sparkSession.range(1).select(F.inline(given))
+    labels = F.split("host", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    hosts = rows.select("host").distinct().select("host", F.explode(above).alias("above"))
+    order = F.struct((-F.length(F.concat("above", "start"))).alias("n"), F.when(F.col("verdict") == "allow", 0).otherwise(1).alias("v"), "verdict", "above", "start")
+    fitting = hosts.join(table, "above").groupBy("host").agg(F.array_sort(F.collect_list(order)).alias("rules"))  # of one host no more than there are rules
+    first = F.get(F.filter("rules", lambda r: F.col("path").startswith(r["start"])), F.lit(0))
+    fit = F.when(first.isNotNull(), F.struct(F.concat(first["above"], first["start"]).alias("rule"), first["verdict"].alias("verdict")))
+    return rows.join(fitting, "host", "left").withColumn("fit", fit).drop("rules")
+
+
 def _folded(path: Column) -> Column:
     """A path that begins with a slash, without the segments ``.`` and ``..``."""
     parts = F.split(path, "/")
@@ -125,11 +141,11 @@ def judged(
         links = links.unionAll(redirects.select(node_of(F.col("from_url")).alias("a"), node_of(F.col("to_url")).alias("b")).dropna())
     named = components(links)
     rows = pages.select(F.col(f"`{id_col}`").alias("id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"))
-    rows = rows.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
+    rows = with_rules(rows, rules)
     rows = saved(rows.join(named, "node", "left").withColumn("component", F.coalesce("component", "node")))
     # aliases that are no pages of the table have rules, too
     ends = named.select(F.col("node"), "component").withColumn("url", F.concat(F.lit("http://"), "node"))
-    ends = ends.select("component", rule_of(host_of(F.col("url")), path_of(F.col("url")), rules).alias("fit"))
+    ends = with_rules(ends.select("component", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")), rules).select("component", "fit")
     blocked = reduce(DataFrame.unionAll, [rows.select("component", "fit"), ends]).where("fit.verdict = 'block' AND component IS NOT NULL").select("component").distinct()
     out = rows.join(blocked.withColumn("blocked", F.lit(True)), "component", "left")
     verdict = F.coalesce("fit.verdict", F.when(F.col("blocked"), "block"), F.lit("allow"))
