@@ -8,6 +8,10 @@ text. For near duplicates and repeated passages, rows of one id with different
 texts are documents one after another, rows of one id and text are one
 document (all stay or none), and rows without id are documents behind all
 others; near duplicates among these go, too, equal ones but for one row.
+
+Ids are whole numbers. Null texts count as empty ones and stay null. Columns
+beyond those of ``documents`` come along, whatever they are called; the last
+stage returns its own. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.llm import bpe, decontaminate, minhash, quality, substrings
-from vitrine.llm.checkpoints import saved, shared_folder
+from vitrine.llm.checkpoints import removed, saved, shared_folder
 from vitrine.llm.queries import table, word_vocabulary
 
 #: Percent of shingles in common from which documents are near duplicates.
@@ -37,7 +41,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the smallest id stays."""
     if not docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count():
         kept = minhash.near_duplicates(docs, percent=NEAR).where("kept").select("doc_id")
-        return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+        return docs.join(kept, "doc_id", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
     # ids do not tell documents apart: a number for each id and text, in the order of ids, written before it is used
     tag = F.xxhash64(F.coalesce("text", F.lit("")))
     rows = docs.select(F.struct("*").alias("row"), "doc_id", "text", tag.alias("tag"))
@@ -54,7 +58,7 @@ def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that stand earlier go; texts without any stay as they are, texts of nothing else go."""
     rows = substrings.drop_repeats(docs, whole=True).where("n_removed = 0 OR kept_text <> ''")
     cut = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    return rows.select(*(F.when(F.col("n_removed") > 0, cut[c]).otherwise(F.col(f"row.{c}")).alias(c) if c in cut else F.col(f"row.{c}") for c in docs.columns))
+    return rows.select(*(F.when(F.col("n_removed") > 0, cut[c]).otherwise(F.col("row")[c]).alias(c) if c in cut else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def no_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -95,4 +99,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{i}-{name}")
         docs = spark.read.parquet(f"{top}/{i}-{name}")
+        if i:  # what a stage has read isn't needed any more; the last one's rows are the result
+            removed(spark, f"{top}/{i - 1}-{STAGES[i - 1][0]}")
     return docs
