@@ -36,7 +36,7 @@ BUCKETS = 10_000
 SLICE_BYTES = 4_000_000
 SLICE_DOCS = 1 << 16
 #: Bytes of text for a partition of the dictionary.
-PART_BYTES = 12 << 20
+PART_BYTES = 24 << 20
 #: A partition's dictionary is made in so many parts, one after another.
 SHARES = 4
 #: A word, or a run of two, that is more than this part of a slice has its strings dealt over FAN partitions.
@@ -444,7 +444,7 @@ def weights(documents: DataFrame, target: DataFrame, id_col: str = "doc_id", tex
     parts = max(16, size // PART_BYTES)
     wanted = target.select(F.lit(None).cast(id_name).alias("id"), F.col(f"`{target_text}`").cast("string").alias("text"))
     schema = _ENTRIES.format(id=id_name)
-    entries = rows.mapInArrow(_features(parts, False, id_type, slice_bytes), schema).unionAll(wanted.mapInArrow(_features(parts, True, id_type, slice_bytes), schema)).repartition(parts, "part")
+    entries = rows.mapInArrow(_features(parts, False, id_type, slice_bytes), schema).unionAll(wanted.mapInArrow(_features(parts, True, id_type, slice_bytes), schema)).repartitionById(parts, "part")  # not by the number's hash, which would put several into one task
 
     counts = entries.mapInArrow(_counted(buckets), "bucket int, s long, t long").groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
     by_bucket = spark.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").select("bucket", F.coalesce("s", F.lit(0)).alias("s"), F.coalesce("t", F.lit(0)).alias("t"))
