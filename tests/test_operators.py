@@ -351,6 +351,93 @@ def test_written_index(spark, tmp_path, catalog):
     assert index.postings([]).count() == 0
 
 
+def scanned(df):
+    """Rows that the scans of a finished query gave, by what they read."""
+    df.collect()
+    found, waiting = {}, [df._jdf.queryExecution().executedPlan()]
+    while waiting:
+        node = waiting.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            waiting.append(node.executedPlan())
+        elif "QueryStage" in name:
+            waiting.append(node.plan())
+        else:
+            if name.startswith("Scan parquet"):
+                key = re.search(r"Location: InMemoryFileIndex.*?\[(.*?)\]", node.verboseStringWithOperatorId() or "")
+                key = key[1].rstrip("/").split("/")[-1] if key else name
+                found[key] = found.get(key, 0) + node.metrics().apply("numOutputRows").value()
+            waiting += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_pages_by_block_maxima(spark, tmp_path, monkeypatch):
+    """The page is that of all scores, for pages that few and that many blocks reach, and ties; short pages read a part of the blocks."""
+    monkeypatch.setattr(fulltext, "BLOCK_RECORDS", 8)
+    monkeypatch.setattr(fulltext, "FIRST_BLOCKS", 3)
+    monkeypatch.setattr(fulltext, "PAGE_ROWS", 16)
+    rnd = random.Random(1)
+    rows = []
+    for i in range(500):
+        rows.append((f"r{i:04}", "notes", " ".join(rnd.choices(["sea", "old", "town", "net", "x", "y", "z"], [1, 2, 2, 1, 20, 20, 20], k=rnd.randrange(1, 120)))))
+        if rnd.random() < 0.2:
+            rows.append((f"r{i:04}", "title", rnd.choice(["sea", "old town", "the sea"])))
+    rows += [(f"s{i}", "notes", "rare sea") for i in range(5)]
+    fields = spark.createDataFrame(rows, "record_id string, field string, value string")
+    fulltext.write_index(fields, str(tmp_path / "i"), buckets=4)
+    index = fulltext.Index(spark, str(tmp_path / "i"))
+    word = lambda w: Phrase((w,))
+    shown = lambda df: [(r.record_id, round(r.score, 9)) for r in df.collect()]
+    for query in ([[word("sea")]], [[word("sea"), word("net")], [word("old")]], [[word("rare")]], [[word("sea")], [word("none")]], [[word("sea"), word("none")]], [[Phrase(("old", "town"))]], [[Phrase(("sea",), "title")]], [[word("x")], [word("y")], [word("z")]]):
+        every = shown(index.bm25(query).orderBy("score", "record_id"))
+        for limit in (1, 10, 2000):
+            page = shown(index.top(query, limit))
+            # sums differ in their last digits, so of records with one score others may stand at a page's end
+            assert [s for _, s in page] == [s for _, s in every[:limit]] and set(page) <= set(every) and len({r for r, _ in page}) == len(page)
+    # a short page comes from the first blocks alone, and their pages are what is read of a word's parts
+    assert "impacts" not in scanned(index.top([[word("sea")]], 1))
+    blocks = [r["block"] for r in index._read("maxima").where("term = 'sea'").orderBy(F.desc("most")).limit(3).collect()]
+    few, every = (scanned(df)["impacts"] for df in (index._of("impacts", ["sea"]).where(F.col("block").isin(blocks)), index._of("impacts", ["sea"])))
+    assert few < 0.7 * every
+
+
+def test_reasons_for_several_plans(spark):
+    """A table of plans gives what each gives alone."""
+    fields = spark.createDataFrame([("1", "title", "red boat"), ("2", "title", "blue sea"), ("3", "dates", "1885")], "record_id string, field string, value string")
+    text = fulltext.Live(fulltext.tokens(fields))
+    word = lambda w, f=None: [Phrase((w,), f)]
+    plans = [
+        planner.Plan("boat", "boat", "description", [word("boat")], ["boat"]),
+        planner.Plan("boat sea", "", "description", [word("boat"), word("sea")], ["boat", "sea"]),
+        planner.Plan("boat sea red", "", "description", [word("boat"), word("sea"), word("red")], ["boat", "sea", "red"]),
+        planner.Plan("boat zeppelin quilt", "", "description", [word("boat"), word("zeppelin"), word("quilt")], ["boat", "zeppelin", "quilt"]),
+        planner.Plan("1999", "", "date", [[Phrase(("1999",), "dates"), Phrase(("1990s",), "dates")]], ["1999"]),
+        planner.Plan("X.1", "", "identifier", [word("x", "identifiers")], ["X.1"]),
+        planner.Plan("title:zz", "", "field", [word("zz", "title")], ["zz"], matched={"field": "title"}),
+    ]
+    want = [
+        ("outside_groups", "No records in the chosen groups match"), ("not_together", "No records mention both “boat” and “sea”"), ("not_together", "No records mention all of “boat”, “sea” and “red”"),
+        ("missing", "No records mention “zeppelin” or “quilt”"), ("missing", "No records are dated “1999”"), ("missing", "No record has the catalog number “X.1”"), ("missing", "No records have “zz” in the title field"),
+    ]
+    assert [(r.kind, r.message) for r in search.empty_reasons(plans, text).orderBy("plan").collect()] == want
+    assert [search.empty_reason(p, text)["message"] for p in plans[:4]] == [m for _, m in want[:4]]
+    assert [r.message for r in search.route_messages(plans, "auto", spark).orderBy("plan").collect()][4:] == ["Treated as a date; matching catalog dates first", "Looked up as a catalog number", "Searching only the title field of the catalog"]
+    assert search.route_messages(plans[:1], "visual", spark).first().message == "Searching by appearance only"
+
+
+def test_query_syntax():
+    known = {"title", "names"}
+    read = lambda q: routing.read_syntax(q, known)[1:]
+    assert read('boats "old sea" title:red') == (["boats"], ["old sea"], [("title", "red")])
+    assert read('title: "blue boat" x') == (["x"], [], [("title", "blue boat")])
+    assert read("maker:  Doe rest") == (["rest"], [], [("names", "Doe")])
+    assert read('color:"a b" c') == (['color:"a', 'b"', "c"], [], []) and read("color: red") == (["color:", "red"], [], [])
+    assert read('an "open quote') == (["an", '"open', "quote"], [], []) and read("title:") == (["title:"], [], []) and read(": x") == ([":", "x"], [], [])
+    assert read("“curly” title:“q r”") == ([], ["curly"], [("title", "q r")])
+    assert read('10:30 a9title:x ""') == (["10:30", "a9"], [""], [("title", "x")])
+    assert read("") == ([], [], [])
+
+
 def test_spelling(spark):
     vocab = spark.createDataFrame([("portrait", 9), ("portraits", 5), ("port", 9), ("rare", 1)], "term string, records long")
     words = spark.createDataFrame([("portriat",), ("port",), ("rarre",), ("po",)], "word string")

@@ -71,18 +71,20 @@ def matches(hits: DataFrame, query: Query) -> DataFrame:
     return hits.groupBy("record_id").agg(F.count_distinct("clause").alias("c")).where(F.col("c") == len(query)).select("record_id")
 
 
-def bm25(tokens_: DataFrame, query: Query, weights: dict[str, float] | None = None, lengths: DataFrame | None = None, hits: DataFrame | None = None) -> DataFrame:
-    """``record_id`` and ``score`` of matching records; lower is better. Record lengths and hits that are at hand aren't worked out again."""
+def bm25(tokens_: DataFrame, query: Query, weights: dict[str, float] | None = None, lengths: DataFrame | None = None, hits: DataFrame | None = None, totals: tuple[int, float] | None = None) -> DataFrame:
+    """``record_id`` and ``score`` of matching records; lower is better. Record lengths, hits and totals (records, their mean length) that are at hand aren't worked out again."""
     weights = WEIGHTS if weights is None else weights
     hits = phrase_hits(tokens_, query) if hits is None else hits
-    weight = reduce(lambda a, kv: a.when(F.col("field") == kv[0], kv[1]), list(weights.items())[1:], F.when(F.col("field") == next(iter(weights)), next(iter(weights.values())))).otherwise(1.0)
+    weight = _weight(F.col("field"), weights) if weights else F.lit(1.0)
     tf = hits.groupBy("phrase", "clause", "record_id").agg(F.sum(weight * F.col("n")).alias("tf"))
     lengths = record_lengths(tokens_) if lengths is None else lengths
-    totals = lengths.agg(F.count("*").alias("all"), F.avg("len").alias("mean"))  # one row
+    if totals is None:
+        one_row = lengths.agg(F.count("*").alias("all"), F.avg("len").alias("mean"))
+    else:
+        one_row = lengths.sparkSession.range(1).select(F.lit(totals[0]).cast("long").alias("all"), F.lit(totals[1]).cast("double").alias("mean"))
     found = tf.groupBy("phrase").agg(F.count("*").alias("found"))  # a row a phrase
-    idf = F.ln((F.col("all") - F.col("found") + 0.5) / (F.col("found") + 0.5))
-    part = F.when(idf > 0, idf).otherwise(1e-6) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    scored = tf.join(F.broadcast(found), "phrase").join(lengths, "record_id").crossJoin(F.broadcast(totals))
+    part = _idf(F.col("all"), F.col("found")) * _saturated(F.col("tf"), F.col("len"), F.col("mean"))
+    scored = tf.join(F.broadcast(found), "phrase").join(lengths, "record_id").crossJoin(F.broadcast(one_row))
     out = scored.groupBy("record_id").agg((-F.sum(part)).alias("score"), F.count_distinct("clause").alias("c"))
     return out.where(F.col("c") == len(query)).select("record_id", "score")
 
@@ -157,8 +159,45 @@ def spellings(query_words: DataFrame, vocab: DataFrame, least: int = CORRECTION_
 BUCKETS = 64
 
 
+#: Records of a block, about, and classes of length that blocks are made of.
+BLOCK_RECORDS, LENGTH_CLASSES = 1024, 64
+#: Rows of a page of the stored parts: what a scan passes over at least, where no block of it is wanted.
+PAGE_ROWS = 2048
+#: Blocks of the greatest bounds that are read to learn what a page's last score is at least.
+FIRST_BLOCKS = 16
+
+
+def _weight(field: Column, weights: dict[str, float]) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in weights.items() for x in kv)), field), F.lit(1.0))
+
+
+def _saturated(tf: Column, length: Column, mean: Column) -> Column:
+    """What of a word's weight a record gets: 0 to K1 + 1."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+
+
+def _idf(records: Column, found: Column) -> Column:
+    idf = F.ln((records - found + 0.5) / (found + 0.5))
+    return F.when(idf > 0, idf).otherwise(1e-6)
+
+
+def impacts(postings: DataFrame, lengths: DataFrame, records: int, mean: float) -> DataFrame:
+    """``term``, ``block``, ``record_id`` and ``part``: what a word of weight 1 adds to a record's score, with records in blocks.
+
+    Records of like length stand in one block, as words weigh most in short
+    ones: a block's greatest part tells more than one of records at random.
+    """
+    cuts = sorted(set(lengths.agg(F.percentile_approx("len", [i / LENGTH_CLASSES for i in range(1, LENGTH_CLASSES)], 10_000)).first()[0] or []))
+    kind = F.size(F.filter(F.array(*(F.lit(c).cast("long") for c in cuts)), lambda c: c < F.col("len"))) if cuts else F.lit(0)
+    each = max(1, round(records / BLOCK_RECORDS / (len(cuts) + 1)))  # blocks of a class, which are about even
+    block = (kind * each + F.pmod(F.xxhash64("record_id"), F.lit(each)).cast("int")).alias("block")
+    placed = lengths.select("record_id", "len", block)
+    tf = postings.groupBy("term", "record_id").agg(F.sum(_weight(F.col("field"), WEIGHTS)).alias("tf"))
+    return tf.join(placed, "record_id").select("term", "block", "record_id", _saturated(F.col("tf"), F.col("len"), F.lit(mean)).alias("part"))
+
+
 def write_index(fields: DataFrame, folder: str, terms: DataFrame | None = None, buckets: int = BUCKETS) -> None:
-    """Postings by a hash of the term, sorted by term; record lengths; vocabulary; identifier shapes; and the gazetteer of ``terms``."""
+    """Postings by a hash of the term, sorted by term; words' parts of scores in blocks of records, and the greatest of each block; record lengths; vocabulary and its neighbours; identifier shapes; and the gazetteer of ``terms``."""
     spark, top = fields.sparkSession, folder.rstrip("/")
     slot = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("slot")
     postings = tokens(fields).select("record_id", "field", "p", "term", slot)
@@ -171,7 +210,12 @@ def write_index(fields: DataFrame, folder: str, terms: DataFrame | None = None,
     identifier_shapes(fields).write.mode("overwrite").parquet(f"{top}/shapes")
     if terms is not None:
         gazetteer(terms).repartitionByRange("key").sortWithinPartitions("key").write.mode("overwrite").parquet(f"{top}/gazetteer")
-    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(f"{top}/layout")
+    totals = spark.read.parquet(f"{top}/lengths").agg(F.count("*").alias("records"), F.avg("len").alias("mean")).first()
+    parts = impacts(stored, spark.read.parquet(f"{top}/lengths"), totals["records"], totals["mean"] or 1.0).withColumn("slot", slot)
+    parts.repartitionByRange("slot", "term", "block").sortWithinPartitions("slot", "term", "block").write.mode("overwrite").option("parquet.page.row.count.limit", PAGE_ROWS).partitionBy("slot").parquet(f"{top}/impacts")
+    maxima = spark.read.parquet(f"{top}/impacts").groupBy("slot", "term", "block").agg(F.max("part").alias("most"))
+    maxima.repartitionByRange("slot", "term").sortWithinPartitions("slot", "term", "block").write.mode("overwrite").partitionBy("slot").parquet(f"{top}/maxima")
+    spark.createDataFrame([(buckets, totals["records"], totals["mean"])], "buckets int, records long, mean double").coalesce(1).write.mode("overwrite").parquet(f"{top}/layout")
 
 
 class Live:
@@ -190,12 +234,18 @@ class Live:
         return bm25(self.postings(query), query, weights, self.lengths, hits)
 
 
+    def top(self, query: Query, limit: int) -> DataFrame:
+        """``record_id`` and ``score`` of the best records, ties by record."""
+        return self.bm25(query).orderBy("score", "record_id").limit(limit)
+
+
 class Index(Live):
     """A written index. A query reads the partitions of its own terms, and in them the row groups that may hold those."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self._read = lambda name: spark.read.parquet(f"{folder.rstrip('/')}/{name}")
-        self.buckets = self._read("layout").first()["buckets"]
+        layout = self._read("layout").first()
+        self.buckets, self.records, self.mean = layout["buckets"], layout["records"], layout["mean"]
         super().__init__(self._read("postings").drop("slot"), self._read("lengths"))
         self.vocabulary, self.shapes = self._read("vocabulary"), self._read("shapes")
 
@@ -212,7 +262,52 @@ class Index(Live):
         terms = sorted({t for clause in query for phrase in clause for t in phrase.terms})
         if not terms:
             return self.tokens.limit(0)
-        spark = self.lengths.sparkSession
-        # the slots of a query's words: as many rows as it has words
-        slots = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")).distinct().collect()]
-        return self._read("postings").where(F.col("slot").isin(slots) & F.col("term").isin(terms)).select("record_id", "field", "p", "term")
+        return self._of("postings", terms).select("record_id", "field", "p", "term")
+
+    def _of(self, name: str, terms: list[str]) -> DataFrame:
+        """A table's rows of some words; their slots are constants once the plan is made, so other partitions aren't read."""
+        slots = [F.pmod(F.xxhash64(F.lit(t)), F.lit(self.buckets)).cast("int") for t in terms]
+        return self._read(name).where(F.col("slot").isin(*slots) & F.col("term").isin(terms))
+
+    def bm25(self, query: Query, weights: dict[str, float] | None = None, hits: DataFrame | None = None) -> DataFrame:
+        totals = None if self.mean is None else (self.records, self.mean)
+        return bm25(self.postings(query), query, weights, self.lengths, hits, totals)
+
+    def top(self, query: Query, limit: int) -> DataFrame:
+        """The same page as that of all scores; of single words in any field, blocks of records that can't reach it aren't read.
+
+        A block's bound is the sum of its words' greatest parts. The blocks of
+        the greatest bounds are scored first; where they fill the page, others
+        are read only if their bound is as good as its last score.
+        """
+        phrases = [(i, p) for i, clause in enumerate(query) for p in clause]
+        words_ = [p.terms[0] for _, p in phrases]
+        if not phrases or any(len(p.terms) > 1 or p.field for _, p in phrases) or len(set(words_)) < len(words_) or not self.records:
+            return super().top(query, limit)
+        found = {r["term"]: r["records"] for r in self.vocabulary.where(F.col("term").isin(words_)).collect()}  # a row a word of the query
+        known = [(w, i, found[w]) for (i, _), w in zip(phrases, words_, strict=True) if w in found]
+        if {i for _, i, _ in known} != set(range(len(query))):
+            return super().top(query, limit)
+        asked = self.lengths.sparkSession.createDataFrame(known, "term string, clause int, found long").select("term", "clause", _idf(F.lit(self.records), F.col("found")).alias("idf"))
+        met = lambda df: df.join(F.broadcast(asked), "term")
+        every = F.count_distinct("clause") == len(query)
+        bounds = met(self._of("maxima", list(found))).groupBy("block").agg(F.sum(F.col("idf") * F.col("most")).alias("bound"), every.alias("every")).where("every").select("block", "bound")
+
+        def scores(parts: DataFrame) -> DataFrame:
+            return met(parts).groupBy("record_id").agg((-F.sum(F.col("idf") * F.col("part"))).alias("score"), every.alias("every")).where("every").select("record_id", "score")
+
+        first = [r["block"] for r in bounds.orderBy(F.desc("bound"), "block").limit(FIRST_BLOCKS).collect()]
+        parts = self._of("impacts", list(found))
+        best = scores(parts.where(F.col("block").isin(first))).orderBy("score", "record_id").limit(limit).collect()  # a page
+        if len(best) < limit:
+            return scores(parts.join(bounds.select("block"), "block", "left_semi")).orderBy("score", "record_id").limit(limit)
+        reach = bounds.where(F.col("bound") * (1 + 1e-9) >= -best[-1]["score"]).where(~F.col("block").isin(first))
+        n = reach.count()
+        if not n:
+            return self.lengths.sparkSession.createDataFrame(best, "record_id string, score double").orderBy("score", "record_id")
+        if n <= BROADCAST_ROWS:
+            blocks = sorted([*first, *(r["block"] for r in reach.select("block").collect())])
+            wanted = parts.where(F.col("block").isin(blocks))
+        else:
+            wanted = parts.join(reach.select("block").unionAll(bounds.where(F.col("block").isin(first)).select("block")), "block", "left_semi")
+        return scores(wanted).orderBy("score", "record_id").limit(limit)

@@ -7,7 +7,7 @@ words are exploded and joined with them.
 
 from __future__ import annotations
 
-import re
+import string
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,29 +30,56 @@ ROUTES = {
 PARTIAL = (1.0, 1.0)
 MODES = {"visual": (1.0, 0.0), "keyword": (0.0, 1.0), "hybrid": (1.0, 1.0)}
 
-_PART = re.compile(r'([A-Za-z]+):\s*("[^"]*"|\S+)|"([^"]*)"')
+#: Signs that count as a straight quote.
 _QUOTES = str.maketrans(dict.fromkeys("“”„‟″＂", '"'))
 _SYNTAX = "query string, plain array<string>, phrases array<string>, fields array<struct<field:string,value:string>>"
 _MATCH = "struct<term:string,field:string,record_count:long>"
 
 
+def _name_before(text: str) -> str:
+    """The ASCII letters at a text's end."""
+    return text[len(text.rstrip(string.ascii_letters)) :]
+
+
+def _value_at(text: str, at: int) -> int:
+    """Where a field's value that begins at ``at`` ends: behind the closing quote, or at the next space; -1 if there is none."""
+    if at >= len(text):
+        return -1
+    closing = text.find('"', at + 1) if text[at] == '"' else -1
+    return closing + 1 if closing >= 0 else at + len(text[at:].split(maxsplit=1)[0])
+
+
 def read_syntax(query: str, known: set[str]) -> tuple[str, list[str], list[str], list[tuple[str, str]]]:
-    """The query with straight quotes; its plain words, quoted phrases and values of known fields. What names no field is plain."""
+    """The query with straight quotes; its plain words, quoted phrases and values of known fields.
+
+    Read from the left: a colon behind letters gives what follows to the field
+    of that name, a quote begins a phrase if it is closed. What names no field
+    is plain, its value included.
+    """
     query = query.strip().translate(_QUOTES)
-    phrases: list[str] = []
-    fields: list[tuple[str, str]] = []
-    left, at = [], 0
-    for m in _PART.finditer(query):
-        column = FIELDS.get((m[1] or "").lower())
-        if m[3] is not None:
-            phrases.append(m[3])
-        elif column in known:
-            fields.append((column, m[2].strip('"')))
-        else:
+    plain, phrases, fields = "", [], []
+    at = 0
+    while at < len(query):
+        sign = query[at]
+        if sign == '"' and (closing := query.find('"', at + 1)) >= 0:
+            phrases.append(query[at + 1 : closing])
+            at = closing + 1
             continue
-        left.append(query[at : m.start()])
-        at = m.end()
-    return query, " ".join([*left, query[at:]]).split(), phrases, fields
+        if sign == ":" and (name := _name_before(plain)):
+            begin = at + 1 + len(query[at + 1 :]) - len(query[at + 1 :].lstrip())
+            end = _value_at(query, begin)
+            if end > 0:
+                column = FIELDS.get(name.lower())
+                if column in known:
+                    fields.append((column, query[begin:end].strip('"')))
+                    plain = plain[: -len(name)]
+                else:
+                    plain += query[at:end]
+                at = end
+                continue
+        plain += sign
+        at += 1
+    return query, plain.split(), phrases, fields
 
 
 def parsed(queries: DataFrame, known: list[str]) -> DataFrame:

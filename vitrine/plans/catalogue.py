@@ -341,9 +341,21 @@ def match_count(spark, d):
     return match_phrase(spark, d).agg(F.count("*").alias("matches"))
 
 
+# of single words, the scores that two clauses give: the weights of words' fields, saturated
+_WORDS = """h AS (SELECT record_id, term, CASE WHEN term IN ('the', 'les') THEN 0 ELSE 1 END AS clause, sum(CASE field WHEN 'title' THEN 10 WHEN 'names' THEN 6 WHEN 'identifiers' THEN 6 WHEN 'places' THEN 3 WHEN 'dates' THEN 2 ELSE 1 END) AS tf FROM tokens WHERE term IN ('the', 'les', 'of', 'de') GROUP BY ALL),
+    l AS (SELECT record_id, count(*) AS len FROM tokens GROUP BY 1), f AS (SELECT term, count(*) AS found FROM h GROUP BY 1), t AS (SELECT count(*) AS n, avg(len) AS mean FROM l),
+    s AS (SELECT record_id, -sum(greatest(ln((n - found + 0.5) / (found + 0.5)), CASE WHEN ln((n - found + 0.5) / (found + 0.5)) > 0 THEN 0 ELSE 1e-6 END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) AS score FROM h JOIN l USING (record_id) JOIN f USING (term), t GROUP BY 1 HAVING count(DISTINCT clause) = 2)"""
+
+
+@query(_TOK, f", {_WORDS} SELECT record_id, round(score, 6) AS score FROM s ORDER BY s.score, record_id LIMIT 20")
+def bm25_blocks(spark, d):
+    """The best of many records by single words: blocks of records that can't reach the page aren't read."""
+    return m.text(spark, d).top(_AND, 20).withColumn("score", F.round("score", 6))
+
+
 @query(_TOK, f", {_BM25} SELECT record_id, round(score, 6) AS score FROM scores ORDER BY scores.score, record_id LIMIT 50")
 def bm25_topk(spark, d):
-    return m.text(spark, d).bm25(_MIXED).orderBy("score", "record_id").limit(50).withColumn("score", F.round("score", 6))
+    return m.text(spark, d).top(_MIXED, 50).withColumn("score", F.round("score", 6))
 
 
 @query(_TOK, f", {_BM25}, page AS (SELECT record_id FROM scores ORDER BY score, record_id LIMIT 50) SELECT record_id, string_agg(field, ',' ORDER BY list_position({_ORDER}, field)) AS fields FROM (SELECT DISTINCT record_id, field FROM hits WHERE record_id IN (SELECT record_id FROM page)) GROUP BY 1")
@@ -525,8 +537,7 @@ def empty_reasons(spark, d):
     """Why each of some queries finds nothing in groups that hold none of its records."""
     text, fields = m.part_text(spark, d), ["title", "names", "topics", "object_types", "identifiers", "dates"]
     plans = planner.plans(_EMPTY, text.tokens, text.vocabulary, text.gazetteer, text.shapes, fields, correct=False)
-    found = [(i, search.empty_reason(plan, text)["kind"]) for i, plan in enumerate(plans)]
-    return spark.createDataFrame(found, "query_id int, reason string")
+    return search.empty_reasons(plans, text).select(F.col("plan").alias("query_id"), F.col("kind").alias("reason"))
 
 
 # --- profiling ---------------------------------------------------------------
