@@ -15,10 +15,8 @@ partitions in turn: each counts its part, and bucket totals add up.
 
 from __future__ import annotations
 
-import ctypes
 import zlib
 from collections.abc import Iterator
-from contextlib import suppress
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.llm.checkpoints import saved
+from vitrine.llm.textarrays import give_back
 
 BUCKETS = 10_000
 #: Bytes and documents of a slice at most; a longer text goes in pieces. So a slice has under 2^21 distinct words: few have under three bytes, and a gap stands behind each.
@@ -244,7 +243,7 @@ def _features(parts: int, target: bool, id_type: pa.DataType, slice_bytes: int):
         for own in _slices(batches, slice_bytes):
             for row in rows(own):
                 yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, types, strict=True)], names=_NAMES)
-            _give_back()
+            give_back()
 
     return run
 
@@ -330,13 +329,6 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[_Row]:
         yield from (_Row(batch, i) for i in range(batch.num_rows))
 
 
-def _give_back() -> None:
-    """Workers stay when their stage is over, and share the executor's memory: what is free goes back."""
-    pa.default_memory_pool().release_unused()
-    with suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def _counted(buckets: int):
     """A partition's dictionary, counted and hashed; then its totals by bucket."""
 
@@ -362,7 +354,7 @@ def _counted(buckets: int):
                     np.add.at(totals[side], hashes % np.uint32(buckets), sums)
         used = np.flatnonzero(totals.any(0))
         del held, number, target
-        _give_back()
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(totals[0, used]), pa.array(totals[1, used])], names=["bucket", "s", "t"])
 
     return run
@@ -399,7 +391,7 @@ def _weighed(id_type: pa.DataType):
             there = np.unique(docs)
             yield one(row["first"], None, None, there.astype(np.int32), total[there])
         del held, gain, rows
-        _give_back()
+        give_back()
 
     return run
 

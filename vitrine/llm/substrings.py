@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from vitrine.llm.checkpoints import saved
-from vitrine.llm.textarrays import TextSlice, mixed, slices, window_hashes
+from vitrine.llm.textarrays import TextSlice, give_back, mixed, slices, window_hashes
 
 #: Words of text whose windows a task gathers before it sends them.
 CHUNK_WORDS = 2_000_000
@@ -224,6 +224,7 @@ def _probes(block: int, dealing: Dealing):
         yield _bucketed(ids, tags, docs[keep], pos[keep], dealing.of(home[keep], hashes[keep]), [short])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         chunk = _Chunk()
         for batch in batches:
             for ids, tags, part in _rows(batch):
@@ -312,6 +313,7 @@ def _passages(width: int, block: int, dealing: Dealing):
         yield _bucketed(ids, tags, docs[first], pos[first], dealing.of(home[first], h1[first]), [h1[first], h2[first]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         chunk = _Chunk()
         for batch in batches:
             for ids, tags, part in _rows(batch):
@@ -333,6 +335,7 @@ def _kept(width: int, whole: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            give_back()
             for ids, tags, part in _rows(batch):
                 words = part.words()
                 hits = batch.column(3).slice(part.first, part.last - part.first)

@@ -6,7 +6,9 @@ so memory follows the slice and the longest document, not the partition.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import suppress
 from dataclasses import dataclass
 
 import numpy as np
@@ -121,6 +123,13 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     return mixed(out + np.uint64(width))
 
 
+def give_back() -> None:
+    """Workers stay when their stage is over, and share the executor's memory: what is free goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # where the C library has no such function
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iterator[TextSlice]:
     """Runs of rows of about ``limit`` bytes; a null text is an empty one."""
     if isinstance(column, pa.ChunkedArray):
