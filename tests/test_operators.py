@@ -64,6 +64,8 @@ def test_fold_is_the_rule(spark, text):
 
 def test_plain_text_and_figures(spark):
     assert one(spark, "A <i>red</i> sea &amp; &lt;b&gt;boats&lt;/b&gt;", fn.plain_text) == "A red sea & boats"
+    assert one(spark, "caf&eacute; &#233;&#xe9; &notit; &amp;eacute; R&D <b>x</b>", fn.plain_text) == "café éé ¬it; &eacute; R&D x"
+    assert one(spark, None, fn.plain_text) is None and one(spark, "&amp;amp;", fn.plain_text) == "&amp;"
     assert one(spark, "2 &lt; 3", fn.plain_text) == "2 < 3" and one(spark, "a > b", fn.plain_text) == "a > b"
     assert [one(spark, v, fn.human_bytes, "long") for v in (0, 1023, 1024, 5 * 1024**3, 2048 * 1024**4)] == ["0 B", "1,023 B", "1.0 KB", "5.0 GB", "2,048.0 TB"]
     assert [one(spark, v, fn.human_duration, "double") for v in (5.9, 61.0, 7260.0)] == ["5 s", "1 min 1 s", "2 h 1 min"]
@@ -425,6 +427,18 @@ def test_reasons_for_several_plans(spark):
     assert search.route_messages(plans[:1], "visual", spark).first().message == "Searching by appearance only"
 
 
+def test_limits_of_parameters(spark, items):
+    with pytest.raises(ValueError, match="sample"):
+        ranking.sampled(items, "1", 201)
+    with pytest.raises(ValueError, match="similar"):
+        ranking.similar(items, "i0", 101)
+    with pytest.raises(KeyError):
+        ranking.similar(items, "none", 3)
+    assert "o0" not in {r.object_id for r in ranking.similar(items, "i0", 100).collect()}
+    with pytest.raises(ValueError, match="query_chars"):
+        search.hybrid(items, None, planner.Plan("x" * 501, "", "description", []), None, 10)
+
+
 def test_query_syntax():
     known = {"title", "names"}
     read = lambda q: routing.read_syntax(q, known)[1:]

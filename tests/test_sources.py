@@ -11,7 +11,7 @@ from vitrine.functions import encoders
 from vitrine.functions.columns import url_key
 from vitrine.operators import profile
 from vitrine.sources import files as sources
-from vitrine.sources import listing, stores
+from vitrine.sources import listing, stores, uploads
 from vitrine.streaming import ingest as stream
 
 NAMES = ["_DSC0001.jpg", "DSC0002.jpg", "100%.jpg", "a%41.jpg", "aA.jpg", "a b+c.png", "ü/ß.jpg", ".DS_Store", "._x.jpg", "Thumbs.db", "_sub/.hidden.jpg", "deep/er/est/x.tif", ".git/config.jpg", "node_modules/y.jpg", ".thumbs/z.jpg", "notes.txt"]
@@ -188,3 +188,16 @@ def test_one_broken_file_fails_alone(spark):
     rows = {int(r.id): r for r in stream.encoded(files, _lengths()).collect()}
     assert len(rows) == 32 and {i for i, r in rows.items() if r.status == "failed"} == {5, 17}
     assert rows[5].error == "fetch: gone" and rows[17].error == "encode: ValueError: broken"
+
+
+def test_uploads_are_checked_before_they_are_decoded(spark):
+    import base64
+    import struct
+
+    png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sIIBB", 13, b"IHDR", 30, 20, 8, 6) + bytes(40)
+    wide = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sIIBB", 13, b"IHDR", 300, 20, 8, 6)
+    text = lambda b: base64.b64encode(b).decode()
+    rows = [(1, text(png)), (2, "data:image/png;base64," + text(png)[:40] + "\n" + text(png)[40:]), (3, text(wide)), (4, "!!! no"), (5, ""), (6, None), (7, text(b"x" * 90)), (8, text(b"plain text")), (None, text(png))]
+    found = {r.n: r for r in uploads.uploaded(spark.createDataFrame(rows, "n long, data string"), "n", most_bytes=80, most_pixels=1000).collect()}
+    assert len(found) == len(rows) and {k: r.error for k, r in found.items()} == {1: None, 2: None, 3: "over 1000 pixels", 4: "not base64", 5: "empty", 6: "empty", 7: "over 80 bytes", 8: "not a known image", None: None}
+    assert bytes(found[2].content) == png and (found[None].width, found[None].height) == (30, 20) and found[3].content is None

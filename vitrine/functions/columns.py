@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import unicodedata
 from functools import cache
 
@@ -270,15 +271,22 @@ def template_meaning(template: Column, example: Column) -> Column:
 _ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "amp": "&"}
 
 
+def _references(text: pd.Series) -> pd.Series:
+    return text.map(lambda s: None if s is None else html.unescape(s))
+
+
 def _unmarked(text: Column) -> Column:
+    """Without tags, and with character references read: the commonest in the JVM, texts with others in Python."""
     bare = F.regexp_replace(text, r"<(/?[A-Za-z]|!)[^>]*>", "")
+    left = F.regexp_replace(bare, f"&({'|'.join(_ENTITIES)});", "")
+    read = F.pandas_udf(_references, "string")(F.when(left.rlike("&(#|[A-Za-z])"), bare))
     for name, sign in _ENTITIES.items():
         bare = F.replace(bare, F.lit(f"&{name};"), F.lit(sign))
-    return bare
+    return F.coalesce(read, bare)
 
 
 def plain_text(text: Column) -> Column:
-    """Catalog text without markup and with its commonest entities read; markup that was escaped, too, is read once more."""
+    """Catalog text without markup and with all named and numeric character references read; markup that was escaped, too, is read once more."""
     once = _unmarked(text)
     escaped = text.rlike(r"(?i)&lt;/?(b|em|i|strong|sub|sup|u)&gt;")
     return F.when(~text.rlike("[<&]"), text).when(escaped, _unmarked(once)).otherwise(once)

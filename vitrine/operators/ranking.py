@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions.columns import dot, literal_vector
+from vitrine.operators.browse import checked
 
 #: Vectors in a block of a batch search.
 BLOCK = 1024
@@ -46,6 +47,15 @@ def ranked(
     return page.select("item_id", "object_id", "similarity", (transform(s) if transform else s).alias("score"))
 
 
+def similar(items: DataFrame, item: str, limit: int) -> DataFrame:
+    """What looks like an item, its own object left out, one item an object."""
+    checked("similar", limit)
+    own = items.where(F.col("item_id") == item).select("embedding", "object_id").limit(1).collect()
+    if not own:
+        raise KeyError(f"no item {item}")
+    return ranked(items, list(own[0]["embedding"]), limit, exclude_object=own[0]["object_id"])
+
+
 def best_of_objects(rows: DataFrame) -> DataFrame:
     """The most similar item of each object: an aggregate, combined before the shuffle."""
     best = F.max_by(F.struct("item_id", "pos", "similarity"), F.struct("similarity", -F.col("pos")))
@@ -128,6 +138,7 @@ def fused_page(rows: DataFrame, limit: int, offset: int = 0) -> DataFrame:
 
 def sampled(items: DataFrame, seed: str, limit: int, offset: int = 0) -> DataFrame:
     """A page of a shuffle that the seed fixes: ``object_id`` and one ``item_id`` of each; pages of one seed never overlap."""
+    checked("sample", limit)
     turn = F.md5(F.concat(F.lit(seed + ":"), "object_id"))
     pick = F.min_by("item_id", F.md5(F.concat(F.lit(seed + ":"), "object_id", F.lit(":"), "item_id")))
     rows = items.groupBy("object_id").agg(pick.alias("item_id")).withColumn("turn", turn)

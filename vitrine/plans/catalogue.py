@@ -58,7 +58,7 @@ def vector_topk_by_object(spark, d):
 
 @query("items", f", {_SCORED}, {_BEST} SELECT item_id, object_id, round(s, 6) AS similarity, round(s, 6) AS score FROM best WHERE object_id <> 'u0' ORDER BY s DESC, pos LIMIT 24")
 def similar_items(spark, d):
-    return _ranked(spark, d, 24, exclude_object="u0")
+    return _ROUND(ranking.similar(m.items(spark, d), "0", 24))
 
 
 @query("items", f", {_SCORED}, {_BEST} SELECT item_id, object_id, round(s, 6) AS similarity, round(s, 6) AS score FROM best ORDER BY s DESC, pos LIMIT 10 OFFSET 10")
