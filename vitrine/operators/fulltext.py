@@ -83,15 +83,15 @@ def bm25(tokens_: DataFrame, query: Query, weights: dict[str, float] | None = No
     else:
         one_row = lengths.sparkSession.range(1).select(F.lit(totals[0]).cast("long").alias("all"), F.lit(totals[1]).cast("double").alias("mean"))
     found = tf.groupBy("phrase").agg(F.count("*").alias("found"))  # a row a phrase
-    part = _idf(F.col("all"), F.col("found")) * _saturated(F.col("tf"), F.col("len"), F.col("mean"))
+    part = _idf(F.col("all"), F.col("found")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
     scored = tf.join(F.broadcast(found), "phrase").join(lengths, "record_id").crossJoin(F.broadcast(one_row))
     out = scored.groupBy("record_id").agg((-F.sum(part)).alias("score"), F.count_distinct("clause").alias("c"))
     return out.where(F.col("c") == len(query)).select("record_id", "score")
 
 
-def matched_fields(hits: DataFrame, records: DataFrame) -> DataFrame:
-    """Fields with a hit, in the order of ``WEIGHTS`` (others behind, by name), of a page of records."""
-    page = hits.join(records.select("record_id"), "record_id", "left_semi")
+def matched_fields(hits: DataFrame, records: DataFrame | None = None) -> DataFrame:
+    """Fields with a hit, in the order of ``WEIGHTS`` (others behind, by name), of a page of records, or of all that hits are of."""
+    page = hits if records is None else hits.join(records.select("record_id"), "record_id", "left_semi")
     place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, WEIGHTS)), F.col("field")), F.lit(0)), F.lit(len(WEIGHTS) + 1))
     ordered = F.transform(F.array_sort(F.collect_set(F.struct(place.alias("place"), "field"))), lambda x: x["field"])
     return page.groupBy("record_id").agg(F.array_join(ordered, ",").alias("fields"))
