@@ -12,6 +12,7 @@ from vitrine.functions.columns import url_key
 from vitrine.operators import profile
 from vitrine.sources import files as sources
 from vitrine.sources import listing, stores, uploads
+from vitrine.sources.state import StateTable
 from vitrine.streaming import ingest as stream
 
 NAMES = ["_DSC0001.jpg", "DSC0002.jpg", "100%.jpg", "a%41.jpg", "aA.jpg", "a b+c.png", "ü/ß.jpg", ".DS_Store", "._x.jpg", "Thumbs.db", "_sub/.hidden.jpg", "deep/er/est/x.tif", ".git/config.jpg", "node_modules/y.jpg", ".thumbs/z.jpg", "notes.txt"]
@@ -183,6 +184,17 @@ def test_the_stream_survives_odd_names(spark, folder, tmp_path):
     assert run() == found | {"moved.jpg": ("done", None)}
 
 
+def test_the_stream_keeps_a_state_table(spark, folder, tmp_path):
+    table = StateTable(spark, str(tmp_path / "state"), 4)
+    for _ in range(2):  # the second run finds nothing to do
+        stream.start(stream.files_stream(spark, str(folder), settled=0), str(folder), table, str(tmp_path / "check"), _lengths(), 11).awaitTermination(300)
+    rows = {r.key: r for r in table.current().collect()}
+    assert len(rows) == 9 and rows["100%.jpg"].status == "failed" and rows["deep/er/est/x.tif"].status == "skipped" and rows["_DSC0001.jpg"].embedding == [1.0]
+    assert len(list((tmp_path / "state" / "snapshots").iterdir())) == 1
+    with pytest.raises(ValueError, match="begun with"):
+        stream.claimed(spark, table, encoders.hashing(8))
+
+
 def test_one_broken_file_fails_alone(spark):
     files = spark.createDataFrame([(str(i), str(i), 1, b"x" * (3 if i == 17 else 1), "fetch: gone" if i == 5 else None) for i in range(32)], "id string, key string, size_bytes long, content binary, fetch_error string").coalesce(1)
     rows = {int(r.id): r for r in stream.encoded(files, _lengths()).collect()}

@@ -8,6 +8,7 @@ twice if a batch is run again. A log belongs to one model.
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Iterator
 
@@ -22,6 +23,7 @@ from vitrine.functions.encoders import Encoder
 from vitrine.operators.ingest import oversized, pending
 from vitrine.sources.files import fetched
 from vitrine.sources.listing import SETTLED_S, listed_stream
+from vitrine.sources.state import StateTable
 
 _OUT = "id string, key string, size_bytes long, status string, error string, elapsed_ms double, embedding array<float>, updated_at timestamp"
 #: Files that an encoder gets at a time.
@@ -76,8 +78,19 @@ def encoded(files: DataFrame, encoder: Encoder, batch_size: int = BATCH) -> Data
     return files.select("id", "key", "size_bytes", "content", fetch_error.alias("fetch_error")).mapInPandas(run, _OUT)
 
 
-def claimed(spark: SparkSession, log_path: str, encoder: Encoder) -> None:
+Log = str | StateTable
+
+
+def claimed(spark: SparkSession, log_path: Log, encoder: Encoder) -> None:
     """Notes the model of a log, or refuses one of another model."""
+    if isinstance(log_path, StateTable):
+        known = log_path.fact("model")
+        mine = json.dumps([encoder.name, encoder.dimensions, encoder.revision])
+        if known is None:
+            log_path.remember("model", mine)
+        elif known != mine:
+            raise ValueError(f"the state was begun with {known}, not {mine}")
+        return
     facts = f"{log_path.rstrip('/')}-facts"
     mine = (encoder.name, encoder.dimensions, encoder.revision)
     try:
@@ -92,15 +105,16 @@ def claimed(spark: SparkSession, log_path: str, encoder: Encoder) -> None:
         raise ValueError(f"{log_path} was begun with {known.name} ({known.dimensions} dimensions, revision {known.revision}), not {encoder.name}")
 
 
-def ingested(todo: DataFrame, folder: str, log_path: str, encoder: Encoder, most_bytes: int = 1 << 30, per_write: int = PER_WRITE) -> int:
-    """Fetches and encodes what the log doesn't have yet, by key and so many files at a time; each time is appended to the log, so an interruption loses no more. Returns how many files there were."""
+def ingested(todo: DataFrame, folder: str, log_path: Log, encoder: Encoder, most_bytes: int = 1 << 30, per_write: int = PER_WRITE) -> int:
+    """Fetches and encodes what the log doesn't have yet, by key and so many files at a time; each time is appended to the log (or recorded in the state table, which is folded at the end), so an interruption loses no more. Returns how many files there were."""
+    table = log_path if isinstance(log_path, StateTable) else None
     spark, files = todo.sparkSession, 0
     todo = todo.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         while True:
             left = todo
             try:
-                left = pending(todo, spark.read.schema(_OUT).parquet(log_path))
+                left = table.pending(todo) if table else pending(todo, spark.read.schema(_OUT).parquet(log_path))
             except Exception as problem:  # noqa: BLE001
                 if "PATH_NOT_FOUND" not in str(problem):
                     raise
@@ -109,16 +123,22 @@ def ingested(todo: DataFrame, folder: str, log_path: str, encoder: Encoder, most
             if n:
                 fits = encoded(fetched(some.where(F.col("size_bytes") <= most_bytes), folder, size_col="size_bytes"), encoder)
                 large = some.join(oversized(some, most_bytes), "id").selectExpr("id", "key", "size_bytes", "status", "error", "0D AS elapsed_ms", "CAST(NULL AS array<float>) AS embedding", "current_timestamp() AS updated_at")
-                fits.unionByName(large).write.mode("append").parquet(log_path)
+                if table:
+                    table.seed(some)
+                    table.record(fits.unionByName(large))
+                else:
+                    fits.unionByName(large).write.mode("append").parquet(log_path)
                 files += n
             some.unpersist()
             if n < per_write:
+                if table:
+                    table.fold()
                 return files
     finally:
         todo.unpersist()
 
 
-def start(files: DataFrame, folder: str, log_path: str, checkpoint: str, encoder: Encoder, most_bytes: int = 1 << 30, per_write: int = PER_WRITE) -> StreamingQuery:
+def start(files: DataFrame, folder: str, log_path: Log, checkpoint: str, encoder: Encoder, most_bytes: int = 1 << 30, per_write: int = PER_WRITE) -> StreamingQuery:
     """Runs over what is there and ends; to go on, start it again with the same checkpoint and model."""
     claimed(files.sparkSession, log_path, encoder)
 
