@@ -1,4 +1,4 @@
-"""Every query against its SQL twin, on the smallest tables."""
+"""Every query against its SQL twin, on tables that are large enough for rare cases."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import pytest
 
 from vitrine.plans import catalogue
 
-DATA = "/root/testdata/sf0.001"
+DATA = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
 
 
