@@ -243,6 +243,24 @@ def test_bm25_is_that_of_sqlite(spark):
         assert got == pytest.approx(want)
 
 
+def test_copies_tie_exactly(spark, tmp_path):
+    """Scores don't hang on the order in which rows are added up, so of copies the ids decide, with many phrases and clauses and with weights in fractions."""
+    rnd = random.Random(5)
+    named = "one two three four five six seven eight".split()
+    copies = [f"c{i:03}" for i in range(200)]
+    rows = [(r, f, " ".join(named)) for r in copies for f in ("title", "names", "places", "notes")]
+    rows += [(f"d{i:03}", "notes", " ".join(w for j, w in enumerate(named) if rnd.random() < 0.03 * (j + 1)) or "x") for i in range(700)]
+    fields = spark.createDataFrame(rows, "record_id string, field string, value string").repartition(7)
+    fulltext.write_index(fields, str(tmp_path / "i"), buckets=4)
+    index, live = fulltext.Index(spark, str(tmp_path / "i")), fulltext.Live(fulltext.tokens(fields))
+    any_of, all_of = [[Phrase((w,)) for w in named]], [[Phrase((w,))] for w in named]
+    fractions = {"title": 0.1, "names": 0.2, "places": 0.3, "notes": 0.15}
+    pages = {"any": live.bm25(any_of), "all": live.bm25(all_of), "weights": live.bm25(any_of, fractions), "one word": live.bm25(all_of[:1], fractions), "index": index.bm25(any_of), "blocks": index.top(any_of, 2000)}
+    found = {name: [(r.record_id, r.score) for r in page.orderBy("score", "record_id").collect() if r.record_id[0] == "c"] for name, page in pages.items()}
+    assert {name: len({s for _, s in rows}) for name, rows in found.items()} == dict.fromkeys(pages, 1)
+    assert all([r for r, _ in rows] == copies for rows in found.values())
+
+
 CATALOG = {
     "ra": {"title": "Star quilt", "names": "Doe, Jane", "dates": "1880s", "topics": "Quilts", "object_types": "quilt", "identifiers": "TE.E388879", "notes": "A quilt with stars by Jane Doe"},
     "rb": {"title": "Percussion rifle", "names": "Roe, John\nDoe, Jim", "places": "Ohio", "topics": "Firearms", "identifiers": "TE.E100001", "notes": "A rifle"},
