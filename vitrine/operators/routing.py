@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from vitrine.functions.columns import fold, is_query_date, shape, words
 from vitrine.operators import fulltext
+from vitrine.session import kept
 
 #: Words that ask for nothing, names of fields in queries, and the fields that they stand for.
 STOP_WORDS = "a an and are as at be by for from in into is it its of on or that the this to with".split()
@@ -98,9 +99,9 @@ def spelled(queries: DataFrame, vocab: DataFrame) -> DataFrame:
     """``queries`` with their plain words corrected, and ``corrected`` (the whole query so, or null)."""
     each = queries.select("query_id", F.posexplode("plain").alias("at", "word")).withColumn("folded", fold(F.col("word")))
     fixes = fulltext.spellings(each.select(F.col("folded").alias("word")), vocab)
-    fixed = each.join(fixes.withColumnRenamed("word", "folded"), "folded", "left").withColumn("now", F.coalesce("correction", "word"))
+    fixed = each.join(_sorted(fixes.withColumnRenamed("word", "folded")), "folded", "left").withColumn("now", F.coalesce("correction", "word"))
     lists = fixed.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("at", "word", "now"))).alias("w"), F.bool_or(F.col("now") != F.col("word")).alias("changed"))
-    out = queries.join(lists, "query_id", "left")
+    out = queries.join(_sorted(lists), "query_id", "left")
     # words stand between blanks, so a space on either side finds whole ones
     padded = F.concat(F.lit(" "), F.regexp_replace("query", r"\s+", " "), F.lit(" "))
 
@@ -114,10 +115,15 @@ def spelled(queries: DataFrame, vocab: DataFrame) -> DataFrame:
     return out.select("query_id", "query", plain.alias("plain"), "phrases", "fields", F.when(F.col("changed"), whole).alias("corrected"))
 
 
+def _sorted(table: DataFrame) -> DataFrame:
+    """A side of a join that is shuffled and sorted, and the other with it: sizes of files say little of their rows, and nothing of what these are exploded to, which no driver may have to hold."""
+    return table.hint("merge")
+
+
 def _best(left: DataFrame, gazetteer: DataFrame, order: list[Column]) -> DataFrame:
     """Of the gazetteer's entries that the rows of ``left`` (query_id, key and more) name, each query's first in ``order``, as ``found``."""
     entry = F.struct("term", "field", "record_count").alias("found")
-    return left.join(gazetteer, "key").groupBy("query_id").agg(F.min(F.struct(*order, entry)).alias("best")).select("query_id", "best.found")
+    return left.join(_sorted(gazetteer), "key").groupBy("query_id").agg(F.min(F.struct(*order, entry)).alias("best")).select("query_id", "best.found")
 
 
 def containing(asked: DataFrame, gazetteer: DataFrame, names_only: bool = False) -> DataFrame:
@@ -128,7 +134,7 @@ def containing(asked: DataFrame, gazetteer: DataFrame, names_only: bool = False)
     parts = F.split("key", " ")
     spread = gazetteer.select("key", "term", "field", "record_count", parts.alias("parts"), F.explode(F.array_distinct(parts)).alias("word"))
     wanted = asked.select("query_id", "words", F.explode(F.array_distinct("words")).alias("word"))
-    met = wanted.join(spread, "word").groupBy("query_id", "key").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("words", "parts", "term", "field", "record_count")))
+    met = wanted.join(_sorted(spread), "word").groupBy("query_id", "key").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("words", "parts", "term", "field", "record_count")))
     # the place behind each word in turn, -1 once there is none
     place = lambda at, w: F.when(at >= 0, F.array_position(F.slice("parts", at + 1, F.size("parts")), w).cast("int")).otherwise(0)
     walked = F.aggregate("words", F.lit(0), lambda at, w: F.when(place(at, w) > 0, at + place(at, w)).otherwise(-1))
@@ -151,16 +157,16 @@ def word_forms(word: Column) -> Column:
 def things(asked: DataFrame, vocab: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """``query_id`` and ``found``: the topic or kind of object that another form of the single word of ``asked`` names."""
     forms = asked.select("query_id", F.posexplode(word_forms(F.get("words", F.lit(0)))).alias("at", "key"))
-    used = forms.join(vocab.select(F.col("term").alias("key")), "key", "left_semi")
+    used = forms.join(_sorted(vocab.select(F.col("term").alias("key"))), "key", "left_semi")
     return _best(used, gazetteer.where("field IN ('topic', 'object_type')"), [F.col("at")])
 
 
 def mostly_names(asked: DataFrame, tokens: DataFrame) -> DataFrame:
     """Rows of ``asked`` whose single word at least half of the records that use it use in names."""
     wanted = asked.select("query_id", "words", F.get("words", F.lit(0)).alias("term"))
-    hits = tokens.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term", "record_id").agg(F.bool_or(F.col("field") == "names").alias("named"))
+    hits = tokens.join(_sorted(wanted.select("term").distinct()), "term", "left_semi").groupBy("term", "record_id").agg(F.bool_or(F.col("field") == "names").alias("named"))
     counts = hits.groupBy("term").agg(F.count("*").alias("n"), F.count_if("named").alias("named"))
-    return wanted.join(counts.where("2 * named >= n"), "term").select("query_id", "words")
+    return wanted.join(_sorted(counts.where("2 * named >= n")), "term").select("query_id", "words")
 
 
 def sub_phrases(asked: DataFrame, gazetteer: DataFrame) -> DataFrame:
@@ -173,8 +179,8 @@ def sub_phrases(asked: DataFrame, gazetteer: DataFrame) -> DataFrame:
 
 def gazetteer_matches(queries: DataFrame, gazetteer: DataFrame, vocab: DataFrame, tokens: DataFrame, has_names: bool = True) -> DataFrame:
     """``query_id``, ``term``, ``field``, ``record_count`` and ``whole``: the catalog term that a query (query_id, text) is, is part of or contains."""
-    given = queries.select("query_id", F.array_join(words(F.col("text")), " ").alias("asked"))
-    # queries of the same words are one
+    # each text is read once, and texts of the same words are one
+    given = kept(queries.select("text").distinct().select("text", F.array_join(words(F.col("text")), " ").alias("asked")))
     own = given.select("asked").where("asked <> ''").distinct().select(F.col("asked").alias("query_id"), F.split("asked", " ").alias("all"))
     stop = F.array(*map(F.lit, STOP_WORDS))
     content = F.filter("all", lambda w: ~F.array_contains(stop, w))
@@ -185,16 +191,16 @@ def gazetteer_matches(queries: DataFrame, gazetteer: DataFrame, vocab: DataFrame
     sides = {"thing": things(single, vocab, gazetteer), "inside": containing(several, gazetteer), "part": sub_phrases(several, gazetteer)}
     if has_names:
         sides["named"] = containing(mostly_names(single, tokens), gazetteer, names_only=True)
-    out = own.join(exact, "query_id", "left")
+    out = own.join(_sorted(exact), "query_id", "left")
     for name, side in sides.items():
-        out = out.join(side.withColumnRenamed("found", name), "query_id", "left")
+        out = out.join(_sorted(side.withColumnRenamed("found", name)), "query_id", "left")
     if not has_names:
         out = out.withColumn("named", F.lit(None).cast(_MATCH))
     thing = F.coalesce("exact", "thing")
     of_one = F.when(thing.isNull() | (F.col("named")["record_count"] > thing["record_count"]), F.coalesce(F.col("named"), thing)).otherwise(thing)
     whole = F.when(F.size("words") == 1, of_one).otherwise(F.coalesce("exact", "inside"))
     out = out.withColumn("whole_", whole).select(F.col("query_id").alias("asked"), F.coalesce("whole_", "part").alias("found"), F.col("whole_").isNotNull().alias("whole")).where("found IS NOT NULL")
-    return given.join(out, "asked").select("query_id", "found.*", "whole")
+    return queries.select("query_id", "text").join(_sorted(given.join(_sorted(out), "asked")), "text").select("query_id", "found.*", "whole")
 
 
 def _weights(kind: Column, whole: Column, mode: str) -> tuple[Column, Column]:
@@ -207,7 +213,9 @@ def _weights(kind: Column, whole: Column, mode: str) -> tuple[Column, Column]:
 
 def routed(queries: DataFrame, tokens: DataFrame, vocab: DataFrame, gazetteer: DataFrame, shapes: DataFrame, fields: list[str], correct: bool = True, mode: str = "auto") -> DataFrame:
     """``query_id``, ``query``, ``plain``, ``phrases``, ``fields``, ``corrected``, ``text`` (for an encoder), ``kind``, ``term``, ``field``, ``record_count``, ``whole``, ``visual`` and ``keyword`` (weights) of each query."""
-    rows = parsed(queries, fields)
+    # queries of the same text are one, called by it
+    given = queries.select("query_id", F.coalesce("query", F.lit("")).alias("given"))
+    rows = kept(parsed(given.select(F.col("given").alias("query_id"), F.col("given").alias("query")).distinct(), fields))
     rows = spelled(rows, vocab) if correct else rows.withColumn("corrected", F.lit(None).cast("string"))
     text = F.concat_ws(" ", F.concat("plain", "phrases", F.transform("fields", lambda x: x["value"])))
     lone = (F.size("plain") == 1) & (F.size("phrases") == 0) & (F.size("fields") == 0)
@@ -217,7 +225,7 @@ def routed(queries: DataFrame, tokens: DataFrame, vocab: DataFrame, gazetteer: D
     rows = rows.withColumn("own_shape", numbered).join(known, "own_shape", "left")
     open_ = rows.where((F.size("phrases") == 0) & (F.size("fields") == 0)).select("query_id", F.array_join("plain", " ").alias("text"))
     found = gazetteer_matches(open_, gazetteer, vocab, tokens, "names" in fields)
-    rows = rows.join(found.withColumnRenamed("field", "term_field"), "query_id", "left")
+    rows = rows.join(_sorted(found.withColumnRenamed("field", "term_field")), "query_id", "left")
     exact = F.when(is_query_date(F.col("word")), "date").when(F.col("known"), "identifier")
     kind = F.coalesce(exact, F.when(F.size("fields") > 0, "field").when(F.size("phrases") > 0, "phrase").otherwise(F.coalesce("term_field", F.lit("description"))))
     rows = rows.withColumn("kind", kind)
@@ -226,4 +234,5 @@ def routed(queries: DataFrame, tokens: DataFrame, vocab: DataFrame, gazetteer: D
     field = F.when(F.col("kind") == "field", F.get("fields", F.lit(0))["field"]).otherwise(of_term("term_field"))
     rows = rows.select("query_id", "query", "plain", "phrases", "fields", "corrected", "text", "kind", of_term("term").alias("term"), field.alias("field"), of_term("record_count").alias("record_count"), of_term("whole").alias("whole"))
     visual, keyword = _weights(F.col("kind"), F.col("whole"), mode)
-    return rows.select("*", visual.alias("visual"), keyword.alias("keyword"))
+    rows = rows.select("*", visual.alias("visual"), keyword.alias("keyword")).withColumnRenamed("query_id", "given")
+    return given.join(_sorted(rows), "given").drop("given")
